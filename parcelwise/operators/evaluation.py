@@ -124,12 +124,12 @@ def _histogram(df: DataFrame, groups: Sequence[str], label: str, score: str) ->
     )
 
 
-def _auc(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _auc(hist: DataFrame, groups: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     w = Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     big = "decimal(20,0)"
     pairs = F.sum(F.col("pos").cast(big) * (2 * F.col("neg_upto") - F.col("neg")).cast("decimal(18,0)"))
     p, n = F.sum("pos"), F.sum("neg")
-    scores = F.sum(F.col("score").cast("decimal(9,4)") * (F.col("pos") + F.col("neg")).cast("decimal(20,0)"))
+    scores = F.sum(F.col("score").cast("decimal(9,4)") * (F.col("pos") + F.col("neg")).cast(big))
     return (
         hist.withColumn("neg_upto", F.sum("neg").over(w))
         .groupBy(*groups)
@@ -138,10 +138,15 @@ def _auc(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
             F.round(F.try_divide(pairs.cast("double"), 2.0 * p.cast("double") * n.cast("double")), 4).alias("auc"),
             ratio(p, p + n).alias("late_rate"),
             ratio(scores, p + n).alias("mean_p_late"),
+            *extra,
         )
     )
 
 
+def _one_histogram(df: DataFrame, label: str, score: str) -> DataFrame:
+    return _histogram(df, [], label, score).withColumn("_all", F.lit(1))
+
+
 def auc_by(df: DataFrame, groups: Sequence[str] = (), label: str = "true_label", score: str = "p_late") -> DataFrame:
     """Area under the ROC curve per group from the score histogram, ties included.
 
@@ -149,8 +154,7 @@ def auc_by(df: DataFrame, groups: Sequence[str] = (), label: str = "true_label",
     """
     if groups:
         return _auc(_histogram(df, groups, label, score), groups)
-    one = _histogram(df, [], label, score).withColumn("_all", F.lit(1))
-    return _auc(one, ["_all"]).drop("_all")
+    return _auc(_one_histogram(df, label, score), ["_all"]).drop("_all")
 
 
 def _in_dimensions(df: DataFrame, dimensions: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -197,16 +201,17 @@ def trust_map(mart: DataFrame, profit_rows: DataFrame, dimensions: Sequence[str]
 
 
 def classifier_report(df: DataFrame, threshold=Decimal("0.5")) -> DataFrame:
-    """AUC with precision, recall, F1, late rate and high-risk count."""
-    c = _confusion(df, threshold)
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[col.alias(k) for k, col in c.items()],
-        *[col.alias(k) for k, col in _quality(c["tp"], c["fp"], c["fn"]).items()],
-        F.count_if(F.col("p_late") >= F.lit(HIGH_RISK)).alias("high_risk_orders"),
-    )
-    area = auc_by(df).select(F.col("n").alias("_n"), "auc", F.col("late_rate").alias("actual_late_rate"))
-    return row.join(area, F.col("n") == F.col("_n")).drop("_n")
+    """AUC with precision, recall, F1, late rate and high-risk count, all from the score histogram."""
+    hit, high = F.col("score") >= dec(threshold), F.col("score") >= F.lit(HIGH_RISK)
+
+    def total(column: str, when: Column) -> Column:
+        return F.sum(F.when(when, F.col(column)).otherwise(0))
+
+    tp, fp, fn, tn = total("pos", hit), total("neg", hit), total("pos", ~hit), total("neg", ~hit)
+    extra = {"tp": tp, "fp": fp, "fn": fn, "tn": tn, **_quality(tp, fp, fn)}
+    extra["high_risk_orders"] = total("pos", high) + total("neg", high)
+    report = _auc(_one_histogram(df, "true_label", "p_late"), ["_all"], [c.alias(k) for k, c in extra.items()])
+    return report.withColumnRenamed("late_rate", "actual_late_rate").drop("_all", "mean_p_late")
 
 
 def regression_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -89,12 +89,13 @@ def decision_mart_single(
 
 
 def items_of_orders(items: DataFrame, orders: DataFrame, key: str) -> DataFrame:
-    return items.join(orders.select(key), key, "left_semi")
+    """Semi join; the key side is made distinct before it is shuffled."""
+    return items.join(orders.select(key).distinct(), key, "left_semi")
 
 
 def orders_missing(pred: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Predicted orders that have no item: one row per order."""
-    return pred.select(key).distinct().join(items.select(key), key, "left_anti")
+    return pred.select(key).distinct().join(items.select(key).distinct(), key, "left_anti")
 
 
 def hydrate(orders: DataFrame, pred: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

@@ -105,44 +105,83 @@ def exact_quantiles(
 def cut_points(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple[int, ...]]:
     """The rows at the given 1-based ranks in the order of integer ``keys``.
 
-    The keys together must identify a row. NULL keys sort last.
+    The keys together must identify a row. NULL keys sort last. All ranks share
+    the counting passes; what is sorted in the end is a few thousand rows per
+    rank.
     """
     last = 2**62
     base = df.select(*[F.coalesce(F.col(k).cast("long"), F.lit(last)).alias(f"k{i}") for i, k in enumerate(keys)])
-    return {rank: _cut_point(base, len(keys), rank) for rank in ranks}
-
-
-def _cut_point(base: DataFrame, width: int, rank: int) -> tuple[int, ...]:
-    names = [f"k{i}" for i in range(width)]
-    frame, left, depth = base, rank, 0
-    low = high = None
-    while True:
-        if low is None:
-            edge = frame.agg(F.count("*").alias("n"), F.min(names[depth]).alias("lo"), F.max(names[depth]).alias("hi")).first()
-            low, high, n = edge["lo"], edge["hi"], edge["n"]
-            if not 1 <= left <= n:
-                raise ValueError(f"rank {left} outside 1..{n}")
-        if n <= _FINISH_ROWS:
-            row = frame.orderBy(*names).offset(left - 1).limit(1).first()
-            return tuple(row)
-        if low == high:
-            depth += 1
-            if depth == width:
-                return (*tuple(frame.first()),)
-            low = None
-            continue
-        step = -(-(high - low + 1) // _BUCKETS)
-        buckets = (
-            frame.groupBy(F.expr(f"({names[depth]} - {low}) div {step}").alias("b"))
-            .agg(F.count("*").alias("n"), F.min(names[depth]).alias("lo"), F.max(names[depth]).alias("hi"))
-            .collect()
-        )
-        for row in sorted(buckets, key=lambda r: r["b"]):
-            if left <= row["n"]:
-                low, high, n = row["lo"], row["hi"], row["n"]
-                break
-            left -= row["n"]
-        frame = frame.where(F.col(names[depth]).between(low, high))
+    return _cuts(base, [f"k{i}" for i in range(len(keys))], {r: r for r in ranks}) if ranks else {}
+
+
+def _cuts(frame: DataFrame, names: list[str], wanted: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """``wanted`` maps a rank of the whole table to its rank inside ``frame``."""
+    key = F.col(names[0])
+    edge = frame.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if not all(1 <= left <= edge["n"] for left in wanted.values()):
+        raise ValueError(f"ranks outside 1..{edge['n']}")
+    ranges = {(edge["lo"], edge["hi"], edge["n"]): dict(wanted)}
+    found: dict[int, tuple[int, ...]] = {}
+    small: dict[tuple[int, int], dict[int, int]] = {}
+    while ranges:
+        wide: dict[tuple[int, int, int], dict[int, int]] = {}
+        for (low, high, n), inside in ranges.items():
+            if n <= _FINISH_ROWS:
+                small[(low, high)] = inside
+            elif low < high:
+                wide[(low, high, n)] = inside
+            elif len(names) > 1:
+                rest = _cuts(frame.where(key == low), names[1:], inside)
+                found.update({r: (low, *tail) for r, tail in rest.items()})
+            else:
+                found.update({r: (low,) for r in inside})
+        ranges = _narrow(frame, key, wide) if wide else {}
+    return {**found, **(_finish(frame, names, small) if small else {})}
+
+
+def _range_number(key: Column, spans: Sequence[tuple[int, int]]) -> Column:
+    return F.coalesce(*[F.when(key.between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(spans)])
+
+
+def _narrow(frame: DataFrame, key: Column, wide: dict) -> dict:
+    """Count each open range in equal steps and keep the steps that hold a wanted rank."""
+    spans = [(lo, hi) for lo, hi, _ in wide]
+    steps = [-(-(hi - lo + 1) // _BUCKETS) for lo, hi in spans]
+    step_of = [
+        F.when(key.between(lo, hi), F.floor((key - lo) / F.lit(step))) for (lo, hi), step in zip(spans, steps)
+    ]
+    counted = (
+        frame.select(_range_number(key, spans).alias("i"), F.coalesce(*step_of).alias("b"), key.alias("k"))
+        .where("i is not null")
+        .groupBy("i", "b")
+        .agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+        .collect()
+    )
+    out: dict[tuple[int, int, int], dict[int, int]] = {}
+    for i, inside in enumerate(wide.values()):
+        below = 0
+        for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["b"]):
+            held = {r: left - below for r, left in inside.items() if below < left <= below + row["n"]}
+            if held:
+                out[(row["lo"], row["hi"], row["n"])] = held
+            below += row["n"]
+    return out
+
+
+def _finish(frame: DataFrame, names: list[str], small: dict) -> dict[int, tuple[int, ...]]:
+    spans = list(small)
+    number = F.row_number().over(Window.partitionBy("i").orderBy(*names))
+    picks = [(i, left, rank) for i, inside in enumerate(small.values()) for rank, left in inside.items()]
+    wanted = F.struct("i", "rn").isin([F.struct(F.lit(i), F.lit(left)) for i, left, _ in picks])
+    rows = (
+        frame.withColumn("i", _range_number(F.col(names[0]), spans))
+        .where("i is not null")
+        .withColumn("rn", number)
+        .where(wanted)
+        .collect()
+    )
+    at = {(r["i"], r["rn"]): tuple(r[n] for n in names) for r in rows}
+    return {rank: at[(i, left)] for i, left, rank in picks}
 
 
 def at_or_before(keys: Sequence[str], cut: tuple[int, ...]) -> Column:

@@ -253,10 +253,9 @@ def _roi_aggregates(scope: Scope, penalty) -> dict[str, Column]:
     }
 
 
-def roi_totals(mart: DataFrame, penalty=DEFAULT_PENALTY, scope: Scope = HISTORY) -> DataFrame:
-    """Book profit against profit after service cost."""
+def _roi_total_columns(scope: Scope, penalty) -> list[Column]:
     a = _roi_aggregates(scope, penalty)
-    return mart.agg(
+    return [
         a["rows_orders"].alias("rows_orders"),
         money2(a["book_profit"]).alias("book_profit_total"),
         money2(a["net_of_service"]).alias("net_of_service_total"),
@@ -265,7 +264,12 @@ def roi_totals(mart: DataFrame, penalty=DEFAULT_PENALTY, scope: Scope = HISTORY)
         a["profitable"].alias("profit_positive_orders"),
         ratio(a["false_positive"], a["profitable"]).alias("false_positive_value_pct"),
         money2(a["epar"]).alias("epar_total"),
-    )
+    ]
+
+
+def roi_totals(mart: DataFrame, penalty=DEFAULT_PENALTY, scope: Scope = HISTORY) -> DataFrame:
+    """Book profit against profit after service cost."""
+    return mart.agg(*_roi_total_columns(scope, penalty))
 
 
 def roi_by(mart: DataFrame, dimension: str = "customer_segment", penalty=DEFAULT_PENALTY, scope: Scope = HISTORY) -> DataFrame:
@@ -294,10 +298,7 @@ def decision_summary(mart: DataFrame, penalty=DEFAULT_PENALTY) -> DataFrame:
     n = F.count("*")
     variance = spread.cast("double") - total.cast("double") * total.cast("double") / n
     fit = 1 - F.try_divide(squares.cast("double"), variance)
-    totals = roi_totals(mart, penalty)
-    return mart.agg(F.round(fit, 4).alias("profit_r2"), F.count("*").alias("n")).join(
-        totals, F.col("n") == F.col("rows_orders")
-    ).drop("n")
+    return mart.agg(*_roi_total_columns(HISTORY, penalty), F.round(fit, 4).alias("profit_r2"))
 
 
 # --- facets, portfolio, lists --------------------------------------------------

@@ -1,0 +1,3 @@
+"""Registered queries. Importing a module here registers what it defines."""
+
+from parcelwise.plans import orders, scores  # noqa: F401
