@@ -12,7 +12,7 @@ from parcelwise.constants import (
     DEFAULT_MODE_COST, DEFAULT_PENALTY, DEFAULT_REGION_MULTIPLIER, DEFAULT_UNIT_COST,
     MODE_BASE_COST, REGION_MULTIPLIER,
 )
-from parcelwise.functions.scalars import lookup, risk_bucket, to_number
+from parcelwise.functions.scalars import lookup, risk_bucket
 
 MONEY = "decimal(18,4)"
 
@@ -62,8 +62,8 @@ def join_rate_card(df: DataFrame, modes: DataFrame, regions: DataFrame, ratio=1)
 
 
 def upload_profit(sales: Column, margin: Column) -> Column:
-    """Book profit of an uploaded row, NULL unless both parts are numbers."""
-    return F.round(to_number(sales) * to_number(margin), 2)
+    """Book profit of an uploaded row in cents, NULL unless both parts are numbers."""
+    return F.round(sales.try_cast("decimal(18,4)") * margin.try_cast("decimal(9,6)"), 2).cast("decimal(18,2)")
 
 
 @dataclass(frozen=True)

@@ -43,55 +43,23 @@ def exact_quantiles(
     if len(totals) > _MAX_GROUPS:
         raise ValueError("exact_quantiles is meant for a short list of groups")
 
+    sizes = {row["g"]: row["n"] for row in totals}
+    wanted = {g: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} for g, n in sizes.items()}
     found: dict[tuple[str, int], float] = {}
-    open_ranges: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
-    sizes = {}
-    for row in totals:
-        sizes[row["g"]] = row["n"]
-        ranks = set()
-        for p in probs:
-            pos = p * (row["n"] - 1)
-            ranks |= {math.floor(pos), math.ceil(pos)}
-        if row["lo"] == row["hi"]:
-            found.update({(row["g"], r): row["lo"] for r in ranks})
-        else:
-            open_ranges[(row["g"], row["lo"], row["hi"])] = [(r, r) for r in sorted(ranks)]
-
-    while open_ranges:
-        keys = list(open_ranges)
-        ranges = spark.createDataFrame(
-            [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(keys)], "i int, rg string, lo double, hi double"
-        )
-        # one row per open range, so the broadcast side is bounded by groups x quantiles
-        counted = (
-            base.join(F.broadcast(ranges), (F.col("g") == F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
-            .withColumn(
-                "b",
-                F.least(
-                    F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BUCKETS),
-                    F.lit(_BUCKETS - 1),
-                ),
-            )
-            .groupBy("i", "b")
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
-        )
-        per_range: dict[int, list] = {}
-        for row in counted:
-            per_range.setdefault(row["i"], []).append(row)
-        nxt: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
-        for i, key in enumerate(keys):
-            g = key[0]
-            below = 0
-            pending = list(open_ranges[key])
-            for row in sorted(per_range[i], key=lambda r: r["b"]):
-                inside = [(r, left - below) for r, left in pending if below <= left < below + row["n"]]
-                if inside and row["lo"] == row["hi"]:
-                    found.update({(g, r): row["lo"] for r, _ in inside})
-                elif inside:
-                    nxt.setdefault((g, row["lo"], row["hi"]), []).extend(inside)
-                below += row["n"]
-        open_ranges = nxt
+    small: dict[tuple[str, float, float], dict[int, int]] = {}
+    ranges = {(row["g"], row["lo"], row["hi"], row["n"]): {r: r for r in wanted[row["g"]]} for row in totals}
+    while ranges:
+        wide = {}
+        for (g, low, high, n), inside in ranges.items():
+            if low == high:
+                found.update({(g, r): low for r in inside})
+            elif n <= _FINISH_ROWS:
+                small[(g, low, high)] = inside
+            else:
+                wide[(g, low, high)] = inside
+        ranges = _narrow_values(base, wide) if wide else {}
+    if small:
+        found.update(_pick_values(base, small))
 
     result = {}
     for g, n in sizes.items():
@@ -102,6 +70,44 @@ def exact_quantiles(
     return result
 
 
+def _in_ranges(base: DataFrame, spans: list[tuple[str, float, float]]) -> DataFrame:
+    """Rows inside the open ranges; one table row per group and quantile, so it is small."""
+    ranges = base.sparkSession.createDataFrame(
+        [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)], "i int, rg string, lo double, hi double"
+    )
+    return base.join(F.broadcast(ranges), (F.col("g") == F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
+
+
+def _narrow_values(base: DataFrame, wide: dict) -> dict:
+    spans = list(wide)
+    place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BUCKETS)
+    counted = (
+        _in_ranges(base, spans)
+        .groupBy("i", F.least(place, F.lit(_BUCKETS - 1)).alias("b"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .collect()
+    )
+    out: dict[tuple[str, float, float, int], dict[int, int]] = {}
+    for i, (span, inside) in enumerate(wide.items()):
+        below = 0
+        for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["b"]):
+            held = {r: left - below for r, left in inside.items() if below <= left < below + row["n"]}
+            if held:
+                out.setdefault((span[0], row["lo"], row["hi"], row["n"]), {}).update(held)
+            below += row["n"]
+    return out
+
+
+def _pick_values(base: DataFrame, small: dict) -> dict[tuple[str, int], float]:
+    """Read the wanted ranks out of ranges of a few thousand rows."""
+    spans = list(small)
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("v")) - 1
+    picks = {(i, left): (spans[i][0], r) for i, inside in enumerate(small.values()) for r, left in inside.items()}
+    wanted = F.struct("i", "rn").isin([F.struct(F.lit(i), F.lit(left)) for i, left in picks])
+    rows = _in_ranges(base, spans).select("i", "v").withColumn("rn", rank).where(wanted).collect()
+    return {picks[(r["i"], r["rn"])]: r["v"] for r in rows}
+
+
 def cut_points(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple[int, ...]]:
     """The rows at the given 1-based ranks in the order of integer ``keys``.
 

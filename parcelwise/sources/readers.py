@@ -13,7 +13,8 @@ from parcelwise.constants import (
     KNOWN_UPLOAD_COLUMNS, MIN_KNOWN_COLUMNS, PROFIT_CATEGORICAL, PROFIT_NUMERIC, PROFIT_TARGET, ORDER_DATE,
     UPLOAD_ALIASES, UPLOAD_DEFAULTS,
 )
-from parcelwise.functions.scalars import hash_id, risk_bucket, to_number, upload_id
+from parcelwise.functions.scalars import hash_id, risk_bucket, upload_id
+from parcelwise.operators.money import upload_profit
 
 _LONGS = {
     "Order Id", "Order Item Id", "Customer Id", "Order Customer Id", "Category Id", "Department Id",
@@ -153,7 +154,7 @@ def standardize_upload(df: DataFrame, row_id: str) -> DataFrame:
             columns[target] = F.lit(UPLOAD_DEFAULTS.get(target)).cast("string")
     out = [c.alias(t) for t, c in columns.items()]
     if "order_item_profit_ratio" in found:
-        out.append(F.round(to_number(columns["sales"]) * to_number(columns["order_item_profit_ratio"]), 2).alias("profit_actual"))
+        out.append(upload_profit(columns["sales"], columns["order_item_profit_ratio"]).alias("profit_actual"))
     label = {c.lower(): c for c in df.columns}.get("late_delivery_risk")
     if label:
         out.append(F.col(f"`{label}`").try_cast("int").alias("true_label"))

@@ -1,9 +1,9 @@
 """The order-item view over the star-schema test tables.
 
 Only the tables and columns a query asks for are read: customer and part are
-left joins that are skipped when none of their columns is wanted. The join with
-the order side comes last, so that a following roll-up per order reuses its
-partitioning.
+left joins, orders a foreign-key join, and each is skipped when none of its
+columns is wanted. The join with the order side comes last, so that a following
+roll-up per order reuses its partitioning.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from parcelwise.operators.money import MONEY, with_prediction_money
 
 _CUSTOMER = {"customer_segment", "order_region", "order_country"}
 _PART = {"category_name", "department_name"}
+_LINE_ONLY = {
+    "order_id", "product_id", "supplier_id", "line_no", "price_cents", "order_type", "market", "category_name",
+    "department_name", "quantity", "product_price", "discount_rate", "sales", "profit_ratio", "profit_actual", "profit_pred",
+}
 
 # fixed values: shipping mode by order priority, scheduled days by mode
 MODE_OF_PRIORITY = {"1-URGENT": "Same Day", "2-HIGH": "First Class", "3-MEDIUM": "Second Class"}
@@ -76,32 +80,60 @@ def order_items(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_C
     def scaled(expr: str) -> Column:
         return (F.expr(expr).cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(MONEY)
 
-    items = lines.withColumnRenamed("l_orderkey", "order_id").join(head, "order_id").withColumn(
-        "true_label", (F.datediff("l_shipdate", "order_ts") > F.col("scheduled_days")).cast("int")
-    )
-    points = F.expr(
-        "3500 * true_label + (order_id * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 6500"
-    )
-    view = items.select(
-        "order_id", "customer_id", F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"),
-        F.col("l_linenumber").alias("line_no"), "price_cents", "order_ts", F.col("l_returnflag").alias("order_type"),
-        F.col("l_linestatus").alias("market"),
-        *[F.col(c) for c in ("customer_segment", "order_region", "order_country") if wanted & _CUSTOMER],
-        *[F.col(c) for c in ("category_name", "department_name") if wanted & _PART],
-        "shipping_mode", "scheduled_days", F.col("l_quantity").cast("int").alias("quantity"),
-        (F.col("price_cents").cast("decimal(14,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY).alias("product_price"),
-        (F.col("disc_pct").cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)").alias("discount_rate"),
-        scaled("price_cents * (100 - disc_pct) div 100").alias("sales"),
-        (F.col("margin_pct").cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)").alias("profit_ratio"),
-        scaled("profit_raw div 10000").alias("profit_actual"),
-        scaled("profit_raw * (90 + (l_partkey + l_linenumber) % 21) div 1000000").alias("profit_pred"),
-        "true_label",
-        (points.cast("decimal(5,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(9,4)").alias("p_late"),
-    )
-    return view.select(*[c for c in ALL_COLUMNS if c in wanted])
+    items = lines.withColumnRenamed("l_orderkey", "order_id")
+    if wanted - _LINE_ONLY:
+        points = F.expr(
+            "3500 * true_label + (order_id * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 6500"
+        )
+        items = (
+            items.join(head, "order_id")
+            .withColumn("true_label", (F.datediff("l_shipdate", "order_ts") > F.col("scheduled_days")).cast("int"))
+            .withColumn("p_late", (points.cast("decimal(5,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(9,4)"))
+        )
+
+    made = {
+        "product_id": F.col("l_partkey"), "supplier_id": F.col("l_suppkey"), "line_no": F.col("l_linenumber"),
+        "order_type": F.col("l_returnflag"), "market": F.col("l_linestatus"), "quantity": F.col("l_quantity").cast("int"),
+        "product_price": (F.col("price_cents").cast("decimal(14,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY),
+        "discount_rate": (F.col("disc_pct").cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)"),
+        "profit_ratio": (F.col("margin_pct").cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)"),
+        "sales": scaled("price_cents * (100 - disc_pct) div 100"),
+        "profit_actual": scaled("profit_raw div 10000"),
+        "profit_pred": scaled("profit_raw * (90 + (l_partkey + l_linenumber) % 21) div 1000000"),
+    }
+    return items.select(*[made.get(c, F.col(c)).alias(c) for c in ALL_COLUMNS if c in wanted])
 
 
 def predictions(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLUMNS, penalty=250) -> DataFrame:
     """Order items with bucket, expected penalty and upgrade cost."""
     need = {*columns, "p_late", "shipping_mode", "order_region"}
     return with_prediction_money(order_items(spark, sf_dir, [c for c in ALL_COLUMNS if c in need]), penalty)
+
+
+# raw order-file names of the view's columns
+RAW_NAMES = {
+    "order_id": "Order Id", "customer_id": "Customer Id", "order_ts": "order date (DateOrders)", "order_type": "Type",
+    "market": "Market", "customer_segment": "Customer Segment", "order_region": "Order Region",
+    "order_country": "Order Country", "category_name": "Category Name", "department_name": "Department Name",
+    "shipping_mode": "Shipping Mode", "scheduled_days": "Days for shipment (scheduled)", "quantity": "Order Item Quantity",
+    "product_price": "Product Price", "discount_rate": "Order Item Discount Rate", "sales": "Sales",
+    "profit_ratio": "Order Item Profit Ratio", "profit_actual": "Order Profit Per Order", "true_label": "Late_delivery_risk",
+}
+
+
+def raw_orders(spark: SparkSession, sf_dir: str, columns: Sequence[str] = tuple(RAW_NAMES)) -> DataFrame:
+    """The view under the names of a raw order file, with personal and leakage columns added."""
+    items = order_items(spark, sf_dir, columns)
+    date = F.date_format("order_ts", "M/d/yyyy H:mm")
+    renamed = items.select(
+        *[(date if c == "order_ts" else F.col(c)).alias(RAW_NAMES[c]) for c in RAW_NAMES if c in columns]
+    )
+    person = F.concat(F.lit("Customer#"), F.col("`Customer Id`").cast("string"))
+    return renamed.withColumns(
+        {
+            "Customer Fname": person, "Customer Lname": F.reverse(person), "Customer Email": F.concat(person, F.lit("@example.org")),
+            "Customer Password": F.lit("XXXXXXXXX"), "Customer Street": F.concat(F.lit("1 Main St, "), person),
+            "Customer Zipcode": F.lit("00000"),
+            "Delivery Status": F.when(F.col("Late_delivery_risk") == 1, "Late delivery").otherwise("Shipping on time"),
+        }
+    )
