@@ -85,10 +85,10 @@ def masked_names(spark, sf_dir):
     "PRJ-31",
     over_pred("""SELECT sha256('EXAMPLE_DELAY_SALT:' || order_id) AS order_id_hash, risk_bucket, p_late::DOUBLE AS p_late,
       expected_penalty::DOUBLE AS expected_penalty, upgrade_cost::DOUBLE AS upgrade_cost,
-      'ORD-' || upper(substr(sha256('EXAMPLE_DELAY_SALT:' || order_id), 1, 8)) AS display_order_id FROM pred WHERE bp >= 9000"""),
+      'ORD-' || upper(substr(sha256('EXAMPLE_DELAY_SALT:' || order_id), 1, 8)) AS display_order_id FROM pred"""),
 )
 def egress_view(spark, sf_dir):
-    pred = predictions(spark, sf_dir, ["order_id", "customer_id"]).where("p_late >= 0.9")
+    pred = predictions(spark, sf_dir, ["order_id", "customer_id"])
     hashed = pred.withColumn("order_id_hash", hash_id(F.col("order_id"), "EXAMPLE_DELAY_SALT"))
     return privacy.egress_view(hashed)
 
@@ -300,7 +300,7 @@ def upload_gate(spark, sf_dir):
         F.col("o_orderstatus").alias("Type"),
     )
     orders.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/orders")
-    orders.limit(10).toDF("Order Id", "Order Date", "Shipping Mode", "Type ", "type").coalesce(1).write.mode("overwrite").option(
+    orders.toDF("Order Id", "Order Date", "Shipping Mode", "Type ", "type").coalesce(1).write.mode("overwrite").option(
         "header", True).csv(f"{root}/repeated")
     table(spark, sf_dir, "events").select("event_id", "user_id", "value").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/events")
     gated = readers.gate_uploads(readers.upload_headers(spark, root))
@@ -367,8 +367,7 @@ def session_predictions(spark, sf_dir):
 
 @query(
     "SNK-04 SET-01 PRJ-01",
-    over_items("""SELECT market AS "Market", COUNT(*) AS n, SUM(profit_actual)::DOUBLE AS profit, COUNT(*) FILTER (order_type = 'A') AS with_email FROM items
-      WHERE order_type IN ('A', 'R') GROUP BY 1"""),
+    over_items("""SELECT market AS "Market", COUNT(*) AS n, SUM(profit_actual)::DOUBLE AS profit, COUNT(*) FILTER (order_type <> 'R') AS with_email FROM items GROUP BY 1"""),
 )
 def known_results(spark, sf_dir):
     """Two batches appended to an empty store, then joined by name with rows that have more columns."""
@@ -378,7 +377,7 @@ def known_results(spark, sf_dir):
     store.check_known_results(batch).limit(0).write.mode("overwrite").parquet(path)
     store.append_known_results(batch.where(f"{LABEL} = 1"), path)
     store.append_known_results(batch.where(f"{LABEL} = 0"), path)
-    both = store.combined_training(raw.where("Type = 'A'"), spark.read.parquet(path))
+    both = store.combined_training(raw.where("Type <> 'R'"), spark.read.parquet(path))
     return both.groupBy("Market").agg(
         F.count("*").alias("n"), F.sum("Order Profit Per Order").alias("profit"), F.count("Customer Email").alias("with_email")
     )
@@ -387,10 +386,10 @@ def known_results(spark, sf_dir):
 @query(
     "SNK-08",
     """SELECT month, arg_max(kind, (flag_key, kind)) AS kind, MAX(flag_key) AS flagged_at FROM (
-      SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS kind, o_orderkey AS flag_key FROM orders WHERE o_orderstatus IN ('O', 'P')) GROUP BY 1""",
+      SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS kind, o_orderkey AS flag_key FROM orders) GROUP BY 1""",
 )
 def event_flags(spark, sf_dir):
-    """Flags of two batches; the newest per month stays."""
+    """Flags arriving in three batches; the newest per month stays."""
     orders = table(spark, sf_dir, "orders").select(
         F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("kind"),
         F.col("o_orderkey").alias("flagged_at"), "o_orderstatus",
@@ -398,7 +397,7 @@ def event_flags(spark, sf_dir):
     def newest(status: str):
         rows = orders.where(F.col("o_orderstatus") == status)
         return rows.groupBy("month").agg(F.max_by("kind", "flagged_at").alias("kind"), F.max("flagged_at").alias("flagged_at"))
-    return store.upsert_flags(newest("O"), newest("P"))
+    return store.upsert_flags(store.upsert_flags(newest("O"), newest("P")), newest("F"))
 
 
 @query(
@@ -416,12 +415,12 @@ def stored_mart(spark, sf_dir):
 
 @query(
     "SNK-03 PRJ-35",
-    over_pred("""SELECT shipping_mode, COUNT(*) AS n, SUM(upgrade_cost)::DOUBLE AS cost FROM pred WHERE bp >= 9500 GROUP BY 1"""),
+    over_pred("""SELECT shipping_mode, COUNT(*) AS n, SUM(upgrade_cost)::DOUBLE AS cost FROM pred GROUP BY 1"""),
 )
 def stored_selection(spark, sf_dir):
     """Report rows as CSV with header, totals as JSON, both read back."""
     path = scratch_path(spark, "selection")
-    chosen = predictions(spark, sf_dir, ["order_id"]).where("p_late >= 0.95")
+    chosen = predictions(spark, sf_dir, ["order_id"])
     rows = chosen.select("order_id", "shipping_mode", "upgrade_cost")
     totals = rows.groupBy("shipping_mode").agg(F.count("*").alias("n"), F.sum("upgrade_cost").alias("cost"))
     store.write_selection(rows, totals, path)

@@ -157,13 +157,13 @@ def orders_without_items(spark, sf_dir):
 @query(
     "JON-04 PRJ-03",
     over_items("""SELECT substr(sha256('EXAMPLE_PROFIT_SALT' || order_id), 1, 16) AS order_key, customer_segment, order_region,
-      profit_actual::DOUBLE AS actual_profit, profit_pred::DOUBLE AS predicted_profit FROM items WHERE line_no = 1"""),
+      profit_actual::DOUBLE AS actual_profit, profit_pred::DOUBLE AS predicted_profit FROM items"""),
 )
 def profit_rows_with_dimensions(spark, sf_dir):
     """Profit predictions keyed by the short hash, joined with their order's dimensions."""
     key = hash_id(F.col("order_id"), "EXAMPLE_PROFIT_SALT", "", 16).alias("order_key")
     items = order_items(spark, sf_dir, [*ITEM_KEYS, "customer_segment", "order_region", "profit_actual", "profit_pred"])
-    predicted = items.where("line_no = 1").select(
+    predicted = items.select(
         key, F.col("profit_actual").alias("actual_profit"), F.col("profit_pred").alias("predicted_profit")
     )
     # hash once per order, after the roll-up
