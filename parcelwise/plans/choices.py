@@ -369,7 +369,7 @@ _FACTORS = f""", m AS (SELECT trim(order_region) AS k, {avg4('bp')} AS region_me
         WHERE feature NOT LIKE 'Shipping Mode_%' OR feature = 'Shipping Mode_' || shipping_mode),
       strongest AS (SELECT * FROM overall WHERE pos <= 3),
       own AS (SELECT p.*, region_mean, 'Shipping Mode_' || shipping_mode AS feature, COALESCE((SELECT weight FROM imp WHERE feature = 'Shipping Mode_' || p.shipping_mode), 0) AS weight, 4 AS pos
-        FROM pred p JOIN m ON k = trim(order_region) WHERE shipping_mode NOT IN ('Standard Class', 'Same Day')),
+        FROM pred p JOIN m ON k = trim(order_region) WHERE shipping_mode NOT IN ('Standard Class', 'Same Day', 'First Class')),
       reg AS (SELECT p.*, region_mean, 'order_region' AS feature, 0.0::DOUBLE AS weight, 5 AS pos FROM pred p JOIN m ON k = trim(order_region)),
       every AS (SELECT *, row_number() OVER (PARTITION BY order_id, line_no, product_id, supplier_id, price_cents ORDER BY pos) - 1 AS position FROM
         (SELECT * FROM strongest UNION ALL SELECT * FROM own UNION ALL SELECT * FROM reg)),
