@@ -16,7 +16,9 @@ from parcelwise.constants import (
 )
 from parcelwise.functions.scalars import display_id, ratio
 from parcelwise.operators.mart import mean_exact
-from parcelwise.operators.money import MONEY, complete_fields, dec, upgrade_cost, with_net_benefit
+from parcelwise.operators.money import (
+    MONEY, complete_fields, dec, mode_cost, region_multiplier, upgrade_cost, with_net_benefit,
+)
 
 _MAX_SOLVER_ROWS = 200_000
 _SALTS = 64
@@ -293,16 +295,25 @@ def lever_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("sales", F.round(sales, 4).cast(MONEY))
 
 
-def grid_rollup(scored: DataFrame, key: str) -> DataFrame:
-    """Summed profit and mean score per order and cell."""
-    return scored.groupBy(key, "seq", "shipping_mode", "discount_rate").agg(
-        F.sum(F.col("profit_pred").cast(MONEY)).cast(MONEY).alias("profit_pred"), mean_exact("p_late")
+def grid_rollup(scored: DataFrame, key: str, cells: Sequence[tuple[int, str, Decimal]], extra: Sequence[Column] = ()) -> DataFrame:
+    """Summed profit and mean score per order and cell.
+
+    Grouped on the cell number alone; mode and discount follow from it.
+    """
+    ordered = sorted(cells)
+    at = (F.col("seq") - ordered[0][0] + 1).cast("int")
+    return scored.groupBy(key, "seq").agg(
+        F.sum(F.col("profit_pred").cast(MONEY)).cast(MONEY).alias("profit_pred"), mean_exact("p_late"), *extra
+    ).withColumns(
+        {
+            "shipping_mode": F.element_at(F.array(*[F.lit(m) for _, m, _ in ordered]), at),
+            "discount_rate": F.element_at(F.array(*[F.lit(d).cast("decimal(5,4)") for _, _, d in ordered]), at),
+        }
     )
 
 
-def grid_net(cells: DataFrame, region: Column, penalty=DEFAULT_PENALTY) -> DataFrame:
+def grid_net(cells: DataFrame, cost: Column, penalty=DEFAULT_PENALTY) -> DataFrame:
     """Profit less expected penalty and shipping cost of the cell's mode."""
-    cost = upgrade_cost(F.col("shipping_mode"), region)
     net = F.col("profit_pred") - F.col("p_late") * dec(max(Decimal(0), Decimal(str(penalty)))) - cost
     return cells.withColumns({"shipping_cost": cost, "expected_net": F.round(net, 4).cast(MONEY)})
 
@@ -322,11 +333,17 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def whatif(items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY) -> DataFrame:
-    """Net of every grid cell for every order; ``scorer`` adds profit_pred and p_late."""
-    grid = with_grid(items, cells or grid_cells())
-    regions = items.groupBy(key).agg(F.min("order_region").alias("order_region"))
-    rolled = grid_rollup(scorer(grid), key).join(regions, key)
-    return grid_net(rolled, F.col("order_region"), penalty)
+    """Net of every grid cell for every order; ``scorer`` adds profit_pred and p_late.
+
+    The items of an order are brought together before they are multiplied by the
+    grid, so what is shuffled afterwards is one row per order and cell. The
+    rebalance lets AQE split an order that is too large for one task.
+    """
+    cells = cells or grid_cells()
+    gathered = items.withColumn("_multiplier", region_multiplier(F.col("order_region"))).hint("rebalance", key)
+    rolled = grid_rollup(scorer(with_grid(gathered, cells)), key, cells, [F.max("_multiplier").alias("_multiplier")])
+    cost = F.round(mode_cost(F.col("shipping_mode")) * F.col("_multiplier"), 2).cast("decimal(12,2)")
+    return grid_net(rolled, cost, penalty).drop("_multiplier")
 
 
 def heat_table(cells: DataFrame, modes: Sequence[str] = MODE_GRID) -> DataFrame:
@@ -364,9 +381,10 @@ def rescue(
         key, "base_net", F.col("shipping_mode").alias("current_shipping"), F.col("order_region").alias("region"),
         F.col("customer_segment").alias("segment"),
     )
-    grid = with_grid(items.join(losing.select(key), key, "left_semi"), cells or grid_cells())
-    rolled = grid_rollup(scorer(grid), key).join(losing, key)
-    best = best_cell(grid_net(rolled, F.col("region"), penalty), key)
+    cells = cells or grid_cells()
+    grid = with_grid(items.join(losing.select(key), key, "left_semi"), cells)
+    rolled = grid_rollup(scorer(grid), key, cells).join(losing, key)
+    best = best_cell(grid_net(rolled, upgrade_cost(F.col("shipping_mode"), F.col("region")), penalty), key)
     return best.join(losing, key).select(
         key, "current_shipping", "segment", "region",
         F.round("base_net", 2).cast("double").alias("base_net"),

@@ -129,7 +129,7 @@ def _auc(hist: DataFrame, groups: Sequence[str], extra: Sequence[Column] = ()) -
     big = "decimal(20,0)"
     pairs = F.sum(F.col("pos").cast(big) * (2 * F.col("neg_upto") - F.col("neg")).cast("decimal(18,0)"))
     p, n = F.sum("pos"), F.sum("neg")
-    scores = F.sum(F.col("score").cast("decimal(9,4)") * (F.col("pos") + F.col("neg")).cast(big))
+    scores = F.sum(F.col("score").cast("decimal(8,4)") * (F.col("pos") + F.col("neg")).cast(big))
     return (
         hist.withColumn("neg_upto", F.sum("neg").over(w))
         .groupBy(*groups)

@@ -20,7 +20,7 @@ RISKY_REGION_MEAN = 0.55
 def region_means(pred: DataFrame) -> DataFrame:
     """Mean score per trimmed region."""
     region = F.trim("order_region")
-    total = F.sum(F.col("p_late").cast("decimal(9,4)"))
+    total = F.sum(F.col("p_late").cast("decimal(8,4)"))
     return pred.where(region.isNotNull()).groupBy(region.alias("region_key")).agg(
         F.round(total / F.count("p_late"), 4).cast("double").alias("region_mean")
     )
@@ -29,7 +29,7 @@ def region_means(pred: DataFrame) -> DataFrame:
 def with_region_mean(orders: DataFrame, pred: DataFrame) -> DataFrame:
     """Region mean of each order, the overall mean where the region is unknown."""
     overall = pred.agg(
-        F.round(F.sum(F.col("p_late").cast("decimal(9,4)")) / F.count("p_late"), 4).cast("double").alias("m")
+        F.round(F.sum(F.col("p_late").cast("decimal(8,4)")) / F.count("p_late"), 4).cast("double").alias("m")
     ).scalar()
     return (
         orders.join(region_means(pred), F.trim("order_region") == F.col("region_key"), "left")

@@ -55,16 +55,18 @@ def time_split(
     """
     keyed = df.withColumn("_ts", F.unix_micros(col(ts).cast("timestamp")))
     keys = ["_ts", *tie_keys]
-    n = df.count()
-    n_train = round(n * train)
-    n_val = round(n * val)
-    wanted = [r for r in (n_train, n_train + n_val) if 0 < r <= n]
-    cuts = cut_points(keyed, keys, wanted)
+
+    sides: dict[int, str] = {}
+
+    def borders(n: int) -> list[int]:
+        n_train, n_val = round(n * train), round(n * val)
+        sides.update({n_train + n_val: "val"} | {n_train: "train"})
+        return sorted(r for r in sides if 0 < r <= n)
+
+    cuts = cut_points(keyed, keys, borders)
     side = F.lit("test")
-    if n_train + n_val in cuts:
-        side = F.when(at_or_before(keys, cuts[n_train + n_val]), F.lit("val")).otherwise(side)
-    if n_train in cuts:
-        side = F.when(at_or_before(keys, cuts[n_train]), F.lit("train")).otherwise(side)
+    for rank in sorted(cuts, reverse=True):
+        side = F.when(at_or_before(keys, cuts[rank]), F.lit(sides[rank])).otherwise(side)
     return keyed.withColumn("split", side).drop("_ts")
 
 

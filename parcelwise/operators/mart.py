@@ -20,8 +20,8 @@ def first_value(name: str, order_by: Sequence[str]) -> Column:
 
 def mean_exact(name: str, places: int = 4) -> Column:
     """Mean of a decimal column rounded half up."""
-    total = F.sum(F.col(name).cast("decimal(9,4)"))
-    return F.round(total / F.count(name), places).cast("decimal(9,4)").alias(name)
+    total = F.sum(F.col(name).cast("decimal(8,4)"))
+    return F.round(total / F.count(name), places).cast("decimal(8,4)").alias(name)
 
 
 def money_sum(name: str) -> Column:
@@ -119,7 +119,7 @@ def session_rows(pred: DataFrame, row_id: str) -> DataFrame:
     for c in numbers:
         value = to_number(F.col(c)) if c in out.columns else F.lit(None).cast("double")
         cols[c] = F.coalesce(value, F.lit(float(SESSION_DEFAULTS[c])))
-    cols["p_late"] = clip_unit(F.coalesce(to_number(F.col("p_late")), F.lit(0.0))).cast("decimal(9,4)")
+    cols["p_late"] = clip_unit(F.coalesce(to_number(F.col("p_late")), F.lit(0.0))).cast("decimal(8,4)")
     cols["sales"] = to_number(F.col("sales")) if "sales" in out.columns else F.lit(None).cast("double")
     if "order_date" not in out.columns:
         cols["order_date"] = F.lit(None).cast("string")

@@ -21,11 +21,17 @@ def dec(value) -> Column:
     return F.lit(Decimal(str(value)))
 
 
+def mode_cost(mode: Column) -> Column:
+    return lookup(MODE_BASE_COST, mode, DEFAULT_MODE_COST)
+
+
+def region_multiplier(region: Column) -> Column:
+    return lookup(REGION_MULTIPLIER, region, DEFAULT_REGION_MULTIPLIER)
+
+
 def upgrade_cost(mode: Column, region: Column, ratio=1) -> Column:
     """Base cost of the mode x region multiplier x ratio, in cents."""
-    base = lookup(MODE_BASE_COST, mode, DEFAULT_MODE_COST)
-    multiplier = lookup(REGION_MULTIPLIER, region, DEFAULT_REGION_MULTIPLIER)
-    return F.round(base * multiplier * dec(ratio), 2).cast("decimal(12,2)")
+    return F.round(mode_cost(mode) * region_multiplier(region) * dec(ratio), 2).cast("decimal(12,2)")
 
 
 def expected_penalty(p_late: Column, penalty=DEFAULT_PENALTY) -> Column:
@@ -87,7 +93,7 @@ class Scope:
         return "actual_profit" if self.profit_column == "profit_actual" else "predicted_profit"
 
     def delay_cost(self, penalty) -> Column:
-        exposure = F.col("true_label" if self.labelled else "p_late").cast("decimal(9,4)")
+        exposure = F.col("true_label" if self.labelled else "p_late").cast("decimal(8,4)")
         return (F.coalesce(exposure, dec(0)) * dec(penalty)).cast(MONEY)
 
     def profit(self) -> Column:
@@ -111,7 +117,7 @@ def with_value_risk(
     """Value and risk axes of the portfolio view, without touching other columns."""
     net = scope.net(penalty)
     use_label = risk_axis == "true_label" and scope.labelled
-    risk = F.col("true_label" if use_label else "p_late").cast("decimal(9,4)")
+    risk = F.col("true_label" if use_label else "p_late").cast("decimal(8,4)")
     flag = ((scope.profit() > 0) & (net < 0)).cast("int") if scope.false_positive_available else F.lit(0)
     return df.withColumns(
         {

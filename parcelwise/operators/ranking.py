@@ -10,7 +10,7 @@ of all rows is one counter.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,25 +108,32 @@ def _pick_values(base: DataFrame, small: dict) -> dict[tuple[str, int], float]:
     return {picks[(r["i"], r["rn"])]: r["v"] for r in rows}
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple[int, ...]]:
-    """The rows at the given 1-based ranks in the order of integer ``keys``.
+def cut_points(
+    df: DataFrame, keys: Sequence[str], ranks: Callable[[int], Iterable[int]]
+) -> dict[int, tuple[int, ...]]:
+    """The rows at 1-based ranks in the order of integer ``keys``.
 
-    The keys together must identify a row. NULL keys sort last. All ranks share
-    the counting passes; what is sorted in the end is a few thousand rows per
-    rank.
+    ``ranks`` gives the wanted ranks for a row count. The keys together must
+    identify a row. NULL keys sort last. All ranks share the counting passes;
+    what is sorted in the end is a few thousand rows per rank.
     """
     last = 2**62
     base = df.select(*[F.coalesce(F.col(k).cast("long"), F.lit(last)).alias(f"k{i}") for i, k in enumerate(keys)])
-    return _cuts(base, [f"k{i}" for i in range(len(keys))], {r: r for r in ranks}) if ranks else {}
+    return _cuts(base, [f"k{i}" for i in range(len(keys))], lambda n: {r: r for r in ranks(n)})
 
 
-def _cuts(frame: DataFrame, names: list[str], wanted: dict[int, int]) -> dict[int, tuple[int, ...]]:
-    """``wanted`` maps a rank of the whole table to its rank inside ``frame``."""
+def _cuts(
+    frame: DataFrame, names: list[str], ranks: Callable[[int], dict[int, int]]
+) -> dict[int, tuple[int, ...]]:
+    """``ranks`` maps ranks of the whole table to ranks inside ``frame``."""
     key = F.col(names[0])
     edge = frame.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    wanted = ranks(edge["n"])
+    if not wanted:
+        return {}
     if not all(1 <= left <= edge["n"] for left in wanted.values()):
         raise ValueError(f"ranks outside 1..{edge['n']}")
-    ranges = {(edge["lo"], edge["hi"], edge["n"]): dict(wanted)}
+    ranges = {(edge["lo"], edge["hi"], edge["n"]): wanted}
     found: dict[int, tuple[int, ...]] = {}
     small: dict[tuple[int, int], dict[int, int]] = {}
     while ranges:
@@ -137,7 +144,7 @@ def _cuts(frame: DataFrame, names: list[str], wanted: dict[int, int]) -> dict[in
             elif low < high:
                 wide[(low, high, n)] = inside
             elif len(names) > 1:
-                rest = _cuts(frame.where(key == low), names[1:], inside)
+                rest = _cuts(frame.where(key == low), names[1:], lambda _, inside=inside: inside)
                 found.update({r: (low, *tail) for r, tail in rest.items()})
             else:
                 found.update({r: (low,) for r in inside})

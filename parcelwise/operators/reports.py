@@ -16,9 +16,12 @@ from parcelwise.operators.money import HISTORY, MONEY, Scope, dec
 from parcelwise.operators.ranking import at_or_before, cut_points
 
 
+_ONE_PASS_ROWS = 10_000
+
+
 def mean4(col: Column) -> Column:
     """Mean of decimals or 0/1 flags, rounded to four places."""
-    return ratio(F.sum(col.cast("decimal(9,4)")), F.count(col), empty=None)
+    return ratio(F.sum(col.cast("decimal(8,4)")), F.count(col), empty=None)
 
 
 def money2(total: Column) -> Column:
@@ -75,10 +78,20 @@ def page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> Dat
 
 
 def clamped_page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> DataFrame:
-    """As :func:`page`; a page past the end becomes the last page."""
-    limit = max(1, limit)
-    pages = max(1, -(-df.count() // limit))
-    return page(df, order, min(max(1, number), pages), limit)
+    """As :func:`page`; a page past the end becomes the last page.
+
+    Near the top of the list one pass is enough: the rows up to the page tell by
+    their number where the list ends. Far pages count the rows first.
+    """
+    number, limit = max(1, number), max(1, limit)
+    if number * limit > _ONE_PASS_ROWS:
+        pages = max(1, -(-df.count() // limit))
+        return page(df, order, min(number, pages), limit)
+    head = df.orderBy(*order).limit(number * limit)
+    numbered = head.withColumns(
+        {"row_number": F.row_number().over(Window.orderBy(*order)), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
+    )
+    return numbered.where(F.col("row_number") > F.floor((F.col("_last") - 1) / limit) * limit).drop("_last")
 
 
 def summary_by(pred: DataFrame, dimension: str) -> DataFrame:
@@ -173,8 +186,8 @@ def monthly_diagnosis(
 ) -> DataFrame:
     """All months in one pass: means, their distance, wrong predictions."""
     key = F.col(period) if period else month_key(F.col("order_ts"))
-    score = F.sum(F.col("p_late").cast("decimal(9,4)"))
-    label = F.sum(F.col("true_label").cast("decimal(9,4)"))
+    score = F.sum(F.col("p_late").cast("decimal(8,4)"))
+    label = F.sum(F.col("true_label").cast("decimal(8,4)"))
     gap = F.try_divide(F.abs(score - label), F.count("*"))
     return (
         with_outcome(pred, threshold)
@@ -202,15 +215,14 @@ def with_batches(df: DataFrame, keys: Sequence[str], batches: int = MAX_BATCHES)
     Only the rows at the batch borders are looked up; every row is then placed
     by comparing its key with them.
     """
-    n = df.count()
-    count = min(batches, max(1, n))
-    size = max(1, -(-n // count))
-    borders = [size * i for i in range(1, count) if size * i < n]
-    cuts = cut_points(df, keys, borders)
+    def borders(n: int) -> list[int]:
+        size = max(1, -(-n // min(batches, max(1, n))))
+        return [size * i for i in range(1, batches) if size * i < n]
+
     after = F.lit(1)
-    for border in borders:
-        after = after + (~at_or_before(keys, cuts[border])).cast("int")
-    return df.withColumn("batch", F.least(after, F.lit(count)))
+    for cut in cut_points(df, keys, borders).values():
+        after = after + (~at_or_before(keys, cut)).cast("int")
+    return df.withColumn("batch", after)
 
 
 # --- KPI rows ------------------------------------------------------------------

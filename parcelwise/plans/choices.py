@@ -233,7 +233,7 @@ def formula_scorer(df):
     )
     profit = F.col("product_price") * (1 - F.col("discount_rate")) * F.col("profit_ratio") * F.lit(Decimal("0.01"))
     return df.withColumns(
-        {"profit_pred": F.round(profit, 4).cast(MONEY), "p_late": F.round(F.col("p_late") * factor, 4).cast("decimal(9,4)")}
+        {"profit_pred": F.round(profit, 4).cast(MONEY), "p_late": F.round(F.col("p_late") * factor, 4).cast("decimal(8,4)")}
     )
 
 

@@ -200,7 +200,7 @@ def clipped_values(spark, sf_dir):
     text = F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(F.lit("NaN"), F.lit("x")), (F.col("event_id") % 2 + 1).cast("int"))).otherwise(
         (F.col("value") / 50).cast("string")
     )
-    rows = table(spark, sf_dir, "events").select("user_id", clip_unit(number_or(text, 0.25)).cast("decimal(9,4)").alias("v"))
+    rows = table(spark, sf_dir, "events").select("user_id", clip_unit(number_or(text, 0.25)).cast("decimal(8,4)").alias("v"))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("v").alias("clipped"))
 
 

@@ -230,7 +230,7 @@ def aligned_features(spark, sf_dir):
     items = order_items(spark, sf_dir, ["quantity", "discount_rate"])
     aligned = features.align(items, ["discount_rate", "Market_X", "quantity"])
     return aligned.groupBy("quantity", "Market_X").agg(
-        F.count("*").alias("n"), F.sum(F.col("discount_rate").cast("decimal(9,4)")).alias("discount_rate")
+        F.count("*").alias("n"), F.sum(F.col("discount_rate").cast("decimal(8,4)")).alias("discount_rate")
     )
 
 

@@ -88,7 +88,7 @@ def order_items(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_C
         items = (
             items.join(head, "order_id")
             .withColumn("true_label", (F.datediff("l_shipdate", "order_ts") > F.col("scheduled_days")).cast("int"))
-            .withColumn("p_late", (points.cast("decimal(5,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(9,4)"))
+            .withColumn("p_late", (points.cast("decimal(5,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(8,4)"))
         )
 
     made = {
