@@ -80,18 +80,12 @@ def split_profile(df: DataFrame, target: str, ts: str, split: str = "split") ->
 
 def balance_warnings(profile: DataFrame) -> DataFrame:
     """Splits whose loss share or mean profit is far from the whole table's."""
-    overall = profile.where("part = 'overall'").select(
-        F.col("neg_pct").alias("o_neg"), F.col("profit_mean").alias("o_mean")
-    )
-    scale = F.when(F.col("o_mean") == 0, F.lit(1.0)).otherwise(F.abs("o_mean"))
-    compared = (
-        profile.where("part <> 'overall'")
-        .withColumns({"o_neg": overall.select("o_neg").scalar(), "o_mean": overall.select("o_mean").scalar()})
-    )
-    return compared.select(
+    overall = profile.where("part = 'overall'").select(F.struct("neg_pct", "profit_mean").alias("o")).scalar()
+    scale = F.when(F.col("o.profit_mean") == 0, F.lit(1.0)).otherwise(F.abs("o.profit_mean"))
+    return profile.where("part <> 'overall'").withColumn("o", overall).select(
         "part",
-        (F.abs(F.col("neg_pct") - F.col("o_neg")) > LOSS_SHARE_TOLERANCE).cast("int").alias("loss_share_off"),
-        (F.abs(F.col("profit_mean") - F.col("o_mean")) / scale > MEAN_SHIFT_TOLERANCE).cast("int").alias("mean_off"),
+        (F.abs(F.col("neg_pct") - F.col("o.neg_pct")) > LOSS_SHARE_TOLERANCE).cast("int").alias("loss_share_off"),
+        (F.abs(F.col("profit_mean") - F.col("o.profit_mean")) / scale > MEAN_SHIFT_TOLERANCE).cast("int").alias("mean_off"),
     )
 
 

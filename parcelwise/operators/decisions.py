@@ -221,14 +221,15 @@ def reason_text() -> Column:
 
 
 def enrich(chosen: DataFrame, mart: DataFrame, key: str) -> DataFrame:
-    """Profit at risk, profit and segment of the chosen orders.
+    """Profit at risk, profit, segment and customer of the chosen orders.
 
-    The right side is one row per order, so the left join keeps the row count.
+    The few chosen rows are joined first and made unique afterwards, so a mart
+    with repeated orders neither multiplies them nor has to be grouped as a whole.
     """
-    side = mart.groupBy(key).agg(
-        F.min_by(F.struct("epar", "profit_actual", "customer_segment", "customer_id"), F.struct("customer_id")).alias("m")
-    )
-    return chosen.join(side, key, "left").select(chosen["*"], "m.*")
+    extra = ["epar", "profit_actual", "customer_segment", "customer_id"]
+    joined = chosen.join(mart.select(key, *extra), key, "left")
+    first = F.min(F.struct("customer_id", "epar", "profit_actual", "customer_segment")).alias("m")
+    return joined.groupBy(*chosen.columns).agg(first).select(*chosen.columns, "m.*")
 
 
 def customer_rollup(enriched: DataFrame, top: int = 20) -> DataFrame:
@@ -318,12 +319,13 @@ def grid_net(cells: DataFrame, cost: Column, penalty=DEFAULT_PENALTY) -> DataFra
     return cells.withColumns({"shipping_cost": cost, "expected_net": F.round(net, 4).cast(MONEY)})
 
 
-def best_cell(cells: DataFrame, key: str) -> DataFrame:
+def best_cell(cells: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
     """Highest net per order; the first cell of the grid wins ties."""
     order = F.struct("expected_net", (-F.col("seq")).alias("s"))
+    fields = ("shipping_mode", "discount_rate", "profit_pred", "p_late", "shipping_cost", "expected_net", *carry)
     return (
         cells.groupBy(key)
-        .agg(F.max_by(F.struct("shipping_mode", "discount_rate", "profit_pred", "p_late", "shipping_cost", "expected_net"), order).alias("b"))
+        .agg(F.max_by(F.struct(*fields), order).alias("b"))
         .select(key, "b.*")
         .withColumn("decision", F.when(F.col("expected_net") > 0, "accept").otherwise("decline"))
     )
@@ -376,22 +378,29 @@ def rescue(
     mart: DataFrame, items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY,
     limit: int = MAX_RESCUE_ORDERS,
 ) -> DataFrame:
-    """Best mode and discount for each losing order."""
+    """Best mode and discount for each losing order.
+
+    The losing orders, at most the report's 200, are found once and travel with
+    their items through the scan; ``scorer`` must keep the columns it is given.
+    """
     losing = losing_orders(mart, key, penalty, limit).select(
-        key, "base_net", F.col("shipping_mode").alias("current_shipping"), F.col("order_region").alias("region"),
-        F.col("customer_segment").alias("segment"),
+        key, F.struct("base_net", "shipping_mode", "order_region", "customer_segment").alias("lost")
     )
     cells = cells or grid_cells()
-    grid = with_grid(items.join(losing.select(key), key, "left_semi"), cells)
-    rolled = grid_rollup(scorer(grid), key, cells).join(losing, key)
-    best = best_cell(grid_net(rolled, upgrade_cost(F.col("shipping_mode"), F.col("region")), penalty), key)
-    return best.join(losing, key).select(
-        key, "current_shipping", "segment", "region",
-        F.round("base_net", 2).cast("double").alias("base_net"),
+    grid = with_grid(items.join(losing, key), cells)
+    rolled = grid_rollup(scorer(grid), key, cells, [F.min("lost").alias("lost")])
+    cost = upgrade_cost(F.col("shipping_mode"), F.col("lost.order_region"))
+    best = best_cell(grid_net(rolled, cost, penalty), key, ["lost"])
+    return best.select(
+        key,
+        F.col("lost.shipping_mode").alias("current_shipping"),
+        F.col("lost.customer_segment").alias("segment"),
+        F.col("lost.order_region").alias("region"),
+        F.round("lost.base_net", 2).cast("double").alias("base_net"),
         F.col("shipping_mode").alias("recommend_shipping"),
         F.col("discount_rate").cast("double").alias("recommend_discount"),
         F.round("expected_net", 2).cast("double").alias("rescued_net"),
-        F.round(F.col("expected_net") - F.col("base_net"), 2).cast("double").alias("improvement"),
+        F.round(F.col("expected_net") - F.col("lost.base_net"), 2).cast("double").alias("improvement"),
         F.col("p_late").cast("double").alias("rescued_p_late"),
         F.round("profit_pred", 2).cast("double").alias("rescued_profit"),
         F.col("shipping_cost").cast("double").alias("rescued_shipping_cost"),

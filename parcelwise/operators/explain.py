@@ -17,22 +17,25 @@ MAX_FACTORS = 4
 RISKY_REGION_MEAN = 0.55
 
 
-def region_means(pred: DataFrame) -> DataFrame:
-    """Mean score per trimmed region."""
-    region = F.trim("order_region")
-    total = F.sum(F.col("p_late").cast("decimal(8,4)"))
-    return pred.where(region.isNotNull()).groupBy(region.alias("region_key")).agg(
-        F.round(total / F.count("p_late"), 4).cast("double").alias("region_mean")
+def region_scores(pred: DataFrame) -> DataFrame:
+    """Summed score and row count per trimmed region."""
+    return pred.groupBy(F.trim("order_region").alias("region_key")).agg(
+        F.sum(F.col("p_late").cast("decimal(8,4)")).alias("total"), F.count("p_late").alias("n")
     )
 
 
 def with_region_mean(orders: DataFrame, pred: DataFrame) -> DataFrame:
-    """Region mean of each order, the overall mean where the region is unknown."""
-    overall = pred.agg(
-        F.round(F.sum(F.col("p_late").cast("decimal(8,4)")) / F.count("p_late"), 4).cast("double").alias("m")
-    ).scalar()
+    """Region mean of each order, the overall mean where the region is unknown.
+
+    Both means come from one roll-up per region, a few dozen rows.
+    """
+    scores = region_scores(pred)
+    overall = scores.agg(F.round(F.sum("total") / F.sum("n"), 4).cast("double").alias("m")).scalar()
+    means = scores.where("region_key is not null").select(
+        "region_key", F.round(F.col("total") / F.col("n"), 4).cast("double").alias("region_mean")
+    )
     return (
-        orders.join(region_means(pred), F.trim("order_region") == F.col("region_key"), "left")
+        orders.join(means, F.trim("order_region") == F.col("region_key"), "left")
         .withColumn("region_mean", F.coalesce("region_mean", overall))
         .drop("region_key")
     )

@@ -20,7 +20,8 @@ BUDGETS = ["1000", "3000", "5000", "10000"]
 EVERYTHING = "1000000000"
 
 
-def _candidates(spark, sf_dir, threshold="0.3", cap=500, penalty=250, basis="auto"):
+def _candidates(spark, sf_dir, threshold="0.3", cap=500, penalty=250, basis="given"):
+    """The predictions bring their costs, so the table-wide look of ``auto`` is not needed."""
     pred = predictions(spark, sf_dir, ITEM_KEYS)
     return decisions.prepare(pred, "order_id", TIES, penalty=penalty, threshold=threshold, max_candidates=cap, cost_basis=basis)
 
@@ -334,7 +335,7 @@ def rescued_by_models(spark, sf_dir):
     profit = models.train_profit(data, spec.columns, "profit_actual", max_iter=5, max_depth=4, step=0.3)
 
     def scorer(df):
-        cell = table_of(df, ["order_id", "seq", "shipping_mode", "discount_rate"])
+        cell = table_of(df, ["order_id", "seq", "shipping_mode", "discount_rate", "lost"])
         both = models.score_profit(profit, models.score_late(late, cell, spec.columns), spec.columns)
         return both.drop("discount_rate").withColumnRenamed("key_discount_rate", "discount_rate")
 
