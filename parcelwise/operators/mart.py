@@ -98,6 +98,15 @@ def orders_missing(pred: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return pred.select(key).distinct().join(items.select(key).distinct(), key, "left_anti")
 
 
+def join_rows(left: DataFrame, right: DataFrame, row_key: Sequence[str]) -> DataFrame:
+    """Columns of two tables put side by side by the row key given at ingest.
+
+    Row positions mean nothing in a distributed table, so the key travels with
+    the rows.
+    """
+    return left.join(right.select(*row_key, *[c for c in right.columns if c not in left.columns]), list(row_key))
+
+
 def hydrate(orders: DataFrame, pred: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """Missing order fields taken from the first prediction row of the order."""
     extra = [c for c in pred.columns if c not in orders.columns]

@@ -360,6 +360,12 @@ def scatter_sample(df: DataFrame, id_col: str, seed: int = 42, max_points: int =
     return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)).limit(points)
 
 
+def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """Random rows of a table, the same ones in every run."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.sha2(text, 256), *keys).limit(n)
+
+
 def at_risk_list(mart: DataFrame, id_col: str, number: int = 1, limit: int = 50, scope: Scope = HISTORY) -> DataFrame:
     limit = max(1, min(limit, 200))
     return clamped_page(mart, [F.desc("epar"), F.col(id_col)], number, limit).select(

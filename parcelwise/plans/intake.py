@@ -8,7 +8,7 @@ from parcelwise.constants import LABEL
 from parcelwise.functions.scalars import (
     clip_unit, date_parts, hash_id, mask_name, number_or, one_hot_decode, parse_order_ts, to_number, upload_id,
 )
-from parcelwise.operators import evaluation, explain, features, mart, money, privacy, reports
+from parcelwise.operators import evaluation, explain, features, mart, money, privacy, reports, sessions
 from parcelwise.plans.orders import mart_of
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import bucket_sql, over_items, over_mart, over_pred
@@ -478,3 +478,46 @@ def decoded_categories(spark, sf_dir):
         F.count("*").alias("n"), F.lit("category_name").alias("from_artifact")
     )
 
+
+@query(
+    "JON-05",
+    over_pred("""SELECT order_id, line_no, product_id, supplier_id, p_late::DOUBLE AS p_late, risk_bucket, quantity, discount_rate::DOUBLE AS discount_rate,
+      order_type FROM pred"""),
+)
+def rows_side_by_side(spark, sf_dir):
+    """Scores and what-if fields, stored apart, joined by the row key."""
+    scores = predictions(spark, sf_dir, ITEM_KEYS).select(*ITEM_KEYS, "p_late", "risk_bucket")
+    fields = order_items(spark, sf_dir, [*ITEM_KEYS, "quantity", "discount_rate", "order_type"])
+    return mart.join_rows(scores, fields, ITEM_KEYS).drop("price_cents")
+
+
+@query(
+    "TOP-09",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+      ORDER BY sha256(concat_ws(':', '7', l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 2000""",
+)
+def sampled_rows(spark, sf_dir):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return reports.sample_rows(table(spark, sf_dir, "lineitem").select(*keys), keys, 2000, 7)
+
+
+@query(
+    "OPT-09 SRC-05 SRC-06 SNK-02 ML-10",
+    over_items("""SELECT shipping_mode, 'sess-1' AS session_id, COUNT(*) AS n, SUM(ROUND((0.2 + 0.1*scheduled_days) * 250, 2))::DOUBLE AS expected_penalty,
+      SUM(true_label)::BIGINT AS late FROM items GROUP BY 1"""),
+)
+def scored_upload(spark, sf_dir):
+    """Order file and a file that is none in one folder: gate, standardise, score, store, read back."""
+    root = scratch_path(spark, "score_upload")
+    raw = raw_orders(spark, sf_dir, ["order_id", "customer_id", "shipping_mode", "order_region", "scheduled_days", "true_label", "order_ts"])
+    raw.drop("Customer Id").write.mode("overwrite").option("header", True).csv(f"{root}/in/orders")
+    table(spark, sf_dir, "nation").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/in/other")
+
+    def scorer(rows):
+        return rows.withColumn("p_late", (0.2 + 0.1 * F.col("days_for_shipment")).cast("decimal(8,4)"))
+
+    sessions.score_uploads(spark, f"{root}/in", scorer, f"{root}/predictions", "sess-1")
+    stored = readers.read_session(spark, f"{root}/predictions", "sess-1")
+    return stored.groupBy("shipping_mode", "session_id").agg(
+        F.count("*").alias("n"), F.sum("expected_penalty").alias("expected_penalty"), F.sum("true_label").alias("late")
+    )

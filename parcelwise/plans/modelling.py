@@ -246,6 +246,25 @@ def ready_table(spark, sf_dir):
     return ready.agg(F.count("*").alias("n"), F.lit(len(ready.columns)).alias("columns_left"), F.sum("profit_actual").alias("profit"))
 
 
+@query(
+    "PRJ-25 ML-12",
+    over_items("""SELECT market, COUNT(*) AS n, 7 AS columns_left, SUM(quantity)::DOUBLE AS quantity, 'Market_F,Market_O,quantity' AS some_left FROM items GROUP BY 1"""),
+)
+def features_without_groups(spark, sf_dir):
+    """Two feature groups taken out of a one-hot table by their names."""
+    items = order_items(spark, sf_dir, ["shipping_mode", "order_type", "market", "quantity"])
+    named = items.withColumnsRenamed({"shipping_mode": "Shipping Mode", "order_type": "Type", "market": "Market"})
+    hot = features.one_hot(features.one_hot_values(named, ["Shipping Mode", "Type", "Market"]))
+    wide = named.select("Market", "quantity", *[c.alias(n) for n, c in hot.items()])
+    dropped = models.resolve_features(["Type"], wide.columns)
+    kept = wide.drop(*dropped)
+    left = ",".join(sorted(c for c in kept.columns if c.startswith("Market_") or c == "quantity"))
+    return kept.groupBy(F.col("Market").alias("market")).agg(
+        F.count("*").alias("n"), F.lit(len(hot) + 1 - len(dropped)).alias("columns_left"),
+        F.sum("quantity").cast("double").alias("quantity"), F.lit(left).alias("some_left"),
+    )
+
+
 # --- audits --------------------------------------------------------------------------------------
 
 

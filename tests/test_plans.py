@@ -16,7 +16,7 @@ SOLVER = {
     "customers_of_selection", "roi_selection", "selection_summary",
 }
 # what these read is the header bytes of files, see upload_headers
-HEADERS = {"upload_gate"}
+HEADERS = {"upload_gate", "scored_upload"}
 
 
 @pytest.fixture(scope="module")
