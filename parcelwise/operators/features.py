@@ -143,13 +143,16 @@ def decode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
 
 
 def one_hot_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column; more than 500 values is refused."""
-    found = {}
-    for c in columns:
-        rows = df.select(col(c).cast("string").alias("v")).where("v is not null").distinct().limit(MAX_ONE_HOT + 1).collect()
-        if len(rows) > MAX_ONE_HOT:
-            raise ValueError(f"{c} has too many values for one-hot columns")
-        found[c] = sorted(r["v"] for r in rows)
+    """Sorted distinct values per column, one pass; more than 500 values is refused."""
+    if not columns:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in columns]))
+    distinct = df.select(pairs.alias("x")).select("x.*").where("v is not null").distinct()
+    rows = distinct.limit(MAX_ONE_HOT * len(columns) + 1).collect()
+    found = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in columns}
+    wide = [c for c, vs in found.items() if len(vs) > MAX_ONE_HOT]
+    if wide:
+        raise ValueError(f"too many values for one-hot columns: {wide}")
     return found
 
 

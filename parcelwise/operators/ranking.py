@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,18 @@ def exact_quantiles(
     ``group`` must be a short list (columns, splits): the driver keeps one range
     per group and quantile. More than 10,000 groups is refused.
     """
-    spark = long_df.sparkSession
     base = long_df.select(
         F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")
     ).where("v is not null and not isnan(v)")
+    # two narrow columns, read once per pass: worth keeping instead of redoing what made them
+    base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(base, probs)
+    finally:
+        base.unpersist()
+
+
+def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float], float]:
     totals = (
         base.groupBy("g")
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -119,7 +128,11 @@ def cut_points(
     """
     last = 2**62
     base = df.select(*[F.coalesce(F.col(k).cast("long"), F.lit(last)).alias(f"k{i}") for i, k in enumerate(keys)])
-    return _cuts(base, [f"k{i}" for i in range(len(keys))], lambda n: {r: r for r in ranks(n)})
+    base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _cuts(base, [f"k{i}" for i in range(len(keys))], lambda n: {r: r for r in ranks(n)})
+    finally:
+        base.unpersist()
 
 
 def _cuts(

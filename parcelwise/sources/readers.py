@@ -70,7 +70,8 @@ def require_columns(df: DataFrame, required: Sequence[str] | None = None) -> Dat
 def _first_line(uri: str) -> str:
     from pyarrow import fs
 
-    filesystem, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+    uri = uri if "://" in uri else uri.replace("file:/", "file:///", 1)
+    filesystem, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     taken = b""
     with filesystem.open_input_stream(path) as stream:
         while b"\n" not in taken:
@@ -86,8 +87,21 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(header=[_first_line(p) for p in batch["path"]])
 
 
-def upload_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Path and header line of every CSV below a folder; only the header bytes are read."""
+def upload_headers(spark: SparkSession, folder: str, whole_scan: bool = False) -> DataFrame:
+    """Path and header line of every CSV below a folder.
+
+    Only the header bytes are read, through Arrow's file systems (local, HDFS, S3,
+    GCS). For any other storage ``whole_scan`` reads the files as Spark text: a
+    file's first block lies in one task and is read in order, so the first line
+    seen there is the header.
+    """
+    if whole_scan:
+        lines = (
+            spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+            .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        )
+        first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+        return first.select("path", F.regexp_replace("header", "^\ufeff", "").alias("header"))
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
         .load(folder).select("path")

@@ -17,13 +17,14 @@ def test_header_gate_of_a_table():
             readers.check_header(bad)
 
 
-def test_header_gate_of_a_folder(spark, tmp_path):
+@pytest.mark.parametrize("whole_scan", [False, True])
+def test_header_gate_of_a_folder(spark, tmp_path, whole_scan):
     texts = {
         "a.csv": "﻿Order Id,Shipping Mode,Order Region\n1,x,y\n", "b.csv": "Order Id,Type,Type,Market\n1,2,3,4\n", "c.csv": "foo,bar\n1,2\n",
     }
     for name, text in texts.items():
         (tmp_path / name).write_text(text, encoding="utf-8")
-    gated = readers.gate_uploads(readers.upload_headers(spark, str(tmp_path))).collect()
+    gated = readers.gate_uploads(readers.upload_headers(spark, str(tmp_path), whole_scan)).collect()
     assert {r["path"][-5:]: r["accepted"] for r in gated} == {"a.csv": 1, "b.csv": 0, "c.csv": 0}
 
 
