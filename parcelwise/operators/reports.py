@@ -74,7 +74,7 @@ def page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> Dat
     number, limit = max(1, number), max(1, limit)
     start = (number - 1) * limit
     rows = df.orderBy(*order).offset(start).limit(limit)
-    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)) + start)
+    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("long") + start)
 
 
 def clamped_page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> DataFrame:
@@ -89,7 +89,7 @@ def clamped_page(df: DataFrame, order: Sequence[Column], number: int, limit: int
         return page(df, order, min(number, pages), limit)
     head = df.orderBy(*order).limit(number * limit)
     numbered = head.withColumns(
-        {"row_number": F.row_number().over(Window.orderBy(*order)), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
+        {"row_number": F.row_number().over(Window.orderBy(*order)).cast("long"), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
     )
     return numbered.where(F.col("row_number") > F.floor((F.col("_last") - 1) / limit) * limit).drop("_last")
 
