@@ -16,20 +16,22 @@ them enters steps 1 to 3.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import keep
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE, _PRIME, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93  # odd, so each has an inverse
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE = 1 << 20  # bytes of a text that are hashed at once
 _SHARD_BYTES = 4 << 20  # of text under one automaton
 
 
@@ -38,18 +40,53 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _gram_hashes(hashes: np.ndarray, n: int, prime: np.uint64) -> np.ndarray:
-    """Hash of each run of n words."""
-    total = len(hashes) - n + 1
-    out = np.zeros(max(total, 0), np.uint64)
-    if total > 0:
-        for k in range(n):
-            out = out * prime + hashes[k : k + total]
-    return _scramble(out)
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.bases, self.held = (base, pow(base, -1, 1 << 64)), [np.ones(1, np.uint64)] * 2
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            size = 1 << max(12, (n - 1).bit_length())
+            steps = [np.full(size, b, np.uint64) for b in self.bases]
+            for s in steps:
+                s[0] = 1
+            self.held = [np.cumprod(s, dtype=np.uint64) for s in steps]
+        return self.held[0][:n], self.held[1][:n]
+
+
+class Hasher:
+    """Word and word-run hashes of texts: differences of running sums, so a run of any length costs the same."""
+
+    def __init__(self) -> None:
+        self.of_bytes, self.of_words, self.of_other = _Powers(_BASE), _Powers(_PRIME), _Powers(_OTHER)
+
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and length in bytes of each word."""
+        hashes, lengths, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        while at < len(raw):
+            cut = _BREAK.search(raw, min(at + _PIECE, len(raw)))
+            end = cut.start() if cut else len(raw)
+            codes = np.frombuffer(raw, np.uint8, end - at, at)
+            space = np.concatenate(([True], _SPACE[codes], [True]))
+            edge = np.flatnonzero(space[1:] != space[:-1])
+            first, last = edge[::2], edge[1::2]
+            up, down = self.of_bytes(len(codes) + 1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+            hashes.append(_scramble((sums[last] - sums[first]) * down[first]))
+            lengths.append(last - first)
+            at = end
+        return np.concatenate(hashes), np.concatenate(lengths)
+
+    def runs(self, hashes: np.ndarray, n: int, other: bool = False) -> np.ndarray:
+        """Hash of each run of n words."""
+        total = len(hashes) - n + 1
+        if total <= 0:
+            return np.zeros(0, np.uint64)
+        up, down = (self.of_other if other else self.of_words)(len(hashes) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)))
+        return _scramble((sums[n:] - sums[:total]) * down[:total])
 
 
 def _anchors(phrases: np.ndarray, wide: int) -> np.ndarray:
@@ -68,16 +105,6 @@ def _anchors(phrases: np.ndarray, wide: int) -> np.ndarray:
     return place
 
 
-def _located(words: list[bytes], automaton) -> np.ndarray:
-    """Word places at which a phrase of the automaton starts."""
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(lengths) - lengths
-    # phrase and line have a space on both sides, so a phrase starts where its leading space is in the padded line
-    found = [end - size for end, size in automaton.iter(" " + line.decode("latin-1") + " ")]
-    return np.searchsorted(starts, np.unique(np.array(found, np.int64))) if found else np.zeros(0, np.int64)
-
-
 def _automaton(phrases: set[bytes]):
     out = ahocorasick.Automaton()
     for p in phrases:
@@ -87,11 +114,11 @@ def _automaton(phrases: set[bytes]):
     return out
 
 
-def _doc_anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, phrase hashes, and the anchor place of each window."""
-    hashes = _word_hashes(words)
-    phrases = _gram_hashes(hashes, phrase, _PRIME)
-    return hashes, phrases, _anchors(phrases, window - phrase + 1)
+def _located(line: bytes, starts: np.ndarray, automaton) -> np.ndarray:
+    """Word places at which a phrase of the automaton starts; ``starts`` are the words' places in ``line``."""
+    # phrase and line have a space on both sides, so a phrase starts where its leading space is in the padded line
+    found = [end - size for end, size in automaton.iter(f" {line.decode('latin-1')} ")]
+    return np.searchsorted(starts, np.array(found, np.int64))
 
 
 def _runs(starts: np.ndarray, total: int, window: int) -> np.ndarray:
@@ -118,11 +145,8 @@ def _split_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-_FOUND = pa.schema([
-    ("route", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("tk", pa.int64()), ("start", pa.int32()),
-    ("gone", pa.list_(pa.int32())),
-])
-_FOUND_SQL = "route long, w1 long, w2 long, did long, tk long, start int, gone array<int>"
+_FOUND = pa.schema([("route", pa.int64()), ("asks", pa.bool_()), *((k, pa.binary()) for k in ("w1", "w2", "did", "tk", "start"))])
+_FOUND_SQL = "route long, asks boolean, w1 binary, w2 binary, did binary, tk binary, start binary"
 
 
 def _gone_rows(did: np.ndarray, tk: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -143,68 +167,80 @@ def _first_of_each(w1: np.ndarray, w2: np.ndarray, did: np.ndarray) -> np.ndarra
     return out
 
 
-def _windows_of_shard(table: pa.Table, window: int, phrase: int) -> pa.RecordBatch:
-    """Recurring windows of one shard of documents.
+def _packed(asks: bool, columns: list[np.ndarray], routes: int) -> list[dict]:
+    """One row per route: the arrays as bytes. Windows are routed by w1, known repeats by doc_id."""
+    route = columns[0 if asks else 2].view(np.uint64) % np.uint64(routes)
+    order = np.argsort(route, kind="stable")
+    route, columns = route[order], [c[order] for c in columns]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(route)) + 1, [len(route)])) if len(route) else np.zeros(1, np.int64)
+    names = _FOUND.names[2:]
+    return [
+        {"route": int(route[a]), "asks": asks, **{n: c[a:b].tobytes() for n, c in zip(names, columns, strict=True) if asks or n[0] != "w"}}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+    ]
+
+
+def _windows_of_shard(table: pa.Table, window: int, phrase: int, routes: int, hasher: Hasher) -> pa.RecordBatch:
+    """Recurring windows of one shard of documents, packed by route.
 
-    A row with w1, w2 asks whether the window starts at a smaller doc_id elsewhere. Within the shard only the
-    smallest doc_id of a window asks; its other documents, and later places of one document, are already known
-    to be repeats and come as ``gone`` lists.
+    A window that ``asks`` wants to know whether it starts at a smaller doc_id elsewhere. Within the shard only
+    the smallest doc_id of a window asks; its other documents, and later places of one document, are already
+    known to be repeats.
     """
     wide = window - phrase + 1
     docs, phrases = [], set()
     for text, anchors in zip(table.column("text"), table.column("anchors"), strict=True):
-        words = text.as_py().split()
-        hashes, grams, places = _doc_anchors(words, window, phrase)
+        raw = text.as_py()
+        hashes, lengths = hasher.words(raw)
+        line, starts = b" ".join(raw.split()), np.concatenate(([0], np.cumsum(lengths + 1)))
+        grams = hasher.runs(hashes, phrase)
+        places = _anchors(grams, wide)
         distinct = np.unique(places)
         wanted = distinct[np.isin(grams[distinct].view(np.int64), anchors.values.to_numpy())]
-        phrases.update(b" ".join(words[p : p + phrase]) for p in wanted.tolist())
-        docs.append((words, hashes, places))
+        phrases.update(line[a:b] for a, b in zip(starts[wanted].tolist(), (starts[wanted + phrase] - 1).tolist(), strict=True))
+        docs.append((line, starts, hashes, places))
     automaton = _automaton(phrases)
     parts = []
     ids, keys = table.column("did").to_numpy(), table.column("tk").to_numpy()
-    for k, (words, hashes, places) in enumerate(docs):
+    for k, (line, starts, hashes, places) in enumerate(docs):
         if not phrases or not len(places):
             continue
-        hit = np.zeros(len(words), bool)
-        hit[_located(words, automaton)] = True
-        starts = np.flatnonzero(hit[places])
-        if not len(starts):
-            continue
-        w1 = _gram_hashes(hashes, window, _PRIME)[starts].view(np.int64)
-        w2 = _gram_hashes(hashes, window, _OTHER)[starts].view(np.int64)
-        parts.append((w1, w2, np.full(len(starts), ids[k]), np.full(len(starts), keys[k]), starts))
-    if not parts:
+        hit = np.zeros(len(starts), bool)
+        hit[_located(line, starts, automaton)] = True
+        at = np.flatnonzero(hit[places])
+        w1, w2 = (hasher.runs(hashes, window, other)[at].view(np.int64) for other in (False, True))
+        parts.append((w1, w2, np.full(len(at), ids[k]), np.full(len(at), keys[k]), at.astype(np.int32)))
+    if not sum(len(p[0]) for p in parts):
         return pa.RecordBatch.from_pylist([], schema=_FOUND)
     w1, w2, did, tk, start = (np.concatenate(c) for c in zip(*parts, strict=True))
     # the first place of a window in its document stands for the document
     at = np.lexsort((start, tk, did, w2, w1))
     w1, w2, did, tk, start = (c[at] for c in (w1, w2, did, tk, start))
-    again = np.concatenate(([False], (np.diff(w1) == 0) & (np.diff(w2) == 0) & (np.diff(did) == 0) & (np.diff(tk) == 0)))
-    ask = ~again & (did == _first_of_each(w1, w2, did))
-    gone_did, gone_tk, gone = _gone_rows(did[~ask], tk[~ask], start[~ask])
-    n, m = int(ask.sum()), len(gone_did)
-    route = np.concatenate((w1[ask], gone_did))
-    none = pa.nulls(m, pa.int64())
-    return pa.RecordBatch.from_arrays([
-        pa.array(route), pa.concat_arrays([pa.array(w1[ask]), none]), pa.concat_arrays([pa.array(w2[ask]), none]),
-        pa.array(np.concatenate((did[ask], gone_did))), pa.array(np.concatenate((tk[ask], gone_tk))),
-        pa.concat_arrays([pa.array(start[ask].astype(np.int32)), pa.nulls(m, pa.int32())]),
-        pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), gone]),
-    ], schema=_FOUND)
-
-
-def _answers(table: pa.Table) -> pa.RecordBatch:
-    """(did, tk, gone) of all windows whose hash lies in this partition."""
-    told = table.filter(pa.compute.is_null(table.column("w1")))
-    asked = table.filter(pa.compute.is_valid(table.column("w1")))
-    w1, w2, did, tk, start = (asked.column(c).to_numpy() for c in ("w1", "w2", "did", "tk", "start"))
+    fresh = np.concatenate(([True], (np.diff(w1) != 0) | (np.diff(w2) != 0)))
+    again = ~fresh & np.concatenate(([False], (np.diff(did) == 0) & (np.diff(tk) == 0)))
+    ask = ~again & (did == did[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]])
+    rows = [_packed(asks, [c[which] for c in (w1, w2, did, tk, start)], routes) for asks, which in ((True, ask), (False, ~ask))]
+    return pa.RecordBatch.from_pylist(rows[0] + rows[1], schema=_FOUND)
+
+
+def _column(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
+
+
+def _answers(table: pa.Table, routes: int) -> pa.RecordBatch:
+    """Repeats among the windows whose hash lies in this partition, and those already known, packed by document."""
+    asked, told = table.filter(table.column("asks")), table.filter(pa.compute.invert(table.column("asks")))
+    w1, w2, did = (_column(asked, c, np.int64) for c in ("w1", "w2", "did"))
     late = did > _first_of_each(w1, w2, did)
-    gone_did, gone_tk, gone = _gone_rows(did[late], tk[late], start[late])
-    lists = [gone, *told.column("gone").chunks]
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate((gone_did, told.column("did").to_numpy()))), pa.array(np.concatenate((gone_tk, told.column("tk").to_numpy()))),
-        pa.concat_arrays([x.cast(pa.list_(pa.int32())) for x in lists]),
-    ], ["did", "tk", "gone"])
+    gone = [np.concatenate((_column(asked, c, kind)[late], _column(told, c, kind))) for c, kind in (("did", np.int64), ("tk", np.int64), ("start", np.int32))]
+    none = np.zeros(len(gone[0]), np.int64)
+    return pa.RecordBatch.from_pylist(_packed(False, [none, none, *gone], routes), schema=_FOUND)
+
+
+def _of_documents(table: pa.Table) -> pa.RecordBatch:
+    """(did, tk, gone): one row per document, all whose repeats meet in this partition."""
+    did, tk, gone = _gone_rows(_column(table, "did", np.int64), _column(table, "tk", np.int64), _column(table, "start", np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(did), pa.array(tk), gone], ["did", "tk", "gone"])
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,16 +257,19 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
+    routes = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             count, same, twice, lists = [], [], [], []
             for raw in batch.column(2).cast(pa.large_binary()):
-                words = raw.as_py().split()
-                _, phrases, places = _doc_anchors(words, window, phrase)
-                found = phrases[np.unique(places)]
+                hashes, lengths = hasher.words(raw.as_py())
+                phrases = hasher.runs(hashes, phrase)
+                found = phrases[np.unique(_anchors(phrases, window - phrase + 1))]
                 distinct = np.unique(found)
-                count.append(len(words))
-                same.append(hashlib.sha256(b" ".join(words)).digest())
+                count.append(len(hashes))
+                same.append(hashlib.sha256(hashes.tobytes() + lengths.tobytes()).digest())
                 twice.append(len(distinct) < len(found))
                 lists.append(distinct.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -249,17 +288,23 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
     needs = keep(needs, "phrases-of-documents")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for table in _split_batches(batches, _SHARD_BYTES):
-            yield _windows_of_shard(table.set_column(2, "text", table.column("text").cast(pa.large_binary())), window, phrase)
+            yield _windows_of_shard(table.set_column(2, "text", table.column("text").cast(pa.large_binary())), window, phrase, routes, hasher)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            yield _answers(pa.Table.from_batches(held))
+            yield _answers(pa.Table.from_batches(held), routes)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield _of_documents(pa.Table.from_batches(held))
 
     found = rows.join(needs, ["did", "tk"]).select("did", "tk", "text", "anchors").mapInArrow(locate, _FOUND_SQL)
-    gone = found.repartition("route").mapInArrow(answer, "did long, tk long, gone array<int>")
-    gone = gone.groupBy("did", "tk").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    repeats = found.repartition("route").mapInArrow(answer, _FOUND_SQL)
+    gone = repeats.repartition("route").mapInArrow(gather, "did long, tk long, gone array<int>")
     gone = gone.unionByName(copies.withColumn("gone", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True)), allowMissingColumns=True)
     gone = keep(gone, "removed-windows")
 

@@ -1,0 +1,337 @@
+"""Language ID, HTML extraction, secret scan, line dedup, packing and mixing."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parcelwise.llm import html, langid, lines, mixing, packing, secrets
+
+LANGS = {"aa": ("ka", "lo", "mi", "nu", "re"), "bb": ("sch", "ung", "ver", "eit", "ö"), "cc": ("что", "ние", "ра", "ст", "ов")}
+
+
+def prose(rng, lang, n):
+    return " ".join("".join(rng.choices(LANGS[lang], k=rng.randrange(1, 5))) for _ in range(n))
+
+
+# ---------------------------------------------------------------- language ID
+
+
+def test_interpolated_kneser_ney_probabilities():
+    """A model's probabilities over all next characters sum to one, seen context or not."""
+    words = collections.Counter({"aba": 3, "abc": 1, "ca": 2, "b": 1})
+    model, alphabet = langid.fit(words, order=3, characters=5), "abcd"
+    for context in ("", "a", "ab", "cc", "aba", "d"):
+        total = 0.0
+        for c in [*alphabet, None]:
+            word = context + (c or "")
+            cost = langid.word_costs([word, context + "a"], [model], 3)[0, 0]
+            ended = _cost(model, word, 3)
+            assert cost == pytest.approx(ended[-1][1] + sum(x for _, x in ended[:-1]), rel=1e-5)
+            total += math.exp(-ended[len(context)][1])
+        assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def _cost(model, word, order):
+    """Nats of each character and the end, one look-up at a time."""
+    hashes, out = model["hash"].tolist(), []
+    _, usable, grams, contexts = langid._grams([word], order)
+    for k in range(len(word) + 1):
+        cost, n = 0.0, int(usable[k])
+        while n:
+            gram = int(grams[n - 1][k])
+            if gram in hashes and model["logp"][hashes.index(gram)] > -np.inf:
+                cost -= float(model["logp"][hashes.index(gram)])
+                break
+            before = int(contexts[n - 1][k])
+            if n > 1 and before in hashes:
+                cost -= float(model["backoff"][hashes.index(before)])
+            n -= 1
+        else:
+            cost -= float(model["floor"][0])
+        out.append((k, cost))
+    return out
+
+
+def language_rows(seed=1, n=240):
+    rng = random.Random(seed)
+    return [(k, prose(rng, lang, rng.randrange(3, 60)), lang, lang) for k in range(n) for lang in [rng.choice(list(LANGS))]]
+
+
+def test_language_id(spark):
+    rows = language_rows()
+    odd = [(900, None, "aa", "x"), (901, "", None, "x"), (902, "12 34 !?", "bb", "x"), (903, "KALO " * 20_000, None, "x"), (None, rows[0][1], None, "x"), (904, "ö" * 30_000, None, "x")]
+    frame = spark.createDataFrame([*rows, *odd, rows[3]], "doc_id long, text string, lang string, score string").repartition(3)
+    got = {(r.doc_id): r for r in langid.identify_languages(frame).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert len(held) > 30 and all(got[r[0]].lang_pred == r[2] for r in held)
+    assert all(got[r[0]].held_out == (r in held) and 0 <= got[r[0]].score <= 1 for r in rows)
+    for k in (900, 901, 902):
+        assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+    assert got[903].lang_pred == "aa" and got[904].lang_pred == "bb"
+    assert got[None].lang_pred == rows[0][2] and not got[None].held_out
+    assert langid.identify_languages(frame.limit(0)).count() == 0
+    unlabelled = langid.identify_languages(frame.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def test_language_rejection_keeps_clean_texts(spark):
+    frame = spark.createDataFrame(language_rows(2, 400), "doc_id long, text string, lang string, source string")
+    models = langid.train(frame)
+    junk = [(1, "xqzj wvkq zzxq jqxw", "aa", "s"), (2, "東京 大阪 京都", "aa", "s"), (3, None, "aa", "s"), (4, "...", "aa", "s")]
+    fresh = [(100 + r[0], r[1], None, "s") for r in language_rows(3, 200)]
+    mixed = spark.createDataFrame([*fresh, *junk], frame.schema).repartition(2)
+    kept = langid.accepted(mixed, models)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in fresh)
+    rejected = langid.identify(mixed, models).filter("rejected").select("doc_id")
+    assert sorted(r.doc_id for r in rejected.collect()) == [1, 2, 3, 4]
+    assert langid.accepted(mixed.limit(0), models).count() == 0 and langid.accepted(mixed, []).count() == 0
+
+
+# ---------------------------------------------------------------- HTML
+
+NEWS = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head>
+<body class="page"><header class="site-header"><h2>Paper</h2></header><nav><ul><li><a href=/>Home</a></ul></nav>
+<div id="cookie-banner">We use cookies</div><div class="layout"><div class="story">
+<h1 class="entry-header">Head &amp; line</h1><p>First   long paragraph of the story, with <b>bold</b> words&nbsp;and more text to read.
+<p>Short.<p>Second long paragraph of the story with a list of things that matter to its readers.
+<ul><li>One thing that matters</li><li>Two</li></ul><blockquote>A quotation that is long enough to count as text.</blockquote></div>
+<aside>Links <a>a</a> <a>b</a></aside><div class="sidebar"><p>Other things to read that are long enough to look like text.</p></div>
+<section class="comments"><p>Reader: I do not agree with this long article at all, my friends.</p></section>
+<form><p>Subscribe with a long sentence about our letter.</p><input></form></div>
+<footer class="site-footer"><p>&copy; 2020 A company with a long legal name and an address</p></footer></body></html>"""
+
+
+def test_main_text_of_a_page_without_an_article_element():
+    assert html.main_text(NEWS).split("\n\n") == [
+        "Head & line", "First long paragraph of the story, with bold words and more text to read.", "Short.",
+        "Second long paragraph of the story with a list of things that matter to its readers.", "One thing that matters", "Two",
+        "A quotation that is long enough to count as text.",
+    ]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (None, ""), ("", ""), ("   ", ""), ("<nav>a</nav><footer>b</footer>", ""), ("plain words", "plain words"),
+    ("<article><header><h1>T</h1></header><p>a<br>b<p><b>c<p>d</article><p>x", "T\n\na b\n\nc\n\nd"),
+    ("<article><p>caf&eacute; &#x41; &lt;b&gt;</p><div class=ad>buy</div><p>end", "café A <b>\n\nend"),
+    ("<main><p>one</p><article class='comment'><p>no</p></article></main>", "one"),
+    ("<div hidden><p>no</p></div><p>yes</p><!-- <p>no</p> -->", "yes"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+    ("<article><p>cut of", "cut of"), ("<p>" * 3000 + "deep", "deep"),
+])
+def test_main_text_of_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_extract_text(spark):
+    rows = [(1, "u", NEWS, "x"), (2, None, None, "x"), (None, "v", "<p>" + "long " * 40_000, "x"), (1, "u", NEWS, "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(2)
+    got = extract = html.extract_text(frame).collect()
+    assert len(got) == 4 and all(r.n_chars == len(r.text) for r in extract)
+    assert {r.page_id: r.n_chars for r in got}[2] == 0 and {r.page_id: r.n_chars for r in got}[None] == 40_000 * 5 - 1
+    assert html.extract_text(frame.limit(0)).count() == 0
+
+
+def test_threshold_and_smoothing():
+    assert 2 < html.threshold(np.array([1.0, 2, 1, 2, 90, 100])) < 90
+    assert html.threshold(np.array([5.0])) <= 5.0 + 1e-9
+    assert html.smoothed_ratios([("a" * 10, 1)] * 4) == pytest.approx([10.0] * 4)
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_secret_scan_on_held_out_findings(spark):
+    rng = random.Random(5)
+    rows, truth = [], {}
+    for k in range(400):
+        words = [prose(rng, "aa", 3) for _ in range(12)]
+        if k % 2:
+            value = "".join(rng.choices("0123456789abcdef", k=40))
+            words.insert(5, f'token = "{value}"')
+            truth[k] = True
+        elif k % 4 == 0:
+            words.insert(5, "see example /kalo/minu/reka/" + "/".join(prose(rng, "aa", 1) for _ in range(4)) + "/file1.txt")
+            truth[k] = False
+        rows.append((k, " ".join(words), "x"))
+    rows += [(1000, None, "x"), (1001, "", "x"), (1002, "kalo " * 30_000 + 'password: "a8Fk29xLq0ZpW3"', "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
+    dictionary = secrets.common_words(docs)
+    model = secrets.train(secrets.labelled(docs.filter("doc_id % 3 <> 1"), dictionary))
+    found = secrets.scan(secrets.candidates(docs, dictionary), model).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in found)
+    by_doc = {r.doc_id: r for r in found}
+    judged = [k for k in truth if k % 3 == 1 and k in by_doc]
+    assert sum(by_doc[k].is_secret == truth[k] for k in judged) / len(judged) > 0.95
+    assert all(by_doc[k].is_secret for k in truth if truth[k]) and 1002 in by_doc
+    assert secrets.candidates(docs.limit(0)).count() == 0
+    assert secrets.train(secrets.labelled(docs.limit(0), dictionary)) is None
+    assert {r.is_secret for r in secrets.scan(secrets.candidates(docs, dictionary), None).collect()} == {True}
+
+
+# ---------------------------------------------------------------- lines
+
+
+def test_line_dedup(spark):
+    rows = [(k, f"host {k % 3}", f"body {k}\n{'Menu ' + str(k % 3)}  \n\nbody {k % 7}") for k in range(90)]
+    rows += [(200, None, None), (201, None, ""), (202, "host 0", "Menu 0"), (203, "host 1", "Menu 0\nMenu 1\t"), (203, "host 1", "Menu 1")]
+    frame = spark.createDataFrame([(i, t, h, "x", "y") for i, h, t in rows], "doc_id long, text string, source string, host string, line string").repartition(3)
+    got = lines.line_dedup(frame, F.col("source"), ratio=0.5, min_pages=5).collect()
+    host_lines = {h: collections.Counter(x for i, g, t in rows if g == h for x in {y.strip(" \t\r") for y in (t or "").split("\n")} - {""}) for h in {r[1] for r in rows}}
+    pages = collections.Counter(r[1] for r in rows)
+    want = []
+    for i, h, t in rows:
+        all_lines = (t or "").split("\n")
+        stays = [x for x in all_lines if not (host_lines[h][x.strip(" \t\r")] >= 5 and host_lines[h][x.strip(" \t\r")] > 0.5 * pages[h] and x.strip())]
+        want.append((i, str(h), len(all_lines), len(all_lines) - len(stays), "\n".join(stays)))
+    assert sorted((r[0], str(r[1]), *r[2:]) for r in got) == sorted(want)
+    assert any(r.n_removed for r in got) and lines.line_dedup(frame.limit(0), F.col("source")).count() == 0
+
+
+# ---------------------------------------------------------------- packing
+
+
+def test_best_fit_takes_the_tightest_room():
+    where, filled, cost = packing.best_fit([60, 50, 40, 10], (64, 100), 0, 100)
+    assert where == [0, 1, 0, 1] and filled == [100, 60] and cost == 164
+    assert packing.best_fit([3], (4, 8), 1, None)[2] == 5
+    assert packing.best_fit([], (4, 8), 1, None) == ([], [], 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_fit_against_all_packings(seed):
+    """On tiny inputs the cost is within a quarter of the best packing there is."""
+    rng = random.Random(seed)
+    capacities, overhead = (8, 16, 32), 2
+
+    def best(items):
+        if not items:
+            return 0
+        first, rest, out = items[0], items[1:], math.inf
+        for mask in range(1 << len(rest)):
+            group = [x for k, x in enumerate(rest) if mask >> k & 1]
+            size = first + sum(group)
+            if size <= capacities[-1]:
+                cost = min(c for c in capacities if c >= size) + overhead
+                out = min(out, cost + best([x for k, x in enumerate(rest) if not mask >> k & 1]))
+        return out
+
+    for _ in range(25):
+        lengths = np.array([rng.randrange(1, 33) for _ in range(rng.randrange(1, 8))])
+        found = packing.pack_group(lengths, capacities, overhead)
+        cost = sum(g["capacity"].iat[0] + overhead for _, g in found.groupby("bin"))
+        assert best(lengths.tolist()) <= cost <= 1.25 * best(lengths.tolist()) + 1e-9
+
+
+def test_pack(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 90, 300, 700, 5000]))) for k in range(300)] + [(900, None), (None, "a b"), (1, "a"), (901, "w " * 100_000)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, length int, bin_id string").repartition(3)
+    for items in (16_384, 40):
+        got = packing.pack(frame, group_items=items).toPandas()
+        tokens = [(i, len((t or "").split()) + 1) for i, t in rows]
+        assert got["length"].sum() == sum(n for _, n in tokens)
+        assert got[got.doc_id == 901].sort_values("piece")["length"].tolist() == [4096] * 24 + [100_001 - 24 * 4096]
+        for _, part in got.groupby("bin_id"):
+            part = part.sort_values("bin_offset")
+            ends = (part["bin_offset"] + part["length"]).tolist()
+            assert [0, *ends[:-1]] == part["bin_offset"].tolist() and part["capacity"].nunique() == 1
+            assert part["capacity"].iat[0] == min(c for c in packing.CAPACITIES if c >= ends[-1])
+    assert packing.pack(frame.limit(0)).count() == 0
+    assert packing.pack(frame, F.lit(None).cast("int")).agg(F.sum("length")).first()[0] == len(rows)
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def mix_rows(seed=1):
+    rng = random.Random(seed)
+    size = {"a": 300, "b": 40, "c": 60, "Z": 5, "é": 80, None: 30}
+    rows = [(s, " ".join(["w"] * rng.randrange(0, 30))) for s, n in size.items() for _ in range(n)] + [("empty", ""), ("empty", None)]
+    rng.shuffle(rows)
+    return [(k, t, s) for k, (s, t) in enumerate(rows)]
+
+
+def plain_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        free = sum(weight[s] for s in names if s not in capped)
+        over = {s for s in names if s not in capped and rest * weight[s] > 3 * sizes[s] * free}
+        if not over:
+            return {s: 3.0 * sizes[s] if s in capped else rest * weight[s] / free if free else 0.0 for s in names}
+        capped |= over
+
+
+def test_mix(spark):
+    rows = mix_rows()
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, source string, size string, key string").repartition(3)
+    got = mixing.mix(frame, shards=8, block_rows=4).collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    target = plain_targets(sizes)
+    taken = collections.Counter()
+    for r in got:
+        assert r.size == len((r.row.text or "").split()) and r.source_size == sizes[r.row.source]
+        assert r.target == pytest.approx(target[r.row.source], abs=1e-9) and r.taken == r.size * len(r.copies) <= 3 * r.size
+        assert [c.copy for c in r.copies] == list(range(len(r.copies))) and all(0 <= c.shard < 8 for c in r.copies)
+        taken[r.row.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 15 for s in sizes) and len(got) == len(rows)
+    again = mixing.mix(frame.repartition(5), shards=8, block_rows=4).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    per_shard = collections.Counter(c.shard for r in got for c in r.copies)
+    assert len(per_shard) == 8 and max(per_shard.values()) < 2 * min(per_shard.values())
+
+
+def test_mix_sql_twin(spark):
+    rows = mix_rows(2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame).select("row.doc_id", "size", "source_size", "target", "taken").collect()
+    documents = frame.toPandas()  # noqa: F841 - read by the SQL
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(mixing.SQL).fetchall())
+
+
+def test_mixed_documents(spark):
+    frame = spark.createDataFrame(mix_rows(3), "doc_id long, text string, source string")
+    plan = {r.row.doc_id: len(r.copies) for r in mixing.mix(frame).collect()}
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({k: n for k, n in plan.items() if n})
+    assert mixing.mixed_documents(frame.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, None, None), (None, "", "a"), (None, "", "a")], frame.schema)
+    assert mixing.mix(blank).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_hypergeometric_draws_are_exact_and_unbiased(spark):
+    frame = spark.range(4000).select(F.lit(20).cast("long").alias("n"), F.lit(7).cast("long").alias("k"), F.lit(9).cast("long").alias("d"), ((F.col("id") + 0.5) / 4000).alias("u"))
+    got = collections.Counter(r[0] for r in frame.select(mixing._draw(F.col("n"), F.col("k"), F.col("d"), F.col("u"))).collect())
+    for x in range(8):
+        p = math.comb(7, x) * math.comb(13, 9 - x) / math.comb(20, 9)
+        assert abs(got[x] / 4000 - p) < 0.001
+    edge = spark.createDataFrame([(5, 5, 3), (5, 0, 3), (5, 2, 5), (5, 2, 0), (0, 0, 0)], "n long, k long, d long")
+    assert [r[0] for r in edge.select(mixing._draw(F.col("n"), F.col("k"), F.col("d"), F.lit(0.4))).collect()] == [3, 0, 2, 0, 0]
+
+
+def test_shard_quotas_add_up(spark):
+    blocks = spark.createDataFrame([(1, 100), (2, 1), (3, 37), (4, 0)], "place int, blocks long")
+    ends = {r.place: r.ends for r in mixing.shard_quotas(blocks, 8, "s").collect()}
+    assert [ends[p][-1] for p in (1, 2, 3, 4)] == [100, 1, 37, 0]
+    per_shard = np.diff(np.array([[0, *ends[p]] for p in ends]), axis=1)
+    assert (per_shard >= 0).all() and set(per_shard.sum(axis=0)) <= {16, 17, 18, 19}
+    with pytest.raises(ValueError, match="power of two"):
+        mixing.shard_quotas(blocks, 6, "s")
+
+
+def test_kept_line_digest_has_the_whole_text():
+    assert hashlib.sha256(b"").hexdigest() in lines.SQL or "sha256(array_to_string(stays" in lines.SQL
