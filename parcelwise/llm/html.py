@@ -166,7 +166,8 @@ def threshold(values: np.ndarray) -> float:
         if now == (low, high):
             break
         low, high = now
-    return float(np.expm1((low + high) / 2))
+    # clusters less than twice apart are one
+    return float(np.expm1((low + high) / 2)) if high - low > np.log(2) else 0.0
 
 
 def main_text(page: str | None) -> str:
