@@ -11,7 +11,6 @@ DEFAULT_PENALTY = Decimal("250")
 DEFAULT_UNIT_COST = Decimal("80")
 DEFAULT_BUDGET = Decimal("5000")
 DEFAULT_RISK_THRESHOLD = Decimal("0.3")
-DEFAULT_MAX_CANDIDATES = 500
 
 # --- fixed values: rate card ---------------------------------------------------
 MODE_BASE_COST = {
@@ -162,9 +161,6 @@ FEATURE_GROUPS = {
 # --- fixed values: scan grids ----------------------------------------------------
 DISCOUNT_GRID = ["0.00", "0.05", "0.10", "0.15", "0.20", "0.25"]
 MODE_GRID = ["Standard Class", "Second Class", "First Class", "Same Day"]
-MAX_GRID_DISCOUNTS = 8
-MAX_GRID_MODES = 6
-MAX_RESCUE_ORDERS = 200
 DISCOUNT_BANDS = {"low": (None, "0.10"), "mid": ("0.10", "0.25"), "high": ("0.25", None)}
 HEAT_BANDS = [("0.56", "severe"), ("0.52", "high"), ("0.48", "elevated")]
 MIN_GROUP_ROWS = 30

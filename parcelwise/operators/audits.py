@@ -16,7 +16,9 @@ from parcelwise.operators.ranking import exact_quantiles
 
 
 def abs_correlation(x: Column, y: Column) -> Column:
-    """Absolute Pearson correlation, 0 for a constant column."""
+    """Absolute Pearson correlation over the rows that have both values, 0 for a constant column."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     return F.coalesce(F.abs(F.try_divide(F.covar_pop(x, y), F.when(spread > 1e-12, spread))), F.lit(0.0))
 
@@ -124,13 +126,6 @@ def table_audit(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(entries).alias("x"), repeated.scalar().alias("duplicate_keys")).select("x.*", "duplicate_keys")
 
 
-def feature_table_audit(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Which feature columns are blocked, missing, not numeric or incomplete."""
-    return table_audit(df, features[0], features).select("column", "nulls", "is_numeric").withColumn(
-        "blocked", F.col("column").isin(PROFIT_LEAKAGE + PII_COLUMNS + ID_COLUMNS).cast("int")
-    )
-
-
 def column_difference(expected: Sequence[str], actual: Sequence[str], blocked: Iterable[str] = ()) -> dict[str, list[str]]:
     """Missing, extra and blocked names, and whether the order agrees."""
     return {

@@ -6,13 +6,12 @@ from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.constants import (
-    DEFAULT_MAX_CANDIDATES, DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID,
-    MAX_GRID_DISCOUNTS, MAX_GRID_MODES, MAX_RESCUE_ORDERS, MODE_GRID,
+    DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID, MODE_GRID,
 )
 from parcelwise.functions.scalars import display_id, ratio
 from parcelwise.operators.mart import mean_exact
@@ -20,8 +19,8 @@ from parcelwise.operators.money import (
     MONEY, complete_fields, dec, mode_cost, region_multiplier, upgrade_cost, with_net_benefit,
 )
 
-_MAX_SOLVER_ROWS = 200_000
-_SALTS = 64
+_CORE = 256
+_BINS = 1024
 
 
 # --- candidates -------------------------------------------------------------------
@@ -43,40 +42,18 @@ def candidates(df: DataFrame, threshold=DEFAULT_RISK_THRESHOLD) -> DataFrame:
     return with_net_benefit(df.where(F.col("p_late") >= dec(threshold))).where(F.col("net_benefit") > 0)
 
 
-def top_candidates(df: DataFrame, key: str, limit: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
-    """The selection's own candidate cap: most net benefit first."""
-    return df.orderBy(F.desc("net_benefit"), key).limit(limit) if limit else df
+def top_candidates(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """A list of the best candidates, most net benefit first; a selection takes all of them instead."""
+    return df.orderBy(F.desc("net_benefit"), key).limit(limit)
 
 
 def prepare(
     df: DataFrame, key: str, ties: Sequence[str], penalty=DEFAULT_PENALTY, unit_cost=DEFAULT_UNIT_COST,
-    threshold=DEFAULT_RISK_THRESHOLD, max_candidates: int | None = DEFAULT_MAX_CANDIDATES, cost_basis: str = "auto",
+    threshold=DEFAULT_RISK_THRESHOLD, cost_basis: str = "auto",
 ) -> DataFrame:
-    """Completed, de-duplicated, filtered and capped candidates."""
+    """Completed, de-duplicated and filtered candidates."""
     full = complete_fields(df, penalty, unit_cost, cost_basis)
-    return top_candidates(candidates(riskiest_item(full, key, ties), threshold), key, max_candidates)
-
-
-def budget_relevant(cands: DataFrame, key: str, budget) -> DataFrame:
-    """Candidates an optimum under ``budget`` can use, exact for any table size.
-
-    Among equal costs an optimum takes the largest benefits first and affords at
-    most budget/cost of them, so the rest of each cost class cannot matter. A
-    class is first cut in salted parts, then as a whole.
-    """
-    afford = F.floor(F.lit(float(budget)) / F.col("upgrade_cost").cast("double"))
-    salted = cands.where((F.col("upgrade_cost") > 0) & (F.col("upgrade_cost") <= dec(budget))).withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.lit(_SALTS))
-    )
-    best_first = [F.desc("net_benefit"), F.col(key)]
-    part = Window.partitionBy("upgrade_cost", "_salt").orderBy(*best_first)
-    whole = Window.partitionBy("upgrade_cost").orderBy(*best_first)
-    paid = (
-        salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= afford)
-        .withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= afford)
-        .drop("_rn", "_salt")
-    )
-    return paid.unionByName(cands.where(F.col("upgrade_cost") <= 0))
+    return candidates(riskiest_item(full, key, ties), threshold)
 
 
 # --- exact choice -------------------------------------------------------------------
@@ -132,47 +109,167 @@ def best_subset(cost: np.ndarray, value: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def _solve_group(rows: pd.DataFrame) -> pd.DataFrame:
-    cost = np.rint(rows["upgrade_cost"].astype(float).to_numpy() * 100).astype(np.int64)
-    value = np.rint(rows["net_benefit"].astype(float).to_numpy() * 10_000).astype(np.int64)
-    budget = int(np.floor(float(rows["budget"].iloc[0]) * 100 + 1e-6))
-    return rows[best_subset(cost, value, budget)]
+def _density(net: Column, cost: Column) -> Column:
+    return net.cast("double") / F.greatest(cost, F.lit(1)).cast("double")
 
 
-def with_budgets(cands: DataFrame, budgets: Sequence) -> DataFrame:
-    """Each candidate once per budget of the comparison (a fixed short list)."""
-    wanted = sorted({Decimal(str(b)) for b in budgets if Decimal(str(b)) > 0})
-    return cands.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("decimal(18,2)") for b in wanted])))
+def _wanted(budgets: Sequence) -> list[Decimal]:
+    """The positive budgets of a comparison, a fixed short list, smallest first."""
+    return sorted({Decimal(str(b)) for b in budgets if Decimal(str(b)) > 0})
 
 
-def choose(cands: DataFrame, key: str, budgets: Sequence, capped: bool = True) -> DataFrame:
-    """Best affordable set per budget, one row per chosen order.
+def _border_level(levels: DataFrame, budget: int) -> tuple[float, int]:
+    """The density ``d`` at which ``budget`` runs out, best first, and the cost of everything above it.
 
-    Capped candidates go to the solver as they are. Without a cap only what a
-    budget can reach is kept, which depends on the budget and the number of
-    distinct costs, not on the table.
+    Each pass counts the cost per step of the range that holds the border; the range shrinks to the values of
+    one step, so the passes end at a single density. All levels together must exceed the budget.
+    """
+    edge = levels.agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
+    low, high, above = edge["low"], edge["high"], 0
+    while low < high:
+        place = F.least(F.floor((F.col("d") - low) / (high - low) * _BINS), F.lit(_BINS - 1)).alias("b")
+        inside = levels.where(F.col("d").between(low, high)).groupBy(place)
+        bins = inside.agg(F.sum("all_cost").alias("cost"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+        for row in sorted(bins, key=lambda r: -r["b"]):
+            if above + int(row["cost"]) > budget:
+                low, high = row["low"], row["high"]
+                break
+            above += int(row["cost"])
+    return low, above
+
+
+def _copies(cost: np.ndarray, value: np.ndarray, count: np.ndarray, budget: int) -> tuple[np.ndarray, ...]:
+    """Kinds with a count as single items of 1, 2, 4, ... copies; also the kind and copies of each item."""
+    kind, size = [], []
+    for k, n in enumerate(np.minimum(count, budget // np.maximum(cost, 1)).tolist()):
+        bit = 1
+        while n > 0:
+            take = min(bit, n)
+            kind.append(k)
+            size.append(take)
+            n, bit = n - take, bit * 2
+    kind, size = np.array(kind, np.int64), np.array(size, np.int64)
+    return cost[kind] * size, value[kind] * size, kind, size
+
+
+def _takes(kinds: DataFrame, budget: int) -> tuple[float, dict[tuple[int, int], int]]:
+    """How an optimum under ``budget`` looks: a price per cost above which every kind is taken whole, and the
+    number taken of each kind near it.
+
+    At any price, the kinds worth more than the price give an upper bound; kinds whose distance from the price
+    exceeds the gap between that bound and a known choice are decided. The known choice is the best one over
+    the kinds nearest to the price, more of them until they hold every undecided kind.
+    """
+    price, _ = _border_level(kinds, budget)
+    off = F.abs(F.col("net") - F.lit(price) * F.col("cost"))
+    rated = kinds.withColumns({"off": off, "above": F.col("d") > price})
+    total = rated.agg(
+        F.coalesce(F.sum(F.when(F.col("above"), F.col("all_cost"))), F.lit(0)).alias("cost"),
+        F.coalesce(F.sum(F.when(F.col("above"), F.col("all_net"))), F.lit(0)).alias("net"), F.count("*").alias("kinds"),
+    ).first()
+    bound = int(total["net"]) + (budget - int(total["cost"])) * price
+    slack = 1e-9 * max(1.0, abs(bound))
+    size = _CORE
+    while True:
+        rows = rated.orderBy("off", "cost", "net").limit(size).collect()
+        cost, net, count = (np.array([int(r[c]) for r in rows], np.int64) for c in ("cost", "net", "n"))
+        above = np.array([r["above"] for r in rows], bool)
+        spare = budget - int(total["cost"]) + int((cost * count)[above].sum())
+        base = int(total["net"]) - int((net * count)[above].sum())
+        item_cost, item_net, kind, copies = _copies(cost, net, count, spare)
+        taken = best_subset(item_cost, item_net, spare)
+        gap = bound - (base + int(item_net[taken].sum()))
+        if size >= total["kinds"] or rows[-1]["off"] > gap + slack:
+            number = np.bincount(kind[taken], copies[taken], len(rows)).astype(int)
+            return price, {(int(c), int(v)): int(m) for c, v, m in zip(cost, net, number, strict=True)}
+        size *= 4
+
+
+def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
+    """Best affordable set per budget, one row per chosen order; exact for any number of candidates.
+
+    A budget that pays for everything takes everything. Otherwise orders of equal cost and benefit are one kind
+    with a count; all kinds are decided by comparing them with a price per cost except a few near it, which
+    alone go to the solver. Of a kind that is taken in part, the orders with the smallest keys are.
     """
     pool = cands.select(key, "p_late", "upgrade_cost", "expected_penalty", "net_benefit", "risk_bucket")
-    if not capped:
-        pool = budget_relevant(pool, key, max(Decimal(str(b)) for b in budgets))
-        if pool.limit(_MAX_SOLVER_ROWS + 1).count() > _MAX_SOLVER_ROWS:
-            raise ValueError("too many distinct costs for an exact choice: set max_candidates or cost_basis='rate_card'")
-    spread = with_budgets(pool, budgets)
-    return spread.groupBy("budget").applyInPandas(lambda rows: _solve_group(rows), schema=spread.schema)
+    pool = pool.where((F.col("net_benefit") > 0) & (F.col("upgrade_cost") >= 0))
+    cost = F.round(F.col("upgrade_cost") * 100).cast("long")
+    net = F.round(F.col("net_benefit") * 10_000).cast("long")
+    wanted = _wanted(budgets)
+    out = pool.limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
+    if not wanted:
+        return out
+    numbered = pool.withColumns({"_cost": cost, "_net": net})
+    kinds = numbered.groupBy(F.col("_cost").alias("cost"), F.col("_net").alias("net")).agg(F.count("*").alias("n"))
+    kinds = kinds.withColumns({
+        "all_cost": F.col("cost") * F.col("n"), "all_net": F.col("net") * F.col("n"),
+        "d": _density(F.col("net"), F.col("cost")),
+    }).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for amount in wanted:
+            budget = int(amount * 100)
+            payable = kinds.where(F.col("cost") <= budget)
+            need = payable.agg(F.sum("all_cost")).first()[0]
+            rows = numbered.where(F.col("_cost") <= budget)
+            if need is not None and int(need) > budget:
+                rows = _rows_of_kinds(rows, key, *_takes(payable.where("cost > 0"), budget))
+            out = out.unionByName(rows.drop("_cost", "_net").withColumn("budget", F.lit(amount).cast("decimal(18,2)")))
+    finally:
+        kinds.unpersist()
+    return out
+
+
+def _rows_of_kinds(rows: DataFrame, key: str, price: float, number: dict[tuple[int, int], int]) -> DataFrame:
+    """Rows of the kinds above ``price`` and the given number of rows of the kinds near it."""
+    spark = rows.sparkSession
+    near = spark.createDataFrame([(c, v, n) for (c, v), n in number.items()], "_cost long, _net long, _take long")
+    marked = rows.join(near, ["_cost", "_net"], "left")
+    whole = (F.col("_cost") == 0) | F.col("_take").isNull() & (_density(F.col("_net"), F.col("_cost")) > price)
+    partly = marked.where("_take > 0")
+    order = Window.partitionBy("_cost", "_net").orderBy(key)
+    # salted: the smallest keys of a kind are among the smallest of its parts, so no task ranks a whole kind first
+    part = Window.partitionBy("_cost", "_net", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)
+    partly = partly.withColumn("_rn", F.row_number().over(part)).where("_rn <= _take")
+    partly = partly.withColumn("_rn", F.row_number().over(order)).where("_rn <= _take")
+    return marked.where(whole).drop("_take").unionByName(partly.drop("_rn", "_take"))
 
 
 def choose_greedy(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
-    """Fill by benefit per cost until the budget is used up; candidates are capped."""
-    density = F.try_divide(F.col("net_benefit").cast("double"), F.col("upgrade_cost").cast("double"))
-    w = Window.partitionBy("budget").orderBy(F.desc(density), key).rowsBetween(Window.unboundedPreceding, 0)
-    spread = with_budgets(cands, budgets).withColumn("spent", F.sum("upgrade_cost").over(w))
-    return spread.where(F.col("spent") <= F.col("budget"))
+    """Fill by benefit per cost, best first, until the next order is not affordable.
+
+    Everything above the density at which the budget runs out is taken; only orders of that density are ranked,
+    and of them no more than the rest of the budget can pay for.
+    """
+    rated = cands.where("upgrade_cost > 0").withColumns({
+        "_d": F.try_divide(F.col("net_benefit").cast("double"), F.col("upgrade_cost").cast("double")),
+        "_cents": F.round(F.col("upgrade_cost") * 100).cast("long"),
+    })
+    levels = rated.groupBy(F.col("_d").alias("d")).agg(F.sum("_cents").alias("all_cost"), F.min("_cents").alias("least"))
+    levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cands.limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
+    try:
+        whole = levels.agg(F.sum("all_cost")).first()[0]
+        for amount in _wanted(budgets):
+            budget = int(amount * 100)
+            rows = rated
+            if whole is not None and int(whole) > budget:
+                border, before = _border_level(levels, budget)
+                least = levels.where(F.col("d") == border).first()["least"]
+                tied = rated.where(F.col("_d") == border).orderBy(key).limit((budget - before) // least + 1)
+                running = F.sum("_cents").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+                tied = tied.withColumn("_spent", running).where(F.col("_spent") <= budget - before).drop("_spent")
+                rows = rated.where(F.col("_d") > border).unionByName(tied)
+            out = out.unionByName(rows.drop("_d", "_cents").withColumn("budget", F.lit(amount).cast("decimal(18,2)")))
+    finally:
+        levels.unpersist()
+    return out
 
 
 def selection_totals(chosen: DataFrame, budgets: Sequence) -> DataFrame:
     """Cost, avoided penalty, saving and budget use; budgets without a choice show 0."""
     spark = chosen.sparkSession
-    wanted = sorted({Decimal(str(b)) for b in budgets if Decimal(str(b)) > 0})
+    wanted = _wanted(budgets)
     frame = spark.createDataFrame([(b,) for b in wanted], "budget decimal(18,2)")
     totals = chosen.groupBy("budget").agg(
         F.count("*").alias("selected_count"),
@@ -266,8 +363,8 @@ def executive_upgrade_summary(cands: DataFrame) -> DataFrame:
 
 def grid_cells(modes: Sequence[str] = MODE_GRID, discounts: Sequence = DISCOUNT_GRID) -> list[tuple[int, str, Decimal]]:
     """Numbered (mode, discount) cells, discounts outermost, as a short fixed list."""
-    modes = list(dict.fromkeys(modes))[:MAX_GRID_MODES]
-    rates = list(dict.fromkeys(Decimal(str(d)) for d in discounts))[:MAX_GRID_DISCOUNTS]
+    modes = list(dict.fromkeys(modes))
+    rates = list(dict.fromkeys(Decimal(str(d)) for d in discounts))
     if not modes or not rates:
         raise ValueError("a grid needs at least one mode and one discount")
     return [(i * len(modes) + j, m, d) for i, d in enumerate(rates) for j, m in enumerate(modes)]
@@ -337,13 +434,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 def whatif(items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY) -> DataFrame:
     """Net of every grid cell for every order; ``scorer`` adds profit_pred and p_late.
 
-    The items of an order are brought together before they are multiplied by the
-    grid, so what is shuffled afterwards is one row per order and cell. The
-    rebalance lets AQE split an order that is too large for one task.
+    Each task sums its items per order and cell before the shuffle, so an order
+    that holds a large share of all items arrives as a few partial sums.
     """
     cells = cells or grid_cells()
-    gathered = items.withColumn("_multiplier", region_multiplier(F.col("order_region"))).hint("rebalance", key)
-    rolled = grid_rollup(scorer(with_grid(gathered, cells)), key, cells, [F.max("_multiplier").alias("_multiplier")])
+    priced = items.withColumn("_multiplier", region_multiplier(F.col("order_region")))
+    rolled = grid_rollup(scorer(with_grid(priced, cells)), key, cells, [F.max("_multiplier").alias("_multiplier")])
     cost = F.round(mode_cost(F.col("shipping_mode")) * F.col("_multiplier"), 2).cast("decimal(12,2)")
     return grid_net(rolled, cost, penalty).drop("_multiplier")
 
@@ -363,25 +459,21 @@ def heat_table(cells: DataFrame, modes: Sequence[str] = MODE_GRID) -> DataFrame:
     return scaled.groupBy("discount_rate").pivot("shipping_mode", list(modes)).agg(F.first("heat"))
 
 
-def losing_orders(mart: DataFrame, key: str, penalty=DEFAULT_PENALTY, limit: int = MAX_RESCUE_ORDERS) -> DataFrame:
-    """The orders that lose most after penalty and shipping; the limit is the report's size."""
+def losing_orders(mart: DataFrame, key: str, penalty=DEFAULT_PENALTY, limit: int | None = None) -> DataFrame:
+    """The orders that lose after penalty and shipping; ``limit`` asks for those that lose most, worst first."""
     net = F.col("profit_pred") - F.col("p_late") * dec(penalty) - F.col("upgrade_cost")
-    return (
-        mart.withColumn("base_net", F.round(net, 4).cast(MONEY))
-        .where(F.col("base_net") < 0)
-        .orderBy("base_net", key)
-        .limit(max(1, min(limit, MAX_RESCUE_ORDERS)))
-    )
+    losing = mart.withColumn("base_net", F.round(net, 4).cast(MONEY)).where(F.col("base_net") < 0)
+    return losing.orderBy("base_net", key).limit(limit) if limit is not None else losing
 
 
 def rescue(
     mart: DataFrame, items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY,
-    limit: int = MAX_RESCUE_ORDERS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Best mode and discount for each losing order.
+    """Best mode and discount for each losing order, or for the ``limit`` worst.
 
-    The losing orders, at most the report's 200, are found once and travel with
-    their items through the scan; ``scorer`` must keep the columns it is given.
+    The losing orders are found once and travel with their items through the
+    scan; ``scorer`` must keep the columns it is given.
     """
     losing = losing_orders(mart, key, penalty, limit).select(
         key, F.struct("base_net", "shipping_mode", "order_region", "customer_segment").alias("lost")

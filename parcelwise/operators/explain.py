@@ -27,18 +27,15 @@ def region_scores(pred: DataFrame) -> DataFrame:
 def with_region_mean(orders: DataFrame, pred: DataFrame) -> DataFrame:
     """Region mean of each order, the overall mean where the region is unknown.
 
-    Both means come from one roll-up per region, a few dozen rows.
+    Both come from one roll-up per region, a few dozen rows, which becomes one map: the scores are read once.
     """
-    scores = region_scores(pred)
-    overall = scores.agg(F.round(F.sum("total") / F.sum("n"), 4).cast("double").alias("m")).scalar()
-    means = scores.where("region_key is not null").select(
-        "region_key", F.round(F.col("total") / F.col("n"), 4).cast("double").alias("region_mean")
-    )
-    return (
-        orders.join(means, F.trim("order_region") == F.col("region_key"), "left")
-        .withColumn("region_mean", F.coalesce("region_mean", overall))
-        .drop("region_key")
-    )
+    mean = F.round(F.col("total") / F.col("n"), 4).cast("double")
+    known = F.collect_list(F.when(F.col("region_key").isNotNull(), F.struct("region_key", mean.alias("m"))))
+    overall = F.round(F.sum("total") / F.sum("n"), 4).cast("double")
+    means = region_scores(pred).agg(F.struct(F.map_from_entries(known).alias("by_region"), overall.alias("overall")).alias("s")).scalar()
+    return orders.withColumn("_means", means).withColumn(
+        "region_mean", F.coalesce(F.try_element_at("_means.by_region", F.trim("order_region")), F.col("_means.overall"))
+    ).drop("_means")
 
 
 def recommended_action(bucket: Column, net: Column) -> Column:

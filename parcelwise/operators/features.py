@@ -12,8 +12,6 @@ from parcelwise.constants import SYNONYM_GROUPS
 from parcelwise.functions.scalars import date_parts, to_number
 from parcelwise.operators.ranking import at_or_before, cut_points, dense_index, exact_quantiles
 
-MAX_ONE_HOT = 500
-
 
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -143,17 +141,15 @@ def decode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
 
 
 def one_hot_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column, one pass; more than 500 values is refused."""
+    """Sorted distinct values per column, one pass. Each value becomes a column of the feature table."""
     if not columns:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in columns]))
     distinct = df.select(pairs.alias("x")).select("x.*").where("v is not null").distinct()
-    rows = distinct.limit(MAX_ONE_HOT * len(columns) + 1).collect()
-    found = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in columns}
-    wide = [c for c, vs in found.items() if len(vs) > MAX_ONE_HOT]
-    if wide:
-        raise ValueError(f"too many values for one-hot columns: {wide}")
-    return found
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in distinct.collect():
+        found[row["c"]].append(row["v"])
+    return {c: sorted(values) for c, values in found.items()}
 
 
 def one_hot(values: Mapping[str, Sequence[str]]) -> dict[str, Column]:
@@ -210,8 +206,6 @@ def transform_features(df: DataFrame, spec: FeatureSpec, codes: DataFrame, ts: s
 
 
 def outlier_flag(value: Column, low: float, high: float) -> Column:
-    return ((value.cast("double") < low) | (value.cast("double") > high)).cast("int")
-
-
-def artifact_table(spec: FeatureSpec, spark) -> DataFrame:
-    return spark.createDataFrame([(c, float(v)) for c, v in spec.medians.items()], "column string, median double")
+    """1 outside the bounds, 0 inside or missing."""
+    number = value.cast("double")
+    return F.coalesce(((number < low) | (number > high)).cast("int"), F.lit(0))

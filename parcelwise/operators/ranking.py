@@ -10,6 +10,7 @@ of all rows is one counter.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import StorageLevel
@@ -20,7 +21,8 @@ from parcelwise.session import shared_dir
 
 _BUCKETS = 512
 _FINISH_ROWS = 20_000
-_MAX_GROUPS = 10_000
+_MAX_PASSES = 400
+_LARGEST = sys.float_info.max
 
 
 def exact_quantiles(
@@ -28,8 +30,9 @@ def exact_quantiles(
 ) -> dict[tuple[str, float], float]:
     """Linear-interpolated quantiles per group, exact.
 
-    ``group`` must be a short list (columns, splits): the driver keeps one range
-    per group and quantile. More than 10,000 groups is refused.
+    The driver keeps one range per group and quantile, so ``group`` is meant for
+    columns, splits or segments. Infinite values take part like any other; a
+    quantile between unlike infinities is NaN.
     """
     base = long_df.select(
         F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")
@@ -46,18 +49,14 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
     totals = (
         base.groupBy("g")
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .limit(_MAX_GROUPS + 1)
         .collect()
     )
-    if len(totals) > _MAX_GROUPS:
-        raise ValueError("exact_quantiles is meant for a short list of groups")
-
     sizes = {row["g"]: row["n"] for row in totals}
     wanted = {g: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} for g, n in sizes.items()}
     found: dict[tuple[str, int], float] = {}
     small: dict[tuple[str, float, float], dict[int, int]] = {}
     ranges = {(row["g"], row["lo"], row["hi"], row["n"]): {r: r for r in wanted[row["g"]]} for row in totals}
-    while ranges:
+    for _ in range(_MAX_PASSES):
         wide = {}
         for (g, low, high, n), inside in ranges.items():
             if low == high:
@@ -66,7 +65,14 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
                 small[(g, low, high)] = inside
             else:
                 wide[(g, low, high)] = inside
-        ranges = _narrow_values(base, wide) if wide else {}
+        if not wide:
+            break
+        ranges = _narrow_values(base, wide)
+        stuck = {key[:3] for key in ranges} & set(wide)
+        if stuck:
+            raise RuntimeError(f"no progress in the value ranges {sorted(map(str, stuck))[:3]}")
+    else:
+        raise RuntimeError(f"quantiles not found in {_MAX_PASSES} passes")
     if small:
         found.update(_pick_values(base, small))
 
@@ -75,31 +81,55 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
         for p in probs:
             pos = p * (n - 1)
             low, high = found[(g, math.floor(pos))], found[(g, math.ceil(pos))]
-            result[(g, p)] = low + (high - low) * (pos - math.floor(pos))
+            share = pos - math.floor(pos)
+            # the weighted form where the difference of the two leaves the double range
+            between = low + (high - low) * share if math.isfinite(high - low) else low * (1 - share) + high * share
+            result[(g, p)] = low if low == high or not share else between
     return result
 
 
+def _range_row(i: int, g: str, low: float, high: float) -> tuple:
+    """How the values of an open range are placed: infinite ends apart, far-reaching ranges by magnitude."""
+    ends = [x for x in (low, high) if math.isfinite(x)]
+    by_size = len(ends) < 2 or not math.isfinite(high - low) or abs(high - low) > 1024 * max(min(abs(low), abs(high)), 1e-300)
+    if not by_size:
+        return i, g, low, high, False, low, high - low
+    sized = [math.copysign(math.log1p(min(abs(x), _LARGEST)), x) for x in (low, high)]
+    if sized[0] == sized[1]:
+        return i, g, low, high, False, low, high - low
+    return i, g, low, high, True, sized[0], sized[1] - sized[0]
+
+
 def _in_ranges(base: DataFrame, spans: list[tuple[str, float, float]]) -> DataFrame:
-    """Rows inside the open ranges; one table row per group and quantile, so it is small."""
-    ranges = base.sparkSession.createDataFrame(
-        [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)], "i int, rg string, lo double, hi double"
-    )
-    return base.join(F.broadcast(ranges), (F.col("g") == F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
+    """Rows inside the open ranges, joined on the group; Spark broadcasts the ranges if they are small."""
+    rows = [_range_row(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)]
+    ranges = base.sparkSession.createDataFrame(rows, "i int, rg string, lo double, hi double, by_size boolean, zero double, span double")
+    return base.join(ranges, (F.col("g") == F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
 
 
 def _narrow_values(base: DataFrame, wide: dict) -> dict:
+    """Count each open range in steps and keep the steps that hold a wanted rank.
+
+    The lowest value always falls into the first step and the highest into the last, so every range shrinks.
+    """
     spans = list(wide)
-    place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BUCKETS)
+    sized = F.signum("v") * F.log1p(F.least(F.abs("v"), F.lit(_LARGEST)))
+    place = F.floor((F.when(F.col("by_size"), sized).otherwise(F.col("v")) - F.col("zero")) / F.col("span") * _BUCKETS)
+    step = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), _BUCKETS - 1)
+    step = step.otherwise(F.greatest(F.lit(0), F.least(place, F.lit(_BUCKETS - 1))))
     counted = (
         _in_ranges(base, spans)
-        .groupBy("i", F.least(place, F.lit(_BUCKETS - 1)).alias("b"))
+        .groupBy("i", step.alias("b"))
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
+    steps: dict[int, list] = {}
+    for row in counted:
+        steps.setdefault(row["i"], []).append(row)
     out: dict[tuple[str, float, float, int], dict[int, int]] = {}
     for i, (span, inside) in enumerate(wide.items()):
         below = 0
-        for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["b"]):
+        for row in sorted(steps.get(i, ()), key=lambda r: r["b"]):
             held = {r: left - below for r, left in inside.items() if below <= left < below + row["n"]}
             if held:
                 out.setdefault((span[0], row["lo"], row["hi"], row["n"]), {}).update(held)
@@ -112,8 +142,8 @@ def _pick_values(base: DataFrame, small: dict) -> dict[tuple[str, int], float]:
     spans = list(small)
     rank = F.row_number().over(Window.partitionBy("i").orderBy("v")) - 1
     picks = {(i, left): (spans[i][0], r) for i, inside in enumerate(small.values()) for r, left in inside.items()}
-    wanted = F.struct("i", "rn").isin([F.struct(F.lit(i), F.lit(left)) for i, left in picks])
-    rows = _in_ranges(base, spans).select("i", "v").withColumn("rn", rank).where(wanted).collect()
+    wanted = base.sparkSession.createDataFrame(list(picks), "i int, rn int")
+    rows = _in_ranges(base, spans).select("i", "v").withColumn("rn", rank).join(wanted, ["i", "rn"]).collect()
     return {picks[(r["i"], r["rn"])]: r["v"] for r in rows}
 
 

@@ -356,8 +356,7 @@ def quadrant(value: Column, risk: Column) -> Column:
 
 def scatter_sample(df: DataFrame, id_col: str, seed: int = 42, max_points: int = 1500) -> DataFrame:
     """Repeatable sample for a chart: the rows with the smallest salted hash."""
-    points = max(100, min(max_points, 3000))
-    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)).limit(points)
+    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)).limit(max_points)
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -367,7 +366,6 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
 
 
 def at_risk_list(mart: DataFrame, id_col: str, number: int = 1, limit: int = 50, scope: Scope = HISTORY) -> DataFrame:
-    limit = max(1, min(limit, 200))
     return clamped_page(mart, [F.desc("epar"), F.col(id_col)], number, limit).select(
         "row_number",
         display_id(F.col(id_col)).alias("id"),
@@ -387,7 +385,7 @@ def residual_list(pred: DataFrame, ties: Sequence[str], sort: str = "abs_residua
         "abs_residual", F.abs("residual")
     )
     order_col = sort if sort in ("predicted_profit", "actual_profit") else "abs_residual"
-    paged = page(clean, [F.desc(order_col), *[F.col(t) for t in ties]], number, min(limit, 100))
+    paged = page(clean, [F.desc(order_col), *[F.col(t) for t in ties]], number, limit)
     return paged.withColumn("row_id", F.format_string("profit_test_%05d", F.col("row_number")))
 
 

@@ -10,21 +10,18 @@ from pyspark.sql import functions as F
 from parcelwise.operators.money import with_prediction_money
 from parcelwise.sources import readers, store
 
-_MAX_LAYOUTS = 1000
-
 
 def accepted_layouts(spark: SparkSession, folder: str) -> list[tuple[list[str], list[str]]]:
     """Header names and files of each layout that passes the gate.
 
-    The driver holds file names only, as it does for any folder it lists.
+    The driver holds header lines and file names, as it does for any folder it lists.
     """
     headers = readers.upload_headers(spark, folder)
     passed = readers.gate_uploads(headers).where("accepted = 1").select("path")
-    layouts = headers.join(passed, "path", "left_semi").groupBy("header").agg(F.collect_list("path").alias("paths"))
-    rows = layouts.limit(_MAX_LAYOUTS + 1).collect()
-    if len(rows) > _MAX_LAYOUTS:
-        raise ValueError("more than 1000 different file layouts in one folder")
-    return [([c.strip().strip('"') for c in r["header"].split(",")], r["paths"]) for r in rows]
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in headers.join(passed, "path", "left_semi").select("path", readers.header_names(F.col("header")).alias("names")).toLocalIterator():
+        layouts.setdefault(tuple(n.strip() for n in row["names"]), []).append(row["path"])
+    return [(list(names), sorted(paths)) for names, paths in sorted(layouts.items())]
 
 
 def score_uploads(

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from parcelwise.constants import REGIONS
 from parcelwise.functions.scalars import hash_id
 from parcelwise.operators import decisions, explain, features, models
 from parcelwise.operators.money import MONEY, complete_fields
@@ -20,16 +21,15 @@ BUDGETS = ["1000", "3000", "5000", "10000"]
 EVERYTHING = "1000000000"
 
 
-def _candidates(spark, sf_dir, threshold="0.3", cap=500, penalty=250, basis="given"):
+def _candidates(spark, sf_dir, threshold="0.3", penalty=250, basis="given"):
     """The predictions bring their costs, so the table-wide look of ``auto`` is not needed."""
     pred = predictions(spark, sf_dir, ITEM_KEYS)
-    return decisions.prepare(pred, "order_id", TIES, penalty=penalty, threshold=threshold, max_candidates=cap, cost_basis=basis)
+    return decisions.prepare(pred, "order_id", TIES, penalty=penalty, threshold=threshold, cost_basis=basis)
 
 
 _RISKIEST = """, riskiest AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY bp DESC, line_no, product_id, supplier_id, price_cents) = 1),
       cand AS (SELECT *, (p_late*250)::DECIMAL(18,4) AS pen, ((p_late*250)::DECIMAL(18,4) - upgrade_cost)::DECIMAL(18,4) AS net FROM riskiest
-        WHERE bp >= {t} AND p_late*250 > upgrade_cost),
-      capped AS (SELECT * FROM cand ORDER BY net DESC, order_id LIMIT 500)"""
+        WHERE bp >= {t} AND p_late*250 > upgrade_cost)"""
 
 
 @query(
@@ -68,15 +68,16 @@ def costs_as_given(spark, sf_dir):
     over_pred(_RISKIEST.format(t=3000) + """ SELECT order_id, net::DOUBLE AS net_benefit, net::DOUBLE / upgrade_cost::DOUBLE AS roi FROM cand"""),
 )
 def upgrade_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir, cap=None).select("order_id", "net_benefit", "roi")
+    return _candidates(spark, sf_dir).select("order_id", "net_benefit", "roi")
 
 
 @query(
     "TOP-02 TOP-06",
-    over_pred(_RISKIEST.format(t=3000) + " SELECT order_id, net::DOUBLE AS net_benefit, p_late::DOUBLE AS p_late FROM capped"),
+    over_pred(_RISKIEST.format(t=3000) + " SELECT order_id, net::DOUBLE AS net_benefit, p_late::DOUBLE AS p_late FROM cand ORDER BY net DESC, order_id LIMIT 500"),
 )
 def capped_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).orderBy(F.desc("net_benefit"), F.desc("p_late")).select("order_id", "net_benefit", "p_late")
+    """The list of the 500 candidates with most to gain."""
+    return decisions.top_candidates(_candidates(spark, sf_dir), "order_id", 500).select("order_id", "net_benefit", "p_late")
 
 
 _TOTALS = """COUNT(*) AS selected_count, ROUND(SUM(upgrade_cost), 2)::DOUBLE AS total_cost, ROUND(SUM(net), 2)::DOUBLE AS expected_total_saving,
@@ -86,7 +87,7 @@ _TOTALS = """COUNT(*) AS selected_count, ROUND(SUM(upgrade_cost), 2)::DOUBLE AS
 @query(
     "OPT-01 AGG-34",
     over_pred(_RISKIEST.format(t=3000) + f""" SELECT 1000000000.0::DOUBLE AS budget, {_TOTALS},
-      ROUND(SUM(upgrade_cost) * 100 / 1000000000, 2)::DOUBLE AS budget_usage_pct FROM capped"""),
+      ROUND(SUM(upgrade_cost) * 100 / 1000000000, 2)::DOUBLE AS budget_usage_pct FROM cand"""),
 )
 def selection_unlimited(spark, sf_dir):
     """A budget for everything takes every candidate."""
@@ -94,6 +95,26 @@ def selection_unlimited(spark, sf_dir):
     return decisions.selection_totals(chosen, [EVERYTHING])
 
 
+# the best value by spent money, item after item: budgets in units of 10 cents, values in 1/10000
+_BEST = """list_reduce(list_prepend(list_transform(range({b} * 10 + 1), lambda x: 0::BIGINT), list([(upgrade_cost * 10)::BIGINT, (net * 10000)::BIGINT])),
+        lambda acc, x: list_transform(range({b} * 10 + 1), lambda s: CASE WHEN s >= x[1] THEN greatest(acc[s + 1], acc[s - x[1] + 1] + x[2]) ELSE acc[s + 1] END))"""
+
+
+@query(
+    "OPT-01 OPT-02",
+    over_pred(_RISKIEST.format(t=9000) + f""", one AS (SELECT * FROM cand WHERE order_region = '{REGIONS[0]}' AND shipping_mode = 'Standard Class' AND order_id % 5 = 0)
+      SELECT b::DOUBLE AS budget, ROUND(list_max(CASE b WHEN 200 THEN {_BEST.format(b=200)} ELSE {_BEST.format(b=777)} END) / 10000.0, 2)::DOUBLE AS expected_total_saving
+      FROM one CROSS JOIN (VALUES (200), (777)) v(b) GROUP BY b"""),
+)
+def tight_selection(spark, sf_dir):
+    """Total saving under budgets that do not pay for all of one region's standard orders."""
+    cands = _candidates(spark, sf_dir, threshold="0.9").where(
+        (F.col("order_region") == REGIONS[0]) & (F.col("shipping_mode") == "Standard Class") & (F.col("order_id") % 5 == 0)
+    )
+    totals = decisions.selection_totals(decisions.choose(cands, "order_id", ["200", "777"]), ["200", "777"])
+    return totals.select("budget", "expected_total_saving")
+
+
 @query("OPT-02 OPT-01 JON-11 AGG-34")
 def budget_scenarios(spark, sf_dir):
     """Exact selection for four budgets."""
@@ -103,7 +124,7 @@ def budget_scenarios(spark, sf_dir):
 
 @query(
     "OPT-01 OPT-02 WIN-08",
-    over_pred(_RISKIEST.format(t=3000) + """ SELECT b::DOUBLE AS budget, 1 AS affordable, 1 AS not_worse_than_greedy, (SELECT COUNT(*) FROM capped) AS considered
+    over_pred(_RISKIEST.format(t=3000) + """ SELECT b::DOUBLE AS budget, 1 AS affordable, 1 AS not_worse_than_greedy, (SELECT COUNT(*) FROM cand) AS considered
       FROM (VALUES (1000), (3000), (5000), (10000)) v(b)"""),
 )
 def selection_invariants(spark, sf_dir):
@@ -125,11 +146,12 @@ def selection_invariants(spark, sf_dir):
       FROM (VALUES (1000), (5000)) v(b)"""),
 )
 def selection_without_cap(spark, sf_dir):
-    """All candidates compete; only those a budget can reach go to the solver."""
-    every = _candidates(spark, sf_dir, cap=None, basis="rate_card")
+    """All candidates compete, which saves no less than choosing from the list of 500."""
+    every = _candidates(spark, sf_dir, basis="rate_card")
     budgets = ["1000", "5000"]
-    full = decisions.selection_totals(decisions.choose(every, "order_id", budgets, capped=False), budgets)
-    capped = decisions.selection_totals(decisions.choose(_candidates(spark, sf_dir), "order_id", budgets), budgets)
+    full = decisions.selection_totals(decisions.choose(every, "order_id", budgets), budgets)
+    listed = decisions.top_candidates(_candidates(spark, sf_dir), "order_id", 500)
+    capped = decisions.selection_totals(decisions.choose(listed, "order_id", budgets), budgets)
     both = full.join(capped.select("budget", F.col("expected_total_saving").alias("capped")), "budget")
     return both.select(
         "budget", (F.col("total_cost") <= F.col("budget")).cast("int").alias("affordable"),
@@ -141,7 +163,7 @@ def selection_without_cap(spark, sf_dir):
 @query(
     "WIN-08 JON-11 AGG-34 OPT-02",
     over_pred(_RISKIEST.format(t=3000) + f""", spread AS (SELECT *, SUM(upgrade_cost) OVER (PARTITION BY b ORDER BY net::DOUBLE/upgrade_cost::DOUBLE DESC, order_id
-        ROWS UNBOUNDED PRECEDING) AS spent FROM capped CROSS JOIN (VALUES (1000), (3000), (5000), (10000)) v(b))
+        ROWS UNBOUNDED PRECEDING) AS spent FROM cand CROSS JOIN (VALUES (1000), (3000), (5000), (10000)) v(b))
       SELECT b::DOUBLE AS budget, {_TOTALS}, ROUND(SUM(upgrade_cost) * 100 / b, 2)::DOUBLE AS budget_usage_pct FROM spread WHERE spent <= b GROUP BY b"""),
 )
 def greedy_scenarios(spark, sf_dir):
@@ -152,7 +174,7 @@ def greedy_scenarios(spark, sf_dir):
 @query(
     "TOP-11",
     over_pred(_RISKIEST.format(t=3000) + f""", spread AS (SELECT *, SUM(upgrade_cost) OVER (PARTITION BY b ORDER BY net::DOUBLE/upgrade_cost::DOUBLE DESC, order_id
-        ROWS UNBOUNDED PRECEDING) AS spent FROM capped CROSS JOIN (VALUES (1000), (3000), (5000), (10000)) v(b))
+        ROWS UNBOUNDED PRECEDING) AS spent FROM cand CROSS JOIN (VALUES (1000), (3000), (5000), (10000)) v(b))
       SELECT b::DOUBLE AS budget, {_TOTALS}, ROUND(SUM(upgrade_cost) * 100 / b, 2)::DOUBLE AS budget_usage_pct FROM spread WHERE spent <= b GROUP BY b
       ORDER BY expected_total_saving DESC, selected_count DESC, b LIMIT 1"""),
 )
@@ -168,7 +190,7 @@ _REASON = """risk_bucket || ' risk, p_late=' || ROUND(p_late, 2)::DECIMAL(5,2) |
     "PRJ-35 PRJ-27 TOP-06",
     over_pred(_RISKIEST.format(t=3000) + f""" SELECT 1000000000.0::DOUBLE AS budget, order_id, risk_bucket, p_late::DOUBLE AS p_late,
       upgrade_cost::DOUBLE AS upgrade_cost, ROUND(pen, 2)::DOUBLE AS expected_penalty, ROUND(net, 2)::DOUBLE AS net_benefit,
-      'Upgrade' AS decision, {_REASON} AS reason FROM capped"""),
+      'Upgrade' AS decision, {_REASON} AS reason FROM cand"""),
 )
 def selection_report(spark, sf_dir):
     chosen = decisions.choose(_candidates(spark, sf_dir), "order_id", [EVERYTHING])
@@ -178,7 +200,7 @@ def selection_report(spark, sf_dir):
 @query(
     "OPT-03 AGG-12",
     over_pred(_RISKIEST.format(t=5000) + """ SELECT COUNT(*) AS positive_roi_orders, ROUND(SUM(upgrade_cost), 2)::DOUBLE AS recommended_budget,
-      ROUND(SUM(net), 2)::DOUBLE AS net_savings, ROUND(SUM(pen), 2)::DOUBLE AS expected_penalty_avoided FROM capped"""),
+      ROUND(SUM(net), 2)::DOUBLE AS net_savings, ROUND(SUM(pen), 2)::DOUBLE AS expected_penalty_avoided FROM cand"""),
 )
 def executive_upgrade_summary(spark, sf_dir):
     return decisions.executive_upgrade_summary(_candidates(spark, sf_dir, threshold="0.5"))
@@ -186,8 +208,7 @@ def executive_upgrade_summary(spark, sf_dir):
 
 @query(
     "JON-06 AGG-29 OPT-04",
-    over_mart(""", c AS (SELECT *, (p_late*250 - upgrade_cost)::DECIMAL(18,4) AS net FROM mart WHERE p_late >= 0.3 AND p_late*250 > upgrade_cost
-        ORDER BY net DESC, order_id LIMIT 500),
+    over_mart(""", c AS (SELECT *, (p_late*250 - upgrade_cost)::DECIMAL(18,4) AS net FROM mart WHERE p_late >= 0.3 AND p_late*250 > upgrade_cost),
       r AS (SELECT sha256('EXAMPLE_DELAY_SALT:' || customer_id) AS customer_id_hash, COUNT(*) AS orders, ROUND(SUM(epar), 2)::DOUBLE AS epar,
         ROUND(SUM(net), 2)::DOUBLE AS net_benefit, ROUND(SUM(upgrade_cost), 2)::DOUBLE AS upgrade_cost FROM c GROUP BY 1)
       SELECT *, 'CUST-' || upper(substr(customer_id_hash, 1, 8)) AS customer FROM r ORDER BY epar DESC, customer_id_hash LIMIT 20"""),
@@ -195,7 +216,7 @@ def executive_upgrade_summary(spark, sf_dir):
 def customers_of_selection(spark, sf_dir):
     """Selection on the order mart, enriched and summed per customer."""
     full = mart_of(spark, sf_dir, ("customer_segment", "customer_id", "shipping_mode", "order_region"))
-    cands = decisions.top_candidates(decisions.candidates(complete_fields(full, cost_basis="given")), "order_id")
+    cands = decisions.candidates(complete_fields(full, cost_basis="given"))
     chosen = decisions.choose(cands, "order_id", [EVERYTHING])
     enriched = decisions.enrich(chosen, full, "order_id").withColumn(
         "customer_id_hash", hash_id(F.col("customer_id"), "EXAMPLE_DELAY_SALT")
@@ -207,20 +228,21 @@ def customers_of_selection(spark, sf_dir):
 def roi_selection(spark, sf_dir):
     """Budgeted selection on the order mart with profit at risk next to each order."""
     full = mart_of(spark, sf_dir, ("customer_segment", "customer_id", "shipping_mode", "order_region"))
-    cands = decisions.top_candidates(decisions.candidates(complete_fields(full, cost_basis="given")), "order_id")
+    cands = decisions.candidates(complete_fields(full, cost_basis="given"))
     chosen = decisions.choose(cands, "order_id", ["5000"])
     return decisions.enrich(chosen, full, "order_id").drop("risk_bucket")
 
 
 @query(
     "AGG-39 ML-14",
-    over_pred(_RISKIEST.format(t=3000) + f""" SELECT COUNT(*) AS selected_count, ROUND(SUM(upgrade_cost)*100/100000, 2)::DOUBLE AS budget_usage_pct,
+    over_pred(_RISKIEST.format(t=3000) + f""" SELECT COUNT(*) AS selected_count, ROUND(SUM(upgrade_cost)*100/100000000, 2)::DOUBLE AS budget_usage_pct,
       ROUND(SUM(ROUND(net, 2)), 2)::DOUBLE AS expected_total_saving, (SELECT COUNT(*) FILTER (risk_bucket = 'High') FROM
-        (SELECT * FROM capped ORDER BY ROUND(net, 2) DESC, p_late DESC LIMIT 5)) AS high_risk_in_sample FROM capped"""),
+        (SELECT * FROM cand ORDER BY ROUND(net, 2) DESC, p_late DESC LIMIT 5)) AS high_risk_in_sample FROM cand"""),
 )
 def selection_summary(spark, sf_dir):
-    report = decisions.selection_report(decisions.choose(_candidates(spark, sf_dir), "order_id", ["100000"]), "order_id")
-    return decisions.action_summary(report, 100000)
+    """A budget that pays for every candidate."""
+    report = decisions.selection_report(decisions.choose(_candidates(spark, sf_dir), "order_id", ["100000000"]), "order_id")
+    return decisions.action_summary(report, 100000000)
 
 
 # --- grids ---------------------------------------------------------------------------------
@@ -290,17 +312,26 @@ def lever_sales(spark, sf_dir):
 
 
 _LOSING = """, losing AS (SELECT *, ROUND(profit_pred - p_late*250 - upgrade_cost, 4)::DECIMAL(18,4) AS base_net FROM mart
-        WHERE ROUND(profit_pred - p_late*250 - upgrade_cost, 4) < 0 ORDER BY base_net, order_id LIMIT 200)"""
+        WHERE ROUND(profit_pred - p_late*250 - upgrade_cost, 4) < 0)"""
 
 
 @query(
-    "FLT-11 TOP-07",
+    "FLT-11",
     over_mart(_LOSING + " SELECT order_id, base_net::DOUBLE AS base_net, customer_segment FROM losing"),
 )
 def losing_orders(spark, sf_dir):
     return decisions.losing_orders(mart_of(spark, sf_dir), "order_id").select("order_id", "base_net", "customer_segment")
 
 
+@query(
+    "TOP-07",
+    over_mart(_LOSING + " SELECT order_id, base_net::DOUBLE AS base_net FROM losing ORDER BY losing.base_net, order_id LIMIT 200"),
+)
+def worst_losing_orders(spark, sf_dir):
+    """The list of the 200 orders that lose most."""
+    return decisions.losing_orders(mart_of(spark, sf_dir), "order_id", limit=200).select("order_id", "base_net")
+
+
 @query(
     "OPT-06 JON-02 JON-09 AGG-31 WIN-03",
     over_mart(_LOSING + ", lost AS (SELECT * FROM pred WHERE order_id IN (SELECT order_id FROM losing))" + _GRID.format(source="lost") + """
@@ -311,7 +342,7 @@ def losing_orders(spark, sf_dir):
       FROM net JOIN losing l USING (order_id) QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY net.net DESC, seq) = 1"""),
 )
 def rescued_orders(spark, sf_dir):
-    """Best mode and discount of the orders that lose most."""
+    """Best mode and discount of every order that loses."""
     full = mart_of(spark, sf_dir, ("customer_segment", "shipping_mode", "order_region"))
     items = order_items(spark, sf_dir, ["order_id", "order_region", "product_price", "profit_ratio", "p_late"])
     return decisions.rescue(full, items, "order_id", formula_scorer)

@@ -299,15 +299,15 @@ def upload_gate(spark, sf_dir):
         F.col("o_orderpriority").alias("Shipping Mode"), F.col("o_totalprice").alias("Product Price"),
         F.col("o_orderstatus").alias("Type"),
     )
-    orders.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/orders")
-    orders.toDF("Order Id", "Order Date", "Shipping Mode", "Type ", "type").coalesce(1).write.mode("overwrite").option(
+    orders.write.mode("overwrite").option("header", True).csv(f"{root}/orders")
+    orders.toDF("Order Id", "Order Date", "Shipping Mode", "Type ", "type").write.mode("overwrite").option(
         "header", True).csv(f"{root}/repeated")
-    table(spark, sf_dir, "events").select("event_id", "user_id", "value").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/events")
+    table(spark, sf_dir, "events").select("event_id", "user_id", "value").write.mode("overwrite").option("header", True).csv(f"{root}/events")
     gated = readers.gate_uploads(readers.upload_headers(spark, root))
     name = F.element_at(F.split("path", "/"), -2)
     rows = spark.read.option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"))
     accepted = rows.groupBy("path").agg((F.count("*") - 1).alias("rows"))
-    sizes = accepted.select(F.element_at(F.split("path", "/"), -2).alias("upload"), "rows")
+    sizes = accepted.groupBy(F.element_at(F.split("path", "/"), -2).alias("upload")).agg(F.sum("rows").alias("rows"))
     per_upload = gated.groupBy(name.alias("upload")).agg(
         F.min("accepted").alias("accepted"), F.max("matched_known_columns").cast("int").alias("matched_known_columns"),
         F.max("duplicated_columns").cast("int").alias("duplicated_columns"),
@@ -367,19 +367,20 @@ def session_predictions(spark, sf_dir):
 
 @query(
     "SNK-04 SET-01 PRJ-01",
-    over_items("""SELECT market AS "Market", COUNT(*) AS n, SUM(profit_actual)::DOUBLE AS profit, COUNT(*) FILTER (order_type <> 'R') AS with_email FROM items GROUP BY 1"""),
+    over_items("""SELECT market AS "Market", COUNT(*) AS n, SUM(profit_actual)::DOUBLE AS profit, COUNT(*) FILTER (order_type <> 'R') AS with_email,
+      COUNT(*) FILTER (order_type = 'R' AND true_label = 0) AS with_carrier FROM items GROUP BY 1"""),
 )
 def known_results(spark, sf_dir):
-    """Two batches appended to an empty store, then joined by name with rows that have more columns."""
+    """Two batches appended to an empty store, the second with a further column, then joined by name with rows that have more."""
     path = scratch_path(spark, "known_results")
     raw = raw_orders(spark, sf_dir)
     batch = raw.where("Type = 'R'")
     store.check_known_results(batch).limit(0).write.mode("overwrite").parquet(path)
     store.append_known_results(batch.where(f"{LABEL} = 1"), path)
-    store.append_known_results(batch.where(f"{LABEL} = 0"), path)
-    both = store.combined_training(raw.where("Type <> 'R'"), spark.read.parquet(path))
+    store.append_known_results(batch.where(f"{LABEL} = 0").withColumn("Carrier", F.col("Market")), path)
+    both = store.combined_training(raw.where("Type <> 'R'"), store.read_known_results(spark, path))
     return both.groupBy("Market").agg(
-        F.count("*").alias("n"), F.sum("Order Profit Per Order").alias("profit"), F.count("Customer Email").alias("with_email")
+        F.count("*").alias("n"), F.sum("Order Profit Per Order").alias("profit"), F.count("Customer Email").alias("with_email"), F.count("Carrier").alias("with_carrier")
     )
 
 
@@ -511,7 +512,7 @@ def scored_upload(spark, sf_dir):
     root = scratch_path(spark, "score_upload")
     raw = raw_orders(spark, sf_dir, ["order_id", "customer_id", "shipping_mode", "order_region", "scheduled_days", "true_label", "order_ts"])
     raw.drop("Customer Id").write.mode("overwrite").option("header", True).csv(f"{root}/in/orders")
-    table(spark, sf_dir, "nation").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/in/other")
+    table(spark, sf_dir, "nation").write.mode("overwrite").option("header", True).csv(f"{root}/in/other")
 
     def scorer(rows):
         return rows.withColumn("p_late", (0.2 + 0.1 * F.col("days_for_shipment")).cast("decimal(8,4)"))

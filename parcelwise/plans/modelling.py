@@ -419,7 +419,7 @@ def profit_model_report(spark, sf_dir):
 def late_model_importances(spark, sf_dir):
     data, spec = late_table(spark, sf_dir)
     model = models.train_late(data, spec.columns, "true_label", max_iter=5, max_depth=4, step=0.3)
-    return models.importance_table(model, spec.columns, spark, 10)
+    return models.importance_table(model, spec.columns, spark).limit(10)
 
 
 @query("ML-12 PRJ-25 AGG-37 SET-01")

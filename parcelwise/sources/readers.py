@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,9 @@ _LONGS = {
     "Order Id", "Order Item Id", "Customer Id", "Order Customer Id", "Category Id", "Department Id",
     "Product Card Id", "Product Category Id", "Order Item Cardprod Id",
 }
-_INTS = {"Days for shipment (scheduled)", "Days for shipping (real)", "Late_delivery_risk", "Order Item Quantity", "Product Status"}
+_INTS = {"Days for shipment (scheduled)", "Days for shipping (real)", "Order Item Quantity", "Product Status"}
+# read as text: files write it as 1, 1.0 or "1"
+_LABEL = "Late_delivery_risk"
 _DOUBLES = {
     "Sales", "Sales per customer", "Order Item Total", "Product Price", "Order Item Product Price",
     "Order Item Discount", "Order Item Discount Rate", "Order Item Profit Ratio", "Latitude", "Longitude",
@@ -49,11 +52,23 @@ def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[
 def read_raw_orders(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", columns: Sequence[str] | None = None) -> DataFrame:
     """Order items from CSV with explicit types; values that do not fit become NULL."""
     names = list(columns) if columns else csv_header(spark, path, encoding)
-    return (
+    rows = (
         spark.read.schema(raw_schema(names))
         .option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").option("escape", '"')
         .csv(path)
     )
+    return with_label(rows)
+
+
+def with_label(rows: DataFrame) -> DataFrame:
+    """The label of a raw file as integer."""
+    return rows.withColumn(_LABEL, whole_number(F.col(_LABEL))) if _LABEL in rows.columns else rows
+
+
+def whole_number(text: Column) -> Column:
+    """Integer of a text such as 1, 1.0 or `` 1 ``; NULL for anything else, fractions too."""
+    number = F.trim(text.cast("string")).try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 def require_columns(df: DataFrame, required: Sequence[str] | None = None) -> DataFrame:
@@ -67,6 +82,9 @@ def require_columns(df: DataFrame, required: Sequence[str] | None = None) -> Dat
 # --- header gate -----------------------------------------------------------------------
 
 
+_MAX_HEADER = 1 << 20
+
+
 def _first_line(uri: str) -> str:
     from pyarrow import fs
 
@@ -74,7 +92,7 @@ def _first_line(uri: str) -> str:
     filesystem, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     taken = b""
     with filesystem.open_input_stream(path) as stream:
-        while b"\n" not in taken:
+        while b"\n" not in taken and len(taken) < _MAX_HEADER:
             block = stream.read(64 * 1024)
             if not block:
                 break
@@ -109,10 +127,20 @@ def upload_headers(spark: SparkSession, folder: str, whole_scan: bool = False) -
     return files.mapInPandas(_headers, "path string, header string")
 
 
+# a quoted field, whose quotes may be doubled, or one without quotes, up to the next comma or the end
+_FIELD = r'(?:^|,)[ \t]*("(?:[^"]|"")*"|[^,]*)'
+
+
+def header_names(line: Column) -> Column:
+    """Column names of a CSV header line; commas inside quotes belong to a name."""
+    fields = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
+    return F.transform(fields, bare)
+
+
 def gate_uploads(headers: DataFrame) -> DataFrame:
     """Known columns and duplicates per file and whether the file is accepted."""
-    names = F.split("header", ",")
-    cleaned = headers.select("path", F.explode(F.transform(names, lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))).alias("name"))
+    cleaned = headers.select("path", F.explode(F.transform(header_names(F.col("header")), lambda c: F.lower(F.trim(c)))).alias("name"))
     per_name = cleaned.groupBy("path", "name").agg(F.count("*").alias("n"))
     known = F.col("name").isin(KNOWN_UPLOAD_COLUMNS)
     return per_name.groupBy("path").agg(
@@ -171,7 +199,7 @@ def standardize_upload(df: DataFrame, row_id: str) -> DataFrame:
         out.append(upload_profit(columns["sales"], columns["order_item_profit_ratio"]).alias("profit_actual"))
     label = {c.lower(): c for c in df.columns}.get("late_delivery_risk")
     if label:
-        out.append(F.col(f"`{label}`").try_cast("int").alias("true_label"))
+        out.append(whole_number(F.col(f"`{label}`")).alias("true_label"))
     if row_id in df.columns:
         out.append(F.col(row_id).alias("row_id"))
     return df.select(*out)
@@ -180,14 +208,20 @@ def standardize_upload(df: DataFrame, row_id: str) -> DataFrame:
 # --- stored tables -----------------------------------------------------------------------------
 
 
+def session_key(session_id: str) -> str:
+    """``session_id`` if it may name a session: letters, digits, ``-`` and ``_``; raises on anything else."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,128}", session_id):
+        raise ValueError(f"not a session id: {session_id!r}")
+    return session_id
+
+
 def read_session(spark: SparkSession, path: str, session_id: str, default: str = "default") -> DataFrame:
     """Predictions of a session, or the default set if the session has none.
 
     The table is partitioned by session, so either filter reads one partition.
     """
     table = spark.read.parquet(path)
-    safe = "".join(ch for ch in session_id if ch.isalnum() or ch in "-_")
-    own = table.where(F.col("session_id") == safe)
+    own = table.where(F.col("session_id") == session_key(session_id))
     return own if own.limit(1).count() else table.where(F.col("session_id") == default)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.constants import LABEL, PROFIT_TARGET
 from parcelwise.operators.privacy import drop_pii
-from parcelwise.sources.readers import check_header
+from parcelwise.sources.readers import check_header, session_key
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
@@ -19,7 +19,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 def write_predictions(df: DataFrame, path: str, session_id: str) -> None:
     """Replace the predictions of one session and leave the others alone."""
     (
-        df.withColumn("session_id", F.lit(session_id))
+        df.withColumn("session_id", F.lit(session_key(session_id)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
     )
 
@@ -27,18 +27,15 @@ def write_predictions(df: DataFrame, path: str, session_id: str) -> None:
 def reset_session(spark: SparkSession, path: str, session_id: str) -> None:
     """Remove one session's predictions.
 
-    Its partition is overwritten by an empty one; the other partitions are not
-    rewritten.
+    Its partition is overwritten by no rows; the other partitions are not rewritten. The key is checked, so
+    nothing outside the store can be named.
     """
-    from py4j.protocol import Py4JJavaError
-
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/session_id={session_id}")
-    filesystem = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        filesystem.delete(target, True)
-    except Py4JJavaError as error:
-        raise RuntimeError(f"could not reset session {session_id}") from error
+    wanted = session_key(session_id)
+    stored = spark.read.parquet(path)
+    if not stored.where(F.col("session_id") == wanted).limit(1).count():
+        return
+    empty = spark.createDataFrame([], stored.drop("session_id").schema)
+    empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/session_id={wanted}")
 
 
 def write_artifacts(medians: DataFrame, codes: DataFrame, path: str) -> None:
@@ -85,30 +82,40 @@ def check_known_results(df: DataFrame) -> DataFrame:
 
 
 def append_known_results(df: DataFrame, path: str) -> dict[str, int]:
-    """Append a checked batch; returns rows added and rows in total.
+    """Append a checked batch; returns the rows it added and the rows stored.
 
-    The counts come from the written files' footers, the batch is not scanned
-    twice.
+    A column that stored batches have must keep its type; new columns are fine, see :func:`read_known_results`.
     """
     spark = df.sparkSession
     clean = check_known_results(df)
-    before = stored_rows(spark, path)
-    clean.write.mode("append").parquet(path)
-    total = stored_rows(spark, path)
-    return {"added": total - before, "total": total}
-
-
-def stored_rows(spark: SparkSession, path: str) -> int:
+    stored = read_known_results(spark, path)
+    if stored is not None:
+        kinds = dict(stored.dtypes)
+        changed = {c: (kinds[c], t) for c, t in clean.dtypes if kinds.get(c, t) != t}
+        if changed:
+            raise ValueError(f"columns changed their type: {changed}")
+    seen = Observation()
+    clean.observe(seen, F.count(F.lit(1)).alias("added")).write.mode("append").parquet(path)
+    return {"added": seen.get["added"], "total": stored_rows(spark, path)}
+
+
+def read_known_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """All batches with all their columns, NULL where a batch lacks one; None if nothing is stored."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path).count()
+        return spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return 0
+            return None
         raise
 
 
+def stored_rows(spark: SparkSession, path: str) -> int:
+    stored = read_known_results(spark, path)
+    return stored.count() if stored is not None else 0
+
+
 def combined_training(raw: DataFrame, store: DataFrame) -> DataFrame:
     """Original rows and known results, missing columns as NULL."""
     return raw.unionByName(store, allowMissingColumns=True)
@@ -118,7 +125,8 @@ def combined_training(raw: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def upsert_flags(flags: DataFrame, changes: DataFrame) -> DataFrame:
-    """Newest flag per month: at most one row per calendar month and change."""
-    w = Window.partitionBy("month").orderBy(F.desc("flagged_at"))
-    both = flags.unionByName(changes)
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Newest flag per month: at most one row per calendar month and change; of equal times a change beats the stored flag, then the last value."""
+    both = flags.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    rest = [F.desc(c) for c in flags.columns if c not in ("month", "flagged_at")]
+    w = Window.partitionBy("month").orderBy(F.desc("flagged_at"), F.desc("_new"), *rest)
+    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")

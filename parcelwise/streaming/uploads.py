@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelwise.sources.readers import raw_schema
+from parcelwise.sources.readers import raw_schema, with_label
 from parcelwise.sources.store import check_known_results
 
 
@@ -18,7 +18,7 @@ def known_results_stream(spark: SparkSession, folder: str, columns: Sequence[str
         .option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", max_files)
         .csv(folder)
     )
-    return check_known_results(raw)
+    return check_known_results(with_label(raw))
 
 
 def append_stream(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

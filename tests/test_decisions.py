@@ -80,17 +80,34 @@ def test_riskiest_item_of_a_hot_order(spark):
     assert {(r["o"], r["line"]) for r in best.collect()} == {(1, 77), (2, 3)}
 
 
-def test_selection_without_cap_equals_all_candidates(spark):
-    rng = np.random.default_rng(5)
-    pairs = [(int(rng.integers(101, 300)), int(c)) for c in rng.choice([45, 50, 80, 100], 300)]
-    cands = frame(spark, pairs)
-    pruned = decisions.budget_relevant(cands, "order_id", 500)
-    assert pruned.count() < 60
-    chosen = decisions.choose(cands, "order_id", ["500"], capped=False)
+@pytest.mark.parametrize(("seed", "budget"), [(5, 500), (6, 1777), (7, 9000), (8, 33)])
+def test_selection_equals_the_solver_on_all_candidates(spark, seed, budget, monkeypatch):
+    monkeypatch.setattr(decisions, "_CORE", 4)
+    rng = np.random.default_rng(seed)
+    pairs = [(int(rng.integers(101, 300)), int(c)) for c in rng.choice([31, 45, 50, 80, 100], 300)]
+    chosen = decisions.choose(frame(spark, pairs).repartition(3), "order_id", [str(budget)])
     cost = np.array([c * 100 for _, c in pairs])
     value = np.array([(p - c) * 10_000 for p, c in pairs])
-    whole = value[decisions.best_subset(cost, value, 50_000)].sum()
-    assert int(chosen.agg(F.sum("net_benefit")).first()[0] * 10_000) == whole
+    whole = value[decisions.best_subset(cost, value, budget * 100)].sum()
+    got = chosen.agg(F.sum("net_benefit"), F.sum("upgrade_cost"), F.count_distinct("order_id"), F.count("*")).first()
+    assert int((got[0] or 0) * 10_000) == whole and (got[1] or 0) <= budget and got[2] == got[3]
+
+
+def test_many_equal_candidates(spark):
+    rows = spark.range(250_000).select(
+        F.col("id").alias("order_id"), F.lit(Decimal("0.9")).cast("decimal(8,4)").alias("p_late"), F.lit(Decimal("80")).cast("decimal(12,2)").alias("upgrade_cost"),
+        F.lit(Decimal("200")).cast("decimal(18,4)").alias("expected_penalty"), F.lit(Decimal("120")).cast("decimal(18,4)").alias("net_benefit"), F.lit("High").alias("risk_bucket"),
+    )
+    budgets = ["20000000", "8000000", "8000079"]
+    assert {r["budget"]: r["selected_count"] for r in decisions.selection_totals(decisions.choose(rows, "order_id", budgets), budgets).collect()} == {
+        20_000_000.0: 250_000, 8_000_000.0: 100_000, 8_000_079.0: 100_000}
+    greedy = decisions.choose_greedy(rows, "order_id", ["8000", "20000000"])
+    assert sorted((r["budget"], r["n"], r["last"]) for r in greedy.groupBy("budget").agg(F.count("*").alias("n"), F.max("order_id").alias("last")).collect()) == [
+        (Decimal("8000"), 100, 99), (Decimal("20000000"), 250_000, 249_999)]
+
+
+def test_nothing_is_cut_unasked(spark):
+    assert len(decisions.grid_cells([f"M{k}" for k in range(9)], [f"0.{k}" for k in range(10)])) == 90
 
 
 def test_greedy_never_beats_exact(spark):

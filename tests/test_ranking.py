@@ -49,8 +49,21 @@ def test_dense_index_is_sorted_per_group(spark):
     assert [codes[("x", f"v{i:03d}")] for i in range(50)] == list(range(1, 51))
 
 
-def test_quantiles_refuse_long_group_lists(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "_MAX_GROUPS", 5)
-    frame = spark.range(10).select(F.col("id").cast("string").alias("g"), F.col("id").alias("v"))
-    with pytest.raises(ValueError):
-        ranking.exact_quantiles(frame, "g", "v", [0.5])
+@pytest.mark.parametrize("extra", [[np.inf], [-np.inf], [np.inf, -np.inf] * 3, [-1.7e308, 1.7e308], [5e-324, 1e-300, 1e300]])
+def test_quantiles_end_with_extreme_values(spark, finish_rows, extra):
+    values = np.concatenate([np.random.default_rng(3).normal(0, 1, 200), extra, [0.0, 0.0]])
+    frame = spark.createDataFrame([("a", float(v)) for v in values], "g string, v double").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = ranking.exact_quantiles(frame, "g", "v", probs)
+    order = np.sort(values)
+    for p in probs:
+        at = p * (len(order) - 1)
+        low, high = order[int(np.floor(at))], order[int(np.ceil(at))]
+        want = low if low == high else low + (high - low) * (at - np.floor(at))
+        assert found[("a", p)] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_of_many_groups(spark):
+    frame = spark.range(150_000).select((F.col("id") % 50_000).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    found = ranking.exact_quantiles(frame, "g", "v", [0.5])
+    assert len(found) == 50_000 and found[("7", 0.5)] == 50_007.0

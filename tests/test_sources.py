@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.constants import LABEL
-from parcelwise.operators import features, models, privacy
+from parcelwise.operators import audits, features, models, privacy
 from parcelwise.sources import readers, store
 from parcelwise.streaming import uploads
 
@@ -75,7 +75,7 @@ def test_sessions(spark, tmp_path):
     path = str(tmp_path / "pred")
     for name, n in (("default", 3), ("s1", 2), ("s2", 4), ("s1", 5)):
         store.write_predictions(spark.range(n), path, name)
-    assert [readers.read_session(spark, path, s).count() for s in ("s1", "s2", "s/2", "none")] == [5, 4, 4, 3]
+    assert [readers.read_session(spark, path, s).count() for s in ("s1", "s2", "none")] == [5, 4, 3]
     store.reset_session(spark, path, "s1")
     assert [readers.read_session(spark, path, s).count() for s in ("s1", "s2")] == [3, 4]
 
@@ -175,3 +175,63 @@ def test_late_model_finds_a_planted_signal(spark):
     scored = models.score_late(model, data.where("split = 'test'"), ["a", "b"]).withColumnRenamed("y", "true_label")
     assert evaluation.classifier_report(scored).first()["auc"] > 0.9
     assert models.importance_table(model, ["a", "b"], spark).count() == 2
+
+
+def test_session_keys_stay_in_the_store(spark, tmp_path):
+    path = str(tmp_path / "pred")
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    store.write_predictions(spark.range(2), path, "s2")
+    for bad in ("s/2", "a/../../other", "..", "", "a b", "x" * 200):
+        with pytest.raises(ValueError, match="session id"):
+            store.write_predictions(spark.range(1), path, bad)
+        with pytest.raises(ValueError, match="session id"):
+            store.reset_session(spark, path, bad)
+        with pytest.raises(ValueError, match="session id"):
+            readers.read_session(spark, path, bad)
+    store.reset_session(spark, path, "s1")
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 3
+    assert readers.read_session(spark, path, "s2").count() == 2
+
+
+def test_known_results_with_different_columns(spark, tmp_path):
+    path = str(tmp_path / "known")
+    store.append_known_results(batch(spark, 0, 2), path)
+    wider = batch(spark, 2, 3).withColumn("Extra", F.lit(7))
+    assert store.append_known_results(wider, path) == {"added": 3, "total": 5}
+    assert store.read_known_results(spark, path).where("Extra = 7").count() == 3
+    with pytest.raises(ValueError, match="changed their type"):
+        store.append_known_results(batch(spark, 5, 1).withColumn("Extra", F.lit("x")), path)
+    assert store.read_known_results(spark, str(tmp_path / "none")) is None
+
+
+def test_headers_with_quoted_commas(spark):
+    lines = [('"Order Id","Shipping Mode","Order Region","Note, free"', 4), ("Order Id, Shipping Mode ,Order Region", 3), ('"a ""b"", c",d,', 3), ("", 1)]
+    frame = spark.createDataFrame([(str(k), line) for k, (line, _) in enumerate(lines)], "path string, header string")
+    got = {r[0]: r[1] for r in frame.select("path", readers.header_names(F.col("header"))).collect()}
+    assert [len(got[str(k)]) for k in range(4)] == [n for _, n in lines]
+    assert got["0"][3] == "Note, free" and got["1"] == ["Order Id", "Shipping Mode", "Order Region"] and got["2"][0] == 'a "b", c'
+    assert readers.gate_uploads(frame).where("path = '0'").first()["total_columns"] == 4
+
+
+def test_labels_written_as_decimals(spark):
+    rows = spark.createDataFrame([("1.0",), (" 0 ",), ("1",), ("x",), ("0.5",), (None,)], "t string")
+    assert [r[0] for r in rows.select(readers.whole_number(F.col("t"))).collect()] == [1, 0, 1, None, None, None]
+
+
+def test_newest_flag_wins_and_ties_are_decided(spark):
+    kind = "month string, kind string, flagged_at long"
+    stored = spark.createDataFrame([("a", "x", 1), ("b", "x", 5)], kind)
+    changes = spark.createDataFrame([("a", "w", 1), ("b", "z", 4), ("c", "p", 2), ("c", "q", 2)], kind)
+    got = store.upsert_flags(stored, changes).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "w", 1), ("b", "x", 5), ("c", "q", 2)]
+
+
+def test_correlation_with_gaps(spark):
+    rows = [(float(k), float(k) if k % 3 else None, float(-k) if k % 5 else None) for k in range(40)] + [(None, 1e9, 1e9)]
+    found = audits.identity_leakage(spark.createDataFrame(rows, "y double, a double, b double"), ["a", "b"], "y").collect()
+    assert {r["candidate"]: r["leaks"] for r in found}["a"] == 1 and {r["candidate"]: r["abs_corr"] for r in found}["b"] == 1.0
+
+
+def test_outliers_of_missing_values(spark):
+    frame = spark.createDataFrame([(None,), (5.0,), (50.0,)], "v double")
+    assert [r[0] for r in frame.select(features.outlier_flag(F.col("v"), 0, 10)).collect()] == [0, 0, 1]
