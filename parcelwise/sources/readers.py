@@ -179,13 +179,19 @@ def resolve_aliases(columns: Sequence[str], aliases: Mapping[str, Sequence[str]]
     return found
 
 
-def standardize_upload(df: DataFrame, row_id: str) -> DataFrame:
+RAW_PREFIX = "raw "
+
+
+def standardize_upload(df: DataFrame, row_id: str, features: Sequence[str] = ()) -> DataFrame:
     """Metadata columns of an upload under their common names.
 
     Missing texts get defaults, a missing date stays NULL. ``row_id`` numbers the
-    rows and stands in for absent order ids.
+    rows and stands in for absent order ids. ``features`` are raw columns that a
+    model reads, in whatever letter case the file has them: they follow as
+    ``raw <name>``, NULL where the file lacks them.
     """
     found = resolve_aliases(df.columns)
+    own = {c.strip().lower(): c for c in reversed(df.columns)}
     columns = {t: F.col(f"`{h}`") for t, h in found.items()}
     if "order_id_hash" in columns:
         columns["order_id_hash"] = upload_id(columns["order_id_hash"])
@@ -202,6 +208,9 @@ def standardize_upload(df: DataFrame, row_id: str) -> DataFrame:
         out.append(whole_number(F.col(f"`{label}`")).alias("true_label"))
     if row_id in df.columns:
         out.append(F.col(row_id).alias("row_id"))
+    for name in features:
+        header = own.get(name.lower())
+        out.append((F.col(f"`{header}`") if header else F.lit(None)).cast("string").alias(RAW_PREFIX + name))
     return df.select(*out)
 
 

@@ -38,6 +38,14 @@ def reset_session(spark: SparkSession, path: str, session_id: str) -> None:
     empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/session_id={wanted}")
 
 
+def write_json_artifacts(spark: SparkSession, medians: dict[str, float], codes: DataFrame, path: str) -> None:
+    """The same as one JSON record, as :func:`readers.read_artifacts` and :func:`readers.read_label_classes` read it."""
+    classes = codes.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "category"))), lambda x: x["category"]).alias("c"))
+    fitted = spark.createDataFrame([(medians,)], "feature_medians map<string,double>")
+    every = classes.agg(F.map_from_entries(F.collect_list(F.struct("column", "c")))).scalar()
+    fitted.withColumn("label_classes", every).write.mode("overwrite").json(path)
+
+
 def write_artifacts(medians: DataFrame, codes: DataFrame, path: str) -> None:
     """The two fitted tables: medians per column, code per category."""
     medians.write.mode("overwrite").parquet(f"{path}/medians")
