@@ -9,7 +9,6 @@ MEDIUM_RISK = Decimal("0.30")
 # --- fixed values: money -------------------------------------------------------
 DEFAULT_PENALTY = Decimal("250")
 DEFAULT_UNIT_COST = Decimal("80")
-DEFAULT_BUDGET = Decimal("5000")
 DEFAULT_RISK_THRESHOLD = Decimal("0.3")
 
 # --- fixed values: rate card ---------------------------------------------------
@@ -59,12 +58,6 @@ ID_COLUMNS = [
 ]
 NOISE_COLUMNS = ["Order Zipcode", "Product Description", "Product Image"]
 
-DELAY_NUMERIC = [
-    "Days for shipment (scheduled)", "Product Price", "Order Item Quantity",
-    "Order Item Discount Rate", "Order Item Profit Ratio", PROFIT_TARGET,
-]
-DELAY_ONE_HOT = ["Shipping Mode", "Customer Segment", "Type", "Department Name", "Market"]
-DELAY_CODED = ["Order Region", "Category Name", "Order Country"]
 
 PROFIT_NUMERIC = [
     "Days for shipment (scheduled)", "Sales per customer", "Latitude", "Longitude",
@@ -89,7 +82,6 @@ MEAN_SHIFT_TOLERANCE = 0.50
 # --- fixed values: salts ---------------------------------------------------------
 # Defaults for tests and examples; a deployment passes its own.
 DELAY_SALT = "EXAMPLE_DELAY_SALT"
-PROFIT_SALT = "EXAMPLE_PROFIT_SALT"
 
 # --- fixed values: upload header gate --------------------------------------------
 KNOWN_UPLOAD_COLUMNS = [

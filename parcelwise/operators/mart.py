@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.constants import DELAY_SALT, DEFAULT_PENALTY, SESSION_DEFAULTS
-from parcelwise.functions.scalars import clip_unit, hash_id, parse_order_ts, risk_bucket, to_number
+from parcelwise.functions.scalars import clip_unit, hash_id, risk_bucket, to_number
 from parcelwise.operators.money import MONEY, Scope, expected_penalty, session_scope, with_decision_columns
 
 
@@ -186,8 +186,3 @@ def fully_labelled(pred: DataFrame) -> bool:
     label = to_number(F.col("true_label"))
     row = pred.agg(F.count("*").alias("n"), F.count(label).alias("known")).first()
     return row["n"] > 0 and row["n"] == row["known"]
-
-
-def month_of(text_or_ts: Column, is_text: bool = False) -> Column:
-    ts = parse_order_ts(text_or_ts) if is_text else text_or_ts
-    return F.date_format(ts, "yyyy-MM")

@@ -402,7 +402,7 @@ def event_flags(spark, sf_dir):
 
 
 @query(
-    "SNK-06 SRC-08 SNK-10",
+    "SNK-06 SRC-08",
     over_mart(f"""SELECT {bucket_sql('p_late')} AS risk_bucket, customer_segment, COUNT(*) AS orders, SUM(net_of_service)::DOUBLE AS net FROM mart GROUP BY 1, 2"""),
 )
 def stored_mart(spark, sf_dir):
@@ -415,7 +415,7 @@ def stored_mart(spark, sf_dir):
 
 
 @query(
-    "SNK-03 PRJ-35",
+    "SNK-03",
     over_pred("""SELECT shipping_mode, COUNT(*) AS n, SUM(upgrade_cost)::DOUBLE AS cost FROM pred GROUP BY 1"""),
 )
 def stored_selection(spark, sf_dir):
@@ -464,7 +464,7 @@ def _session(spark, sf_dir, labelled: bool):
 
 
 @query(
-    "SRC-09 SNK-05 JON-07 ML-02",
+    "SNK-05 JON-07 ML-02",
     over_items("""SELECT category_name, COUNT(*) AS n, 'category_name' AS from_artifact FROM items GROUP BY 1"""),
 )
 def decoded_categories(spark, sf_dir):
@@ -472,7 +472,8 @@ def decoded_categories(spark, sf_dir):
     path = scratch_path(spark, "artifacts")
     items = order_items(spark, sf_dir, ["category_name", "department_name"])
     codes = features.category_codes(items, ["category_name", "department_name"], 1)
-    store.write_artifacts(spark.createDataFrame([("quantity", 1.0)], "column string, median double"), codes, path)
+    fitted = features.medians(order_items(spark, sf_dir, ["quantity"]), ["quantity"])
+    store.write_artifacts(spark.createDataFrame(list(fitted.items()), "column string, median double"), codes, path)
     stored = spark.read.parquet(f"{path}/codes")
     coded = features.encode(items, ["category_name"], stored, suffix="_code").select(F.col("category_name_code").alias("category_name"))
     return features.decode(coded, "category_name", stored).groupBy("category_name").agg(
@@ -503,7 +504,7 @@ def sampled_rows(spark, sf_dir):
 
 
 @query(
-    "OPT-09 SRC-05 SRC-06 SNK-02 ML-10",
+    "OPT-09 SRC-05 SRC-06 SNK-02",
     over_items("""SELECT shipping_mode, 'sess-1' AS session_id, COUNT(*) AS n, SUM(ROUND((0.2 + 0.1*scheduled_days) * 250, 2))::DOUBLE AS expected_penalty,
       SUM(true_label)::BIGINT AS late FROM items GROUP BY 1"""),
 )

@@ -6,13 +6,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: shuffle partitions that a stage starts with on a cluster, before AQE joins small ones
+CLUSTER_PARTITIONS = 8192
+
 
 def get_spark(app_name: str = "parcelwise", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC timestamps, AQE and the web page off.
 
-    Partition counts are left to AQE: a large initial number that is coalesced
-    to what each stage really holds. Pass ``conf`` (dots as double underscores)
-    to override anything.
+    Partition counts are left to AQE: on a cluster a large initial number, which
+    is coalesced to what each stage really holds; locally Spark's default. Pass
+    ``conf`` (dots as double underscores) to override anything.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -25,6 +28,8 @@ def get_spark(app_name: str = "parcelwise", master: str | None = None, **conf: s
     )
     if master:
         builder = builder.master(master)
+    if not (master or "").startswith("local"):
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(CLUSTER_PARTITIONS))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
