@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_bytes(texts: pa.Array) -> pa.Array:
+    """A text column as UTF-8 bytes, without a copy."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
 def n_words(text: Column) -> Column:
     """Number of words as long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

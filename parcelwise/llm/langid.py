@@ -23,7 +23,9 @@ from parcelwise.llm.common import keep
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
+_CACHE_CHARS = 1 << 16  # of words that are scored together
+_ROWS = 200  # texts that are scored together
 _BUCKETS = 24  # lengths by powers of two, for calibration
 
 
@@ -168,31 +170,40 @@ class Scorer:
     """Cross-entropy per predicted character of texts under every model; a task keeps the words it has seen."""
 
     def __init__(self, models: list[dict], order: int):
-        self.models, self.order, self.seen = models, order, {}
+        self.models, self.order = models, order
+        self.seen: dict[str, int] = {}  # word to its row in held
+        self.held = np.zeros((0, len(models)), np.float32)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(nats per predicted character by model, predicted characters) of each text."""
         counted = [words_of(t) for t in texts]
-        fresh = list({w for c in counted for w in c if w not in self.seen})
+        fresh = {w for c in counted for w in c if w not in self.seen}
         if len(self.seen) + len(fresh) > _CACHE_WORDS:
-            self.seen = {}
-            fresh = list({w for c in counted for w in c})
-        at = 0
-        while at < len(fresh):  # by characters, so that one very long word or many short ones take the same room
-            end, room = at, 1 << 18
-            while end < len(fresh) and (room > 0 or end == at):
-                room -= len(fresh[end]) + 2
-                end += 1
-            self.seen.update(zip(fresh[at:end], word_costs(fresh[at:end], self.models, self.order), strict=True))
-            at = end
+            self.seen, self.held = {}, self.held[:0]
+            fresh = {w for c in counted for w in c}
+        self._score(list(fresh))
         total, length = np.zeros((len(texts), len(self.models))), np.zeros(len(texts), np.int64)
         for k, words in enumerate(counted):
             if words:
-                times = np.fromiter(words.values(), float, len(words))
-                total[k] = times @ np.stack([self.seen[w] for w in words])
-                length[k] = sum((len(w) + 1) * n for w, n in words.items())
+                rows = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+                times = np.fromiter(words.values(), np.float64, len(words))
+                total[k] = times @ self.held[rows]
+                length[k] = times @ (np.fromiter(map(len, words), np.float64, len(words)) + 1)
         return total / np.maximum(length, 1)[:, None], length
 
+    def _score(self, words: list[str]) -> None:
+        at, parts = 0, [self.held]
+        while at < len(words):  # by characters, so that one very long word or many short ones take the same room
+            end, room = at, _CACHE_CHARS
+            while end < len(words) and (room > 0 or end == at):
+                room -= len(words[end]) + 2
+                end += 1
+            parts.append(word_costs(words[at:end], self.models, self.order).astype(np.float32))
+            at = end
+        start = len(self.held)
+        self.seen.update(zip(words, range(start, start + len(words)), strict=True))
+        self.held = np.concatenate(parts)
+
 
 def held_out(doc_id: Column) -> Column:
     """CRC-32 of the id as text, modulo 4, is 2. A missing id counts as empty text."""
@@ -203,7 +214,7 @@ def _bucket(length: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(length, 1)).astype(int), _BUCKETS - 1)
 
 
-def train(docs: DataFrame, sample_chars: int = 1_500_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[dict]:
+def train(docs: DataFrame, sample_chars: int = 1_000_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """One model per language of the rows that are not held out, from about ``sample_chars`` characters of each.
 
     The sample takes whole texts by a hash of id and text, at a rate from the language's total; four fifths of it
@@ -254,8 +265,8 @@ def identify(docs: DataFrame, models: list[dict], order: int = 5, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, order)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).to_pylist()
+            for at in range(0, batch.num_rows, _ROWS):
+                ids, texts = batch.column(0).slice(at, _ROWS), batch.column(1).slice(at, _ROWS).to_pylist()
                 if not langs:
                     cost, length, best = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64), np.zeros(len(texts), int)
                 else:
@@ -287,8 +298,8 @@ def accepted(docs: DataFrame, models: list[dict], order: int = 5, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, order)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
                 if limits is None:
                     continue
                 cost, length = scorer.costs(part.column(text).to_pylist())
@@ -300,7 +311,7 @@ def accepted(docs: DataFrame, models: list[dict], order: int = 5, text_col: str
     return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
-def identify_languages(docs: DataFrame, sample_chars: int = 1_500_000, order: int = 5) -> DataFrame:
+def identify_languages(docs: DataFrame, sample_chars: int = 1_000_000, order: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, lang) trained on and predicted: the rows of ``identify`` with held_out.
 
     ``und`` where the text is null or has no letter. Rows without a language, or an empty table, teach nothing.

@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import keep
+from parcelwise.llm.common import as_bytes, keep
 from parcelwise.llm.components import connected_components, merge
 
-_CHUNK = 1 << 18
+_CHUNK = 1 << 15
 _LEAF = 24
 _FRONT = 1 << 18
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = as_bytes(batch.column(1))
             found = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import keep
+from parcelwise.llm.common import as_bytes, keep
 
 _BASE, _PRIME, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93  # odd, so each has an inverse
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -263,7 +263,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
         hasher = Hasher()
         for batch in batches:
             count, same, twice, lists = [], [], [], []
-            for raw in batch.column(2).cast(pa.large_binary()):
+            for raw in as_bytes(batch.column(2)):
                 hashes, lengths = hasher.words(raw.as_py())
                 phrases = hasher.runs(hashes, phrase)
                 found = phrases[np.unique(_anchors(phrases, window - phrase + 1))]
@@ -311,7 +311,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for raw, starts, copy in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3), strict=True):
+            for raw, starts, copy in zip(as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words = raw.as_py().split()
                 gone_ = np.zeros(len(words), bool)
                 if copy.is_valid and len(words) >= window:
