@@ -8,19 +8,19 @@ least cross-entropy lies above what calibration texts of that length and languag
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import keep
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _START, _END = 1, 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 100_000

@@ -66,7 +66,7 @@ def language_rows(seed=1, n=240):
 
 def test_language_id(spark):
     rows = language_rows()
-    odd = [(900, None, "aa", "x"), (901, "", None, "x"), (902, "12 34 !?", "bb", "x"), (903, "KALO " * 20_000, None, "x"), (None, rows[0][1], None, "x"), (904, "ö" * 30_000, None, "x")]
+    odd = [(900, None, "aa", "x"), (901, "", None, "x"), (902, "12 34 !? ² Ⅷ _", "bb", "x"), (903, "KALO " * 20_000, None, "x"), (None, rows[0][1], None, "x"), (904, "ö" * 30_000, None, "x")]
     frame = spark.createDataFrame([*rows, *odd, rows[3]], "doc_id long, text string, lang string, score string").repartition(3)
     got = {(r.doc_id): r for r in langid.identify_languages(frame).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
