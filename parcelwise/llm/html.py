@@ -3,7 +3,7 @@
 The standard library's parser feeds a page as events. Every block (paragraph, heading, cell ...) is a line with
 its text, the number of tags in it and the element it stands in. Lines of an element that is a menu, header,
 footer, sidebar, notice, advert, form or reader comment by its tag, role, id or class are boilerplate. Of the
-others, the text-to-tag ratio is smoothed over neighbouring lines and split into two clusters; the content
+others (runs of lines that are links alone left out, too), the text-to-tag ratio is smoothed over neighbouring lines and split into two clusters; the content
 region is the smallest element that holds most text of the upper cluster. All its lines that are not
 boilerplate are the article, short ones too. An element that names itself an article and holds half of the text is the region.
 """
@@ -31,7 +31,7 @@ _NAMES = frozenset(
     "ad ads advert adverts advertisement adbox banner promo promoted sponsor sponsored sidebar sidebars aside nav navbar navigation menu menus "
     "breadcrumb breadcrumbs header masthead footer foot comments comment commentlist disqus respond replies cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe signup login form share sharing social related recommended "
-    "recommendations widget toolbar pagination pager skip copyright".split()
+    "recommendations widget toolbar topbar bottombar pagination pager skip copyright".split()
 )
 _EDGES = frozenset("header masthead footer foot".split())
 _CONTENT = frozenset("article post-content entry-content article-body main-content".split())
@@ -44,14 +44,15 @@ def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
     """Boilerplate, content or hidden, by role, id and class."""
     frame = content = hidden = False
     for key, value in attrs:
-        value = (value or "").lower()
+        written, value = value or "", (value or "").lower()
         if key == "role":
             frame |= value in _ROLES
             content |= value in ("main", "article")
         elif key in ("id", "class"):
-            for name in value.split():
+            for name in written.split():
+                parts = {p.lower() for p in re.split(r"[-_:]+|(?<=[a-z0-9])(?=[A-Z])", name)}
+                name = name.lower()
                 content |= name in _CONTENT
-                parts = set(re.split(r"[-_]+", name))
                 own = parts & _EDGES  # entry-header is the article's own, site-header is not
                 frame |= name in _NAMES or bool(parts & _NAMES - _EDGES) or bool(own and parts & _OWN)
         elif key == "hidden" or key == "aria-hidden" and value == "true":
@@ -62,7 +63,7 @@ def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
 
 
 class _Events(HTMLParser):
-    """Collects lines: text, tags, elements around it (innermost last) and whether it is boilerplate."""
+    """Collects lines: text, tags, elements around it (innermost last), whether it is boilerplate, whether all of it is links."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -72,16 +73,18 @@ class _Events(HTMLParser):
         self.mains: set[int] = set()  # of others that name themselves content
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.linked = 0  # characters of the line that lie in links
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             around = tuple(e[1] for e in self.stack)
-            self.lines.append((text, self.tags, around, bool(self.stack) and self.stack[-1][3]))
+            links = self.linked >= 0.9 * len("".join(text.split()))
+            self.lines.append((text, self.tags, around, bool(self.stack) and self.stack[-1][3], links))
         if text or self.tags:
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def _pop_to(self, at: int) -> None:
         if any(e[0] in _BLOCK for e in self.stack[at:]):
@@ -138,6 +141,8 @@ class _Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
+            if any(e[0] == "a" for e in self.stack):
+                self.linked += len("".join(data.split()))
 
     def done(self) -> None:
         self.close()
@@ -185,6 +190,11 @@ def main_text(page: str | None) -> str:
         within = [line for line in live if named.intersection(line[2])]
         if 2 * size(within) >= size(live):  # teasers may be marked up as articles, too
             return "\n\n".join(line[0] for line in within)
+    # lines of links that follow each other are a menu, whatever it is called
+    menu = [a[4] and (b[4] or c[4]) for a, b, c in zip(live, [("",) * 4 + (False,), *live], [*live[1:], ("",) * 4 + (False,)], strict=False)]
+    live = [line for line, drop in zip(live, menu, strict=True) if not drop]
+    if not live:
+        return ""
     values = smoothed_ratios(live)
     upper = values >= threshold(values)
     held: dict[int, int] = {}

@@ -124,6 +124,8 @@ def test_main_text_of_a_page_without_an_article_element():
     ("<main><p>one</p><article class='comment'><p>no</p></article></main>", "one"),
     ("<div hidden><p>no</p></div><p>yes</p><!-- <p>no</p> -->", "yes"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+    ("<div><ul><li><a>One menu entry</a><li><a>Two menu entries</a></ul><p>Text of the story <a>with a link</a></p></div>", "Text of the story with a link"),
+    ("<div class=siteHeader>no</div><div id='commentSection'>no</div><div class='entry-header'>yes</div>", "yes"),
     ("<article><p>cut of", "cut of"), ("<p>" * 3000 + "deep", "deep"),
 ])
 def test_main_text_of_odd_pages(page, text):
