@@ -151,6 +151,16 @@ FEATURE_GROUPS = {
 }
 
 # --- fixed values: scan grids ----------------------------------------------------
+# fixed values: what-if levers by the raw column they set, and the order date when none is given
+LEVER_NUMBERS = {
+    "product_price": "Product Price", "order_item_quantity": "Order Item Quantity", "discount_rate": "Order Item Discount Rate",
+    "days_for_shipment": "Days for shipment (scheduled)",
+}
+LEVER_TEXTS = {
+    "shipping_mode": "Shipping Mode", "customer_segment": "Customer Segment", "order_region": "Order Region",
+    "category_name": "Category Name", "market": "Market",
+}
+DEFAULT_ORDER_DATE = "2017-06-15 12:00"
 DISCOUNT_GRID = ["0.00", "0.05", "0.10", "0.15", "0.20", "0.25"]
 MODE_GRID = ["Standard Class", "Second Class", "First Class", "Same Day"]
 DISCOUNT_BANDS = {"low": (None, "0.10"), "mid": ("0.10", "0.25"), "high": ("0.25", None)}

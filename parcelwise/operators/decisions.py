@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.constants import (
-    DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID, MODE_GRID,
+    DEFAULT_ORDER_DATE, DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID, LEVER_NUMBERS, LEVER_TEXTS,
+    MODE_GRID, ORDER_DATE, PROFIT_CATEGORICAL, PROFIT_NUMERIC, PROFIT_TARGET, SYNONYM_GROUPS,
 )
 from parcelwise.functions.scalars import display_id, ratio
 from parcelwise.operators.mart import mean_exact
@@ -393,6 +394,28 @@ def lever_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("sales", F.round(sales, 4).cast(MONEY))
 
 
+def raw_profit_rows(levers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a raw order file as the profit model reads them, made from what-if levers.
+
+    Sales follow from price, quantity and discount unless given; columns that mean the same get the same value;
+    an order date that is not given is the default one. What no lever sets is NULL, for the fitted medians and
+    the unknown category to fill.
+    """
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in levers.columns else F.lit(None).cast(kind)
+
+    made = {raw: given(lever, "double") for lever, raw in LEVER_NUMBERS.items()}
+    derived = made["Product Price"] * made["Order Item Quantity"] * (1 - F.coalesce(made["Order Item Discount Rate"], F.lit(0.0)))
+    made["Sales"] = F.coalesce(given("sales", "double"), derived)
+    for names in SYNONYM_GROUPS:
+        made.update({c: made[names[0]] for c in names[1:]})
+    texts = {raw: given(lever, "string") for lever, raw in LEVER_TEXTS.items()}
+    columns = [made.get(c, F.lit(None).cast("double")).alias(c) for c in PROFIT_NUMERIC]
+    columns += [texts.get(c, F.lit(None).cast("string")).alias(c) for c in PROFIT_CATEGORICAL]
+    date = F.coalesce(given("order_date", "string"), F.lit(DEFAULT_ORDER_DATE)).alias(ORDER_DATE)
+    return levers.select(*keep, *columns, date, F.lit(None).cast("double").alias(PROFIT_TARGET))
+
+
 def grid_rollup(scored: DataFrame, key: str, cells: Sequence[tuple[int, str, Decimal]], extra: Sequence[Column] = ()) -> DataFrame:
     """Summed profit and mean score per order and cell.
 

@@ -311,6 +311,29 @@ def lever_sales(spark, sf_dir):
     return rows.groupBy("shipping_mode", "discount_rate").agg(F.count("*").alias("n"), F.sum("sales").alias("sales"))
 
 
+@query(
+    "PRJ-33",
+    over_items("""SELECT shipping_mode, COUNT(*) AS n, COUNT(*) FILTER (line_no = 1) AS default_dates, COUNT(*) FILTER (line_no <> 3) AS priced,
+      ROUND(SUM(CASE WHEN line_no = 2 THEN 5.0 WHEN line_no <> 3 THEN product_price::DOUBLE * quantity * (1 - discount_rate::DOUBLE) END), 2) AS sales,
+      ROUND(SUM(CASE WHEN line_no <> 3 THEN product_price::DOUBLE END), 2) AS item_price, 0 AS set_without_lever FROM items GROUP BY 1"""),
+)
+def lever_profit_rows(spark, sf_dir):
+    """Levers of every item, some without price, date or with sales of their own, as raw rows for the profit model."""
+    items = order_items(spark, sf_dir, ["line_no", "shipping_mode", "product_price", "quantity", "discount_rate", "order_ts"])
+    line = F.col("line_no")
+    levers = items.select(
+        "shipping_mode", F.when(line != 3, F.col("product_price")).alias("product_price"), F.col("quantity").alias("order_item_quantity"), "discount_rate",
+        F.when(line != 1, F.date_format("order_ts", "M/d/yyyy H:mm")).alias("order_date"), F.when(line == 2, F.lit(5.0)).alias("sales"),
+    )
+    rows = decisions.raw_profit_rows(levers.withColumn("sales", F.when(F.col("product_price").isNotNull(), F.col("sales"))))
+    same = (F.col("Sales").eqNullSafe(F.col("`Order Item Total`"))) & (F.col("Sales").eqNullSafe(F.col("`Sales per customer`")))
+    return rows.groupBy(F.col("Shipping Mode").alias("shipping_mode")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("`order date (DateOrders)`") == "2017-06-15 12:00").alias("default_dates"),
+        F.count_if(F.col("Sales").isNotNull() & same).alias("priced"), F.round(F.sum("Sales"), 2).alias("sales"),
+        F.round(F.sum("Order Item Product Price"), 2).alias("item_price"), F.count("Latitude").cast("int").alias("set_without_lever"),
+    )
+
+
 _LOSING = """, losing AS (SELECT *, ROUND(profit_pred - p_late*250 - upgrade_cost, 4)::DECIMAL(18,4) AS base_net FROM mart
         WHERE ROUND(profit_pred - p_late*250 - upgrade_cost, 4) < 0)"""
 
