@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from parcelwise.llm.common import keep
 
 _VALUE = r"[A-Za-z0-9+/=_.~$@!%^&*-]"
-_CANDIDATE = re.compile(
-    r"(?:(?P<name>(?i:[a-z0-9_.-]*(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)[a-z0-9_.-]*))"
-    rf"\s{{0,8}}(?:=|:|=>)\s{{0,8}}[\"'`]?(?P<given>{_VALUE}{{8,}}))"
-    r"|(?P<known>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
-    rf"|(?P<run>(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{20,}}={{0,2}})"
-)
+_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "auth", "credential", "private_key", "privatekey")
+_NAMED = re.compile(rf"(?i:{'|'.join(_KEYS)})[A-Za-z0-9_.-]*\s{{0,8}}(?:=>|=|:)\s{{0,8}}[\"'`]?({_VALUE}{{8,}})")
+_LONG = re.compile(r"\S{15,}")
+_KNOWN = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abprs]-[A-Za-z0-9-]{10,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_BEGIN = "-----BEGIN "
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _ORDINARY = re.compile(r"(?<!\S)[^\W\d_]{12,}(?!\S)")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
 _ASKS = frozenset("password passwd pwd secret token key apikey api auth credential credentials bearer private access login".split())
@@ -60,6 +61,34 @@ def features(value: str, before: str, after: str, named: bool, known: bool, dict
     ]
 
 
+def find(text: str) -> list[tuple[int, int, bool, bool]]:
+    """Start, end, whether it is assigned to a secret's name, and whether its form is known, of each candidate.
+
+    Plain searches come first, so patterns only meet the few places that can hold a candidate.
+    """
+    found = []
+    low = text.lower()
+    # lower-casing may change a text's length, so the search for names is only asked whether there are any
+    if any(k in low for k in _KEYS):
+        found += [(*m.span(1), True, bool(_KNOWN.fullmatch(m[1]))) for m in _NAMED.finditer(text)]
+    if _BEGIN in text:
+        found += [(*m.span(), False, True) for m in _KEY_BLOCK.finditer(text)]
+    for word in _LONG.finditer(text):
+        at, value = word.start(), word[0]
+        if "_" in value or "-" in value or "AKIA" in value or "ASIA" in value:
+            found += [(at + m.start(), at + m.end(), False, True) for m in _KNOWN.finditer(value)]
+        if any(c.isdigit() for c in value):
+            found += [
+                (at + m.start(), at + m.end(), False, False) for m in _RUN.finditer(value)
+                if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+            ]
+    kept: list[tuple[int, int, bool, bool]] = []
+    for span in sorted(found, key=lambda f: (not f[2], not f[3], f[0])):  # named, then known, then other runs
+        if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
+            kept.append(span)
+    return sorted(kept)
+
+
 def candidates(
     docs: DataFrame, dictionary: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False
 ) -> DataFrame:
@@ -73,9 +102,7 @@ def candidates(
             ids, starts, values, rows = [], [], [], []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                for m in (_ORDINARY if ordinary else _CANDIDATE).finditer(text):
-                    a, b = m.span(0 if ordinary else m.lastgroup)
-                    named, known = (False, False) if ordinary else (m["name"] is not None, m["known"] is not None)
+                for a, b, named, known in [(*m.span(), False, False) for m in _ORDINARY.finditer(text)] if ordinary else find(text):
                     ids.append(id_)
                     starts.append(a)
                     values.append(text[a:b])
