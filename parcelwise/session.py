@@ -28,11 +28,13 @@ def get_spark(app_name: str = "parcelwise", master: str | None = None, **conf: s
     )
     if master:
         builder = builder.master(master)
-    if not (master or "").startswith("local"):
-        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(CLUSTER_PARTITIONS))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if not spark.sparkContext.master.startswith("local") and spark.conf.get(initial, None) is None:
+        spark.conf.set(initial, str(CLUSTER_PARTITIONS))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
