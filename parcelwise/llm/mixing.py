@@ -126,9 +126,8 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: str) -> DataFrame:
         halves = F.array(F.struct(F.col("shard"), F.col("left").alias("held")), F.struct((F.col("shard") + width).alias("shard"), right.alias("held")))
         nodes = nodes.select(F.explode(halves).alias("n")).select("n.shard", "n.held")
     leaves = nodes.select("shard", F.explode("held").alias("h")).select("shard", "h.place", "h.blocks")
-    lists = leaves.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "blocks"))), lambda x: x["blocks"]).alias("quota"))
-    ends = F.transform("quota", lambda x, i: F.aggregate(F.slice("quota", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y))
-    return lists.select("place", ends.alias("ends"))
+    leaves = leaves.withColumn("end", F.sum("blocks").over(Window.partitionBy("place").orderBy("shard")))
+    return leaves.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
 
 
 def mix_plan(
@@ -185,8 +184,14 @@ def mix(
     return rows.select("row", size.alias("size"), "source_size", "target", (size * F.col("n")).alias("taken"), copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy, in shards that are shuffled within."""
+def mixed_documents(docs: DataFrame, shards: int | None = None, shard_rows: int = 8192, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each copy, in shards that are shuffled within.
+
+    Without ``shards``, the next power of two that gives shards of at most about ``shard_rows`` rows, 16 at least,
+    so that a shard stays one task's work however many rows there are.
+    """
+    if shards is None:
+        shards = 1 << max(4, (docs.count() // shard_rows).bit_length())
     rows = mix(docs, shards=shards, **options).select("row", F.explode("copies").alias("c"))
     rows = rows.repartition(shards, "c.shard").sortWithinPartitions("c.shard", "c.turn")
     return rows.select("row.*")
