@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
-    routes = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routes = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
