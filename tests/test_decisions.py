@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.operators import decisions, money
+from parcelwise.plans import choices
+from parcelwise.plans.registry import QUERIES
 
 SCHEMA = (
     "order_id long, p_late decimal(8,4), upgrade_cost decimal(12,2), expected_penalty decimal(18,4), "
@@ -135,3 +137,31 @@ def test_grid_limits_and_first_cell_wins_ties(spark):
 def test_upload_profit_needs_both_numbers(spark):
     rows = spark.createDataFrame([("100", "0.25"), ("x", "0.25"), ("10", None)], "s string, m string")
     assert [r[0] for r in rows.select(money.upload_profit(F.col("s"), F.col("m"))).collect()] == [Decimal("25.00"), None, None]
+
+
+def knapsack(cost, value, budget):
+    best = np.zeros(budget + 1, np.int64)
+    for c, v in zip(cost, value, strict=True):
+        if c <= budget:
+            best[c:] = np.maximum(best[c:], best[: budget + 1 - c] + v)
+    return int(best[-1])
+
+
+def test_tight_budgets_over_all_candidates(spark):
+    """No region, mode, score or id is left out: the query against a knapsack over every candidate of the table."""
+    sf = "/root/testdata/sf0.001"
+    rows = choices._candidates(spark, sf).select("order_id", "order_region", "upgrade_cost", "net_benefit").collect()
+    assert {r.order_id % 5 for r in rows} == set(range(5)) and len({r.order_region for r in rows}) > 1
+    cost, value = [int(r.upgrade_cost * 100) for r in rows], [int(r.net_benefit * 10_000) for r in rows]
+    got = {int(r.budget): r for r in QUERIES["tight_selection_all"].build(spark, sf).collect()}
+    assert set(got) == {200, 777}
+    for budget, r in got.items():
+        assert r.total_cost <= budget and r.expected_total_saving == pytest.approx(knapsack(cost, value, budget * 100) / 10_000, abs=0.006)
+
+
+def test_choice_across_regions_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pairs = [(int(c) + int(rng.integers(1, 90)), int(c)) for c in rng.choice([31, 45, 50, 80, 100], 12)]
+    for budget in (60, 200, 333):
+        chosen = decisions.choose(frame(spark, pairs), "order_id", [str(budget)]).agg(F.sum("net_benefit"), F.sum("upgrade_cost")).first()
+        assert (chosen[0] or 0) == brute([c for _, c in pairs], [p - c for p, c in pairs], budget) and (chosen[1] or 0) <= budget
