@@ -10,7 +10,7 @@
 4. **Removal.** Words covered by a window that is not the first of its kind go.
 
 Documents with the very same words as one with a smaller id add nothing but their own removal, so only the first of
-them enters steps 1 to 3.
+them enters steps 1 to 3. Of rows that share id and text, one enters; what is found for it holds for all.
 """
 
 from __future__ import annotations
@@ -282,10 +282,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
     copies = scanned.join(firsts, "same").filter("did > first").select("did", "tk").distinct()
     copies = keep(copies, "copies")
     anchors = scanned.join(copies, ["did", "tk"], "left_anti").select("did", "tk", "twice", F.explode("anchors").alias("anchor"))
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 or twice")
+    # repeated rows (same did, same tk) are one place, so places are told apart by their hash and not counted
+    place = F.xxhash64("did", "tk")
+    often = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.bool_or("twice").alias("twice"))
+    often = often.filter("low < high or twice")
     often = keep(often.select("anchor"), "recurring-phrases")
-    needs = anchors.join(often, "anchor").groupBy("did", "tk").agg(F.collect_set("anchor").alias("anchors"))
-    needs = keep(needs, "phrases-of-documents")
+    needs = anchors.join(often, "anchor").groupBy("did", "tk").agg(F.collect_set("anchor").alias("anchors"), F.count("*").alias("n"))
+    # a row lists an anchor once, so a document with more of them than distinct ones is a repeated row
+    needs = keep(needs.select("did", "tk", "anchors", (F.col("n") > F.size("anchors")).alias("repeated")), "phrases-of-documents")
+    repeated = keep(needs.filter("repeated"), "phrases-of-repeated-rows")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -302,7 +307,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, id_col:
         if held:
             yield _of_documents(pa.Table.from_batches(held))
 
-    found = rows.join(needs, ["did", "tk"]).select("did", "tk", "text", "anchors").mapInArrow(locate, _FOUND_SQL)
+    shards = rows.join(needs.filter("not repeated"), ["did", "tk"]).select("did", "tk", "text", "anchors")
+    if not repeated.isEmpty():
+        one = rows.join(repeated.select("did", "tk"), ["did", "tk"]).groupBy("did", "tk").agg(F.any_value("text").alias("text"))
+        shards = shards.unionByName(one.join(repeated, ["did", "tk"]).select("did", "tk", "text", "anchors"))
+    found = shards.mapInArrow(locate, _FOUND_SQL)
     repeats = found.repartition("route").mapInArrow(answer, _FOUND_SQL)
     gone = repeats.repartition("route").mapInArrow(gather, "did long, tk long, gone array<int>")
     gone = gone.unionByName(copies.withColumn("gone", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True)), allowMissingColumns=True)

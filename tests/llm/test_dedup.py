@@ -235,3 +235,18 @@ def test_substring_dedup_of_odd_tables(spark):
     assert [(r.doc_id, r.n_removed) for r in got] == [(1, 0), (1, 0), (2, 30)] and got[2].kept_text == "x"
     assert substrings.substring_dedup(docs(spark, rows).limit(0)).count() == 0
     assert substrings.substring_dedup(docs(spark, [(1, None), (2, "a b")])).agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_repeated_rows_keep_their_first_place(spark, broadcast):
+    """Rows that share id and text meet in one shard; they are no copies of each other, with an id or without."""
+    passage, other = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
+    rows = [(1, passage), (1, passage), (1, passage), (2, "x " + passage), (None, other), (None, other), (3, other + " y"), (4, passage + " " + passage), (4, passage + " " + passage)]
+    rows += [(5, " ".join(f"r{k}" for k in range(25)))] * 2
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = substrings.substring_dedup(docs(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == plain_substrings(rows, 20)
