@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.llm import exact, langid, mixing, packing, simhash
 from parcelwise.llm.common import keep
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped``; all columns unchanged, null ids equal each other."""
-    ids = keep(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
+_ROW = "_row_of_stage"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written, so that all that follows sees the same numbers."""
+    return keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _one_of_each(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
+    """Of the numbered ``rows``, that with the least ``best`` of each of ``groups`` (row number, _group), and all without a group."""
+    members = keep(rows.select(_ROW, F.col("doc_id").cast("long").alias("doc_id")).join(groups, _ROW).select("_group", _ROW, best.alias("_best")), "members")
+    winners = keep(members.groupBy("_group").agg(F.min_by(_ROW, "_best").alias(_ROW)).select(_ROW), "winners")
+    dropped = keep(members.select(_ROW).join(winners, _ROW, "left_anti"), "dropped")
+    return rows.join(dropped, _ROW, "left_anti").drop(_ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _without(docs, exact.exact_dedup(docs).filter("not kept"))
+    """Of equal texts, one row: that with the largest doc_id, one without an id only if no other has one."""
+    rows = _numbered(docs)
+    found = exact.exact_dedup(rows, id_col=_ROW).filter("group_size > 1")
+    best = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"), F.col(_ROW))
+    return _one_of_each(rows, found.select(F.col("doc_id").alias(_ROW), F.col("keep_id").alias("_group")), best)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by at most 4 differing bits, that with the smallest doc_id."""
-    return _without(docs, simhash.simhash_dedup(docs, width=4, max_bits=4).filter("not kept"))
+    """One row of each group linked by at most 4 differing bits: that with the smallest doc_id, one without an id only if no other has one."""
+    rows = _numbered(docs)
+    found = simhash.simhash_dedup(rows, width=4, max_bits=4, id_col=_ROW)
+    best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_ROW))
+    return _one_of_each(rows, found.select(F.col("doc_id").alias(_ROW), F.col("component_id").alias("_group")), best)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,22 @@ def test_known_copies_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = exact.exact_dedup(docs).filter("kept").count()
     assert kept == docs.select("text").distinct().count()
+
+
+def test_dedup_stages_decide_by_row(spark):
+    """Rows without an id, and different texts under one id, stand or fall by their own text."""
+    words = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    texts = {c: words(c) for c in ("copied", "alone", "lonely", "under", "shared", "noid", "twin")}
+    rows = [
+        (5, texts["copied"]), (None, texts["copied"]), (None, texts["alone"]), (None, texts["lonely"]),
+        (7, texts["copied"]), (7, texts["under"]), (8, texts["under"]), (7, texts["shared"]),
+        (None, texts["noid"]), (None, texts["noid"]), (None, texts["noid"]), (9, texts["twin"]), (9, texts["twin"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {"copied": 7, "alone": None, "lonely": None, "under": 8, "shared": 7, "noid": None, "twin": 9}
+    exactly = corpus_pipeline.exact_dedup(spark, docs, SF)
+    assert exactly.columns == docs.columns
+    assert sorted((r.text, repr(r.doc_id)) for r in exactly.collect()) == sorted((texts[c], repr(i)) for c, i in want.items())
+    want |= {"copied": 5, "under": 7}
+    nearly = corpus_pipeline.simhash_dedup(spark, docs, SF).collect()
+    assert sorted((r.text, repr(r.doc_id)) for r in nearly) == sorted((texts[c], repr(i)) for c, i in want.items())
