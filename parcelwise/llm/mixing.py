@@ -3,8 +3,9 @@
 1. **Targets.** Sources by code point, null last, weigh 1, 2, 3, repeating. They share the total size by weight;
    a target stops at ``max_repeat`` times its source's size and the excess is shared by weight again.
 2. **Copies.** A document is taken ``floor(target / source size)`` times, and once more if it comes early enough in
-   its source's permutation (by MD5 of the id) to fill the rest. The permutation's border is found by descending
-   through its bits: five passes over (source, key, size), each summing at most 4,096 cells for a source.
+   its source's permutation (by MD5 of the id, then a hash of the text, then a number among rows that share both) to
+   fill the rest. The permutation's border is found by descending through its bits: five passes over (source, key,
+   size), each summing at most 4,096 cells for a source; five more over the rows at the border if several share its key.
 3. **Splitting tree.** Each source's copies form blocks. A node holds the blocks of a range of shards; its left
    half draws its share from the multivariate hypergeometric distribution, source after source, until each
    shard has its exact count of each source's blocks.
@@ -21,6 +22,7 @@ from parcelwise.llm.common import WORD, keep, n_words
 
 _DIGIT = 12
 _KEY = 60
+_KEYS = ("key", "text_key", "number")  # rows are ordered by these, each from 0 to 2**60 - 1
 
 
 def source_targets(sources: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -49,24 +51,76 @@ def _key(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def _borders(rows: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(source, border): of ``rows`` (source, key, size), keys below the border sum up to the source's ``quota`` as nearly as whole rows can."""
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    state = quotas.select("source", "quota", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+def _text_key(text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))), 64 - _KEY)
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (row, the keys), and (source, the keys, size) of each row.
+
+    Numbers are 0 unless rows share source, id and text: then all rows are written with a number of their own, so
+    that both tables have the same.
+    """
+    def keyed(row: DataFrame, number: Column) -> tuple[DataFrame, DataFrame]:
+        held = row.select(
+            "row", F.col(f"row.`{source_col}`").cast("string").alias("src"), _key(F.col(f"row.`{id_col}`"), seed).alias("key"),
+            _text_key(F.col(f"row.`{text_col}`")).alias("text_key"), number.alias("number"),
+        )
+        return held, keep(held.select(F.col("src").alias("source"), *_KEYS, n_words(F.col(f"row.`{text_col}`").cast("string")).alias("size")), "mix-sizes")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held, sizes = keyed(rows, F.lit(0).cast("long"))
+    if sizes.groupBy("source", "key", "text_key").count().filter("count > 1").isEmpty():
+        return held, sizes
+    numbered = keep(rows.select("row", F.monotonically_increasing_id().alias("at")), "mix-numbered")
+    return keyed(numbered, F.shiftrightunsigned(F.xxhash64(F.lit(seed), "at"), 64 - _KEY))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
+
+
+def _descend(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """(source, quota, prefix, below, last, n): the ``key`` at which the sizes of ``rows`` exceed the quota of ``state``, what comes before, and size and number of the rows there."""
+    state = state.select("source", "quota", F.lit(0).cast("long").alias("prefix"), "below")
     for level in range(_KEY // _DIGIT):
         shift = _KEY - _DIGIT * (level + 1)
-        joined = rows.alias("a").join(state.alias("b"), same("source", "source")).select("b.source", "b.quota", "b.prefix", "b.below", "a.key", "a.size")
+        joined = rows.alias("a").join(state.alias("b"), _same("source", "source")).select("b.source", "b.quota", "b.prefix", "b.below", F.col(f"a.{key}").alias("key"), "a.size")
         inside = joined.filter(F.shiftright("key", shift + _DIGIT) == F.col("prefix"))
-        cells = inside.groupBy("source", "quota", "prefix", "below", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("size"))
+        cells = inside.groupBy("source", "quota", "prefix", "below", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("cell"))
         cells = cells.withColumn("upto", F.col("below") + upto).filter(F.col("upto") > F.col("quota"))
-        hit = cells.groupBy("source", "quota").agg(F.min(F.struct("cell", "upto", "size")).alias("hit"))
-        state = hit.select("source", "quota", F.col("hit.cell").alias("prefix"), (F.col("hit.upto") - F.col("hit.size")).alias("below"), F.col("hit.size").alias("last"))
+        hit = cells.groupBy("source", "quota").agg(F.min(F.struct("cell", "upto", "size", "n")).alias("hit"))
+        state = hit.select(
+            "source", "quota", F.col("hit.cell").alias("prefix"), (F.col("hit.upto") - F.col("hit.size")).alias("below"), F.col("hit.size").alias("last"), F.col("hit.n").alias("n")
+        )
         state = keep(state, "mix-border")
-    taken = 2 * F.col("below") + F.col("last") <= 2 * F.col("quota")
-    found = state.select("source", (F.col("prefix") + F.when(taken, 1).otherwise(0)).alias("border"))
-    out = quotas.alias("a").join(found.alias("b"), same("source", "source"), "left")
-    return out.select("a.*", F.coalesce("border", F.lit(1 << _KEY)).alias("border"))
+    return state
+
+
+def _borders(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``quotas`` with the array border: of ``rows`` (source, the keys, size), those before it in the order of the keys sum up to the source's ``quota`` as nearly as whole rows can."""
+    state, found = quotas.select("source", "quota", F.lit(0).cast("long").alias("below")), []
+    zero, passed = F.lit(0).cast("long"), []
+    for depth, key in enumerate(_KEYS):
+        state = _descend(rows, state, key)
+        if depth:
+            state = keep(state.alias("a").join(before.alias("b"), _same("source", "source")).select("a.*", *[f"b.{c}" for c in passed]), "mix-border-keys")  # noqa: F821 - of the turn before
+        last = depth == len(_KEYS) - 1
+        taken = (2 * F.col("below") + F.col("last") <= 2 * F.col("quota")).cast("long")
+        ends = state if last else state.filter("n = 1")
+        found.append(ends.select("source", F.array(*passed, F.col("prefix") + taken, *[zero] * (len(_KEYS) - 1 - depth)).alias("border")))
+        state = state.filter("n > 1")
+        if last or state.isEmpty():
+            break
+        passed.append(f"border_{key}")
+        before = state = state.withColumnRenamed("prefix", passed[-1])
+        rows = keep(rows.alias("a").join(state.alias("b"), _same("source", "source") & (F.col(f"a.{key}") == F.col(f"b.{passed[-1]}"))).select("a.*"), "mix-border-rows")
+    borders = found[0]
+    for more in found[1:]:
+        borders = borders.unionByName(more)
+    out = quotas.alias("a").join(borders.alias("b"), _same("source", "source"), "left")
+    return out.select("a.*", F.coalesce("border", F.array(F.lit(1 << _KEY), zero, zero)).alias("border"))
 
 
 def _draw(total: Column, good: Column, drawn: Column, u: Column) -> Column:
@@ -130,15 +184,8 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: str) -> DataFrame:
     return leaves.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def mix_plan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    shards: int = 16, block_rows: int = 64, max_repeat: int = 3, seed: str = "mix",
-) -> DataFrame:
-    """(source, source_size, rows, target, repeats, border, ends, place): what each source gives to the mix, one row per source."""
-    rows = docs.select(
-        F.col(source_col).cast("string").alias("source"), _key(F.col(id_col), seed).alias("key"), n_words(F.col(text_col).cast("string")).alias("size")
-    )
-    rows = keep(rows, "mix-sizes")
+def mix_plan(rows: DataFrame, shards: int = 16, block_rows: int = 64, max_repeat: int = 3, seed: str = "mix") -> DataFrame:
+    """(source, source_size, rows, target, repeats, border, ends, place): what each source of ``rows`` (source, the keys, size) gives to the mix, one row per source."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sources = source_targets(sources, max_repeat)
     ratio = F.col("target") / F.col("source_size")
@@ -162,23 +209,22 @@ def mix(
 
     ``copies`` is an array of (copy, shard, turn), empty for a row that the mix leaves out; ``taken`` is its
     length times the row's size. Sizes are words; null and empty texts have size 0, and a source of size 0 gives
-    nothing. Rows that share an id share their draw, so they are taken together, as do all rows without an id.
-    A null source is a source of its own. Clashing column names cannot arise, since the row is a struct. Reruns
-    agree. An empty table gives no rows. A source's taken words are within half a document of its target.
+    nothing. Each row has a draw of its own, also those that share an id or have none; of rows that share id and text
+    some may be taken. A null source is a source of its own. Clashing column names cannot arise, since the row is a struct. Reruns
+    agree; which of several rows with the same id and text are taken follows their order in the files. An empty table gives no rows. A source's taken words are within half a document of its target.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, shards, block_rows, max_repeat, seed)
+    rows, sizes = _numbered(docs, id_col, text_col, source_col, seed)
+    plan = mix_plan(sizes, shards, block_rows, max_repeat, seed)
     # ends and counts of a source are a few dozen bytes for each shard; one row per source
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("src", F.col(f"row.`{source_col}`").cast("string")).withColumn("key", _key(F.col(f"row.`{id_col}`"), seed))
     rows = rows.join(plan, F.col("src").eqNullSafe(F.col("source")))
     size = n_words(F.col(f"row.`{text_col}`").cast("string"))
-    count = F.col("repeats") + F.when((F.col("key") < F.col("border")) & (F.col("quota") > 0), 1).otherwise(0)
+    count = F.col("repeats") + F.when((F.array(*_KEYS) < F.col("border")) & (F.col("quota") > 0), 1).otherwise(0)
     rows = rows.withColumn("n", count)
 
     def placed(copy: Column) -> Column:
-        block = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), copy), F.col("blocks"))
+        block = F.pmod(F.xxhash64(F.lit(seed), *_KEYS, copy), F.col("blocks"))
         shard = F.size(F.filter("ends", lambda e: e <= block))
-        return F.struct(copy.alias("copy"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit("turn"), F.col("key"), copy).alias("turn"))
+        return F.struct(copy.alias("copy"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit("turn"), *_KEYS, copy).alias("turn"))
 
     copies = F.transform(F.slice(F.sequence(F.lit(0), F.lit(max_repeat)), F.lit(1), F.col("n")), placed)
     return rows.select("row", size.alias("size"), "source_size", "target", (size * F.col("n")).alias("taken"), copies.alias("copies"))

@@ -168,8 +168,9 @@ def _first_of_each(w1: np.ndarray, w2: np.ndarray, did: np.ndarray) -> np.ndarra
 
 
 def _packed(asks: bool, columns: list[np.ndarray], routes: int) -> list[dict]:
-    """One row per route: the arrays as bytes. Windows are routed by w1, known repeats by doc_id."""
-    route = columns[0 if asks else 2].view(np.uint64) % np.uint64(routes)
+    """One row per route: the arrays as bytes. Windows are routed by w1, known repeats by id and text."""
+    did, tk = columns[2].view(np.uint64), columns[3].view(np.uint64)
+    route = (columns[0].view(np.uint64) if asks else _scramble(did) ^ tk) % np.uint64(routes)
     order = np.argsort(route, kind="stable")
     route, columns = route[order], [c[order] for c in columns]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(route)) + 1, [len(route)])) if len(route) else np.zeros(1, np.int64)

@@ -325,6 +325,28 @@ def test_mixed_documents(spark):
     assert mixing.mix(blank).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    """Rows without an id, with one id, or wholly equal: each has a draw and a shard of its own."""
+    rng = random.Random(9)
+    rows = [(None, " ".join(["w"] * rng.randrange(1, 30)) + f" {k}", "a") for k in range(300)]
+    rows += [(7, " ".join(["w"] * rng.randrange(1, 30)) + f" {k}", "b") for k in range(90)] + [(None, "same words here", "c")] * 120 + [(k, f"w {k}", "d") for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(frame, shards=8, block_rows=4).collect()
+    taken, target, copies = collections.Counter(), {}, collections.defaultdict(set)
+    for r in got:
+        taken[r.row.source] += r.taken
+        target[r.row.source] = r.target
+        copies[r.row.source].add(len(r.copies))
+    longest = {"a": 31, "b": 31, "c": 3, "d": 2}
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= longest[s] / 2 for s in longest)
+    assert len(copies["a"]) == 2
+    per_shard = collections.Counter(c.shard for r in got if r.row.source in "abc" for c in r.copies)
+    assert len(per_shard) == 8 and max(per_shard.values()) < 2 * min(per_shard.values())
+    documents = frame.filter("source = 'd'").toPandas()  # noqa: F841 - read by the SQL
+    alone = mixing.mix(frame.filter("source = 'd'")).select("row.doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, alone)) == sorted(duckdb.sql(mixing.SQL).fetchall())
+
+
 def test_hypergeometric_draws_are_exact_and_unbiased(spark):
     frame = spark.range(4000).select(F.lit(20).cast("long").alias("n"), F.lit(7).cast("long").alias("k"), F.lit(9).cast("long").alias("d"), ((F.col("id") + 0.5) / 4000).alias("u"))
     got = collections.Counter(r[0] for r in frame.select(mixing._draw(F.col("n"), F.col("k"), F.col("d"), F.col("u"))).collect())

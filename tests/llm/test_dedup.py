@@ -250,3 +250,13 @@ def test_repeated_rows_keep_their_first_place(spark, broadcast):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert sorted((repr(r[0]), *r[1:]) for r in got) == plain_substrings(rows, 20)
+
+
+def test_repeats_without_an_id_are_dealt_out():
+    """All documents without an id have one did; their repeats go to many routes, each document's to one."""
+    did, tk = np.full(4000, -(1 << 63)), np.repeat(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 1000), 4)
+    start = np.arange(4000, dtype=np.int32)
+    none = np.zeros(4000, np.int64)
+    rows = substrings._packed(False, [none, none, did, tk, start], 16)
+    held = [set(np.frombuffer(r["tk"], np.int64).tolist()) for r in rows]
+    assert len(rows) == 16 and max(map(len, held)) < 2 * min(map(len, held)) and sum(map(len, held)) == 1000
