@@ -38,15 +38,16 @@ _CONTENT = frozenset("article post-content entry-content article-body main-conte
 _CLOSES_P = _BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 _OWN = frozenset("site page global top main".split())
+_LAYOUT = frozenset("has no not with without open opened closed enabled disabled layout".split())
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
-    """Boilerplate, content or hidden, by role, id and class."""
-    frame = content = hidden = False
+def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool, bool, bool]:
+    """Boilerplate by role, by a whole name, by a part of a name; content; hidden."""
+    role = frame = part = content = hidden = False
     for key, value in attrs:
         written, value = value or "", (value or "").lower()
         if key == "role":
-            frame |= value in _ROLES
+            role |= value in _ROLES
             content |= value in ("main", "article")
         elif key in ("id", "class"):
             for name in written.split():
@@ -54,12 +55,14 @@ def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
                 name = name.lower()
                 content |= name in _CONTENT
                 own = parts & _EDGES  # entry-header is the article's own, site-header is not
-                frame |= name in _NAMES or bool(parts & _NAMES - _EDGES) or bool(own and parts & _OWN)
+                # has-sidebar and comments-open tell of a layout, not of what the element is
+                frame |= name in _NAMES
+                part |= not parts & _LAYOUT and bool(parts & _NAMES - _EDGES or own and parts & _OWN)
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             hidden = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return frame, content, hidden
+    return role, frame, part, content, hidden
 
 
 class _Events(HTMLParser):
@@ -67,21 +70,22 @@ class _Events(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, element number, silent, boilerplate
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, element number, silent, boilerplate (by 1: part of a name, 2: name, 3: tag, role or hidden)
         self.elements = 0
         self.articles: set[int] = set()  # numbers of article elements
+        self.pages: set[int] = set()  # of html and body
         self.mains: set[int] = set()  # of others that name themselves content
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0  # characters of the line that lie in links
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int, bool]] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             around = tuple(e[1] for e in self.stack)
             links = self.linked >= 0.9 * len("".join(text.split()))
-            self.lines.append((text, self.tags, around, bool(self.stack) and self.stack[-1][3], links))
+            self.lines.append((text, self.tags, around, self.stack[-1][3] if self.stack else 0, links))
         if text or self.tags:
             self.tags = 0
         self.text, self.linked = [], 0
@@ -115,13 +119,20 @@ class _Events(HTMLParser):
                 self.text.append(" ")
             return
         self.elements += 1
-        frame, content, hidden = _named(attrs)
-        silent, boiler = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
+        role, frame, part, content, hidden = _named(attrs)
+        silent, boiler = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, 0)
+        holds = tag in ("article", "main") or content
         if tag == "header":  # an article's own header holds its headline
-            frame |= not any(e[1] in self.articles for e in self.stack)
-        elif not frame and not boiler and (tag in ("article", "main") or content):
+            role |= not any(e[1] in self.articles for e in self.stack)
+        elif holds and not role and not frame and boiler < 2:
+            # what names itself an article overrules parts of names, its own and those around it
             (self.articles if tag == "article" else self.mains).add(self.elements)
-        boiler |= tag in _FRAME or frame and tag not in ("body", "html") or hidden
+            part = False
+            boiler = 0
+        if tag in ("body", "html"):
+            self.pages.add(self.elements)
+            role = frame = part = False
+        boiler = max(boiler, 3 if tag in _FRAME or role or hidden else 2 if frame else 1 if part else 0)
         self.stack.append((tag, self.elements, silent or tag in _SILENT, boiler))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -182,17 +193,22 @@ def main_text(page: str | None) -> str:
     events = _Events()
     events.feed(page)
     events.done()
+    size = lambda lines: sum(len(line[0]) for line in lines)
     live = [line for line in events.lines if not line[3]]
+    # parts of names that hold nearly all text name the page's layout; whole names are believed unless nothing else is left
+    wider = [line for line in events.lines if line[3] < 2]
+    if 50 * size(live) < size(wider):
+        live = wider
+    live = live or [line for line in events.lines if line[3] < 3]
     if not live:
         return ""
-    size = lambda lines: sum(len(line[0]) for line in lines)
     for named in (events.articles, events.mains):
         within = [line for line in live if named.intersection(line[2])]
         if 2 * size(within) >= size(live):  # teasers may be marked up as articles, too
             return "\n\n".join(line[0] for line in within)
     # lines of links that follow each other are a menu, whatever it is called
     menu = [a[4] and (b[4] or c[4]) for a, b, c in zip(live, [("",) * 4 + (False,), *live], [*live[1:], ("",) * 4 + (False,)], strict=False)]
-    live = [line for line, drop in zip(live, menu, strict=True) if not drop]
+    every, live = live, [line for line, drop in zip(live, menu, strict=True) if not drop]
     if not live:
         return ""
     values = smoothed_ratios(live)
@@ -205,7 +221,12 @@ def main_text(page: str | None) -> str:
     total = sum(len(line[0]) for line, above in zip(live, upper, strict=True) if above)
     # elements are numbered in page order and nest, so of those that hold most of the text the last is the smallest
     region = max((e for e, n in held.items() if n >= 0.8 * total), default=None)
-    return "\n\n".join(line[0] for line in live if region is None or region in line[2])
+    if region is None or region in events.pages:
+        return "\n\n".join(line[0] for line in live if region is None or region in line[2])
+    # in the region of a story, links that follow its text are a list of the story's own
+    within = [(line, drop) for line, drop in zip(every, menu, strict=True) if region in line[2]]
+    first = next(k for k, (_, drop) in enumerate(within) if not drop)
+    return "\n\n".join(line[0] for line, _ in within[first:])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

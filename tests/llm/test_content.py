@@ -132,6 +132,30 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "<p>A first paragraph of the story that is long enough.</p><p>A second paragraph, as long as the first one is.</p>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='content has-sidebar'", "div id=page class=no-sidebar", "article class='post comments-open'", "main class=layout-sidebar",
+    "article class='post sidebar-post'", "div class=sidebar-page", "div class=sidebar",
+])
+def test_layout_names_do_not_empty_a_page(wrapper):
+    whole = "A first paragraph of the story that is long enough.\n\nA second paragraph, as long as the first one is."
+    assert html.main_text(f"<body><nav>Menu</nav><{wrapper}>{STORY}</{wrapper.split()[0]}></body>") == whole
+
+
+@pytest.mark.parametrize("name", ["left-sidebar", "sidebar-left", "nav-wrapper", "comments-area", "cookie-banner"])
+def test_compound_names_of_frames_still_count(name):
+    assert "Other" not in html.main_text(f"<body><div class=story>{STORY}</div><div class={name}><p>Other words that are long enough to look like text.</p></div>")
+
+
+def test_reference_list_of_links_stays():
+    links = "<ul><li><a href=a>First source of the story</a><li><a href=b>Second source of the story</a></ul>"
+    menu = "<ul><li><a href=/>Home page</a><li><a href=/n>News page</a></ul>"
+    text = html.main_text(f"<body><div>{menu}</div><div class=story>{menu}{STORY}{links}</div></body>")
+    assert "Second source of the story" in text and "First source of the story" in text and "page" not in text
+
+
 def test_extract_text(spark):
     rows = [(1, "u", NEWS, "x"), (2, None, None, "x"), (None, "v", "<p>" + "long " * 40_000, "x"), (1, "u", NEWS, "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(2)
