@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest on labelled findings.
 
-Candidates are assigned values (``name = value``), values with a known prefix and long runs of token characters.
+Candidates are assigned values (``name = value``, the name quoted or not), passwords in URLs, values with a known
+prefix, private keys from BEGIN to END and long runs of token characters.
 The forest sees length, character transitions, dictionary coverage, whether the value or its surroundings look
 like a path, and the neighbouring words; it is trained on findings with labels.
 """
@@ -22,12 +23,13 @@ from parcelwise.llm.common import keep
 
 _VALUE = r"[A-Za-z0-9+/=_.~$@!%^&*-]"
 _KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "auth", "credential", "private_key", "privatekey")
-_NAMED = re.compile(rf"(?i:{'|'.join(_KEYS)})[A-Za-z0-9_.-]*\s{{0,8}}(?:=>|=|:)\s{{0,8}}[\"'`]?({_VALUE}{{8,}})")
+_NAMED = re.compile(rf"(?i:{'|'.join(_KEYS)})[A-Za-z0-9_.-]*[\"'`]?\s{{0,8}}(?:=>|=|:)\s{{0,8}}[\"'`]?({_VALUE}{{8,}})")
 _LONG = re.compile(r"\S{15,}")
 _KNOWN = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abprs]-[A-Za-z0-9-]{10,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _BEGIN = "-----BEGIN "
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:[A-Za-z0-9+/=:,.\s\\-]{0,32768}?-----END \1-----)?")
+_URL = re.compile(r"(?<=://)[^\s/:@\"'`<>]{0,256}:([^\s/@\"'`<>]{3,256})@(?=[A-Za-z0-9\[])")
 _ORDINARY = re.compile(r"(?<!\S)[^\W\d_]{12,}(?!\S)")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
 _ASKS = frozenset("password passwd pwd secret token key apikey api auth credential credentials bearer private access login".split())
@@ -73,6 +75,8 @@ def find(text: str) -> list[tuple[int, int, bool, bool]]:
         found += [(*m.span(1), True, bool(_KNOWN.fullmatch(m[1]))) for m in _NAMED.finditer(text)]
     if _BEGIN in text:
         found += [(*m.span(), False, True) for m in _KEY_BLOCK.finditer(text)]
+    if "://" in text:
+        found += [(*m.span(1), True, bool(_KNOWN.fullmatch(m[1]))) for m in _URL.finditer(text)]
     for word in _LONG.finditer(text):
         at, value = word.start(), word[0]
         if "_" in value or "-" in value or "AKIA" in value or "ASIA" in value:
@@ -83,7 +87,7 @@ def find(text: str) -> list[tuple[int, int, bool, bool]]:
                 if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
             ]
     kept: list[tuple[int, int, bool, bool]] = []
-    for span in sorted(found, key=lambda f: (not f[2], not f[3], f[0])):  # named, then known, then other runs
+    for span in sorted(found, key=lambda f: (not (f[3] and text.startswith(_BEGIN, f[0])), not f[2], not f[3], f[0])):  # whole keys, named, then known, then other runs
         if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
             kept.append(span)
     return sorted(kept)
@@ -127,8 +131,8 @@ def common_words(docs: DataFrame, size: int = 5000, text_col: str = "text") -> f
 def labelled(docs: DataFrame, dictionary: frozenset[str], sample_docs: int = 20_000, per_class: int = 20_000) -> DataFrame:
     """(features, label) from about ``sample_docs`` documents, for tables without reviewed findings.
 
-    A value assigned to a secret's name, or of a known form, is a finding (1) unless its neighbours deny it, words
-    cover it or it is a path; these and the long words of the running text are none (0). Candidates in between
+    A value of a known form is a finding (1). One assigned to a secret's name is, too, unless its neighbours deny it,
+    words cover it or it is a path; these and the long words of the running text are none (0). Candidates in between
     are left to the forest.
     """
     total = docs.count()
@@ -136,7 +140,7 @@ def labelled(docs: DataFrame, dictionary: frozenset[str], sample_docs: int = 20_
     picked = docs.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) <= F.lit(rate)).select("doc_id", "text")
     f = lambda name: F.col("features")[FEATURES.index(name)]
     denied = (f("denies") > 0) | (f("path") > 0) | (f("dictionary") > 0.5) | (f("entropy") < 2)
-    label = F.when(denied, 0).when((f("known") > 0) | (f("named") > 0) & (f("length") >= 16) & (f("digits") > 0), 1)
+    label = F.when(f("known") > 0, 1).when(denied, 0).when((f("named") > 0) & (f("length") >= 16) & (f("digits") > 0), 1)
     findings = candidates(picked, dictionary).select("features", label.alias("label")).filter("label is not null")
     words = candidates(picked, dictionary, ordinary=True).select("features", F.lit(0).alias("label"))
     words = words.filter(F.pmod(F.xxhash64("features"), F.lit(50)) == 0)
