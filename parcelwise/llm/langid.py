@@ -27,6 +27,7 @@ _CACHE_WORDS = 100_000
 _CACHE_CHARS = 1 << 16  # of words that are scored together
 _ROWS = 200  # texts that are scored together
 _BUCKETS = 24  # lengths by powers of two, for calibration
+_POOL, _QUANTILE = 100, 0.99  # calibration texts that a limit is taken from at least, and how many of them it lets pass
 
 
 def words_of(text: str | None) -> Counter:
@@ -214,11 +215,20 @@ def _bucket(length: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(length, 1)).astype(int), _BUCKETS - 1)
 
 
-def train(docs: DataFrame, sample_chars: int = 1_000_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[dict]:
+def _limits(cost: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Highest cost accepted by bucket of length: a quantile over its texts and the nearest in length, so that a garbled text or two lift nothing."""
+    limit, bucket = np.full(_BUCKETS, np.inf), _bucket(length)
+    for b in range(_BUCKETS) if len(cost) else ():
+        near = np.argsort(np.abs(bucket - b), kind="stable")[: max(_POOL, int((bucket == b).sum()))]
+        limit[b] = np.quantile(cost[near], _QUANTILE, method="lower")
+    return np.maximum.accumulate(limit[::-1])[::-1] + 1.0
+
+
+def train(docs: DataFrame, sample_chars: int = 1_500_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """One model per language of the rows that are not held out, from about ``sample_chars`` characters of each.
 
     The sample takes whole texts by a hash of id and text, at a rate from the language's total; four fifths of it
-    fit the model, a fifth calibrates the rejection: the highest cross-entropy (nats per character) seen by length,
+    fit the model, a fifth calibrates the rejection: a high quantile of the cross-entropy (nats per character) by length,
     one nat added, never falling with shorter texts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -236,11 +246,7 @@ def train(docs: DataFrame, sample_chars: int = 1_000_000, order: int = 5, id_col
             words.update(words_of(text))
         model = fit(words, order)
         cost, length = Scorer([model], order).costs(part.loc[spare, "text"].tolist())
-        limit = np.full(_BUCKETS, -np.inf)
-        if len(length):
-            np.maximum.at(limit, _bucket(length), cost[:, 0])
-        limit = np.maximum.accumulate(limit[::-1])[::-1]
-        limit = np.where(np.isfinite(limit), limit, limit[np.isfinite(limit)].max() if np.isfinite(limit).any() else np.inf) + 1.0
+        limit = _limits(cost[:, 0], length)
         arrays = {k: v.tobytes() for k, v in model.items()}
         return pd.DataFrame([{"lang": part["lang"].iat[0], **arrays, "limit": limit.tobytes()}])
 
@@ -311,7 +317,7 @@ def accepted(docs: DataFrame, models: list[dict], order: int = 5, text_col: str
     return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
-def identify_languages(docs: DataFrame, sample_chars: int = 1_000_000, order: int = 5) -> DataFrame:
+def identify_languages(docs: DataFrame, sample_chars: int = 1_500_000, order: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, lang) trained on and predicted: the rows of ``identify`` with held_out.
 
     ``und`` where the text is null or has no letter. Rows without a language, or an empty table, teach nothing.

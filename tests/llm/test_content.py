@@ -95,6 +95,15 @@ def test_language_rejection_keeps_clean_texts(spark):
     assert langid.accepted(mixed.limit(0), models).count() == 0 and langid.accepted(mixed, []).count() == 0
 
 
+def test_one_garbled_calibration_text_lifts_no_limit():
+    rng = np.random.default_rng(4)
+    cost, length = rng.uniform(2, 3, 300), rng.integers(10, 4000, 300)
+    clean = langid._limits(cost, length)
+    garbled = langid._limits(np.append(cost, 9.0), np.append(length, 3000))
+    assert garbled.max() < 4.01 and np.abs(garbled - clean).max() < 0.2 and (np.diff(garbled) <= 0).all()
+    assert np.isinf(langid._limits(cost[:0], length[:0])).all()
+
+
 # ---------------------------------------------------------------- HTML
 
 NEWS = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head>
