@@ -180,7 +180,8 @@ def _takes(kinds: DataFrame, budget: int) -> tuple[float, dict[tuple[int, int],
         item_cost, item_net, kind, copies = _copies(cost, net, count, spare)
         taken = best_subset(item_cost, item_net, spare)
         gap = bound - (base + int(item_net[taken].sum()))
-        if size >= total["kinds"] or rows[-1]["off"] > gap + slack:
+        # values are whole numbers, so a gap below one leaves nothing to gain
+        if size >= total["kinds"] or gap + slack < 1 or rows[-1]["off"] > gap + slack:
             number = np.bincount(kind[taken], copies[taken], len(rows)).astype(int)
             return price, {(int(c), int(v)): int(m) for c, v, m in zip(cost, net, number, strict=True)}
         size *= 4

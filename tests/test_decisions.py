@@ -165,3 +165,12 @@ def test_choice_across_regions_against_brute_force(spark):
     for budget in (60, 200, 333):
         chosen = decisions.choose(frame(spark, pairs), "order_id", [str(budget)]).agg(F.sum("net_benefit"), F.sum("upgrade_cost")).first()
         assert (chosen[0] or 0) == brute([c for _, c in pairs], [p - c for p, c in pairs], budget) and (chosen[1] or 0) <= budget
+
+
+def test_a_met_bound_ends_the_search(spark, monkeypatch):
+    """Many kinds of the border's density: the first few that fill the budget are an optimum."""
+    asked, solve = [], decisions.best_subset
+    monkeypatch.setattr(decisions, "_CORE", 4)
+    monkeypatch.setattr(decisions, "best_subset", lambda c, v, b: (asked.append(len(c)), solve(c, v, b))[1])
+    chosen = decisions.choose(frame(spark, [(3 * c, c) for c in range(1, 201)]), "order_id", ["10"])
+    assert chosen.agg(F.sum("net_benefit"), F.sum("upgrade_cost")).first() == (20, 10) and asked == [4]
