@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""The queries of the operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import embeddings, exact, html, langid, lines, mixing, packing, secrets, simhash, substrings
+from parcelwise.llm import embeddings, exact, html, langid, lines, merkle, mixing, packing, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op9_secret_scan(spark, sf_dir):
 def op10_source_mix(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(merkle.SQL)
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.tampered(_table(spark, sf_dir, "documents"))
