@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import embeddings, exact, html, langid, lines, merkle, mixing, packing, secrets, simhash, substrings
+from parcelwise.llm import align, embeddings, exact, html, langid, lines, merkle, mixing, packing, secrets, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,16 @@ def op10_source_mix(spark, sf_dir):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@_query(warc.SQL)
+def op11_arc_to_warc(spark, sf_dir):
+    return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query()
+def op12_token_alignment(spark, sf_dir):
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
 @_query(merkle.SQL)
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.tampered(_table(spark, sf_dir, "documents"))
