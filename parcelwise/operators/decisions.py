@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
-import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,7 @@ from parcelwise.operators.mart import mean_exact
 from parcelwise.operators.money import (
     MONEY, complete_fields, dec, mode_cost, region_multiplier, upgrade_cost, with_net_benefit,
 )
-
-_CORE = 256
-_BINS = 1024
+from parcelwise.operators.selection import choose, choose_greedy, wanted  # noqa: F401 - part of this module's functions
 
 
 # --- candidates -------------------------------------------------------------------
@@ -57,222 +53,14 @@ def prepare(
     return candidates(riskiest_item(full, key, ties), threshold)
 
 
-# --- exact choice -------------------------------------------------------------------
-
-
-def best_subset(cost: np.ndarray, value: np.ndarray, budget: int) -> np.ndarray:
-    """Exact 0/1 choice of integer costs and values; True where taken.
-
-    States are non-dominated (cost, value) pairs, extended item by item in order
-    of value per cost; a state whose fractional upper bound does not beat the
-    greedy answer is dropped.
-    """
-    taken = np.zeros(len(cost), dtype=bool)
-    usable = np.flatnonzero((cost <= budget) & (value > 0))
-    if cost[usable].sum() <= budget:
-        taken[usable] = True
-        return taken
-    order = usable[np.argsort(-value[usable] / np.maximum(cost[usable], 1e-9), kind="stable")]
-    c, v = cost[order].astype(np.int64), value[order].astype(np.int64)
-    ends_c, ends_v = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(v)])
-
-    def upper(done: int, used: np.ndarray, gained: np.ndarray) -> np.ndarray:
-        reach = ends_c[done] + (budget - used)
-        last = np.searchsorted(ends_c, reach, side="right") - 1
-        bound = gained + ends_v[last] - ends_v[done]
-        part = last < len(c)
-        nxt = np.minimum(last, len(c) - 1)
-        return bound + np.where(part, (reach - ends_c[last]) * v[nxt] / np.maximum(c[nxt], 1e-9), 0.0)
-
-    used_greedy = value_greedy = 0
-    for ci, vi in zip(c, v):
-        if used_greedy + ci <= budget:
-            used_greedy, value_greedy = used_greedy + ci, value_greedy + vi
-
-    used, gained, trail = np.array([0]), np.array([0]), []
-    for i in range(len(c)):
-        fits = np.flatnonzero(used + c[i] <= budget)
-        all_used = np.concatenate([used, used[fits] + c[i]])
-        all_gained = np.concatenate([gained, gained[fits] + v[i]])
-        parent = np.concatenate([np.arange(len(used)), fits])
-        took = np.concatenate([np.zeros(len(used), bool), np.ones(len(fits), bool)])
-        rank = np.lexsort((took, -all_gained, all_used))
-        best_before = np.concatenate([[-1], np.maximum.accumulate(all_gained[rank])[:-1]])
-        rank = rank[all_gained[rank] > best_before]
-        rank = rank[upper(i + 1, all_used[rank], all_gained[rank]) >= value_greedy]
-        used, gained = all_used[rank], all_gained[rank]
-        trail.append((parent[rank], took[rank]))
-    at = int(np.argmax(gained))
-    for i in range(len(c) - 1, -1, -1):
-        parent, took = trail[i]
-        taken[order[i]] = took[at]
-        at = parent[at]
-    return taken
-
-
-def _density(net: Column, cost: Column) -> Column:
-    return net.cast("double") / F.greatest(cost, F.lit(1)).cast("double")
-
-
-def _wanted(budgets: Sequence) -> list[Decimal]:
-    """The positive budgets of a comparison, a fixed short list, smallest first."""
-    return sorted({Decimal(str(b)) for b in budgets if Decimal(str(b)) > 0})
-
-
-def _border_level(levels: DataFrame, budget: int) -> tuple[float, int]:
-    """The density ``d`` at which ``budget`` runs out, best first, and the cost of everything above it.
-
-    Each pass counts the cost per step of the range that holds the border; the range shrinks to the values of
-    one step, so the passes end at a single density. All levels together must exceed the budget.
-    """
-    edge = levels.agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
-    low, high, above = edge["low"], edge["high"], 0
-    while low < high:
-        place = F.least(F.floor((F.col("d") - low) / (high - low) * _BINS), F.lit(_BINS - 1)).alias("b")
-        inside = levels.where(F.col("d").between(low, high)).groupBy(place)
-        bins = inside.agg(F.sum("all_cost").alias("cost"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
-        for row in sorted(bins, key=lambda r: -r["b"]):
-            if above + int(row["cost"]) > budget:
-                low, high = row["low"], row["high"]
-                break
-            above += int(row["cost"])
-    return low, above
-
-
-def _copies(cost: np.ndarray, value: np.ndarray, count: np.ndarray, budget: int) -> tuple[np.ndarray, ...]:
-    """Kinds with a count as single items of 1, 2, 4, ... copies; also the kind and copies of each item."""
-    kind, size = [], []
-    for k, n in enumerate(np.minimum(count, budget // np.maximum(cost, 1)).tolist()):
-        bit = 1
-        while n > 0:
-            take = min(bit, n)
-            kind.append(k)
-            size.append(take)
-            n, bit = n - take, bit * 2
-    kind, size = np.array(kind, np.int64), np.array(size, np.int64)
-    return cost[kind] * size, value[kind] * size, kind, size
-
-
-def _takes(kinds: DataFrame, budget: int) -> tuple[float, dict[tuple[int, int], int]]:
-    """How an optimum under ``budget`` looks: a price per cost above which every kind is taken whole, and the
-    number taken of each kind near it.
-
-    At any price, the kinds worth more than the price give an upper bound; kinds whose distance from the price
-    exceeds the gap between that bound and a known choice are decided. The known choice is the best one over
-    the kinds nearest to the price, more of them until they hold every undecided kind.
-    """
-    price, _ = _border_level(kinds, budget)
-    off = F.abs(F.col("net") - F.lit(price) * F.col("cost"))
-    rated = kinds.withColumns({"off": off, "above": F.col("d") > price})
-    total = rated.agg(
-        F.coalesce(F.sum(F.when(F.col("above"), F.col("all_cost"))), F.lit(0)).alias("cost"),
-        F.coalesce(F.sum(F.when(F.col("above"), F.col("all_net"))), F.lit(0)).alias("net"), F.count("*").alias("kinds"),
-    ).first()
-    bound = int(total["net"]) + (budget - int(total["cost"])) * price
-    slack = 1e-9 * max(1.0, abs(bound))
-    size = _CORE
-    while True:
-        rows = rated.orderBy("off", "cost", "net").limit(size).collect()
-        cost, net, count = (np.array([int(r[c]) for r in rows], np.int64) for c in ("cost", "net", "n"))
-        above = np.array([r["above"] for r in rows], bool)
-        spare = budget - int(total["cost"]) + int((cost * count)[above].sum())
-        base = int(total["net"]) - int((net * count)[above].sum())
-        item_cost, item_net, kind, copies = _copies(cost, net, count, spare)
-        taken = best_subset(item_cost, item_net, spare)
-        gap = bound - (base + int(item_net[taken].sum()))
-        # values are whole numbers, so a gap below one leaves nothing to gain
-        if size >= total["kinds"] or gap + slack < 1 or rows[-1]["off"] > gap + slack:
-            number = np.bincount(kind[taken], copies[taken], len(rows)).astype(int)
-            return price, {(int(c), int(v)): int(m) for c, v, m in zip(cost, net, number, strict=True)}
-        size *= 4
-
-
-def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
-    """Best affordable set per budget, one row per chosen order; exact for any number of candidates.
-
-    A budget that pays for everything takes everything. Otherwise orders of equal cost and benefit are one kind
-    with a count; all kinds are decided by comparing them with a price per cost except a few near it, which
-    alone go to the solver. Of a kind that is taken in part, the orders with the smallest keys are.
-    """
-    pool = cands.select(key, "p_late", "upgrade_cost", "expected_penalty", "net_benefit", "risk_bucket")
-    pool = pool.where((F.col("net_benefit") > 0) & (F.col("upgrade_cost") >= 0))
-    cost = F.round(F.col("upgrade_cost") * 100).cast("long")
-    net = F.round(F.col("net_benefit") * 10_000).cast("long")
-    wanted = _wanted(budgets)
-    out = pool.limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
-    if not wanted:
-        return out
-    numbered = pool.withColumns({"_cost": cost, "_net": net})
-    kinds = numbered.groupBy(F.col("_cost").alias("cost"), F.col("_net").alias("net")).agg(F.count("*").alias("n"))
-    kinds = kinds.withColumns({
-        "all_cost": F.col("cost") * F.col("n"), "all_net": F.col("net") * F.col("n"),
-        "d": _density(F.col("net"), F.col("cost")),
-    }).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for amount in wanted:
-            budget = int(amount * 100)
-            payable = kinds.where(F.col("cost") <= budget)
-            need = payable.agg(F.sum("all_cost")).first()[0]
-            rows = numbered.where(F.col("_cost") <= budget)
-            if need is not None and int(need) > budget:
-                rows = _rows_of_kinds(rows, key, *_takes(payable.where("cost > 0"), budget))
-            out = out.unionByName(rows.drop("_cost", "_net").withColumn("budget", F.lit(amount).cast("decimal(18,2)")))
-    finally:
-        kinds.unpersist()
-    return out
-
-
-def _rows_of_kinds(rows: DataFrame, key: str, price: float, number: dict[tuple[int, int], int]) -> DataFrame:
-    """Rows of the kinds above ``price`` and the given number of rows of the kinds near it."""
-    spark = rows.sparkSession
-    near = spark.createDataFrame([(c, v, n) for (c, v), n in number.items()], "_cost long, _net long, _take long")
-    marked = rows.join(near, ["_cost", "_net"], "left")
-    whole = (F.col("_cost") == 0) | F.col("_take").isNull() & (_density(F.col("_net"), F.col("_cost")) > price)
-    partly = marked.where("_take > 0")
-    order = Window.partitionBy("_cost", "_net").orderBy(key)
-    # salted: the smallest keys of a kind are among the smallest of its parts, so no task ranks a whole kind first
-    part = Window.partitionBy("_cost", "_net", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)
-    partly = partly.withColumn("_rn", F.row_number().over(part)).where("_rn <= _take")
-    partly = partly.withColumn("_rn", F.row_number().over(order)).where("_rn <= _take")
-    return marked.where(whole).drop("_take").unionByName(partly.drop("_rn", "_take"))
-
-
-def choose_greedy(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
-    """Fill by benefit per cost, best first, until the next order is not affordable.
-
-    Everything above the density at which the budget runs out is taken; only orders of that density are ranked,
-    and of them no more than the rest of the budget can pay for.
-    """
-    rated = cands.where("upgrade_cost > 0").withColumns({
-        "_d": F.try_divide(F.col("net_benefit").cast("double"), F.col("upgrade_cost").cast("double")),
-        "_cents": F.round(F.col("upgrade_cost") * 100).cast("long"),
-    })
-    levels = rated.groupBy(F.col("_d").alias("d")).agg(F.sum("_cents").alias("all_cost"), F.min("_cents").alias("least"))
-    levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cands.limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
-    try:
-        whole = levels.agg(F.sum("all_cost")).first()[0]
-        for amount in _wanted(budgets):
-            budget = int(amount * 100)
-            rows = rated
-            if whole is not None and int(whole) > budget:
-                border, before = _border_level(levels, budget)
-                least = levels.where(F.col("d") == border).first()["least"]
-                tied = rated.where(F.col("_d") == border).orderBy(key).limit((budget - before) // least + 1)
-                running = F.sum("_cents").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-                tied = tied.withColumn("_spent", running).where(F.col("_spent") <= budget - before).drop("_spent")
-                rows = rated.where(F.col("_d") > border).unionByName(tied)
-            out = out.unionByName(rows.drop("_d", "_cents").withColumn("budget", F.lit(amount).cast("decimal(18,2)")))
-    finally:
-        levels.unpersist()
-    return out
+# --- chosen orders ------------------------------------------------------------------
 
 
 def selection_totals(chosen: DataFrame, budgets: Sequence) -> DataFrame:
     """Cost, avoided penalty, saving and budget use; budgets without a choice show 0."""
     spark = chosen.sparkSession
-    wanted = _wanted(budgets)
-    frame = spark.createDataFrame([(b,) for b in wanted], "budget decimal(18,2)")
+    amounts = wanted(budgets)
+    frame = spark.createDataFrame([(b,) for b in amounts], "budget decimal(18,2)")
     totals = chosen.groupBy("budget").agg(
         F.count("*").alias("selected_count"),
         F.sum(F.col("upgrade_cost").cast(MONEY)).alias("c"),

@@ -275,3 +275,22 @@ def dense_index(distinct_df: DataFrame, group: str, key: str, out: str = "code",
         .join(before, [group, "pid"])
         .select(group, key, (F.col("offset") + F.col("local") - 1 + start).cast("int").alias(out))
     )
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of whole numbers ``value`` up to each row in ``order``, within ``by``.
+
+    Rows are sorted by ranges of (by, order) and checkpointed, so that the ranges stay fixed if an executor is
+    lost; a row's sum is that inside its range and the totals of the ranges before it. No task holds more than a
+    range, however large a group is. ``by`` must not be null and, with ``order``, should tell rows apart.
+    """
+    shared_dir(df.sparkSession)
+    sort = [*by, *order]
+    placed = df.withColumn("_value", value.cast("long")).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = placed.withColumn("_at", F.monotonically_increasing_id()).checkpoint().withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = F.sum("_value").over(Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("_inside", inside).join(before, [*by, "_range"])
+    return summed.withColumn(out, F.col("_inside") + F.col("_before")).select(*df.columns, out)

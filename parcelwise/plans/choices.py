@@ -7,7 +7,6 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from parcelwise.constants import REGIONS
 from parcelwise.functions.scalars import hash_id
 from parcelwise.operators import decisions, explain, features, models
 from parcelwise.operators.money import MONEY, complete_fields
@@ -95,40 +94,74 @@ def selection_unlimited(spark, sf_dir):
     return decisions.selection_totals(chosen, [EVERYTHING])
 
 
-# the best value by spent money, item after item: budgets in units of 10 cents, values in 1/10000
-_BEST = """list_reduce(list_prepend(list_transform(range({b} * 10 + 1), lambda x: 0::BIGINT), list([(upgrade_cost * 10)::BIGINT, (net * 10000)::BIGINT])),
-        lambda acc, x: list_transform(range({b} * 10 + 1), lambda s: CASE WHEN s >= x[1] THEN greatest(acc[s + 1], acc[s - x[1] + 1] + x[2]) ELSE acc[s + 1] END))"""
+def _knapsack(budgets, rest):
+    """Exact choice in SQL from ``cand``: per cost only the orders that the largest budget can pay for, best first, as a
+    gain curve; then dynamic programming over spent money, cost by cost from the highest down, for all budgets at once.
+
+    ``spent`` holds the best gain for each amount; a gain is benefit x 2^20 less the number of orders. ``best`` has
+    one row per budget: of equal benefits the one with fewest orders, then the cheapest.
+    """
+    most = max(int(b) for b in budgets) * 100
+    values = ", ".join(f"({int(b)})" for b in budgets)
+    return f""", offers AS (SELECT *, (upgrade_cost * 100)::BIGINT AS cost, (net * 10000)::BIGINT AS gain, row_number() OVER (PARTITION BY upgrade_cost ORDER BY net DESC, order_id) AS place FROM cand),
+      unit AS (SELECT list_reduce(list(DISTINCT cost), lambda x, y: gcd(x, y)) AS u FROM offers),
+      curves AS (SELECT dense_rank() OVER (ORDER BY cost) AS i, cost, cost // u AS c, place AS k, SUM(gain * 1048576 - 1) OVER (PARTITION BY cost ORDER BY place) AS v
+        FROM offers CROSS JOIN unit WHERE place * cost <= {most}),
+      steps AS (SELECT i, c, k, v::BIGINT AS v FROM curves UNION ALL SELECT DISTINCT i, c, 0, 0 FROM curves),
+      spent AS (WITH RECURSIVE t(i, s, v) AS (SELECT (SELECT MAX(i) FROM curves) + 1, 0::BIGINT, 0::BIGINT UNION ALL
+        SELECT t.i - 1, t.s + c * k, MAX(t.v + steps.v)::BIGINT FROM t JOIN steps ON steps.i = t.i - 1
+        WHERE t.s + c * k <= {most} // (SELECT u FROM unit) GROUP BY t.i - 1, t.s + c * k) SELECT * FROM t),
+      best AS (SELECT b, arg_max(struct_pack(s := s, v := v), (v, -s)) AS e FROM spent CROSS JOIN (VALUES {values}) x(b) WHERE i = 1 AND s <= b * 100 // (SELECT u FROM unit) GROUP BY b),
+      sums AS (SELECT b, e.s AS s, (1048576 - e.v % 1048576) % 1048576 AS n, e.s * (SELECT u FROM unit) AS cents, (e.v + n) // 1048576 AS units FROM best),
+      money AS (SELECT b, n, (cents::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS cost, (units::DECIMAL(18,0) * 0.0001)::DECIMAL(18,4) AS net FROM sums){rest}"""
+
+
+# which orders one budget takes: from the lowest cost up, the most orders that still lead to the best value
+_TAKEN = """, walk AS (WITH RECURSIVE w(i, s, k) AS (SELECT 0::BIGINT, s, 0::BIGINT FROM sums UNION ALL
+        SELECT w.i + 1, any_value(w.s) - MAX(steps.k) * any_value(c), MAX(steps.k) FROM w JOIN steps ON steps.i = w.i + 1 JOIN spent a ON a.i = w.i + 1 AND a.s = w.s
+        JOIN spent r ON r.i = w.i + 2 AND r.s = w.s - steps.k * c WHERE r.v + steps.v = a.v GROUP BY w.i) SELECT * FROM w WHERE i > 0),
+      taken AS (SELECT o.* FROM offers o JOIN (SELECT DISTINCT i, cost FROM curves) USING (cost) JOIN walk USING (i) WHERE place <= k)"""
+
+_MONEY = "b::DOUBLE AS budget, n AS selected_count, cost::DOUBLE AS total_cost, ROUND(net, 2)::DOUBLE AS expected_total_saving"
 
 
 @query(
     "OPT-01 OPT-02",
-    over_pred(_RISKIEST.format(t=9000) + f""", one AS (SELECT * FROM cand WHERE order_region = '{REGIONS[0]}' AND shipping_mode = 'Standard Class' AND order_id % 5 = 0)
-      SELECT b::DOUBLE AS budget, ROUND(list_max(CASE b WHEN 200 THEN {_BEST.format(b=200)} ELSE {_BEST.format(b=777)} END) / 10000.0, 2)::DOUBLE AS expected_total_saving
-      FROM one CROSS JOIN (VALUES (200), (777)) v(b) GROUP BY b"""),
+    over_pred(_RISKIEST.format(t=9000) + _knapsack(["200", "777"], " SELECT b::DOUBLE AS budget, ROUND(net, 2)::DOUBLE AS expected_total_saving FROM money")),
 )
 def tight_selection(spark, sf_dir):
-    """Total saving under budgets that do not pay for all: a fifth of one region's standard orders, as far as the twin's lists go."""
-    cands = _candidates(spark, sf_dir, threshold="0.9").where(
-        (F.col("order_region") == REGIONS[0]) & (F.col("shipping_mode") == "Standard Class") & (F.col("order_id") % 5 == 0)
-    )
-    totals = decisions.selection_totals(decisions.choose(cands, "order_id", ["200", "777"]), ["200", "777"])
+    """Total saving of the riskiest candidates under budgets that do not pay for all."""
+    totals = decisions.selection_totals(decisions.choose(_candidates(spark, sf_dir, threshold="0.9"), "order_id", ["200", "777"]), ["200", "777"])
     return totals.select("budget", "expected_total_saving")
 
 
-@query("OPT-01 OPT-02")
+@query("OPT-01 OPT-02", over_pred(_RISKIEST.format(t=3000) + _knapsack(["200", "777"], f" SELECT {_MONEY} FROM money")))
 def tight_selection_all(spark, sf_dir):
-    """Total saving under the same budgets with every candidate of the table competing; held against a plain knapsack in the tests."""
+    """Saving, cost and number of orders under the same budgets with every candidate of the table competing."""
     totals = decisions.selection_totals(decisions.choose(_candidates(spark, sf_dir), "order_id", ["200", "777"]), ["200", "777"])
     return totals.select("budget", "selected_count", "total_cost", "expected_total_saving")
 
 
-@query("OPT-02 OPT-01 JON-11 AGG-34")
+@query(
+    "OPT-02 OPT-01 JON-11 AGG-34",
+    over_pred(_RISKIEST.format(t=3000) + _knapsack(BUDGETS, f""" SELECT {_MONEY}, ROUND(net + cost, 2)::DOUBLE AS expected_total_penalty_avoided,
+      ROUND(cost * 100 / b, 2)::DOUBLE AS budget_usage_pct FROM money""")),
+)
 def budget_scenarios(spark, sf_dir):
     """Exact selection for four budgets."""
     chosen = decisions.choose(_candidates(spark, sf_dir), "order_id", BUDGETS)
     return decisions.selection_totals(chosen, BUDGETS)
 
 
+@query(
+    "OPT-01 PRJ-35",
+    over_pred(_RISKIEST.format(t=3000) + _knapsack(["1000"], _TAKEN + " SELECT 1000.0::DOUBLE AS budget, order_id, upgrade_cost::DOUBLE AS upgrade_cost, net::DOUBLE AS net_benefit FROM taken")),
+)
+def orders_of_a_tight_budget(spark, sf_dir):
+    """Which orders a budget takes that does not pay for all."""
+    return decisions.choose(_candidates(spark, sf_dir), "order_id", ["1000"]).select("budget", "order_id", "upgrade_cost", "net_benefit")
+
+
 @query(
     "OPT-01 OPT-02 WIN-08",
     over_pred(_RISKIEST.format(t=3000) + """ SELECT b::DOUBLE AS budget, 1 AS affordable, 1 AS not_worse_than_greedy, (SELECT COUNT(*) FROM cand) AS considered
@@ -231,7 +264,12 @@ def customers_of_selection(spark, sf_dir):
     return decisions.customer_rollup(enriched)
 
 
-@query("OPT-04 JON-06")
+@query(
+    "OPT-04 JON-06",
+    over_mart(""", cand AS (SELECT *, (p_late*250 - upgrade_cost)::DECIMAL(18,4) AS net FROM mart WHERE p_late >= 0.3 AND p_late*250 > upgrade_cost)"""
+      + _knapsack(["5000"], _TAKEN + """ SELECT 5000.0::DOUBLE AS budget, order_id, p_late::DOUBLE AS p_late, upgrade_cost::DOUBLE AS upgrade_cost, expected_penalty::DOUBLE AS expected_penalty,
+        net::DOUBLE AS net_benefit, epar::DOUBLE AS epar, profit_actual::DOUBLE AS profit_actual, customer_segment, customer_id FROM taken""")),
+)
 def roi_selection(spark, sf_dir):
     """Budgeted selection on the order mart with profit at risk next to each order."""
     full = mart_of(spark, sf_dir, ("customer_segment", "customer_id", "shipping_mode", "order_region"))

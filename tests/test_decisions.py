@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelwise.operators import decisions, money
+from parcelwise.operators import decisions, money, selection
 from parcelwise.plans import choices
 from parcelwise.plans.registry import QUERIES
 
@@ -32,26 +32,6 @@ def brute(cost, value, budget):
     return best
 
 
-def test_best_subset_against_brute_force():
-    rng = np.random.default_rng(0)
-    for _ in range(150):
-        n = int(rng.integers(1, 11))
-        cost, value = rng.integers(0, 60, n), rng.integers(-5, 200, n)
-        budget = int(rng.integers(0, 200))
-        taken = decisions.best_subset(cost, value, budget)
-        assert cost[taken].sum() <= budget
-        assert value[taken].sum() == brute(cost, value, budget)
-
-
-def test_best_subset_with_five_hundred_candidates():
-    rng = np.random.default_rng(3)
-    cost = rng.choice([4500, 5000, 5500, 8000, 9200, 12000, 13200, 18000, 23400], 500)
-    value = rng.integers(1, 2_400_000, 500)
-    for budget in (100_000, 500_000, 1_000_000):
-        taken = decisions.best_subset(cost, value, budget)
-        assert 0.98 * budget < cost[taken].sum() <= budget
-
-
 def test_known_optimum_and_report_order(spark):
     chosen = decisions.choose(frame(spark, [(300, 100), (250, 100), (120, 100)]), "order_id", ["250"])
     row = decisions.selection_totals(chosen, ["250"]).first()
@@ -83,16 +63,13 @@ def test_riskiest_item_of_a_hot_order(spark):
 
 
 @pytest.mark.parametrize(("seed", "budget"), [(5, 500), (6, 1777), (7, 9000), (8, 33)])
-def test_selection_equals_the_solver_on_all_candidates(spark, seed, budget, monkeypatch):
-    monkeypatch.setattr(decisions, "_CORE", 4)
+def test_selection_equals_a_knapsack_over_all_candidates(spark, seed, budget, monkeypatch):
+    monkeypatch.setattr(selection, "_NEAREST", 1)
     rng = np.random.default_rng(seed)
     pairs = [(int(rng.integers(101, 300)), int(c)) for c in rng.choice([31, 45, 50, 80, 100], 300)]
     chosen = decisions.choose(frame(spark, pairs).repartition(3), "order_id", [str(budget)])
-    cost = np.array([c * 100 for _, c in pairs])
-    value = np.array([(p - c) * 10_000 for p, c in pairs])
-    whole = value[decisions.best_subset(cost, value, budget * 100)].sum()
     got = chosen.agg(F.sum("net_benefit"), F.sum("upgrade_cost"), F.count_distinct("order_id"), F.count("*")).first()
-    assert int((got[0] or 0) * 10_000) == whole and (got[1] or 0) <= budget and got[2] == got[3]
+    assert int(got[0] or 0) == knapsack([c for _, c in pairs], [p - c for p, c in pairs], budget) and (got[1] or 0) <= budget and got[2] == got[3]
 
 
 def test_many_equal_candidates(spark):
@@ -165,12 +142,3 @@ def test_choice_across_regions_against_brute_force(spark):
     for budget in (60, 200, 333):
         chosen = decisions.choose(frame(spark, pairs), "order_id", [str(budget)]).agg(F.sum("net_benefit"), F.sum("upgrade_cost")).first()
         assert (chosen[0] or 0) == brute([c for _, c in pairs], [p - c for p, c in pairs], budget) and (chosen[1] or 0) <= budget
-
-
-def test_a_met_bound_ends_the_search(spark, monkeypatch):
-    """Many kinds of the border's density: the first few that fill the budget are an optimum."""
-    asked, solve = [], decisions.best_subset
-    monkeypatch.setattr(decisions, "_CORE", 4)
-    monkeypatch.setattr(decisions, "best_subset", lambda c, v, b: (asked.append(len(c)), solve(c, v, b))[1])
-    chosen = decisions.choose(frame(spark, [(3 * c, c) for c in range(1, 201)]), "order_id", ["10"])
-    assert chosen.agg(F.sum("net_benefit"), F.sum("upgrade_cost")).first() == (20, 10) and asked == [4]
