@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.constants import (
-    DEFAULT_ORDER_DATE, DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID, LEVER_NUMBERS, LEVER_TEXTS,
-    MODE_GRID, ORDER_DATE, PROFIT_CATEGORICAL, PROFIT_NUMERIC, PROFIT_TARGET, SYNONYM_GROUPS,
+    DEFAULT_MODE_COST, DEFAULT_ORDER_DATE, DEFAULT_PENALTY, DEFAULT_RISK_THRESHOLD, DEFAULT_UNIT_COST, DISCOUNT_GRID, LEVER_NUMBERS, LEVER_TEXTS,
+    MODE_BASE_COST, MODE_GRID, ORDER_DATE, PROFIT_CATEGORICAL, PROFIT_NUMERIC, PROFIT_TARGET, SYNONYM_GROUPS,
 )
 from parcelwise.functions.scalars import display_id, ratio
-from parcelwise.operators.mart import mean_exact
 from parcelwise.operators.money import (
-    MONEY, complete_fields, dec, mode_cost, region_multiplier, upgrade_cost, with_net_benefit,
+    MONEY, complete_fields, dec, region_multiplier, with_net_benefit,
 )
 from parcelwise.operators.selection import choose, choose_greedy, wanted  # noqa: F401 - part of this module's functions
 
@@ -205,60 +204,105 @@ def raw_profit_rows(levers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return levers.select(*keep, *columns, date, F.lit(None).cast("double").alias(PROFIT_TARGET))
 
 
-def grid_rollup(scored: DataFrame, key: str, cells: Sequence[tuple[int, str, Decimal]], extra: Sequence[Column] = ()) -> DataFrame:
-    """Summed profit and mean score per order and cell.
+CellScore = Callable[[Column, Column], tuple[Column, Column]]
+Scorer = Callable[[DataFrame], DataFrame]
+
+_UNITS = 10_000  # profits and scores are summed in whole ten-thousandths
+
+
+def _units(value: Column) -> Column:
+    """A four-place amount in whole ten-thousandths; exact below 900 billion."""
+    return F.round(value.cast("double") * _UNITS).cast("long")
+
 
-    Grouped on the cell number alone; mode and discount follow from it.
+def _cell_sums(cells: Sequence[tuple], scores: Sequence[tuple[Column, Column]]) -> list[Column]:
+    """Per cell: summed profit, summed score and number of scores, as whole numbers.
+
+    Expressions that several cells share are summed once.
     """
-    ordered = sorted(cells)
-    at = (F.col("seq") - ordered[0][0] + 1).cast("int")
-    return scored.groupBy(key, "seq").agg(
-        F.sum(F.col("profit_pred").cast(MONEY)).cast(MONEY).alias("profit_pred"), mean_exact("p_late"), *extra
-    ).withColumns(
-        {
-            "shipping_mode": F.element_at(F.array(*[F.lit(m) for _, m, _ in ordered]), at),
-            "discount_rate": F.element_at(F.array(*[F.lit(d).cast("decimal(5,4)") for _, _, d in ordered]), at),
-        }
-    )
+    out = []
+    for (seq, *_), (profit, late) in zip(cells, scores, strict=True):
+        out += [F.sum(_units(profit)).alias(f"_profit{seq}"), F.sum(_units(late)).alias(f"_late{seq}"), F.count(late).alias(f"_n{seq}")]
+    return out
 
 
-def grid_net(cells: DataFrame, cost: Column, penalty=DEFAULT_PENALTY) -> DataFrame:
-    """Profit less expected penalty and shipping cost of the cell's mode."""
-    net = F.col("profit_pred") - F.col("p_late") * dec(max(Decimal(0), Decimal(str(penalty)))) - cost
-    return cells.withColumns({"shipping_cost": cost, "expected_net": F.round(net, 4).cast(MONEY)})
+def _sums_of_expressions(items: DataFrame, key: Sequence[str], cells: Sequence[tuple], score: CellScore, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per order with the sums of every cell; an item is read once, whatever the number of cells."""
+    scores = [score(F.lit(mode), F.lit(rate).cast("decimal(5,4)")) for _, mode, rate in cells]
+    return items.groupBy(*key).agg(*_cell_sums(cells, scores), *extra)
 
 
-def best_cell(cells: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Highest net per order; the first cell of the grid wins ties."""
-    order = F.struct("expected_net", (-F.col("seq")).alias("s"))
-    fields = ("shipping_mode", "discount_rate", "profit_pred", "p_late", "shipping_cost", "expected_net", *carry)
-    return (
-        cells.groupBy(key)
-        .agg(F.max_by(F.struct(*fields), order).alias("b"))
-        .select(key, "b.*")
-        .withColumn("decision", F.when(F.col("expected_net") > 0, "accept").otherwise("decline"))
-    )
+def _sums_of_rows(items: DataFrame, key: Sequence[str], cells: Sequence[tuple], scorer: Scorer) -> DataFrame:
+    """The same for a scorer that needs a row per item and cell, such as a trained model; the cells meet again before the shuffle."""
+    scored = scorer(with_grid(items, cells))
 
+    def of(seq: int, name: str) -> Column:
+        return F.when(F.col("seq") == seq, F.col(name))
 
-Scorer = Callable[[DataFrame], DataFrame]
+    return scored.groupBy(*key).agg(*_cell_sums(cells, [(of(seq, "profit_pred"), of(seq, "p_late")) for seq, *_ in cells]))
+
+
+def with_cells(sums: DataFrame, cells: Sequence[tuple[int, str, Decimal]], penalty=DEFAULT_PENALTY) -> DataFrame:
+    """``cells``, one array per order in grid order: profit, mean score, shipping cost of the cell's mode, and net,
+    what is left of the profit. All are whole numbers, of ten-thousandths or (cost) of cents: see :func:`cell_columns`.
+
+    ``sums`` has the order's ``_multiplier`` of the mode's cost besides the sums.
+    """
+    fine = int(max(Decimal(0), round(Decimal(str(penalty)), 4)) * _UNITS)
+    made = []
+    for seq, mode, _ in sorted(cells):
+        base = int(MODE_BASE_COST.get(mode.strip(), DEFAULT_MODE_COST) * 100)
+        late = f"((2 * _late{seq} + _n{seq}) div (2 * _n{seq}))"
+        cost = f"(({base} * _factor + 50) div 100)"
+        net = f"(_profit{seq} * {_UNITS} - {late} * {fine}L - {cost} * {100 * _UNITS}L)"
+        rounded = f"(sign({net}) * ((abs({net}) + {_UNITS // 2}) div {_UNITS}))"
+        made.append(f"named_struct('seq', {seq}, 'profit', _profit{seq}, 'late', {late}, 'cost', {cost}, 'net', cast({rounded} as long))")
+    factor = F.round(F.col("_multiplier").cast("double") * 100).cast("long")
+    out = sums.withColumn("_factor", factor).withColumn("cells", F.expr(f"array({', '.join(made)})"))
+    return out.drop("_multiplier", "_factor", *[f"_{name}{seq}" for seq, *_ in cells for name in ("profit", "late", "n")])
+
+
+def cell_columns(cell: Column, cells: Sequence[tuple[int, str, Decimal]]) -> list[Column]:
+    """A cell's mode, discount and amounts under their names."""
+    at = (cell["seq"] + 1).cast("int")
+    ordered = sorted(cells)
+    unit, cent = F.lit(Decimal("0.0001")), F.lit(Decimal("0.01"))
+
+    def amount(name: str, scale: Column, kind: str) -> Column:
+        return (cell[name].cast("decimal(18,0)") * scale).cast(kind)
+
+    return [
+        F.element_at(F.array(*[F.lit(m) for _, m, _ in ordered]), at).alias("shipping_mode"),
+        F.element_at(F.array(*[F.lit(d).cast("decimal(5,4)") for *_, d in ordered]), at).alias("discount_rate"),
+        amount("profit", unit, MONEY).alias("profit_pred"), amount("late", unit, "decimal(8,4)").alias("p_late"),
+        amount("cost", cent, "decimal(12,2)").alias("shipping_cost"), amount("net", unit, MONEY).alias("expected_net"),
+    ]
+
+
+def best_cell(orders: DataFrame, keep: Sequence[str], cells=None) -> DataFrame:
+    """Highest net per order, found inside the row; the first cell of the grid wins ties."""
+    first = F.array_max(F.expr("transform(cells, c -> named_struct('net', c.net, 'first', -c.seq))"))
+    best = orders.select(*keep, F.element_at("cells", (1 - first["first"]).cast("int")).alias("b"))
+    best = best.select(*keep, *cell_columns(F.col("b"), cells or grid_cells()))
+    return best.withColumn("decision", F.when(F.col("expected_net") > 0, "accept").otherwise("decline"))
 
 
-def whatif(items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY) -> DataFrame:
-    """Net of every grid cell for every order; ``scorer`` adds profit_pred and p_late.
+def whatif(items: DataFrame, key: str, score: CellScore, cells=None, penalty=DEFAULT_PENALTY) -> DataFrame:
+    """Every order with its ``cells``: net of each (mode, discount) of the grid.
 
-    Each task sums its items per order and cell before the shuffle, so an order
-    that holds a large share of all items arrives as a few partial sums.
+    ``score`` gives an item's profit and late score as expressions of a mode and a discount. The sums of all
+    cells are one aggregate row, so what is shuffled is one row per order and task, and an order that holds a
+    large share of all items arrives as a few partial sums.
     """
     cells = cells or grid_cells()
     priced = items.withColumn("_multiplier", region_multiplier(F.col("order_region")))
-    rolled = grid_rollup(scorer(with_grid(priced, cells)), key, cells, [F.max("_multiplier").alias("_multiplier")])
-    cost = F.round(mode_cost(F.col("shipping_mode")) * F.col("_multiplier"), 2).cast("decimal(12,2)")
-    return grid_net(rolled, cost, penalty).drop("_multiplier")
+    sums = _sums_of_expressions(priced, [key], cells, score, [F.max("_multiplier").alias("_multiplier")])
+    return with_cells(sums, cells, penalty)
 
 
-def heat_table(cells: DataFrame, modes: Sequence[str] = MODE_GRID) -> DataFrame:
+def heat_table(orders: DataFrame, modes: Sequence[str] = MODE_GRID, cells=None) -> DataFrame:
     """Mean net per cell scaled to 0..1, discounts down, modes across."""
-    mean = cells.groupBy("discount_rate", "shipping_mode").agg(
+    mean = orders.select(F.explode("cells").alias("c")).select(*cell_columns(F.col("c"), cells or grid_cells())).groupBy("discount_rate", "shipping_mode").agg(
         F.round(F.sum("expected_net") / F.count("*"), 4).cast(MONEY).alias("net")
     )
     # one row per grid cell is left, a fixed number
@@ -279,32 +323,37 @@ def losing_orders(mart: DataFrame, key: str, penalty=DEFAULT_PENALTY, limit: int
 
 
 def rescue(
-    mart: DataFrame, items: DataFrame, key: str, scorer: Scorer, cells=None, penalty=DEFAULT_PENALTY,
-    limit: int | None = None,
+    mart: DataFrame, items: DataFrame, key: str, score: CellScore | None = None, cells=None, penalty=DEFAULT_PENALTY,
+    limit: int | None = None, scorer: Scorer | None = None,
 ) -> DataFrame:
     """Best mode and discount for each losing order, or for the ``limit`` worst.
 
-    The losing orders are found once and travel with their items through the
-    scan; ``scorer`` must keep the columns it is given.
+    The losing orders are found once and travel with their items as grouping columns, so the items are joined,
+    summed and decided in one pass. ``scorer`` takes the place of ``score`` where cells need rows of their own;
+    it must keep the columns it is given.
     """
+    lost = ["_net", "_mode", "_region", "_segment", "_multiplier"]
     losing = losing_orders(mart, key, penalty, limit).select(
-        key, F.struct("base_net", "shipping_mode", "order_region", "customer_segment").alias("lost")
+        key, F.col("base_net").alias("_net"), F.col("shipping_mode").alias("_mode"), F.col("order_region").alias("_region"), F.col("customer_segment").alias("_segment"),
+        region_multiplier(F.col("order_region")).alias("_multiplier"),
     )
     cells = cells or grid_cells()
-    grid = with_grid(items.join(losing, key), cells)
-    rolled = grid_rollup(scorer(grid), key, cells, [F.min("lost").alias("lost")])
-    cost = upgrade_cost(F.col("shipping_mode"), F.col("lost.order_region"))
-    best = best_cell(grid_net(rolled, cost, penalty), key, ["lost"])
+    joined = items.join(losing, key)
+    if scorer is None:
+        sums = _sums_of_expressions(joined, [key, *lost], cells, score)
+    else:
+        sums = _sums_of_rows(joined, [key, *lost], cells, scorer)
+    best = best_cell(with_cells(sums, cells, penalty), [key, *lost[:-1]], cells)
     return best.select(
         key,
-        F.col("lost.shipping_mode").alias("current_shipping"),
-        F.col("lost.customer_segment").alias("segment"),
-        F.col("lost.order_region").alias("region"),
-        F.round("lost.base_net", 2).cast("double").alias("base_net"),
+        F.col("_mode").alias("current_shipping"),
+        F.col("_segment").alias("segment"),
+        F.col("_region").alias("region"),
+        F.round("_net", 2).cast("double").alias("base_net"),
         F.col("shipping_mode").alias("recommend_shipping"),
         F.col("discount_rate").cast("double").alias("recommend_discount"),
         F.round("expected_net", 2).cast("double").alias("rescued_net"),
-        F.round(F.col("expected_net") - F.col("lost.base_net"), 2).cast("double").alias("improvement"),
+        F.round(F.col("expected_net") - F.col("_net"), 2).cast("double").alias("improvement"),
         F.col("p_late").cast("double").alias("rescued_p_late"),
         F.round("profit_pred", 2).cast("double").alias("rescued_profit"),
         F.col("shipping_cost").cast("double").alias("rescued_shipping_cost"),

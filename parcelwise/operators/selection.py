@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.operators.ranking import running_sum
+from parcelwise.session import written
 
 _BINS = 1024
 _NEAREST = 64  # kinds of a class on each side of the price that the first look fetches
 _SALTS = 64
+_CARRIED = ("p_late", "upgrade_cost", "expected_penalty", "net_benefit", "risk_bucket")
 _NONE = -(1 << 61)  # a cost change that no choice has
 
 
@@ -283,12 +285,12 @@ def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
     is chosen, then the cheapest, then the one that takes most orders of the lowest cost, the next cost, and so on;
     within one cost and benefit the smallest keys. Orders without benefit or with a negative cost are left out.
     """
-    pool = cands.select(key, "p_late", "upgrade_cost", "expected_penalty", "net_benefit", "risk_bucket")
-    pool = pool.where((F.col("net_benefit") > 0) & (F.col("upgrade_cost") >= 0))
+    pool = cands.select(key, *_CARRIED).where((F.col("net_benefit") > 0) & (F.col("upgrade_cost") >= 0))
     pool = pool.withColumns({"_cost": F.round(F.col("upgrade_cost") * 100).cast("long"), "_net": F.round(F.col("net_benefit") * 10_000).cast("long")})
     amounts = {int(b * 100): b for b in wanted(budgets)}
     if not amounts:
         return pool.limit(0).drop("_cost", "_net").withColumn("budget", F.lit(None).cast("decimal(18,2)"))
+    pool = written(pool, "candidates")  # read for the kinds, for the choice and for the ranks within a kind
     kinds = pool.groupBy(F.col("_cost").alias("cost"), F.col("_net").alias("net")).agg(F.count("*").alias("n"))
     kinds = kinds.where((F.col("cost") > 0) & (F.col("net") > 0)).withColumns({"all_cost": F.col("cost") * F.col("n"), "d": density(F.col("net"), F.col("cost"))})
     kinds = kinds.persist(StorageLevel.MEMORY_AND_DISK)
@@ -296,18 +298,20 @@ def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
         cuts = choice_cuts(kinds, list(amounts))
     finally:
         kinds.unpersist()
-    free = [b for b, c in cuts.items() if c is None]
-    rows = [(b, c.cost, c.over, c.take, c.n) for b, found in cuts.items() for c in found or ()]
-    every = F.array(*[F.struct(F.lit(b).alias("_b"), F.lit(b in free).alias("_all")) for b in amounts])
-    each = pool.withColumn("_each", F.explode(F.filter(every, lambda x: (F.col("_cost") == 0) | x["_all"] & (F.col("_cost") <= x["_b"]))))
-    out = each.withColumn("_b", F.col("_each._b")).drop("_each")
-    if rows:
-        table = pool.sparkSession.createDataFrame(rows, "_b long, _cost long, _over long, _take long, _n long")
-        cut = pool.where("_cost > 0").join(table, "_cost").where("_net > _over or _net = _over and _take > 0")
-        out = out.unionByName(cut.where("_net > _over or _take = _n").drop("_over", "_take", "_n"))
-        if any(0 < take < n for *_, take, n in rows):
-            partly = running_sum(cut.where("_net = _over and _take < _n"), ["_b", "_cost"], [key], F.lit(1), "_place")
-            out = out.unionByName(partly.where("_place <= _take").drop("_place", "_over", "_take", "_n"))
+    free = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c is None).alias("all")) for b, c in cuts.items()])
+    every = F.filter(free, lambda x: (F.col("_cost") == 0) | x["all"] & (F.col("_cost") <= x["b"]))
+    rows = [(c.cost, b, c.over, c.take, c.n) for b, found in cuts.items() for c in found or ()]
+    table = pool.sparkSession.createDataFrame(rows, "_cost long, b long, over long, take long, n long")
+    table = table.groupBy("_cost").agg(F.collect_list(F.struct("b", "over", "take", "n")).alias("_cuts"))  # a row per cost, an entry per budget
+    marked = pool.join(table, "_cost", "left").withColumn("_cuts", F.coalesce("_cuts", F.expr("array()")))
+    net = F.col("_net")
+    whole = F.filter("_cuts", lambda x: (net > x["over"]) | (net == x["over"]) & (x["take"] == x["n"]) & (x["n"] > 0))
+    out = marked.withColumn("_b", F.explode(F.concat(F.transform(every, lambda x: x["b"]), F.transform(whole, lambda x: x["b"])))).drop("_cuts")
+    if any(0 < take < n for *_, take, n in rows):
+        partly = marked.withColumn("_cut", F.explode(F.filter("_cuts", lambda x: (net == x["over"]) & (x["take"] > 0) & (x["take"] < x["n"]))))
+        partly = partly.withColumns({"_b": F.col("_cut.b"), "_take": F.col("_cut.take")}).drop("_cuts", "_cut")
+        partly = running_sum(partly, ["_b", "_cost"], [key], F.lit(1), "_place").where("_place <= _take")
+        out = out.unionByName(partly.drop("_place", "_take"))
     named = F.element_at(F.create_map(*[x for b, amount in amounts.items() for x in (F.lit(b), F.lit(amount).cast("decimal(18,2)"))]), F.col("_b"))
     return out.withColumn("budget", named).drop("_b", "_cost", "_net")
 
@@ -318,13 +322,14 @@ def choose_greedy(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
     Everything above the density at which a budget runs out is taken; the orders of that density are added in
     key order by a running sum that no single task forms.
     """
-    rated = cands.where("upgrade_cost > 0").withColumns({
+    rated = cands.select(key, *_CARRIED).where("upgrade_cost > 0").withColumns({
         "_d": F.try_divide(F.col("net_benefit").cast("double"), F.col("upgrade_cost").cast("double")),
         "_cents": F.round(F.col("upgrade_cost") * 100).cast("long"),
     })
     amounts = {int(b * 100): b for b in wanted(budgets)}
     if not amounts:
-        return cands.limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
+        return cands.select(key, *_CARRIED).limit(0).withColumn("budget", F.lit(None).cast("decimal(18,2)"))
+    rated = written(rated, "candidates")
     levels = rated.groupBy(F.col("_d").alias("d")).agg(F.sum("_cents").alias("all_cost")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         found = border_prices(levels, list(amounts), lambda b: F.lit(True))
@@ -340,4 +345,4 @@ def choose_greedy(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
     if any(found.values()):
         tied = running_sum(tied, ["budget"], [key], F.col("_cents"), "_spent").where("_spent <= _rest")
         whole = whole.drop("_b", "_d").unionByName(tied.drop("_rest", "_spent"))
-    return whole.select(*cands.columns, "budget")
+    return whole.select(key, *_CARRIED, "budget")

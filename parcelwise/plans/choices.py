@@ -293,16 +293,14 @@ def selection_summary(spark, sf_dir):
 # --- grids ---------------------------------------------------------------------------------
 
 
-def formula_scorer(df):
+def formula_score(mode, discount):
     """Transparent scores for a cell: profit falls with the discount, lateness with a faster mode."""
     factor = (
-        F.when(F.col("shipping_mode") == "Same Day", Decimal("0.50")).when(F.col("shipping_mode") == "First Class", Decimal("0.70"))
-        .when(F.col("shipping_mode") == "Second Class", Decimal("0.90")).otherwise(Decimal("1.00"))
-    )
-    profit = F.col("product_price") * (1 - F.col("discount_rate")) * F.col("profit_ratio") * F.lit(Decimal("0.01"))
-    return df.withColumns(
-        {"profit_pred": F.round(profit, 4).cast(MONEY), "p_late": F.round(F.col("p_late") * factor, 4).cast("decimal(8,4)")}
+        F.when(mode == "Same Day", Decimal("0.50")).when(mode == "First Class", Decimal("0.70"))
+        .when(mode == "Second Class", Decimal("0.90")).otherwise(Decimal("1.00"))
     )
+    profit = F.col("product_price") * (1 - discount) * F.col("profit_ratio") * F.lit(Decimal("0.01"))
+    return F.round(profit, 4).cast(MONEY), F.round(F.col("p_late") * factor, 4).cast("decimal(8,4)")
 
 
 _GRID = f""", modes AS (SELECT * FROM (VALUES ('Standard Class', 0, 1.00), ('Second Class', 1, 0.90), ('First Class', 2, 0.70), ('Same Day', 3, 0.50)) m(cell_mode, mi, f)),
@@ -323,8 +321,7 @@ _GRID = f""", modes AS (SELECT * FROM (VALUES ('Standard Class', 0, 1.00), ('Sec
 )
 def whatif_best(spark, sf_dir):
     """Best mode and discount of every order."""
-    cells = _whatif(spark, sf_dir)
-    return decisions.best_cell(cells, "order_id")
+    return decisions.best_cell(_whatif(spark, sf_dir), ["order_id"])
 
 
 @query(
@@ -340,7 +337,7 @@ def whatif_heat_table(spark, sf_dir):
 
 def _whatif(spark, sf_dir):
     items = order_items(spark, sf_dir, ["order_id", "order_region", "product_price", "profit_ratio", "p_late"])
-    return decisions.whatif(items, "order_id", formula_scorer)
+    return decisions.whatif(items, "order_id", formula_score)
 
 
 @query(
@@ -413,7 +410,7 @@ def rescued_orders(spark, sf_dir):
     """Best mode and discount of every order that loses."""
     full = mart_of(spark, sf_dir, ("customer_segment", "shipping_mode", "order_region"))
     items = order_items(spark, sf_dir, ["order_id", "order_region", "product_price", "profit_ratio", "p_late"])
-    return decisions.rescue(full, items, "order_id", formula_scorer)
+    return decisions.rescue(full, items, "order_id", formula_score)
 
 
 @query("OPT-06 ML-10 ML-11")
@@ -434,12 +431,12 @@ def rescued_by_models(spark, sf_dir):
     profit = models.train_profit(data, spec.columns, "profit_actual", max_iter=5, max_depth=4, step=0.3)
 
     def scorer(df):
-        cell = table_of(df, ["order_id", "seq", "shipping_mode", "discount_rate", "lost"])
+        cell = table_of(df, ["order_id", "seq", "shipping_mode", "discount_rate", "_net", "_mode", "_region", "_segment", "_multiplier"])
         both = models.score_profit(profit, models.score_late(late, cell, spec.columns), spec.columns)
         return both.drop("discount_rate").withColumnRenamed("key_discount_rate", "discount_rate")
 
     full = mart_of(spark, sf_dir, ("customer_segment", "shipping_mode", "order_region"))
-    return decisions.rescue(full, items.drop("split"), "order_id", scorer)
+    return decisions.rescue(full, items.drop("split"), "order_id", scorer=scorer)
 
 
 # --- explanations -----------------------------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: shuffle partitions that a stage starts with on a cluster, before AQE joins small ones
 CLUSTER_PARTITIONS = 8192
@@ -61,3 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-application path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/parcelwise/{spark.sparkContext.applicationId}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: made once, whatever reads it, and not lost with an executor."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -104,10 +104,10 @@ def test_grid_limits_and_first_cell_wins_ties(spark):
     assert [(i, m, str(d)) for i, m, d in cells] == [(0, "A", "0.1"), (1, "B", "0.1"), (2, "A", "0.2"), (3, "B", "0.2")]
     items = spark.createDataFrame([(1, "x", "s")], "o int, order_region string, shipping_mode string").withColumn("discount_rate", F.lit(0))
 
-    def flat(df):
-        return df.withColumns({"profit_pred": F.lit(Decimal("200")), "p_late": F.lit(Decimal("0.0"))})
+    def flat(mode, discount):
+        return F.lit(Decimal("200")), F.lit(Decimal("0.0"))
 
-    best = decisions.best_cell(decisions.whatif(items, "o", flat, cells), "o").first()
+    best = decisions.best_cell(decisions.whatif(items, "o", flat, cells), ["o"], cells).first()
     assert (best["shipping_mode"], str(best["discount_rate"]), best["decision"]) == ("A", "0.1000", "accept")
 
 
