@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from parcelwise.operators.ranking import running_sum
 from parcelwise.session import written
 
-_BINS = 1024
+_BINS = 4096
+_OCTAVE = 256  # steps for each doubling of the density
+_ROWS = 100_000  # of kinds taken in part: up to so many, counted, are ranked by a plain window
 _NEAREST = 64  # kinds of a class on each side of the price that the first look fetches
 _SALTS = 64
 _CARRIED = ("p_late", "upgrade_cost", "expected_penalty", "net_benefit", "risk_bucket")
@@ -47,37 +49,34 @@ def border_prices(levels: DataFrame, budgets: Sequence[int], payable: Callable[[
 
     None where the budget pays for all rows of ``levels`` (d, all_cost) that are ``payable`` under it. All budgets
     share their passes: each pass sums the cost per step of every open range and keeps the step that holds the
-    border, so a range ends at a single density.
+    border, so a range ends at a single density. Steps are equal ratios in the first pass, equal widths then.
     """
-    named = [(k, b, payable(b)) for k, b in enumerate(budgets)]
-    edge = levels.agg(*[
-        f.alias(f"{name}{k}")
-        for k, _, can in named
-        for name, f in (("cost", F.sum(F.when(can, F.col("all_cost")))), ("low", F.min(F.when(can, F.col("d")))), ("high", F.max(F.when(can, F.col("d")))))
-    ]).first()
     out: dict[int, tuple[float, int] | None] = {b: None for b in budgets}
-    ranges = {k: (edge[f"low{k}"], edge[f"high{k}"], 0) for k, b, _ in named if int(edge[f"cost{k}"] or 0) > b}
-    while True:
-        for k in [k for k, (low, high, _) in ranges.items() if low == high]:
-            low, _, above = ranges.pop(k)
-            out[budgets[k]] = (low, above)
-        if not ranges:
-            return out
+    ranges: dict[int, tuple[float, float, int] | None] = dict.fromkeys(range(len(budgets)))
+    while ranges:
         steps = []
-        for k, _, can in named:
-            if k in ranges:
-                low, high, _ = ranges[k]
-                step = F.least(F.floor((F.col("d") - low) / (high - low) * _BINS), F.lit(_BINS - 1)).cast("int")
-                steps.append(F.struct(F.lit(k).alias("k"), F.when(can & F.col("d").between(low, high), step).alias("step")))
+        for k, bounds in ranges.items():
+            inside, step = payable(budgets[k]), F.floor(F.log2(F.greatest("d", F.lit(1e-300))) * _OCTAVE)
+            if bounds:
+                low, high, _ = bounds
+                step = F.least(F.floor((F.col("d") - low) / (high - low) * _BINS), F.lit(_BINS - 1))
+                inside = inside & F.col("d").between(low, high)
+            steps.append(F.struct(F.lit(k).alias("k"), F.when(inside, step.cast("int")).alias("step")))
         placed = levels.select("d", "all_cost", F.explode(F.filter(F.array(*steps), lambda x: x["step"].isNotNull())).alias("at"))
         rows = placed.groupBy("at.k", "at.step").agg(F.sum("all_cost").alias("cost"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
-        for k in list(ranges):
-            above = ranges[k][2]
+        for k, bounds in list(ranges.items()):
+            above = bounds[2] if bounds else 0
             for row in sorted((r for r in rows if r["k"] == k), key=lambda r: -r["step"]):
                 if above + int(row["cost"]) > budgets[k]:
                     ranges[k] = (row["low"], row["high"], above)
                     break
                 above += int(row["cost"])
+            if not ranges[k]:
+                del ranges[k]  # the budget pays for all
+            elif ranges[k][0] == ranges[k][1]:
+                out[budgets[k]] = (ranges[k][0], ranges[k][2])
+                del ranges[k]
+    return out
 
 
 # --- one budget, on the driver ----------------------------------------------------------
@@ -233,47 +232,42 @@ def _nearest(kinds: DataFrame, prices: dict[int, float], open_: dict[int, float]
     """Of each budget, class and side the ``number`` kinds nearest to the price, if no further than the budget's ``open_``."""
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in open_.items() for x in pair]), F.col("b"))
     rows = _offers(kinds, prices).where(F.col("off") <= limit)
+    if number > 1000:  # up to there Spark keeps the first of each task before it shuffles
+        part = Window.partitionBy("b", "cost", "above", F.pmod(F.xxhash64("net"), F.lit(_SALTS))).orderBy("off")
+        rows = rows.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= number)
     whole = Window.partitionBy("b", "cost", "above").orderBy("off")
-    # first within a part of the class: no task ranks a whole class
-    part = Window.partitionBy("b", "cost", "above", F.pmod(F.xxhash64("net"), F.lit(_SALTS))).orderBy("off")
-    rows = rows.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= number)
     rows = rows.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= number)
-    return rows.select("b", "cost", "above", "net", "n", "_rn").collect()
+    return rows.select("b", "cost", "above", "net", "n", "d", "_rn").collect()
 
 
-def choice_cuts(kinds: DataFrame, budgets: Sequence[int]) -> dict[int, list[Cut] | None]:
-    """For each budget (in cents) the cut of every class, or None if it pays for all that it can pay.
+def choice_cuts(kinds: DataFrame, budgets: Sequence[int]) -> dict[int, tuple[float, list[Cut]] | None]:
+    """For each budget (in cents) its price and the cuts of the classes near it, or None if it pays for all that it
+    can pay. A class without a cut gives all orders whose density exceeds the price.
 
     ``kinds`` are (cost, net, n, d, all_cost) of orders with a cost, in cents and ten-thousandths.
     """
     found = border_prices(kinds, budgets, lambda b: F.col("cost") <= b)
-    out: dict[int, list[Cut] | None] = {b: None for b in budgets}
+    out: dict[int, tuple[float, list[Cut]] | None] = {b: None for b in budgets}
     prices = {b: p[0] for b, p in found.items() if p is not None}
-    if not prices:
-        return out
-    price_of = F.element_at(F.create_map(*[F.lit(x) for pair in prices.items() for x in pair]), F.col("b"))
-    at_price = F.max(F.when(F.col("d") == price_of, F.col("net"))).alias("at")
-    exact, costs = {}, {b: [] for b in prices}
-    for row in _offers(kinds, prices).groupBy("b", "cost").agg(at_price).collect():  # a row per budget and distinct cost
-        costs[row["b"]].append(row["cost"])
-        if row["at"] is not None:
-            exact.setdefault(row["b"], Fraction(row["at"], row["cost"]))
     room = {b: b - found[b][1] for b in prices}
     # a bound of what the greedy choice can miss: the room times the price
-    open_ = {b: float(room[b] * exact[b]) * (1 + 1e-9) + 1 for b in prices}
+    open_ = {b: room[b] * p * (1 + 1e-9) + 1 for b, p in prices.items()}
     number = _NEAREST
     while prices:
-        classes = {b: {c: CostClass(c) for c in sorted(costs[b])} for b in prices}
+        classes: dict[int, dict[int, CostClass]] = {b: {} for b in prices}
+        exact: dict[int, Fraction] = {}
         for row in sorted(_nearest(kinds, prices, open_, number), key=lambda r: r["_rn"]):
-            c = classes[row["b"]][row["cost"]]
+            c = classes[row["b"]].setdefault(row["cost"], CostClass(row["cost"]))
             (c.above if row["above"] else c.below).append((int(row["net"]), int(row["n"])))
+            if row["d"] == prices[row["b"]]:
+                exact.setdefault(row["b"], Fraction(int(row["net"]), row["cost"]))
             if row["_rn"] == number:
                 c.more_above, c.more_below = c.more_above or row["above"], c.more_below or not row["above"]
         for b in list(prices):
-            cuts, proven = solve(list(classes[b].values()), exact[b], room[b])
+            cuts, proven = solve([classes[b][c] for c in sorted(classes[b])], exact[b], room[b])
             if proven:
-                out[b] = cuts
-                del prices[b], open_[b]
+                out[b] = (prices.pop(b), cuts)
+                del open_[b]
         number *= 8
     return out
 
@@ -298,20 +292,27 @@ def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
         cuts = choice_cuts(kinds, list(amounts))
     finally:
         kinds.unpersist()
-    free = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c is None).alias("all")) for b, c in cuts.items()])
-    every = F.filter(free, lambda x: (F.col("_cost") == 0) | x["all"] & (F.col("_cost") <= x["b"]))
-    rows = [(c.cost, b, c.over, c.take, c.n) for b, found in cuts.items() for c in found or ()]
-    table = pool.sparkSession.createDataFrame(rows, "_cost long, b long, over long, take long, n long")
-    table = table.groupBy("_cost").agg(F.collect_list(F.struct("b", "over", "take", "n")).alias("_cuts"))  # a row per cost, an entry per budget
+    by_cost: dict[int, list[tuple]] = {}  # a row per cost near a price, an entry per budget
+    for b, found in cuts.items():
+        for c in found[1] if found else ():
+            by_cost.setdefault(c.cost, []).append((b, c.over, c.take, c.n))
+    table = pool.sparkSession.createDataFrame(list(by_cost.items()), "_cost long, _cuts array<struct<b:long,over:long,take:long,n:long>>")
     marked = pool.join(table, "_cost", "left").withColumn("_cuts", F.coalesce("_cuts", F.expr("array()")))
-    net = F.col("_net")
-    whole = F.filter("_cuts", lambda x: (net > x["over"]) | (net == x["over"]) & (x["take"] == x["n"]) & (x["n"] > 0))
-    out = marked.withColumn("_b", F.explode(F.concat(F.transform(every, lambda x: x["b"]), F.transform(whole, lambda x: x["b"])))).drop("_cuts")
-    if any(0 < take < n for *_, take, n in rows):
+    net, d = F.col("_net"), density(F.col("_net"), F.col("_cost"))
+    price = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(found[0] if found else -1.0).alias("price")) for b, found in cuts.items()])
+    cut = F.filter("_cuts", lambda x: (net > x["over"]) | (net == x["over"]) & (x["take"] == x["n"]) & (x["n"] > 0))
+    rest = F.filter(price, lambda x: (F.col("_cost") <= x["b"]) & (d > x["price"]) & ~F.exists("_cuts", lambda y: y["b"] == x["b"]))
+    taken = F.when(F.col("_cost") == 0, F.transform(price, lambda x: x["b"])).otherwise(F.concat(F.transform(rest, lambda x: x["b"]), F.transform(cut, lambda x: x["b"])))
+    out = marked.withColumn("_b", F.explode(taken)).drop("_cuts")
+    parts = [n for found in by_cost.values() for *_, take, n in found if 0 < take < n]
+    if parts:
         partly = marked.withColumn("_cut", F.explode(F.filter("_cuts", lambda x: (net == x["over"]) & (x["take"] > 0) & (x["take"] < x["n"]))))
         partly = partly.withColumns({"_b": F.col("_cut.b"), "_take": F.col("_cut.take")}).drop("_cuts", "_cut")
-        partly = running_sum(partly, ["_b", "_cost"], [key], F.lit(1), "_place").where("_place <= _take")
-        out = out.unionByName(partly.drop("_place", "_take"))
+        if sum(parts) <= _ROWS:
+            partly = partly.withColumn("_place", F.row_number().over(Window.partitionBy("_b", "_cost").orderBy(key)))
+        else:
+            partly = running_sum(partly, ["_b", "_cost"], [key], F.lit(1), "_place")
+        out = out.unionByName(partly.where("_place <= _take").drop("_place", "_take"))
     named = F.element_at(F.create_map(*[x for b, amount in amounts.items() for x in (F.lit(b), F.lit(amount).cast("decimal(18,2)"))]), F.col("_b"))
     return out.withColumn("budget", named).drop("_b", "_cost", "_net")
 
