@@ -1,8 +1,9 @@
 """Exact ranks, cut points and quantiles without a one-task sort.
 
 A global ``row_number`` or an exact ``percentile`` puts the whole table (or all
-its distinct values) into one task. Here the wanted order statistic is found by
-counting rows per value range and narrowing the range, so each pass is a scan
+its distinct values) into one task. Here a mergeable rank sketch brackets a wanted
+quantile and one pass over the bracket finds it; wider brackets, and the cut points
+of row keys, are narrowed by counting rows per value range. Each pass is a scan
 with a small partial aggregation: no wide shuffle, and a value held by a third
 of all rows is one counter.
 """
@@ -23,6 +24,7 @@ _BUCKETS = 512
 _FINISH_ROWS = 20_000
 _MAX_PASSES = 400
 _LARGEST = sys.float_info.max
+_SKETCH = 10_000
 
 
 def exact_quantiles(
@@ -46,16 +48,34 @@ def exact_quantiles(
 
 
 def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float], float]:
-    totals = (
-        base.groupBy("g")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
+    """A rank sketch brackets every quantile, one pass over the brackets finds it; what that cannot finish is narrowed."""
+    reach = 4 / _SKETCH  # the sketch is off by a rank of n / _SKETCH at most
+    marks = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-reach, reach)})
+    totals = base.groupBy("g").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_percentile("v", F.array(*[F.lit(m) for m in marks]), F.lit(_SKETCH)).alias("marks"),
+    ).collect()
     sizes = {row["g"]: row["n"] for row in totals}
-    wanted = {g: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} for g, n in sizes.items()}
     found: dict[tuple[str, int], float] = {}
+    brackets: dict[tuple[str, float, float], set[int]] = {}
+    expected = 0
+    for row in totals:
+        g, n = row["g"], row["n"]
+        found.update({(g, 0): row["lo"], (g, n - 1): row["hi"]})
+        at = dict(zip(marks, row["marks"], strict=True))
+        for p in probs:
+            ranks = {r for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) if (g, r) not in found}
+            low, high = (at[max(0.0, p - reach)], at[min(1.0, p + reach)]) if n > _SKETCH else (row["lo"], row["hi"])
+            if ranks:
+                brackets.setdefault((g, low, high), set()).update(ranks)
+    expected = sum(min(sizes[g], max(_SKETCH, sizes[g] * 4 * reach)) for g, *_ in brackets)
+    if brackets and expected <= 10 * _FINISH_ROWS:
+        found.update(_inside(base, brackets))
+    edges = {row["g"]: (row["lo"], row["hi"]) for row in totals}
+    left: dict[str, dict[int, int]] = {}
+    for (g, *_), ranks in brackets.items():
+        left.setdefault(g, {}).update({r: r for r in ranks if (g, r) not in found})
+    ranges = {(g, *edges[g], sizes[g]): ranks for g, ranks in left.items() if ranks}
     small: dict[tuple[str, float, float], dict[int, int]] = {}
-    ranges = {(row["g"], row["lo"], row["hi"], row["n"]): {r: r for r in wanted[row["g"]]} for row in totals}
     for _ in range(_MAX_PASSES):
         wide = {}
         for (g, low, high, n), inside in ranges.items():
@@ -88,6 +108,33 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
     return result
 
 
+def _inside(base: DataFrame, brackets: dict[tuple[str, float, float], set[int]]) -> dict[tuple[str, int], float]:
+    """The wanted ranks that lie in their bracket: rows below it are counted, values inside it are listed with their number."""
+    spans = list(brackets)
+    if len(spans) <= 100:
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("rg"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (g, lo, hi) in enumerate(spans)])
+        rows = base.select("v", F.explode(F.filter(each, lambda x: x["rg"].eqNullSafe(F.col("g")) & (F.col("v") <= x["hi"]))).alias("x")).select("v", "x.*")
+    else:
+        ranges = base.sparkSession.createDataFrame([(i, *span) for i, span in enumerate(spans)], "i int, rg string, lo double, hi double")
+        rows = base.join(ranges, F.col("g").eqNullSafe(F.col("rg")) & (F.col("v") <= F.col("hi")))
+    counted = rows.groupBy("i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("at")).agg(F.count("*").alias("n")).collect()
+    listed: dict[int, list[tuple[float, int]]] = {}
+    before = dict.fromkeys(range(len(spans)), 0)
+    for row in counted:
+        if row["at"] is None:
+            before[row["i"]] = row["n"]
+        else:
+            listed.setdefault(row["i"], []).append((row["at"], row["n"]))
+    out = {}
+    for i, span in enumerate(spans):
+        wanted, seen = sorted(r for r in brackets[span] if r >= before[i]), before[i]
+        for value, n in sorted(listed.get(i, ())):
+            while wanted and wanted[0] < seen + n:
+                out[(span[0], wanted.pop(0))] = value
+            seen += n
+    return out
+
+
 def _range_row(i: int, g: str, low: float, high: float) -> tuple:
     """How the values of an open range are placed: infinite ends apart, far-reaching ranges by magnitude."""
     ends = [x for x in (low, high) if math.isfinite(x)]

@@ -67,3 +67,28 @@ def test_quantiles_of_many_groups(spark):
     frame = spark.range(150_000).select((F.col("id") % 50_000).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
     found = ranking.exact_quantiles(frame, "g", "v", [0.5])
     assert len(found) == 50_000 and found[("7", 0.5)] == 50_007.0
+
+
+def test_sketch_and_one_pass_find_the_quantiles_of_a_large_group(spark):
+    frame = spark.range(300_000).select(
+        F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(7.5)).otherwise((F.col("id") * 7919 % 299_993).cast("double") / 7).alias("v"),
+    )
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    context = spark.sparkContext
+    context.setJobGroup("quantiles", "quantiles")
+    found = ranking.exact_quantiles(frame, "g", "v", probs)
+    jobs = len(context.statusTracker().getJobIdsForGroup("quantiles"))
+    context.setJobGroup("other", "other")
+    assert jobs <= 5  # two passes, each a shuffle and its result, and what keeps the rows
+    rows = frame.toPandas()
+    for g in ("small", "large"):
+        for p in probs:
+            assert found[(g, p)] == pytest.approx(np.quantile(rows[rows.g == g].v, p), rel=1e-12)
+
+
+def test_a_wrong_bracket_is_narrowed_after_all(spark, monkeypatch):
+    inside = ranking._inside
+    monkeypatch.setattr(ranking, "_inside", lambda base, brackets: inside(base, {(g, low - 5, low - 4): r for (g, low, high), r in brackets.items()}))
+    frame = spark.range(30_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    assert ranking.exact_quantiles(frame, "g", "v", [0.3, 0.5])[("a", 0.5)] == 14_999.5
