@@ -153,6 +153,25 @@ def contract_audit(spark, contracts: Mapping[str, Sequence[str]], blocked: Itera
     return spark.createDataFrame(rows, schema)
 
 
+def stored_contract_audit(contracts: DataFrame, blocked: Iterable[str], first: str = "manifest") -> DataFrame:
+    """Stored feature lists (run, part, position, feature) compared with their run's ``first`` part, one row per list.
+
+    PASS only if a list has the same names in the same order as the first and none that must not be a feature;
+    a run without a first part fails. Lists are feature names of a model, which fit into a row.
+    """
+    lists = contracts.groupBy("run", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "feature"))), lambda x: x["feature"]).alias("own"))
+    wanted = lists.where(F.col("part") == first).select("run", F.col("own").alias("wanted"))
+    both = lists.join(wanted, "run", "left").withColumn("wanted", F.coalesce("wanted", F.expr("array()")))
+    diff = both.select(
+        "run", "part", F.size("own").alias("feature_count"), F.array_sort(F.array_except("wanted", "own")).alias("missing"),
+        F.array_sort(F.array_except("own", "wanted")).alias("extra"),
+        F.array_sort(F.array_intersect("own", F.array(*[F.lit(c) for c in dict.fromkeys(blocked)]))).alias("blocked"),
+        (F.array_sort("own") == F.array_sort("wanted")).alias("_same"), (F.col("own") == F.col("wanted")).alias("_ordered"),
+    )
+    clean = (F.size("blocked") == 0) & F.col("_ordered")
+    return diff.withColumn("reordered", (F.col("_same") & ~F.col("_ordered")).cast("int")).withColumn("status", F.when(clean, "PASS").otherwise("FAIL")).drop("_same", "_ordered")
+
+
 def leakage_gate(df: DataFrame, features: Sequence[str], numeric: Sequence[str], target: str, allowed: Iterable[str]) -> DataFrame:
     """One row: names that must not be features, columns that reproduce the target, verdict."""
     blocked = column_difference(features, features, PROFIT_LEAKAGE + PII_COLUMNS + ID_COLUMNS)["blocked"]

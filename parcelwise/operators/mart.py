@@ -108,9 +108,13 @@ def join_rows(left: DataFrame, right: DataFrame, row_key: Sequence[str]) -> Data
 
 
 def hydrate(orders: DataFrame, pred: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """Missing order fields taken from the first prediction row of the order."""
+    """Missing order fields taken from the first prediction row of the order.
+
+    Only predictions of the wanted orders are grouped; a key that the orders lack is not looked up.
+    """
     extra = [c for c in pred.columns if c not in orders.columns]
-    first = pred.groupBy(key).agg(
+    wanted = pred.join(orders.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+    first = wanted.groupBy(key).agg(
         F.min_by(F.struct(*extra), F.struct(*order_by)).alias("first")
     )
     return orders.join(first, key, "left").select(orders["*"], "first.*")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from parcelwise.constants import ID_COLUMNS, PROFIT_LEAKAGE
 from parcelwise.functions.scalars import parse_order_ts
-from parcelwise.operators import decisions, evaluation, features, models, reports, sessions
+from parcelwise.operators import audits, decisions, evaluation, features, models, reports, sessions
 from parcelwise.plans import choices, modelling, scores
 from parcelwise.plans.orders import history_of, mart_of
 from parcelwise.plans.registry import QUERIES, query
 from parcelwise.plans.sql import over_items, over_pred
 from parcelwise.session import scratch_path, shared_dir
-from parcelwise.sources import readers, store
-from parcelwise.sources.tables import RAW_NAMES, order_items, raw_orders
+from parcelwise.sources import readers, store, versions
+from parcelwise.sources.tables import RAW_NAMES, order_items, raw_orders, table
 
 # --- written and read back ---------------------------------------------------------------------------
 
@@ -63,6 +67,79 @@ def stored_choice(spark, sf_dir):
     ).withColumn("selected_count", total)
 
 
+_FLAGS = """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS kind, o_orderkey AS flagged_at, o_orderstatus FROM orders"""
+
+
+@query(
+    "SNK-08",
+    f"""SELECT month, arg_max(kind, flagged_at) AS kind, MAX(flagged_at) AS flagged_at, 3::BIGINT AS versions,
+      (SELECT COUNT(DISTINCT month) FROM ({_FLAGS}) WHERE o_orderstatus = 'O') AS months_of_first FROM ({_FLAGS}) GROUP BY 1""",
+)
+def stored_event_flags(spark, sf_dir):
+    """Flags written, updated by two more batches, one of them sent twice, and read back; the first version is still there."""
+    path = scratch_path(spark, f"event_flags-{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("flagged_at"), "o_orderstatus"
+    )
+    for status in ("O", "P", "O", "F"):
+        rows = orders.where(F.col("o_orderstatus") == status)
+        store.store_flags(rows.groupBy("month").agg(F.max_by("kind", "flagged_at").alias("kind"), F.max("flagged_at").alias("flagged_at")), path, f"status {status}")
+    first = versions.read(spark, path, 1).agg(F.count("*")).scalar()
+    return versions.read(spark, path).select("month", "kind", "flagged_at", versions.history(spark, path).agg(F.count("*")).scalar().alias("versions"), first.alias("months_of_first"))
+
+
+@query(
+    "SNK-04 SET-01",
+    over_items("""SELECT market AS "Market", COUNT(*) AS n, SUM(profit_actual)::DOUBLE AS profit, COUNT(*) FILTER (market = 'F') AS with_carrier,
+      (SELECT COUNT(*) FROM items WHERE market = 'O' AND order_type <> 'A') AS first_version FROM items WHERE order_type <> 'A' GROUP BY 1"""),
+)
+def known_results_in_versions(spark, sf_dir):
+    """Batches of known results, each sent twice, the second with a further column: every batch is stored once."""
+    path = scratch_path(spark, f"result_versions-{uuid.uuid4().hex}")
+    raw = raw_orders(spark, sf_dir).where("Type <> 'A'")
+    for market in ("O", "O", "F", "F", "O"):
+        rows = raw.where(F.col("Market") == market)
+        store.append_batch(rows.withColumn("Carrier", F.col("Type")) if market == "F" else rows, path, f"market {market}")
+    before = versions.read(spark, path, 1).agg(F.count("*")).scalar()
+    return versions.read(spark, path).groupBy("Market").agg(
+        F.count("*").alias("n"), F.sum("Order Profit Per Order").alias("profit"), F.count("Carrier").alias("with_carrier"), before.alias("first_version")
+    )
+
+
+_RUNS = """named AS (SELECT DISTINCT 'Type_' || order_type AS feature, market, shipping_mode FROM items UNION ALL SELECT DISTINCT 'Category_' || category_name, market, shipping_mode FROM items WHERE quantity = 50 AND order_region = 'Oceania'),
+      lists AS (SELECT DISTINCT 'late' AS run, 'manifest' AS part, feature FROM named UNION ALL SELECT DISTINCT 'late', 'artifacts', feature FROM named
+        UNION ALL SELECT DISTINCT 'fast', 'manifest', feature FROM named UNION ALL SELECT DISTINCT 'fast', 'model', feature FROM named WHERE shipping_mode = 'Same Day'
+        UNION ALL SELECT DISTINCT 'open', 'manifest', feature FROM named WHERE market = 'O' UNION ALL SELECT DISTINCT 'open', 'model', feature FROM named UNION ALL SELECT 'open', 'model', 'Order Id')"""
+
+
+@query(
+    "SET-03 ML-15 SNK-10",
+    over_items(f""", {_RUNS}, own AS (SELECT run, part, list(feature ORDER BY feature) AS own FROM lists GROUP BY ALL),
+      pairs AS (SELECT o.run, o.part, o.own, w.own AS wanted FROM own o JOIN own w ON o.run = w.run AND w.part = 'manifest')
+      SELECT run, part, len(own)::INTEGER AS feature_count, array_to_string(list_filter(wanted, lambda x: NOT list_contains(own, x)), ',') AS missing,
+        array_to_string(list_filter(own, lambda x: NOT list_contains(wanted, x)), ',') AS extra, array_to_string(list_filter(own, lambda x: x = 'Order Id'), ',') AS blocked,
+        0 AS reordered, CASE WHEN own = wanted THEN 'PASS' ELSE 'FAIL' END AS status FROM pairs"""),
+)
+def stored_contracts(spark, sf_dir):
+    """Feature lists of three training runs, stored as JSON by part and audited after reading them back."""
+    path = scratch_path(spark, f"contracts-{uuid.uuid4().hex}")
+    items = order_items(spark, sf_dir, ["order_type", "market", "shipping_mode", "category_name", "order_region", "quantity"])
+    kinds = items.select(F.concat(F.lit("Type_"), "order_type").alias("feature"), "market", "shipping_mode").distinct()
+    some = items.where((F.col("quantity") == 50) & (F.col("order_region") == "Oceania"))
+    named = kinds.unionByName(some.select(F.concat(F.lit("Category_"), "category_name").alias("feature"), "market", "shipping_mode").distinct())
+    named = spark.createDataFrame(named.collect(), named.schema)  # the names of a model's features, a few hundred
+    extra = spark.createDataFrame([("Order Id", "", "")], named.schema)
+    parts = {
+        ("late", "manifest"): named, ("late", "artifacts"): named, ("fast", "manifest"): named, ("fast", "model"): named.where("shipping_mode = 'Same Day'"),
+        ("open", "manifest"): named.where("market = 'O'"), ("open", "model"): named.unionByName(extra),
+    }
+    for (run, part), rows in parts.items():
+        numbered = rows.select("feature").distinct().withColumn("position", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("feature")) - 1).cast("int"))
+        store.write_contract(numbered, path, run, part)
+    audit = audits.stored_contract_audit(store.read_contracts(spark, path), ID_COLUMNS + PROFIT_LEAKAGE)
+    return audit.select("run", "part", "feature_count", *[F.array_join(c, ",").alias(c) for c in ("missing", "extra", "blocked")], "reordered", "status")
+
+
 _FITTED = ["quantity", "product_price", "discount_rate"]
 
 

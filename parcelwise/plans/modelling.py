@@ -301,6 +301,27 @@ def leakage_gate(spark, sf_dir):
     return audits.leakage_gate(items, numbers, ["sales", "quantity", "profit_ratio"], "profit_actual", [])
 
 
+_GATE_NUMBERS = ["sales", "quantity", "profit_ratio"]
+
+
+def _gate_sql(case: str, names: list[str]) -> str:
+    pairs = [(f"{a}::DOUBLE", a) for a in names] + [(f"{a}::DOUBLE * {b}::DOUBLE", f"{a} x {b}") for i, a in enumerate(names) for b in names[i + 1:]]
+    checks = " UNION ALL ".join(_guard(x, name) for x, name in pairs)
+    return f"SELECT '{case}' AS \"case\", 3 AS feature_count, SUM(leaks)::BIGINT AS identity_leaks, CASE WHEN SUM(leaks) > 0 THEN 'FAIL' ELSE 'PASS' END AS gate_status FROM ({checks})"
+
+
+@query(
+    "ML-15 AGG-23",
+    over_items(" UNION ALL ".join([_gate_sql("margin not allowed", _GATE_NUMBERS), _gate_sql("margin allowed", _GATE_NUMBERS[:2])])),
+)
+def leakage_gates(spark, sf_dir):
+    """The gate with and without the allowance for the margin: the correlations decide, not a list."""
+    items = order_items(spark, sf_dir, [*_GATE_NUMBERS, "profit_actual"])
+    strict = audits.leakage_gate(items, _GATE_NUMBERS, _GATE_NUMBERS, "profit_actual", []).withColumn("case", F.lit("margin not allowed"))
+    mild = audits.leakage_gate(items, _GATE_NUMBERS, _GATE_NUMBERS, "profit_actual", ["profit_ratio"]).withColumn("case", F.lit("margin allowed"))
+    return strict.unionByName(mild).select("case", "feature_count", "identity_leaks", "gate_status")
+
+
 @query(
     "AGG-35",
     over_items("""SELECT 'order_region' AS "column", COUNT(*) FILTER (order_region IS NULL) AS nulls, 0 AS is_numeric, COUNT(*) - COUNT(DISTINCT order_id) AS duplicate_keys FROM items

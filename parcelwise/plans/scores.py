@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from parcelwise.functions.scalars import display_id, hash_id, risk_bucket, safe_divide, search_token
@@ -420,6 +422,29 @@ def compare_models(spark, sf_dir):
     return evaluation.compare_metrics(old, new)
 
 
+_SCORES = """rescored AS (SELECT true_label, bp AS old, (bp * 3 + 2000 * true_label + order_id * 13 % 4000) // 4 AS new FROM items),
+      long AS (SELECT 'old' AS model, true_label, old AS s FROM rescored UNION ALL SELECT 'new', true_label, new FROM rescored)"""
+_VALUES = f"""SELECT g, n, auc, {ratio4('tp', 'tp+fp')} AS p, {ratio4('tp', 'tp+fn')} AS r, {ratio4('2*tp', '2*tp+fp+fn')} AS f1 FROM area JOIN
+      (SELECT model, COUNT(*) FILTER (s >= 5000 AND true_label = 1) AS tp, COUNT(*) FILTER (s >= 5000 AND true_label = 0) AS fp, COUNT(*) FILTER (s < 5000 AND true_label = 1) AS fn FROM long GROUP BY 1) ON model = g"""
+
+
+@query(
+    "AGG-37",
+    over_items(f""", {_SCORES}, {auc_sql('long', 'model', 's')}, v AS ({_VALUES}),
+      named AS (SELECT g, unnest(['auc', 'f1', 'precision', 'recall']) AS metric, unnest([auc, f1, p, r]) AS value FROM v)
+      SELECT o.metric, o.value AS old_value, n.value AS new_value, ROUND(n.value - o.value, 4) AS difference FROM named o JOIN named n ON o.metric = n.metric AND o.g = 'old' AND n.g = 'new'"""),
+)
+def compare_two_models(spark, sf_dir):
+    """Two models' scores of the same rows: every metric of the old and of the new one, and what changed."""
+    items = order_items(spark, sf_dir, ["order_id", "p_late", "true_label"])
+    points = F.round(F.col("p_late") * 10_000).cast("long")
+    newer = F.floor((points * 3 + 2000 * F.col("true_label") + F.col("order_id") * 13 % 4000) / 4)
+    rescored = items.withColumn("p_late", (newer.cast("decimal(8,0)") * F.lit(Decimal("0.0001"))).cast("decimal(8,4)"))
+    names = ["auc", "f1", "precision", "recall"]
+    old, new = (evaluation.as_metric_rows(evaluation.classifier_report(df), names) for df in (items, rescored))
+    return evaluation.compare_metrics(old, new)
+
+
 @query(
     "SRC-08 PRJ-15",
     over_mart(f"SELECT {bucket_sql('p_late')} AS risk_bucket, COUNT(*) AS orders, SUM(upgrade_cost)::DOUBLE AS cost FROM mart GROUP BY 1"),

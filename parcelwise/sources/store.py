@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.constants import LABEL, PROFIT_TARGET
 from parcelwise.operators.privacy import drop_pii
+from parcelwise.sources import versions
 from parcelwise.sources.readers import check_header, session_key
 
 
@@ -96,17 +97,33 @@ def append_known_results(df: DataFrame, path: str) -> dict[str, int]:
     """
     spark = df.sparkSession
     clean = check_known_results(df)
-    stored = read_known_results(spark, path)
-    if stored is not None:
-        kinds = dict(stored.dtypes)
-        changed = {c: (kinds[c], t) for c, t in clean.dtypes if kinds.get(c, t) != t}
-        if changed:
-            raise ValueError(f"columns changed their type: {changed}")
+    _same_types(read_known_results(spark, path), clean)
     seen = Observation()
     clean.observe(seen, F.count(F.lit(1)).alias("added")).write.mode("append").parquet(path)
     return {"added": seen.get["added"], "total": stored_rows(spark, path)}
 
 
+def _same_types(stored: DataFrame | None, batch: DataFrame) -> None:
+    kinds = dict(stored.dtypes) if stored is not None else {}
+    changed = {c: (kinds[c], t) for c, t in batch.dtypes if kinds.get(c, t) != t}
+    if changed:
+        raise ValueError(f"columns changed their type: {changed}")
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> dict[str, int]:
+    """Append a checked batch to a versioned store, once: repeated under its name it adds nothing.
+
+    The types are compared with the version the batch is added to, also if another writer was faster.
+    """
+    clean = check_known_results(df)
+
+    def checked(stored: DataFrame | None) -> DataFrame:
+        _same_types(stored, clean)
+        return clean
+
+    return versions.commit(df.sparkSession, path, batch, checked)
+
+
 def read_known_results(spark: SparkSession, path: str) -> DataFrame | None:
     """All batches with all their columns, NULL where a batch lacks one; None if nothing is stored."""
     from pyspark.errors import AnalysisException
@@ -138,3 +155,24 @@ def upsert_flags(flags: DataFrame, changes: DataFrame) -> DataFrame:
     rest = [F.desc(c) for c in flags.columns if c not in ("month", "flagged_at")]
     w = Window.partitionBy("month").orderBy(F.desc("flagged_at"), F.desc("_new"), *rest)
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+
+
+def store_flags(changes: DataFrame, path: str, batch: str) -> dict[str, int]:
+    """Upsert a batch of flags into a versioned store; see :func:`upsert_flags`. Read them with :func:`versions.read`."""
+    def merged(stored: DataFrame | None) -> DataFrame:
+        return upsert_flags(stored if stored is not None else changes.limit(0), changes)
+
+    return versions.commit(changes.sparkSession, path, batch, merged, replace=True)
+
+
+# --- feature contracts --------------------------------------------------------------------------
+
+
+def write_contract(features: DataFrame, path: str, run: str, part: str) -> None:
+    """The (position, feature) list of one part (manifest, artifacts, model) of a training run, as JSON."""
+    features.select("position", "feature").write.mode("overwrite").json(f"{path}/run={run}/part={part}")
+
+
+def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+    """(run, part, position, feature) of all stored lists."""
+    return spark.read.schema("position int, feature string, run string, part string").json(path)
