@@ -88,6 +88,43 @@ def decision_mart_single(
     return with_decision_columns(rolled, penalty)
 
 
+def order_state(items: DataFrame, key: str, order_by: Sequence[str], dims: Sequence[str]) -> DataFrame:
+    """What a batch of items adds to its orders: sums, counts, maxima, and each dimension's first value with its position.
+
+    States of the same order are merged by :func:`merged_state`, in any grouping and any order of batches.
+    """
+    def first(name: str) -> Column:
+        value = F.struct(*[F.col(c).alias(f"at{i}") for i, c in enumerate(order_by)], F.col(name).alias("value"))
+        return F.min(F.when(F.col(name).isNotNull(), value)).alias(f"first_{name}")
+
+    def total(name: str) -> list[Column]:
+        return [F.sum(F.col(name).cast("decimal(8,4)")).cast("decimal(28,4)").alias(f"{name}_sum"), F.count(name).alias(f"{name}_n")]
+
+    return items.where(F.col(key).isNotNull()).groupBy(key).agg(
+        *total("p_late"), *total("discount_rate"), F.max("true_label").alias("true_label"), F.max("upgrade_cost").alias("upgrade_cost"),
+        money_sum("profit_actual"), money_sum("profit_pred"), *[first(c) for c in dims],
+    )
+
+
+def merged_state(states: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:
+    """One state per order from several."""
+    sums = [F.sum(f"{c}_sum").cast("decimal(28,4)").alias(f"{c}_sum") for c in ("p_late", "discount_rate")]
+    counts = [F.sum(f"{c}_n").alias(f"{c}_n") for c in ("p_late", "discount_rate")]
+    best = [F.max(c).alias(c) for c in ("true_label", "upgrade_cost")]
+    return states.groupBy(key).agg(*sums, *counts, *best, money_sum("profit_actual"), money_sum("profit_pred"), *[F.min(f"first_{c}").alias(f"first_{c}") for c in dims])
+
+
+def mart_of_states(state: DataFrame, key: str, dims: Sequence[str], penalty=DEFAULT_PENALTY) -> DataFrame:
+    """The decision mart that :func:`decision_mart_single` gives for all items behind the states."""
+    def mean(name: str) -> Column:
+        return F.round(F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n")), 4).cast("decimal(8,4)").alias(name)
+
+    rolled = state.select(
+        key, mean("p_late"), "true_label", "upgrade_cost", "profit_actual", "profit_pred", mean("discount_rate"), *[F.col(f"first_{c}.value").alias(c) for c in dims]
+    )
+    return with_decision_columns(rolled, penalty)
+
+
 def items_of_orders(items: DataFrame, orders: DataFrame, key: str) -> DataFrame:
     """Semi join; the key side is made distinct before it is shuffled."""
     return items.join(orders.select(key).distinct(), key, "left_semi")

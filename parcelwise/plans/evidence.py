@@ -13,10 +13,10 @@ from parcelwise.operators import audits, decisions, evaluation, features, models
 from parcelwise.plans import choices, modelling, scores
 from parcelwise.plans.orders import history_of, mart_of
 from parcelwise.plans.registry import QUERIES, query
-from parcelwise.plans.sql import over_items, over_pred
+from parcelwise.plans.sql import over_items, over_mart, over_pred
 from parcelwise.session import scratch_path, shared_dir
 from parcelwise.sources import readers, store, versions
-from parcelwise.sources.tables import RAW_NAMES, order_items, raw_orders, table
+from parcelwise.sources.tables import ITEM_KEYS, RAW_NAMES, order_items, predictions, raw_orders, table
 
 # --- written and read back ---------------------------------------------------------------------------
 
@@ -106,6 +106,26 @@ def known_results_in_versions(spark, sf_dir):
     )
 
 
+_DIMS = ("customer_segment", "order_region", "category_name", "shipping_mode")
+
+
+@query(
+    "SNK-06 SRC-08 AGG-01 AGG-02",
+    over_mart("""SELECT order_id, p_late::DOUBLE AS p_late, true_label, upgrade_cost::DOUBLE AS upgrade_cost, profit_actual::DOUBLE AS profit_actual, profit_pred::DOUBLE AS profit_pred,
+      discount_rate::DOUBLE AS discount_rate, customer_segment, order_region, category_name, shipping_mode, net_of_service::DOUBLE AS net_of_service, risk_bucket FROM mart"""),
+)
+def mart_in_batches(spark, sf_dir):
+    """The mart kept up to date by three batches that share their orders, one of them sent twice."""
+    path = scratch_path(spark, f"mart_batches-{uuid.uuid4().hex}")
+    items = predictions(spark, sf_dir, [*ITEM_KEYS, "discount_rate", "true_label", "profit_actual", "profit_pred", *_DIMS])
+    for batch in (1, 0, 1, 2):
+        store.update_mart(items.where(F.col("line_no") % 3 == batch), path, f"lines {batch}", "order_id", ITEM_KEYS[1:], _DIMS, parts=16)
+    full = store.read_updated_mart(spark, path, "order_id", _DIMS)
+    return full.select(
+        "order_id", "p_late", "true_label", "upgrade_cost", "profit_actual", "profit_pred", "discount_rate", *_DIMS, "net_of_service", "risk_bucket"
+    )
+
+
 _RUNS = """named AS (SELECT DISTINCT 'Type_' || order_type AS feature, market, shipping_mode FROM items UNION ALL SELECT DISTINCT 'Category_' || category_name, market, shipping_mode FROM items WHERE quantity = 50 AND order_region = 'Oceania'),
       lists AS (SELECT DISTINCT 'late' AS run, 'manifest' AS part, feature FROM named UNION ALL SELECT DISTINCT 'late', 'artifacts', feature FROM named
         UNION ALL SELECT DISTINCT 'fast', 'manifest', feature FROM named UNION ALL SELECT DISTINCT 'fast', 'model', feature FROM named WHERE shipping_mode = 'Same Day'

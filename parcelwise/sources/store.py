@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelwise.constants import LABEL, PROFIT_TARGET
+from parcelwise.constants import DEFAULT_PENALTY, LABEL, PROFIT_TARGET
+from parcelwise.operators import mart
 from parcelwise.operators.privacy import drop_pii
+from parcelwise.session import written
 from parcelwise.sources import versions
 from parcelwise.sources.readers import check_header, session_key
 
@@ -53,12 +55,39 @@ def write_artifacts(medians: DataFrame, codes: DataFrame, path: str) -> None:
     codes.write.mode("overwrite").parquet(f"{path}/codes")
 
 
-def write_mart(mart: DataFrame, summary: DataFrame, trust: DataFrame, path: str) -> None:
-    mart.write.mode("overwrite").parquet(f"{path}/mart")
+def write_mart(orders: DataFrame, summary: DataFrame, trust: DataFrame, path: str) -> None:
+    orders.write.mode("overwrite").parquet(f"{path}/mart")
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     trust.write.mode("overwrite").parquet(f"{path}/trust_map")
 
 
+def update_mart(
+    items: DataFrame, path: str, batch: str, key: str, order_by: Sequence[str], dims: Sequence[str], parts: int = 256,
+) -> dict[str, int]:
+    """Add a batch of items to a stored mart: only the parts that hold its orders are read and written again.
+
+    What is stored are mergeable states per order in ``parts`` parts by a hash of the key, see
+    :func:`mart.order_state`; a repeated batch adds nothing. Read the mart by :func:`read_updated_mart`.
+    """
+    spark, place = items.sparkSession, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    done = versions.stored(spark, path, batch)
+    if done:
+        return done
+    fresh = written(mart.order_state(items, key, order_by, dims), "mart-batch")
+    touched = [r["part"] for r in fresh.select(place).distinct().collect()]  # at most ``parts`` numbers
+
+    def make(stored: DataFrame | None) -> DataFrame:
+        states = fresh if stored is None else mart.merged_state(stored.unionByName(fresh), key, dims)
+        return states.withColumn("part", place).repartition("part")
+
+    return versions.commit(spark, path, batch, make, part="part", only=touched)
+
+
+def read_updated_mart(spark: SparkSession, path: str, key: str, dims: Sequence[str], penalty=DEFAULT_PENALTY, version: int | None = None) -> DataFrame | None:
+    states = versions.read(spark, path, version)
+    return mart.mart_of_states(states, key, dims, penalty) if states is not None else None
+
+
 def write_thresholds(sweep: DataFrame, best: DataFrame, path: str) -> None:
     sweep.write.mode("overwrite").parquet(f"{path}/sweep")
     best.write.mode("overwrite").parquet(f"{path}/best")

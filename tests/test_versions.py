@@ -1,5 +1,8 @@
 """Versioned stores: whole versions, repeated batches, writers at the same time, contracts read from stored lists."""
 
+import random
+from decimal import Decimal as D
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def test_two_records_under_one_number(spark, tmp_path):
     path = str(tmp_path / "t")
     versions.commit(spark, path, "a", lambda old: rows(spark, 0, 1))
     rows(spark, 5, 1).write.parquet(f"{path}/data/!")
-    spark.createDataFrame([(1, "other", 1, [f"{path}/data/!"])], versions._RECORD).write.mode("append").json(f"{path}/commits/{1:012d}")
+    spark.createDataFrame([(1, "other", 1, f"{path}/data/!", [f"{path}/data/!"])], versions._RECORD).write.mode("append").json(f"{path}/commits/{1:012d}")
     assert keys(versions.read(spark, path)) == [5] and [r.batch for r in versions.history(spark, path).collect()] == ["other"]
     assert versions.commit(spark, path, "a", lambda old: rows(spark, 0, 1)) == {"version": 2, "added": 1}
 
@@ -98,3 +101,40 @@ def test_hydration_groups_only_wanted_orders(spark):
     got = mart.hydrate(orders, pred, "o", ["line"])
     assert sorted(map(tuple, got.select("o", "w", "kind").collect()), key=repr) == sorted([(1, "a", "first"), (2, "b", None), (None, "c", None)], key=repr)
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_that_are_not_touched_keep_their_folders(spark, tmp_path):
+    path = str(tmp_path / "p")
+
+    def add(first, n):
+        def make(old):
+            new = rows(spark, first, n).withColumn("part", (F.col("k") % 4).cast("int"))
+            return new if old is None else old.withColumn("part", (F.col("k") % 4).cast("int")).unionByName(new)
+        return make
+
+    versions.commit(spark, path, "a", add(0, 8), part="part", only=[0, 1, 2, 3])
+    assert versions.commit(spark, path, "b", add(8, 2), part="part", only=[0, 1]) == {"version": 2, "added": 6}
+    first, second = (set(r.folders) for r in versions.history(spark, path).orderBy("version").collect())
+    assert keys(versions.read(spark, path)) == list(range(10)) and len(first & second) == 2 and len(second) == 4
+    assert keys(versions.read(spark, path, 1)) == list(range(8))
+
+
+ITEMS = "order_id int, line int, p_late decimal(8,4), true_label int, upgrade_cost decimal(12,2), profit_actual decimal(18,4), profit_pred decimal(18,4), discount_rate decimal(5,4), customer_segment string, order_region string"
+
+
+def test_mart_after_batches_equals_the_mart_of_all(spark, tmp_path):
+    rng = random.Random(5)
+    made = [
+        (rng.choice([None, *range(30)]), line, D(rng.randrange(10_000)) / 10_000, rng.randrange(2), D(rng.randrange(50, 90)), D(rng.randrange(-99, 99)), D(rng.randrange(99)), D(rng.randrange(9)) / 100,
+         rng.choice([None, "a", "b"]), rng.choice(["x", "y"])) for line in range(400)
+    ]
+    everything, path = spark.createDataFrame(made, ITEMS).repartition(3), str(tmp_path / "m")
+    dims = ["customer_segment", "order_region"]
+    for batch in (2, 0, 0, 1):
+        store.update_mart(everything.where(F.col("line") % 3 == batch), path, f"batch {batch}", "order_id", ["line"], dims, parts=8)
+    whole = mart.decision_mart_single(everything, "order_id", ["line"], dims=dims)
+    got = store.read_updated_mart(spark, path, "order_id", dims)
+    assert sorted(map(tuple, got.select(*whole.columns).collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    last = store.update_mart(spark.createDataFrame([(1, 900, D(0), 0, D(1), D(1), D(1), D(0), "z", "z")], ITEMS), path, "one order", "order_id", ["line"], dims, parts=8)
+    folders = [set(r.folders) for r in versions.history(spark, path).orderBy("version").collect()]
+    assert last["version"] == 4 and len(folders[-1] - folders[-2]) == 1
