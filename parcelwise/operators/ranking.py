@@ -25,6 +25,7 @@ _FINISH_ROWS = 20_000
 _MAX_PASSES = 400
 _LARGEST = sys.float_info.max
 _SKETCH = 10_000
+_SAMPLE = 4_000
 
 
 def exact_quantiles(
@@ -341,3 +342,53 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: C
     inside = F.sum("_value").over(Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     summed = placed.withColumn("_inside", inside).join(before, [*by, "_range"])
     return summed.withColumn(out, F.col("_inside") + F.col("_before")).select(*df.columns, out)
+
+
+# --- places in an ordered list ------------------------------------------------------------
+
+
+def sort_columns(order: Sequence[str]) -> list[Column]:
+    """Sort order from names; a leading minus means descending. Nulls come first, in descending columns last."""
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+
+
+def precedes(order: Sequence[str], key: Sequence, or_equal: bool = False) -> Column:
+    """True for rows that come before ``key``, one value per column of ``order``."""
+    out, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order, key, strict=True):
+        down, c = name.startswith("-"), F.col(name.removeprefix("-"))
+        if value is None:
+            less = c.isNotNull() if down else F.lit(False)
+        else:
+            less = F.coalesce(c > F.lit(value), F.lit(False)) if down else F.coalesce(c < F.lit(value), F.lit(True))
+        out, equal = out | equal & less, equal & c.eqNullSafe(F.lit(value))
+    return out | equal if or_equal else out
+
+
+def around_places(df: DataFrame, order: Sequence[str], start: int, stop: int, total: int | None = None) -> tuple[DataFrame, int]:
+    """The rows of a key range that holds the places ``start`` to ``stop`` (from 0, exclusive) of the ordered list, and
+    how many rows come before it.
+
+    A sample of a few thousand keys proposes a range, a count over all rows confirms it or asks for a wider one;
+    this repeats inside the range until few rows are left. Keys may be numbers, decimals, texts and dates.
+    """
+    names, before = [c.removeprefix("-") for c in order], 0
+    n = df.count() if total is None else total
+    if start >= n:
+        return df.where(F.lit(False)), start
+    rows, spread = df, 4.0
+    while n > _FINISH_ROWS and spread < 64:
+        sample = rows.select(*names).sample(min(1.0, _SAMPLE / n), seed=n).orderBy(*sort_columns(order)).collect()
+        margin = spread * math.sqrt(len(sample)) + 1
+        first, last = math.floor(start / n * len(sample) - margin), math.ceil(min(stop, n) / n * len(sample) + margin)
+        low = precedes(order, sample[first]) if first >= 0 else F.lit(False)
+        high = precedes(order, sample[last], True) if last < len(sample) else F.lit(True)
+        seen = rows.agg(F.count_if(low).alias("before"), F.count_if(~low & high).alias("inside")).first()
+        if not seen["before"] <= start or seen["before"] + seen["inside"] < min(stop, n):
+            spread *= 2
+            continue
+        if seen["inside"] > 0.8 * n:
+            break  # rows that the keys do not tell apart
+        rows, before, n = rows.where(~low & high), before + seen["before"], seen["inside"]
+        start, stop = start - seen["before"], stop - seen["before"]
+    return rows, before

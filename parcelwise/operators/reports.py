@@ -13,7 +13,7 @@ from parcelwise.constants import (
 )
 from parcelwise.functions.scalars import display_id, month_key, ratio, search_token
 from parcelwise.operators.money import HISTORY, MONEY, Scope, dec
-from parcelwise.operators.ranking import at_or_before, cut_points
+from parcelwise.operators.ranking import around_places, at_or_before, cut_points, sort_columns
 
 
 _ONE_PASS_ROWS = 10_000
@@ -65,19 +65,21 @@ def filter_orders(
     return out.where(F.col("is_correct") == 0) if error_only else out
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> DataFrame:
-    """One page of an ordered list with absolute row numbers.
+def page(df: DataFrame, order: Sequence[str], number: int, limit: int, total: int | None = None) -> DataFrame:
+    """One page of an ordered list with absolute row numbers; ``order`` are names, descending ones with a minus.
 
-    Sorting stops at ``number*limit`` rows per task; the numbering runs over the
-    page alone.
+    Near the top, sorting stops at ``number*limit`` rows per task. A far page is looked up by its key range
+    first, so that only rows around it are sorted. The numbering runs over the page alone.
     """
     number, limit = max(1, number), max(1, limit)
-    start = (number - 1) * limit
-    rows = df.orderBy(*order).offset(start).limit(limit)
-    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)).cast("long") + start)
+    start, before, by = (number - 1) * limit, 0, sort_columns(order)
+    if start + limit > _ONE_PASS_ROWS:
+        df, before = around_places(df, order, start, start + limit, total)
+    rows = df.orderBy(*by).offset(start - before).limit(limit)
+    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*by)).cast("long") + start)
 
 
-def clamped_page(df: DataFrame, order: Sequence[Column], number: int, limit: int) -> DataFrame:
+def clamped_page(df: DataFrame, order: Sequence[str], number: int, limit: int) -> DataFrame:
     """As :func:`page`; a page past the end becomes the last page.
 
     Near the top of the list one pass is enough: the rows up to the page tell by
@@ -85,11 +87,11 @@ def clamped_page(df: DataFrame, order: Sequence[Column], number: int, limit: int
     """
     number, limit = max(1, number), max(1, limit)
     if number * limit > _ONE_PASS_ROWS:
-        pages = max(1, -(-df.count() // limit))
-        return page(df, order, min(number, pages), limit)
-    head = df.orderBy(*order).limit(number * limit)
+        total = df.count()
+        return page(df, order, min(number, max(1, -(-total // limit))), limit, total)
+    head = df.orderBy(*sort_columns(order)).limit(number * limit)
     numbered = head.withColumns(
-        {"row_number": F.row_number().over(Window.orderBy(*order)).cast("long"), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
+        {"row_number": F.row_number().over(Window.orderBy(*sort_columns(order))).cast("long"), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
     )
     return numbered.where(F.col("row_number") > F.floor((F.col("_last") - 1) / limit) * limit).drop("_last")
 
@@ -366,7 +368,7 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
 
 
 def at_risk_list(mart: DataFrame, id_col: str, number: int = 1, limit: int = 50, scope: Scope = HISTORY) -> DataFrame:
-    return clamped_page(mart, [F.desc("epar"), F.col(id_col)], number, limit).select(
+    return clamped_page(mart, ["-epar", id_col], number, limit).select(
         "row_number",
         display_id(F.col(id_col)).alias("id"),
         money2(F.col("epar")).alias("epar"),
@@ -385,7 +387,7 @@ def residual_list(pred: DataFrame, ties: Sequence[str], sort: str = "abs_residua
         "abs_residual", F.abs("residual")
     )
     order_col = sort if sort in ("predicted_profit", "actual_profit") else "abs_residual"
-    paged = page(clean, [F.desc(order_col), *[F.col(t) for t in ties]], number, limit)
+    paged = page(clean, [f"-{order_col}", *ties], number, limit)
     return paged.withColumn("row_id", F.format_string("profit_test_%05d", F.col("row_number")))
 
 

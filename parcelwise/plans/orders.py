@@ -267,7 +267,7 @@ def at_risk_list(spark, sf_dir):
 def last_page_of_list(spark, sf_dir):
     """A page far past the end falls back to the last one."""
     full = history_of(spark, sf_dir, ("shipping_mode",)).where("shipping_mode = 'Same Day'")
-    return reports.clamped_page(full, [F.desc("epar"), F.col("order_id")], 10**6, 200).select("order_id", "epar", "row_number")
+    return reports.clamped_page(full, ["-epar", "order_id"], 10**6, 200).select("order_id", "epar", "row_number")
 
 
 @query(

@@ -201,8 +201,18 @@ def order_page(spark, sf_dir):
     chosen = reports.filter_orders(
         pred, month="1997-03", risk="High", shipping="Standard Class", threshold="0.6", id_col="order_id"
     )
-    order = [F.desc("p_late"), *[F.col(k) for k in ITEM_KEYS]]
-    return reports.page(chosen, order, 2, 20).select("order_id", "line_no", "product_id", "p_late", "risk_bucket", "row_number")
+    return reports.page(chosen, ["-p_late", *ITEM_KEYS], 2, 20).select("order_id", "line_no", "product_id", "p_late", "risk_bucket", "row_number")
+
+
+@query(
+    "TOP-01 WIN-06 FLT-02",
+    over_pred("""SELECT order_id, line_no, product_id, p_late::DOUBLE AS p_late, row_number FROM (SELECT *, row_number() OVER (ORDER BY bp DESC, order_id, line_no, product_id, supplier_id, price_cents) AS row_number FROM pred)
+      WHERE row_number > 40000 AND row_number <= 40100"""),
+)
+def far_order_page(spark, sf_dir):
+    """A page deep in the list of all items: its key range is found first, then only that range is sorted."""
+    pred = predictions(spark, sf_dir, ITEM_KEYS)
+    return reports.page(pred, ["-p_late", *ITEM_KEYS], 401, 100).select("order_id", "line_no", "product_id", "p_late", "row_number")
 
 
 @query(

@@ -92,3 +92,30 @@ def test_a_wrong_bracket_is_narrowed_after_all(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_inside", lambda base, brackets: inside(base, {(g, low - 5, low - 4): r for (g, low, high), r in brackets.items()}))
     frame = spark.range(30_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
     assert ranking.exact_quantiles(frame, "g", "v", [0.3, 0.5])[("a", 0.5)] == 14_999.5
+
+
+def listed(spark, n):
+    return spark.range(n).select(
+        F.when(F.col("id") % 11 != 0, ((F.col("id") * 7919 % 40) / 8).cast("decimal(8,4)")).alias("p"), F.when(F.col("id") % 13 != 0, F.concat(F.lit("k"), F.col("id") * 31 % 997)).alias("t"), "id"
+    ).repartition(4)
+
+
+@pytest.mark.parametrize("order", [["-p", "t", "id"], ["t", "-p", "-id"], ["-t", "id"]])
+def test_far_places_by_composite_keys(spark, monkeypatch, order):
+    monkeypatch.setattr(ranking, "_FINISH_ROWS", 500)
+    monkeypatch.setattr(ranking, "_SAMPLE", 900)
+    frame = listed(spark, 30_000)
+    whole = [r.id for r in frame.orderBy(*ranking.sort_columns(order)).collect()]
+    for start in (0, 12_345, 29_990):
+        rows, before = ranking.around_places(frame, order, start, start + 20)
+        inside = [r.id for r in rows.orderBy(*ranking.sort_columns(order)).collect()]
+        assert inside == whole[before : before + len(inside)] and before <= start and before + len(inside) >= min(start + 20, 30_000)
+        assert len(inside) < 3_000
+    rows, before = ranking.around_places(frame, order, 30_000, 30_020)
+    assert rows.count() == 0 and before == 30_000
+
+
+def test_far_places_among_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_FINISH_ROWS", 100)
+    rows, before = ranking.around_places(spark.range(5_000).select(F.lit("x").alias("k")), ["k"], 4_000, 4_010)
+    assert (rows.count(), before) == (5_000, 0)

@@ -99,7 +99,7 @@ def test_no_errors_without_labels(spark):
 
 def test_pages(spark):
     frame = spark.range(95).withColumn("v", F.col("id") * 7 % 10)
-    order = [F.desc("v"), F.col("id")]
+    order = ["-v", "id"]
     rows = reports.page(frame, order, 2, 10).collect()
     assert [r["row_number"] for r in rows] == list(range(11, 21))
     last = reports.clamped_page(frame, order, 99, 10).collect()
