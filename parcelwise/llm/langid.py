@@ -227,16 +227,17 @@ def _limits(cost: np.ndarray, length: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample_chars: int = 1_500_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """One model per language of the rows that are not held out, from about ``sample_chars`` characters of each.
 
-    The sample takes whole texts by a hash of id and text, at a rate from the language's total; four fifths of it
+    The sample takes whole texts by a hash of id and text, at a rate from the language's total, and the first by
+    that hash always, so that no language of few long texts is lost; four fifths of it
     fit the model, a fifth calibrates the rejection: a high quantile of the cross-entropy (nats per character) by length,
     one nat added, never falling with shorter texts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    totals = keep(totals.select("lang", F.least(F.lit(1.0), sample_chars / F.col("chars")).alias("rate")), "languages")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    picked = rows.join(totals, "lang").filter(draw <= F.col("rate") * (1 << 30)).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"))
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min(draw).alias("first"))
+    totals = keep(totals.select("lang", "first", F.least(F.lit(1.0), sample_chars / F.col("chars")).alias("rate")), "languages")
+    picked = rows.join(totals, "lang").filter((draw <= F.col("rate") * (1 << 30)) | (draw == F.col("first"))).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         spare = part["fold"] == 0

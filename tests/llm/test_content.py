@@ -81,6 +81,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_a_language_of_few_long_texts_is_learned(spark):
+    rows = [(k, "bonjour le monde entier " * 400, "fr") for k in range(12)] + [(100 + k, f"hello wide world number {k}", "en") for k in range(50)]
+    for chars in (300, 2_000):
+        models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_chars=chars)
+        assert [m["lang"] for m in models] == ["en", "fr"]
+
+
 def test_language_rejection_keeps_clean_texts(spark):
     frame = spark.createDataFrame(language_rows(2, 400), "doc_id long, text string, lang string, source string")
     models = langid.train(frame)
