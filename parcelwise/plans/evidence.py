@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.constants import ID_COLUMNS, PROFIT_LEAKAGE
 from parcelwise.functions.scalars import parse_order_ts
-from parcelwise.operators import audits, decisions, evaluation, features, models, reports, sessions
+from parcelwise.operators import audits, decisions, evaluation, features, mart, models, reports, sessions
 from parcelwise.plans import choices, modelling, scores
 from parcelwise.plans.orders import history_of, mart_of
 from parcelwise.plans.registry import QUERIES, query
@@ -106,6 +107,40 @@ def known_results_in_versions(spark, sf_dir):
     )
 
 
+@query(
+    "SNK-01 SNK-02 JON-02 JON-03 JON-05",
+    over_pred(f""", chosen AS (SELECT DISTINCT order_id FROM pred WHERE true_label = 1 AND profit_actual < 0), open_scores AS (SELECT * FROM pred WHERE market = 'O')
+      SELECT shipping_mode, COUNT(*) AS items, COUNT(*) FILTER (order_id IN (SELECT order_id FROM chosen)) AS items_of_losing_orders,
+        COUNT(*) FILTER (order_id NOT IN (SELECT order_id FROM open_scores)) AS items_without_score,
+        COUNT(*) FILTER (market = 'O') AS side_by_side, SUM(upgrade_cost) FILTER (market = 'O')::DOUBLE AS cost FROM pred GROUP BY 1"""),
+)
+def joins_of_bucketed_tables(spark, sf_dir):
+    """Items and scores stored in buckets by order; semi, anti and side-by-side joins of the stored tables."""
+    run = uuid.uuid4().hex
+    root = scratch_path(spark, f"bucketed-{run}")
+    every = predictions(spark, sf_dir, [*ITEM_KEYS, "market", "true_label", "profit_actual"])
+    items = store.write_bucketed(every.select(*ITEM_KEYS, "shipping_mode", "true_label", "profit_actual"), f"{root}/items", f"items_{run}", "order_id", 8)
+    scored = store.write_bucketed(every.where("market = 'O'").select(*ITEM_KEYS, "upgrade_cost"), f"{root}/scores", f"scores_{run}", "order_id", 8)
+    return bucketed_joins(items, scored)
+
+
+def bucketed_joins(items, scored):
+    chosen = mart.items_of_orders(items, items.where("true_label = 1 and profit_actual < 0"), "order_id")
+    missing = items.join(mart.orders_missing(items, scored, "order_id"), "order_id", "left_semi")
+    beside = mart.join_rows(items, scored, ITEM_KEYS)
+    zero = F.lit(0).cast("decimal(12,2)")
+    counted = [
+        df.select("shipping_mode", F.lit(kind).alias("kind"), (F.col("upgrade_cost") if kind == "beside" else zero).alias("cost"))
+        for kind, df in (("all", items), ("chosen", chosen), ("missing", missing), ("beside", beside))
+    ]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), counted)
+    return rows.groupBy("shipping_mode").agg(
+        F.count_if(F.col("kind") == "all").alias("items"), F.count_if(F.col("kind") == "chosen").alias("items_of_losing_orders"),
+        F.count_if(F.col("kind") == "missing").alias("items_without_score"), F.count_if(F.col("kind") == "beside").alias("side_by_side"),
+        F.sum(F.when(F.col("kind") == "beside", F.col("cost"))).cast("double").alias("cost"),
+    )
+
+
 _DIMS = ("customer_segment", "order_region", "category_name", "shipping_mode")
 
 

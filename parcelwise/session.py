@@ -26,6 +26,8 @@ def get_spark(app_name: str = "parcelwise", master: str | None = None, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # tables bucketed by order are joined on order and row without a shuffle
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     if master:
         builder = builder.master(master)

@@ -27,6 +27,20 @@ def write_predictions(df: DataFrame, path: str, session_id: str) -> None:
     )
 
 
+def write_bucketed(df: DataFrame, path: str, name: str, key: str, buckets: int = 256) -> DataFrame:
+    """Store a table in ``buckets`` buckets by ``key``, sorted inside them, and return it as read back.
+
+    Tables stored with the same number of buckets are joined, reduced to distinct keys and grouped on the key
+    without a shuffle; joins on more columns than the key need ``spark.sql.requireAllClusterKeysForCoPartition``
+    off, as :func:`session.get_spark` sets it. ``name`` is the table's name in the session's catalog; the files lie in ``path``. One
+    file per bucket and task would be many, so rows meet by bucket first.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def reset_session(spark: SparkSession, path: str, session_id: str) -> None:
     """Remove one session's predictions.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.constants import LABEL
 from parcelwise.operators import audits, features, models, privacy
+from parcelwise.operators import mart
 from parcelwise.sources import readers, store
 from parcelwise.streaming import uploads
 
@@ -235,3 +236,24 @@ def test_correlation_with_gaps(spark):
 def test_outliers_of_missing_values(spark):
     frame = spark.createDataFrame([(None,), (5.0,), (50.0,)], "v double")
     assert [r[0] for r in frame.select(features.outlier_flag(F.col("v"), 0, 10)).collect()] == [0, 0, 1]
+
+
+def test_joins_of_bucketed_tables_need_no_shuffle(spark, tmp_path):
+    def stored(n, name):
+        rows = spark.range(n).selectExpr("id % 97 as order_id", "id as line", f"id * 3 as {name}")
+        return store.write_bucketed(rows, str(tmp_path / name), f"bucketed_{name}", "order_id", 8)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = stored(5_000, "a"), stored(60, "b")
+        joins = {
+            "semi": mart.items_of_orders(left, right, "order_id"), "anti": mart.orders_missing(left, right, "order_id"), "rows": mart.join_rows(left, right, ["order_id", "line"]),
+        }
+        for df in joins.values():
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {k: df.count() for k, df in joins.items()} == {"semi": sum(k % 97 < 60 for k in range(5_000)), "anti": 37, "rows": 60}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("a", "b"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
