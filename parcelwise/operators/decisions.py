@@ -13,6 +13,7 @@ from parcelwise.constants import (
     MODE_BASE_COST, MODE_GRID, ORDER_DATE, PROFIT_CATEGORICAL, PROFIT_NUMERIC, PROFIT_TARGET, SYNONYM_GROUPS,
 )
 from parcelwise.functions.scalars import display_id, ratio
+from parcelwise.operators.codes import POSITION, Codes
 from parcelwise.operators.money import (
     MONEY, complete_fields, dec, region_multiplier, with_net_benefit,
 )
@@ -22,12 +23,18 @@ from parcelwise.operators.selection import choose, choose_greedy, wanted  # noqa
 # --- candidates -------------------------------------------------------------------
 
 
-def riskiest_item(df: DataFrame, key: str, ties: Sequence[str]) -> DataFrame:
+def riskiest_item(df: DataFrame, key: str, ties: Sequence[str], codes: Codes | None = None) -> DataFrame:
     """One row per order: highest score, then the given tie columns.
 
     An aggregate rather than a window, so an order with very many items is
-    reduced on the map side.
+    reduced on the map side. With ``codes`` for ``p_late``, the ties and the texts it is a hash aggregate, and
+    only the columns that are used later are carried.
     """
+    if codes is not None:
+        others = [c for c in df.columns if c != key]
+        at = codes.position(df, ["-p_late", *ties], nulls_first=False)
+        rows = codes.encode(df.withColumn(POSITION, at), others)
+        return codes.decode(rows.groupBy(key).agg(*[F.min_by(F.col(c), F.col(POSITION)).alias(c) for c in others]))
     order = F.struct("p_late", *[(-F.col(t)).alias(f"t{i}") for i, t in enumerate(ties)])
     best = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("b"))
     return best.select(key, "b.*")
@@ -45,11 +52,11 @@ def top_candidates(df: DataFrame, key: str, limit: int) -> DataFrame:
 
 def prepare(
     df: DataFrame, key: str, ties: Sequence[str], penalty=DEFAULT_PENALTY, unit_cost=DEFAULT_UNIT_COST,
-    threshold=DEFAULT_RISK_THRESHOLD, cost_basis: str = "auto",
+    threshold=DEFAULT_RISK_THRESHOLD, cost_basis: str = "auto", codes: Codes | None = None,
 ) -> DataFrame:
     """Completed, de-duplicated and filtered candidates."""
     full = complete_fields(df, penalty, unit_cost, cost_basis)
-    return candidates(riskiest_item(full, key, ties), threshold)
+    return candidates(riskiest_item(full, key, ties, codes), threshold)
 
 
 # --- chosen orders ------------------------------------------------------------------

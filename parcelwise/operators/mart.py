@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.constants import DELAY_SALT, DEFAULT_PENALTY, SESSION_DEFAULTS
 from parcelwise.functions.scalars import clip_unit, hash_id, risk_bucket, to_number
+from parcelwise.operators.codes import POSITION, Codes
 from parcelwise.operators.money import MONEY, Scope, expected_penalty, session_scope, with_decision_columns
 
 
@@ -18,6 +19,21 @@ def first_value(name: str, order_by: Sequence[str]) -> Column:
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), position)).alias(name)
 
 
+def first_values(
+    rows: DataFrame, names: Sequence[str], order_by: Sequence[str], codes: Codes | None
+) -> tuple[DataFrame, list[Column], Callable[[DataFrame], DataFrame]]:
+    """The rows to group, the first value of each column, and what is done to the roll-up.
+
+    With ``codes`` position and texts are numbers, so the roll-up is a hash aggregate; without them texts make
+    each task sort its rows.
+    """
+    if codes is None:
+        return rows, [first_value(c, order_by) for c in names], lambda out: out
+    coded = codes.encode(rows.withColumn(POSITION, codes.position(rows, order_by)), names)
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(POSITION))).alias(c) for c in names]
+    return coded, first, codes.decode
+
+
 def mean_exact(name: str, places: int = 4) -> Column:
     """Mean of a decimal column rounded half up."""
     total = F.sum(F.col(name).cast("decimal(8,4)"))
@@ -28,64 +44,60 @@ def money_sum(name: str) -> Column:
     return F.sum(F.col(name).cast(MONEY)).cast(MONEY).alias(name)
 
 
-def delay_rollup(pred: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+def delay_rollup(pred: DataFrame, key: str, order_by: Sequence[str], codes: Codes | None = None) -> DataFrame:
     """Mean score, any late item, highest cost, first descriptive values."""
-    return pred.where(F.col(key).isNotNull()).groupBy(key).agg(
+    rows, first, finish = first_values(pred.where(F.col(key).isNotNull()), ("shipping_mode", "order_region", "order_ts"), order_by, codes)
+    return finish(rows.groupBy(key).agg(
         mean_exact("p_late"),
         F.max("true_label").alias("true_label"),
         F.max("upgrade_cost").alias("upgrade_cost"),
-        *[first_value(c, order_by) for c in ("shipping_mode", "order_region", "order_ts")],
-    )
+        *first,
+    ))
 
 
-def profit_rollup(items: DataFrame, key: str, order_by: Sequence[str], salt: str = DELAY_SALT) -> DataFrame:
+def profit_rollup(items: DataFrame, key: str, order_by: Sequence[str], salt: str = DELAY_SALT, codes: Codes | None = None) -> DataFrame:
     """Summed actual and predicted profit with the order's dimensions."""
-    return (
-        items.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            money_sum("profit_actual"),
-            money_sum("profit_pred"),
-            first_value("customer_segment", order_by),
-            first_value("category_name", order_by),
-            mean_exact("discount_rate"),
-            first_value("customer_id", order_by),
-        )
-        .withColumn("customer_id_hash", hash_id(F.col("customer_id"), salt))
+    rows, (segment, category, customer), finish = first_values(
+        items.where(F.col(key).isNotNull()), ("customer_segment", "category_name", "customer_id"), order_by, codes
     )
+    rolled = rows.groupBy(key).agg(
+        money_sum("profit_actual"), money_sum("profit_pred"), segment, category, mean_exact("discount_rate"), customer
+    )
+    return finish(rolled).withColumn("customer_id_hash", hash_id(F.col("customer_id"), salt))
 
 
 def decision_mart(
-    pred: DataFrame, items: DataFrame, key: str, order_by: Sequence[str], penalty=DEFAULT_PENALTY
+    pred: DataFrame, items: DataFrame, key: str, order_by: Sequence[str], penalty=DEFAULT_PENALTY, codes: Codes | None = None
 ) -> DataFrame:
     """Delay side and profit side joined per order.
 
     Both sides are grouped on the join key, so the join adds no shuffle. Items
     of orders without a prediction fall out in the join itself.
     """
-    joined = delay_rollup(pred, key, order_by).join(profit_rollup(items, key, order_by), key, "inner")
+    joined = delay_rollup(pred, key, order_by, codes).join(profit_rollup(items, key, order_by, codes=codes), key, "inner")
     return with_decision_columns(joined, penalty)
 
 
 def decision_mart_single(
     items: DataFrame, key: str, order_by: Sequence[str], penalty=DEFAULT_PENALTY, dims: Sequence[str] = (
         "customer_segment", "order_region", "category_name", "shipping_mode", "order_ts", "customer_id",
-    ),
+    ), codes: Codes | None = None,
 ) -> DataFrame:
     """The same mart from one frame carrying scores and profits: one scan, one shuffle.
 
     Only the dimensions asked for are carried through the shuffle.
     """
-    rolled = items.where(F.col(key).isNotNull()).groupBy(key).agg(
+    rows, first, finish = first_values(items.where(F.col(key).isNotNull()), dims, order_by, codes)
+    rolled = rows.groupBy(key).agg(
         mean_exact("p_late"),
         F.max("true_label").alias("true_label"),
         F.max("upgrade_cost").alias("upgrade_cost"),
         money_sum("profit_actual"),
         money_sum("profit_pred"),
         mean_exact("discount_rate"),
-        *[first_value(c, order_by) for c in dims],
+        *first,
     )
-    return with_decision_columns(rolled, penalty)
+    return with_decision_columns(finish(rolled), penalty)
 
 
 def order_state(items: DataFrame, key: str, order_by: Sequence[str], dims: Sequence[str]) -> DataFrame:

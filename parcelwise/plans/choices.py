@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelwise.functions.scalars import hash_id
 from parcelwise.operators import decisions, explain, features, models
 from parcelwise.operators.money import MONEY, complete_fields
-from parcelwise.plans.orders import mart_of
+from parcelwise.plans.orders import item_codes, mart_of
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import avg4, cost_sql, over_items, over_mart, over_pred
 from parcelwise.sources.tables import ITEM_KEYS, order_items, predictions, table
@@ -23,7 +23,8 @@ EVERYTHING = "1000000000"
 def _candidates(spark, sf_dir, threshold="0.3", penalty=250, basis="given"):
     """The predictions bring their costs, so the table-wide look of ``auto`` is not needed."""
     pred = predictions(spark, sf_dir, ITEM_KEYS)
-    return decisions.prepare(pred, "order_id", TIES, penalty=penalty, threshold=threshold, cost_basis=basis)
+    codes = item_codes(spark, sf_dir, ("shipping_mode", "order_region", "risk_bucket"), scores=True)
+    return decisions.prepare(pred, "order_id", TIES, penalty=penalty, threshold=threshold, cost_basis=basis, codes=codes)
 
 
 _RISKIEST = """, riskiest AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY bp DESC, line_no, product_id, supplier_id, price_cents) = 1),
@@ -38,7 +39,8 @@ _RISKIEST = """, riskiest AS (SELECT * FROM pred QUALIFY row_number() OVER (PART
 )
 def riskiest_items(spark, sf_dir):
     full = complete_fields(predictions(spark, sf_dir, ITEM_KEYS))
-    return decisions.riskiest_item(full, "order_id", TIES).select(
+    codes = item_codes(spark, sf_dir, ("shipping_mode", "order_region", "risk_bucket"), scores=True)
+    return decisions.riskiest_item(full, "order_id", TIES, codes).select(
         "order_id", "line_no", "product_id", "p_late", "risk_bucket", "expected_penalty", "upgrade_cost"
     )
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelwise.constants import REGIONS
 from parcelwise.functions.scalars import display_id, hash_id, month_key
 from parcelwise.operators import decisions, mart, money, reports
+from parcelwise.operators.codes import Codes, measured
 from parcelwise.operators.money import HISTORY
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import over_items, over_mart, over_pred, ratio4
-from parcelwise.sources.tables import ITEM_KEYS, order_items, predictions, table
+from parcelwise.sources.tables import ITEM_KEYS, SCHEDULED_DAYS, order_items, predictions, table
 
 TIES = ITEM_KEYS[1:]
 MART_COLUMNS = [
@@ -18,17 +20,37 @@ MART_COLUMNS = [
 ]
 
 
+# widest values of the item view's position columns: a table beyond them is an error, never a wrong order
+ITEM_SPANS = {"line_no": (0, 998), "product_id": (0, 10**11 - 2), "supplier_id": (0, 10**10 - 2), "price_cents": (0, 10**9 - 2)}
+
+
+def item_codes(spark, sf_dir, dims=(), scores=False) -> Codes | None:
+    """Spans of the items' positions and dictionaries of the texts among ``dims``, from the dimension tables."""
+    sources = {
+        "customer_segment": lambda: table(spark, sf_dir, "customer").select("c_mktsegment"),
+        "category_name": lambda: table(spark, sf_dir, "part").select("p_type"),
+        "shipping_mode": lambda: list(SCHEDULED_DAYS),
+        "order_region": lambda: REGIONS,
+        "risk_bucket": lambda: ["High", "Medium", "Low"],
+    }
+    texts = {c: sources[c]() for c in dims if c in sources}
+    order = ["p_late", *TIES] if scores else TIES
+    return measured(order_items(spark, sf_dir, TIES), order, texts, known={**ITEM_SPANS, "p_late": (0, 10_000)})
+
+
 def mart_of(spark, sf_dir, dims=("customer_segment",), penalty=250):
     """Order mart over the test tables with just the wanted dimensions."""
     base = [*ITEM_KEYS, "discount_rate", "p_late", "true_label", "profit_actual", "profit_pred", "shipping_mode", "order_region"]
     pred = predictions(spark, sf_dir, [*base, *dims])
-    return mart.decision_mart_single(pred, "order_id", TIES, penalty, dims)
+    codes = item_codes(spark, sf_dir, dims) if dims else None
+    return mart.decision_mart_single(pred, "order_id", TIES, penalty, dims, codes)
 
 
 def history_of(spark, sf_dir, dims=("customer_segment",), penalty=250):
     """The mart without upgrade cost, for reports that need no rate card."""
     items = order_items(spark, sf_dir, [*ITEM_KEYS, "discount_rate", "p_late", "true_label", "profit_actual", "profit_pred", *dims])
-    return mart.decision_mart_single(items.withColumn("upgrade_cost", F.lit(None).cast("decimal(12,2)")), "order_id", TIES, penalty, dims)
+    codes = item_codes(spark, sf_dir, dims) if dims else None
+    return mart.decision_mart_single(items.withColumn("upgrade_cost", F.lit(None).cast("decimal(12,2)")), "order_id", TIES, penalty, dims, codes)
 
 
 @query(
@@ -91,7 +113,7 @@ def decision_summary(spark, sf_dir):
 )
 def order_rollup_delay(spark, sf_dir):
     pred = predictions(spark, sf_dir, [*ITEM_KEYS, "order_region", "order_ts", "true_label"])
-    rolled = mart.delay_rollup(pred, "order_id", TIES)
+    rolled = mart.delay_rollup(pred, "order_id", TIES, item_codes(spark, sf_dir, ("shipping_mode", "order_region")))
     return rolled.withColumn("order_date", F.date_format("order_ts", "yyyy-MM-dd")).drop("order_ts")
 
 
@@ -103,7 +125,8 @@ def order_rollup_delay(spark, sf_dir):
 )
 def order_rollup_profit(spark, sf_dir):
     cols = [*ITEM_KEYS, "customer_id", "customer_segment", "category_name", "discount_rate", "profit_actual", "profit_pred"]
-    return mart.profit_rollup(order_items(spark, sf_dir, cols), "order_id", TIES)
+    codes = item_codes(spark, sf_dir, ("customer_segment", "category_name"))
+    return mart.profit_rollup(order_items(spark, sf_dir, cols), "order_id", TIES, codes=codes)
 
 
 @query(
@@ -120,7 +143,8 @@ def decision_mart_joined(spark, sf_dir):
     items = order_items(spark, sf_dir, [*MART_COLUMNS, "market"])
     chosen = items.where("market = 'O'").select("order_id").distinct()
     pred = money.with_prediction_money(mart.items_of_orders(items, chosen, "order_id"))
-    full = mart.decision_mart(pred, items, "order_id", TIES)
+    codes = item_codes(spark, sf_dir, ("customer_segment", "category_name", "shipping_mode", "order_region"))
+    full = mart.decision_mart(pred, items, "order_id", TIES, codes=codes)
     return full.select(
         "order_id", "p_late", "true_label", "risk_bucket", "profit_actual", "profit_pred", "net_of_service", "epar",
         "profit_resid", "is_false_positive_value", "upgrade_cost", "expected_penalty", "customer_segment", "category_name",
@@ -167,9 +191,9 @@ def profit_rows_with_dimensions(spark, sf_dir):
         key, F.col("profit_actual").alias("actual_profit"), F.col("profit_pred").alias("predicted_profit")
     )
     # hash once per order, after the roll-up
-    dims = items.groupBy("order_id").agg(
-        mart.first_value("customer_segment", TIES), mart.first_value("order_region", TIES)
-    ).select(key, "customer_segment", "order_region")
+    texts = ("customer_segment", "order_region")
+    rows, first, finish = mart.first_values(items, texts, TIES, item_codes(spark, sf_dir, texts))
+    dims = finish(rows.groupBy("order_id").agg(*first)).select(key, *texts)
     return predicted.join(dims, "order_key", "left").dropna(subset=["customer_segment", "order_region"])
 
 
