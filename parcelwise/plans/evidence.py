@@ -9,14 +9,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelwise.constants import ID_COLUMNS, PROFIT_LEAKAGE
-from parcelwise.functions.scalars import parse_order_ts
+from parcelwise.functions.scalars import display_id, hash_id, parse_order_ts, search_token
 from parcelwise.operators import audits, decisions, evaluation, features, mart, models, reports, sessions
 from parcelwise.plans import choices, modelling, scores
 from parcelwise.plans.orders import history_of, mart_of
 from parcelwise.plans.registry import QUERIES, query
 from parcelwise.plans.sql import over_items, over_mart, over_pred
 from parcelwise.session import scratch_path, shared_dir
-from parcelwise.sources import readers, store, versions
+from parcelwise.sources import readers, search, store, versions
 from parcelwise.sources.tables import ITEM_KEYS, RAW_NAMES, order_items, predictions, raw_orders, table
 
 # --- written and read back ---------------------------------------------------------------------------
@@ -68,6 +68,28 @@ def stored_choice(spark, sf_dir):
     ).withColumn("selected_count", total)
 
 
+_SEARCHED = "SELECT o_orderkey AS order_id, sha256('EXAMPLE_DELAY_SALT:' || o_orderkey) AS order_id_hash FROM orders"
+
+
+@query(
+    "FLT-03 SCL-05 FLT-08 SNK-02",
+    f"""SELECT token, order_id, order_id_hash FROM ({_SEARCHED}) JOIN (
+        SELECT unnest(['a1b', '7c0de', lower(substr(max_by(order_id_hash, order_id), 1, 8))]) AS token FROM ({_SEARCHED})
+      ) ON contains(order_id_hash, token)""",
+)
+def stored_search(spark, sf_dir):
+    """Orders stored with an index of the pieces of their ids: typed parts of an id, and the id as a list shows it."""
+    path = scratch_path(spark, f"searchable-{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"))
+    hashed = orders.withColumn("order_id_hash", hash_id(F.col("order_id"), "EXAMPLE_DELAY_SALT"))
+    search.write_searchable(hashed, path, "order_id_hash", folders=64, gram=5)
+    shown = hashed.agg(display_id(F.max_by("order_id_hash", "order_id"))).first()[0]
+    typed = [" ORD-A1b ", "7c0-de", shown or ""]
+    found = [(search_token(t), search.search_ids(spark, path, "order_id_hash", t, gram=5)) for t in typed]
+    hits = [(rows if rows is not None else hashed.limit(0)).withColumn("token", F.lit(token)) for token, rows in found]
+    return functools.reduce(lambda a, b: a.unionByName(b), hits)
+
+
 _FLAGS = """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS kind, o_orderkey AS flagged_at, o_orderstatus FROM orders"""
 
 
