@@ -3,15 +3,16 @@
 The standard library's parser feeds a page as events. Every block (paragraph, heading, cell ...) is a line with
 its text, the number of tags in it and the element it stands in. Lines of an element that is a menu, header,
 footer, sidebar, notice, advert, form or reader comment by its tag, role, id or class are boilerplate. Of the
-others (runs of lines that are links alone left out, too), the text-to-tag ratio is smoothed over neighbouring lines and split into two clusters; the content
-region is the smallest element that holds most text of the upper cluster. All its lines that are not
-boilerplate are the article, short ones too. An element that names itself an article and holds half of the text is the region.
+others (runs of lines that are links alone left out, too), the text-to-tag ratio is smoothed over neighbouring lines and split
+into two clusters. The upper cluster chooses the content region of every page: the elements that name themselves articles if
+half of its text lies in them, else the smallest element that holds most of it. All lines of the region that are not
+boilerplate are the article, short ones too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,6 +38,7 @@ _EDGES = frozenset("header masthead footer foot".split())
 _CONTENT = frozenset("article post-content entry-content article-body main-content".split())
 _CLOSES_P = _BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
+_SIBLINGS = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 _OWN = frozenset("site page global top main".split())
 _LAYOUT = frozenset("has no not with without open opened closed enabled disabled layout".split())
 
@@ -66,51 +68,58 @@ def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool, bool,
 
 
 class _Events(HTMLParser):
-    """Collects lines: text, tags, elements around it (innermost last), whether it is boilerplate, whether all of it is links."""
+    """Collects lines: text, tags, the innermost element around it, whether it is boilerplate, whether all of it is links.
+
+    Elements are numbered in page order from 1, and each knows the one around it. No event walks the open elements,
+    so the work grows with the page however deep it nests.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, element number, silent, boilerplate (by 1: part of a name, 2: name, 3: tag, role or hidden)
-        self.elements = 0
+        # tag, element number, silent, boilerplate (by 1: part of a name, 2: name, 3: tag, role or hidden), in an article
+        self.stack: list[tuple[str, int, bool, int, bool]] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+        self.blocks: list[int] = []  # and of all open blocks
+        self.parents = [0]  # element around each element, 0 around the page
         self.articles: set[int] = set()  # numbers of article elements
         self.pages: set[int] = set()  # of html and body
         self.mains: set[int] = set()  # of others that name themselves content
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0  # characters of the line that lie in links
-        self.lines: list[tuple[str, int, tuple[int, ...], int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            around = tuple(e[1] for e in self.stack)
             links = self.linked >= 0.9 * len("".join(text.split()))
-            self.lines.append((text, self.tags, around, self.stack[-1][3] if self.stack else 0, links))
+            _, element, _, boiler, _ = self.stack[-1] if self.stack else ("", 0, False, 0, False)
+            self.lines.append((text, self.tags, element, boiler, links))
         if text or self.tags:
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def _pop_to(self, at: int) -> None:
-        if any(e[0] in _BLOCK for e in self.stack[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self._flush()
+        for tag, *_ in reversed(self.stack[at:]):
+            self.open[tag].pop()
         del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        names = [e[0] for e in self.stack]
         if tag in _CLOSES_P or tag == "p":
-            for at in range(len(names) - 1, -1, -1):
-                if names[at] == "p":
-                    self._pop_to(at)
-                    break
-                if names[at] in _BLOCK:
-                    break
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self._pop_to(self.blocks[-1])
         elif tag in _SCOPE:
-            for at in range(len(names) - 1, -1, -1):
-                if names[at] == tag or tag in ("dd", "dt") and names[at] in ("dd", "dt") or tag in ("td", "th") and names[at] in ("td", "th"):
-                    self._pop_to(at)
-                    break
-                if names[at] in _SCOPE[tag]:
-                    break
+            at = self._last(_SIBLINGS.get(tag, (tag,)))
+            if at > self._last(_SCOPE[tag]):
+                self._pop_to(at)
         if tag in _BLOCK:
             self._flush()
         self.tags += 1
@@ -118,47 +127,66 @@ class _Events(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        self.elements += 1
+        element, inside = len(self.parents), bool(self.stack) and self.stack[-1][4]
+        self.parents.append(self.stack[-1][1] if self.stack else 0)
         role, frame, part, content, hidden = _named(attrs)
         silent, boiler = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, 0)
         holds = tag in ("article", "main") or content
         if tag == "header":  # an article's own header holds its headline
-            role |= not any(e[1] in self.articles for e in self.stack)
+            role |= not inside
         elif holds and not role and not frame and boiler < 2:
             # what names itself an article overrules parts of names, its own and those around it
-            (self.articles if tag == "article" else self.mains).add(self.elements)
+            (self.articles if tag == "article" else self.mains).add(element)
+            inside |= tag == "article"
             part = False
             boiler = 0
         if tag in ("body", "html"):
-            self.pages.add(self.elements)
+            self.pages.add(element)
             role = frame = part = False
         boiler = max(boiler, 3 if tag in _FRAME or role or hidden else 2 if frame else 1 if part else 0)
-        self.stack.append((tag, self.elements, silent or tag in _SILENT, boiler))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, element, silent or tag in _SILENT, boiler, inside))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and tag not in _BLOCK and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+            self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._pop_to(at)
-                return
-            if tag not in _BLOCK and self.stack[at][0] in _BLOCK:
-                return  # an inline end tag does not reach out of its block
+        at = self._last((tag,))
+        # an inline end tag does not reach out of its block
+        if at >= 0 and (tag in _BLOCK or not self.blocks or self.blocks[-1] < at):
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
-            if any(e[0] == "a" for e in self.stack):
+            if self.open.get("a"):
                 self.linked += len("".join(data.split()))
 
     def done(self) -> None:
         self.close()
         self._flush()
 
+    def within(self, elements: set[int]) -> list[bool]:
+        """Of each element, whether it is one of these or inside one."""
+        out = [False] * len(self.parents)
+        for e in range(1, len(out)):  # what is around an element has a smaller number
+            out[e] = e in elements or out[self.parents[e]]
+        return out
+
+    def held(self, texts: Iterable[tuple[int, int]]) -> list[int]:
+        """Characters inside each element, from (element, characters) of the lines."""
+        out = [0] * len(self.parents)
+        for element, n in texts:
+            out[element] += n
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
 
 def smoothed_ratios(lines: list[tuple], sigma: float = 1.0) -> np.ndarray:
     """Characters per tag of each line, Gaussian weights over its neighbours."""
@@ -202,29 +230,28 @@ def main_text(page: str | None) -> str:
     live = live or [line for line in events.lines if line[3] < 3]
     if not live:
         return ""
-    for named in (events.articles, events.mains):
-        within = [line for line in live if named.intersection(line[2])]
-        if 2 * size(within) >= size(live):  # teasers may be marked up as articles, too
-            return "\n\n".join(line[0] for line in within)
     # lines of links that follow each other are a menu, whatever it is called
     menu = [a[4] and (b[4] or c[4]) for a, b, c in zip(live, [("",) * 4 + (False,), *live], [*live[1:], ("",) * 4 + (False,)], strict=False)]
     every, live = live, [line for line, drop in zip(live, menu, strict=True) if not drop]
+    clustered = live or every
+    values = smoothed_ratios(clustered)
+    upper = values >= threshold(values)
+    held = events.held((line[2], len(line[0])) for line, above in zip(clustered, upper, strict=True) if above)
+    total = held[0]
+    for named in (events.articles, events.mains):
+        inside = events.within(named)
+        chosen = sum(len(line[0]) for line, above in zip(clustered, upper, strict=True) if above and inside[line[2]])
+        if 2 * chosen >= total:  # teasers may be marked up as articles, too
+            return "\n\n".join(line[0] for line in every if inside[line[2]])
     if not live:
         return ""
-    values = smoothed_ratios(live)
-    upper = values >= threshold(values)
-    held: dict[int, int] = {}
-    for line, above in zip(live, upper, strict=True):
-        if above:
-            for element in line[2]:
-                held[element] = held.get(element, 0) + len(line[0])
-    total = sum(len(line[0]) for line, above in zip(live, upper, strict=True) if above)
     # elements are numbered in page order and nest, so of those that hold most of the text the last is the smallest
-    region = max((e for e, n in held.items() if n >= 0.8 * total), default=None)
-    if region is None or region in events.pages:
-        return "\n\n".join(line[0] for line in live if region is None or region in line[2])
+    region = max((e for e, n in enumerate(held) if n >= 0.8 * total), default=0)
+    inside = events.within({region})
+    if not region or region in events.pages:
+        return "\n\n".join(line[0] for line in live if not region or inside[line[2]])
     # in the region of a story, links that follow its text are a list of the story's own
-    within = [(line, drop) for line, drop in zip(every, menu, strict=True) if region in line[2]]
+    within = [(line, drop) for line, drop in zip(every, menu, strict=True) if inside[line[2]]]
     first = next(k for k, (_, drop) in enumerate(within) if not drop)
     return "\n\n".join(line[0] for line, _ in within[first:])
 
@@ -234,7 +261,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Null or empty html, or a page without content: empty text, 0 characters. White space inside a block is one
     space, character references are decoded, blocks are joined by two \\n in page order. A cut-off page gives
-    what it has. Other columns are not read; repeated rows get a row each.
+    what it has. Other columns are not read, so their names cannot clash; repeated rows get a row each, null ids
+    stay, an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
