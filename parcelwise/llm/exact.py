@@ -1,10 +1,10 @@
-"""Exact dedup: a minimal perfect hash over known digests, looked up with a byte check.
+"""Exact dedup: a minimal perfect hash over the digests of a history, looked up with a byte check.
 
-The index holds the digests already known to repeat. They are spread over shards by their leading bits; each
-shard is one row with a minimal perfect hash (level bitmaps: a key that is alone in its slot of a level stays
-there, the others move to the next level) and, by slot, the full digest, the winner's id and the group's
-size. A row's digest is hashed to its slot and compared with the whole digest there: a member takes winner and
-size from the slot, a nonmember is grouped with the other nonmembers.
+The index holds the distinct digests of the history: groups known from before, or one half of the rows. They are
+spread over shards by their leading bits; each shard is one row with a minimal perfect hash (level bitmaps: a key
+that is alone in its slot of a level stays there, the others move to the next level) and, by slot, the full digest,
+the winner's id and the group's size. A row's digest is hashed to its slot and compared with the whole digest there.
+A member repeats the slot's text, so members are grouped by slot; nonmembers are grouped by digest among themselves.
 """
 
 from __future__ import annotations
@@ -62,9 +62,14 @@ def slots(keys: np.ndarray, bits: np.ndarray, sizes: list[int]) -> np.ndarray:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the unchanged text in UTF-8; null counts as empty."""
+    """(row, doc_id, digest): a number for each row, SHA-256 of the unchanged text in UTF-8; null counts as empty.
+
+    The numbers hold only once they are written: a task that runs again may give others.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")
+    )
 
 
 def _shard(digest, shards: int):
@@ -92,34 +97,47 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def look_up(rows: DataFrame, index: DataFrame, shards: int, parts: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, digest) with winner and n from the index; both null for a digest that it lacks.
+    """``rows`` (row, doc_id, digest) with shard and part, and slot, winner and n from the index; null for a digest that it lacks.
 
-    ``parts`` (shard, parts) says into how many tasks the rows of a shard are dealt.
+    ``parts`` (shard, parts) says into how many tasks the rows of a shard are dealt, by their number.
     """
     rows = rows.withColumn("shard", _shard(F.col("digest"), shards)).join(parts, "shard")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def find(part: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out = part[["doc_id", "digest"]].copy()
-        winner, n = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        out = part[["row", "doc_id", "digest", "shard", "part"]].copy()
+        slot, winner, n = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         member = np.zeros(len(part), bool)
         if len(shard) and len(part):
-            row, asked = shard.iloc[0], part["digest"].tolist()
-            sizes = [int(x) for x in row["sizes"]]
-            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(bool)
-            at = slots(_keys(asked), bits, sizes)
-            stored = row["digests"]
-            member = np.array([s >= 0 and stored[32 * s : 32 * s + 32] == d for s, d in zip(at.tolist(), asked, strict=True)], bool)
-            winner[member] = np.asarray(row["winners"])[at[member]]
-            n[member] = np.asarray(row["counts"])[at[member]]
-        out["winner"] = pd.array(winner, "Int64").copy()
-        out["n"] = pd.array(n, "Int64").copy()
-        out.loc[~member, ["winner", "n"]] = pd.NA
+            entry, asked = shard.iloc[0], part["digest"].tolist()
+            sizes = [int(x) for x in entry["sizes"]]
+            bits = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=sum(sizes)).astype(bool)
+            slot = slots(_keys(asked), bits, sizes)
+            stored = entry["digests"]
+            member = np.array([s >= 0 and stored[32 * s : 32 * s + 32] == d for s, d in zip(slot.tolist(), asked, strict=True)], bool)
+            winner[member] = np.asarray(entry["winners"])[slot[member]]
+            n[member] = np.asarray(entry["counts"])[slot[member]]
+        for name, values in (("slot", slot), ("winner", winner), ("n", n)):
+            out[name] = pd.array(values, "Int64").copy()
+            out.loc[~member, name] = pd.NA
         return out
 
     pairs = rows.groupBy("shard", "part").cogroup(copies.drop("parts").groupBy("shard", "part"))
-    return pairs.applyInPandas(find, "doc_id long, digest binary, winner long, n long")
+    return pairs.applyInPandas(find, "row long, doc_id long, digest binary, shard int, part int, slot long, winner long, n long")
+
+
+def _of_their_groups(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """Looked-up ``rows`` with the winner and size of their group, those of a shard with equal ``key``.
+
+    Groups are combined before the shuffle; those of two rows or more go to every task that holds rows of their shard.
+    """
+    groups = rows.groupBy("shard", key).agg(F.max("doc_id").alias("winner"), F.count("*").alias("n"))
+    groups = keep(groups.filter("n > 1"), f"groups-by-{key}")
+    copies = groups.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    joined = rows.drop("winner", "n").join(copies, ["shard", "part", key], "left")
+    winner = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("winner"))
+    return joined.select("doc_id", "digest", winner.alias("winner"), F.coalesce("n", F.lit(1)).alias("n"))
 
 
 def exact_dedup(
@@ -129,29 +147,28 @@ def exact_dedup(
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Texts are equal when identical; null counts as empty. Of equal texts the largest doc_id stays: keep_id.
-    ``history`` (digest, winner, n) are groups known from before; without it, the digests that repeat in
-    ``docs`` are indexed, so nonmembers are the texts without a copy. With it, a row whose text is known
-    takes the known winner and size. A shard's index covers about ``shard_digests`` digests; its rows are
-    dealt to tasks of about ``task_rows`` by doc_id, so a text that a third of all rows share is no hot task.
-    A null doc_id wins only if no row of its group has one. Rows that share text and winning doc_id are all
-    marked kept (ids are expected to be unique). Other columns are not read; an empty table gives no rows.
+    ``history`` (digest, winner, n) are groups known from before: a row whose text is known takes the known winner
+    and size. Without it, one half of the rows, by a hash of the row's number, is the history; rows of both halves
+    are looked up and members of a slot form a group. A shard's index covers about ``shard_digests`` digests; its rows
+    are dealt to tasks of about ``task_rows`` by row number, so neither a text that a third of all rows share nor
+    rows without an id are a hot task. A null doc_id wins only if no row of its group has one. Rows that share text
+    and winning doc_id are all marked kept (ids are expected to be unique). Other columns are not read; an empty table
+    gives no rows.
     """
     rows = keep(digests(docs, id_col, text_col), "digests")
+    known = history
     if history is None:
-        history = rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n")).filter("n > 1")
-        history = keep(history, "repeated-digests")
-    total = history.count()
-    shards = max(1, -(-total // shard_digests))
-    index = keep(build_index(history, shards), "perfect-hash")
+        past = rows.filter(F.pmod(F.xxhash64("row"), F.lit(2)) == 0)
+        known = keep(past.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n")), "history")
+    shards = max(1, -(-known.count() // shard_digests))
+    index = keep(build_index(known, shards), "perfect-hash")
     parts = rows.groupBy(_shard(F.col("digest"), shards).alias("shard")).count()
     parts = keep(parts.select("shard", F.ceil(F.col("count") / task_rows).cast("int").alias("parts")), "shard-tasks")
     found = keep(look_up(rows, index, shards, parts), "looked-up")
-    # a nonmember's group may be found by a plain grouping: combined before the shuffle, joined on the digest
-    fresh = found.filter("n is null")
-    own = fresh.groupBy("digest").agg(F.max("doc_id").alias("w"), F.count("*").alias("c"))
-    own = keep(own, "new-digests")
-    fresh = fresh.join(own, "digest").select("doc_id", "digest", F.col("w").alias("winner"), F.col("c").alias("n"))
-    out = found.filter("n is not null").unionByName(fresh)
+    members, others = found.filter("slot is not null"), found.filter("slot is null")
+    if history is None:
+        members = _of_their_groups(members, "slot", parts)
+    out = members.select("doc_id", "digest", "winner", "n").unionByName(_of_their_groups(others, "digest", parts))
     return out.select(
         "doc_id", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),

@@ -185,6 +185,32 @@ def test_exact_dedup(spark):
     assert exact.exact_dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_the_history_splits_the_rows(spark, monkeypatch):
+    """Texts of the history's half are grouped by slot, all others by digest: without the index nothing would be a member."""
+    rows = [(k, f"text {k % 40}") for k in range(80)] + [(k, f"alone {k}") for k in range(100, 160)]
+    seen, real = {}, exact._of_their_groups
+
+    def watched(looked, key, parts):
+        seen[key] = {r.doc_id for r in looked.select("doc_id").collect()}
+        return real(looked, key, parts)
+
+    monkeypatch.setattr(exact, "_of_their_groups", watched)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(docs(spark, rows)).collect()}
+    assert got == {k: (k % 40 + 40, 2) if k < 80 else (k, 1) for k, _ in rows}
+    assert len(seen["slot"]) > 60 and len(seen["digest"]) > 20 and not seen["slot"] & seen["digest"]
+
+
+def test_equal_rows_without_ids_run_in_many_tasks(spark):
+    rows = docs(spark, [(None, "same")] * 3000 + [(1, "same"), (2, "x")])
+    looked = exact.digests(rows)
+    parts = spark.createDataFrame([(0, 10)], "shard int, parts int")
+    index = exact.build_index(exact.keep(looked, "d").groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n")), 1)
+    dealt = exact.look_up(exact.keep(looked, "d"), index, 1, parts).groupBy("part").count().collect()
+    assert len(dealt) == 10 and max(r["count"] for r in dealt) < 450
+    got = exact.exact_dedup(rows, task_rows=100).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert sorted((r.keep_id, r.group_size, r.kept, r["count"]) for r in got) == [(1, 3001, False, 3000), (1, 3001, True, 1), (2, 1, True, 1)]
+
+
 def test_exact_dedup_against_history(spark):
     old = [(b"\x01" * 32, 77, 3), (hashlib.sha256(b"a").digest(), 50, 2)]
     # agrees with the digest of "b" in the bytes that are hashed, not in the rest
