@@ -21,6 +21,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without_null_ids(df: DataFrame) -> DataFrame:
+    """``doc_id`` as it may go through pandas, which would turn a column with nulls into doubles: 0 for null, and ``no_id``."""
+    return df.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """The ids of :func:`without_null_ids` as they were."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def as_bytes(texts: pa.Array) -> pa.Array:
     """A text column as UTF-8 bytes, without a copy."""
     return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())

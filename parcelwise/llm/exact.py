@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import keep
+from parcelwise.llm.common import keep, with_null_ids, without_null_ids
 
 _GAMMA = 2.0  # slots per key that is still to be placed
 _INDEX = "shard int, bits binary, sizes array<long>, digests binary, winners array<long>, counts array<long>"
@@ -106,7 +106,7 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int, parts: DataFrame) ->
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def find(part: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out = part[["row", "doc_id", "digest", "shard", "part"]].copy()
+        out = part[["row", "doc_id", "no_id", "digest", "shard", "part"]].copy()
         slot, winner, n = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         member = np.zeros(len(part), bool)
         if len(shard) and len(part):
@@ -123,8 +123,8 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int, parts: DataFrame) ->
             out.loc[~member, name] = pd.NA
         return out
 
-    pairs = rows.groupBy("shard", "part").cogroup(copies.drop("parts").groupBy("shard", "part"))
-    return pairs.applyInPandas(find, "row long, doc_id long, digest binary, shard int, part int, slot long, winner long, n long")
+    pairs = without_null_ids(rows).groupBy("shard", "part").cogroup(copies.drop("parts").groupBy("shard", "part"))
+    return with_null_ids(pairs.applyInPandas(find, "row long, doc_id long, no_id boolean, digest binary, shard int, part int, slot long, winner long, n long"))
 
 
 def _of_their_groups(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:

@@ -200,6 +200,15 @@ def test_the_history_splits_the_rows(spark, monkeypatch):
     assert len(seen["slot"]) > 60 and len(seen["digest"]) > 20 and not seen["slot"] & seen["digest"]
 
 
+def test_large_ids_next_to_null_ids(spark):
+    big = (1 << 60) + 1
+    got = exact.exact_dedup(docs(spark, [(None, "a"), (big, "a"), (big - 1, "b"), (None, "c")])).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, [
+        type(got[0])(doc_id=i, keep_id=k, group_size=n, kept=i == k, text_sha256=hashlib.sha256(t.encode()).hexdigest())
+        for i, t, k, n in ((None, "a", big, 2), (big, "a", big, 2), (big - 1, "b", big - 1, 1), (None, "c", None, 1))
+    ]))
+
+
 def test_equal_rows_without_ids_run_in_many_tasks(spark):
     rows = docs(spark, [(None, "same")] * 3000 + [(1, "same"), (2, "x")])
     looked = exact.digests(rows)
