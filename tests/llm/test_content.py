@@ -315,6 +315,21 @@ def test_pack(spark):
     assert packing.pack(frame, F.lit(None).cast("int")).agg(F.sum("length")).first()[0] == len(rows)
 
 
+def test_equal_rows_are_packed_apart_and_spread(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "same text here")] * 9000 + [(big, "w " * 9000)] * 3 + [(big, "another")] + [(k, "x y") for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(frame, group_items=1000).toPandas()
+    assert not got.duplicated(["doc_id", "text_hash", "copy", "piece"]).any() and got["length"].sum() == sum(len(t.split()) + 1 for _, t in rows)
+    assert sorted(got[got.doc_id.isna()]["copy"]) == list(range(9000))
+    per_group = (got["bin_id"] // (1 << 24)).value_counts()
+    assert len(per_group) == 10 and per_group.max() < 1150
+    assert packing.pack(frame, group_items=1000).filter(F.col("doc_id") == big).count() == 3 * 3 + 1
+    again = packing.pack(frame.repartition(2), group_items=1000).toPandas()
+    order = ["doc_id", "text_hash", "copy", "piece"]
+    assert got.sort_values(order).to_numpy().tolist().__repr__() == again.sort_values(order).to_numpy().tolist().__repr__()
+
+
 # ---------------------------------------------------------------- mixing
 
 
