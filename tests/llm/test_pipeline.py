@@ -57,7 +57,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     frame = corpus_pipeline.run(spark, SF)
-    assert frame.columns == ["doc_id", "piece", "length", "bin_id", "capacity", "bin_offset"] and frame.count() > 0
+    assert frame.columns == ["doc_id", "piece", "length", "bin_id", "capacity", "bin_offset", "text_hash", "copy"] and frame.count() > 0
 
 
 def test_stages_take_odd_documents(spark):
