@@ -117,7 +117,7 @@ def _inside(base: DataFrame, brackets: dict[tuple[str, float, float], set[int]])
         rows = base.select("v", F.explode(F.filter(each, lambda x: x["rg"].eqNullSafe(F.col("g")) & (F.col("v") <= x["hi"]))).alias("x")).select("v", "x.*")
     else:
         ranges = base.sparkSession.createDataFrame([(i, *span) for i, span in enumerate(spans)], "i int, rg string, lo double, hi double")
-        rows = base.join(ranges, F.col("g").eqNullSafe(F.col("rg")) & (F.col("v") <= F.col("hi")))
+        rows = base.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("rg")) & (F.col("v") <= F.col("hi")))
     counted = rows.groupBy("i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("at")).agg(F.count("*").alias("n")).collect()
     listed: dict[int, list[tuple[float, int]]] = {}
     before = dict.fromkeys(range(len(spans)), 0)
@@ -149,10 +149,14 @@ def _range_row(i: int, g: str, low: float, high: float) -> tuple:
 
 
 def _in_ranges(base: DataFrame, spans: list[tuple[str, float, float]]) -> DataFrame:
-    """Rows inside the open ranges, joined on the group; Spark broadcasts the ranges if they are small."""
+    """Rows inside the open ranges, joined on the group where they lie.
+
+    The driver holds the ranges, a few per group, so they are broadcast: Spark does not know their size and would
+    shuffle all rows by the group, and sort each group in one task.
+    """
     rows = [_range_row(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)]
     ranges = base.sparkSession.createDataFrame(rows, "i int, rg string, lo double, hi double, by_size boolean, zero double, span double")
-    return base.join(ranges, (F.col("g") == F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
+    return base.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
 
 
 def _narrow_values(base: DataFrame, wide: dict) -> dict:
@@ -191,7 +195,7 @@ def _pick_values(base: DataFrame, small: dict) -> dict[tuple[str, int], float]:
     rank = F.row_number().over(Window.partitionBy("i").orderBy("v")) - 1
     picks = {(i, left): (spans[i][0], r) for i, inside in enumerate(small.values()) for r, left in inside.items()}
     wanted = base.sparkSession.createDataFrame(list(picks), "i int, rn int")
-    rows = _in_ranges(base, spans).select("i", "v").withColumn("rn", rank).join(wanted, ["i", "rn"]).collect()
+    rows = _in_ranges(base, spans).select("i", "v").withColumn("rn", rank).join(F.broadcast(wanted), ["i", "rn"]).collect()
     return {picks[(r["i"], r["rn"])]: r["v"] for r in rows}
 
 

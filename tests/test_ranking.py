@@ -119,3 +119,12 @@ def test_far_places_among_equal_keys(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_FINISH_ROWS", 100)
     rows, before = ranking.around_places(spark.range(5_000).select(F.lit("x").alias("k")), ["k"], 4_000, 4_010)
     assert (rows.count(), before) == (5_000, 0)
+
+
+def test_ranges_are_narrowed_without_a_shuffle_by_group(spark, finish_rows):
+    frame = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), F.col("id") % 3)).alias("g"), (F.col("id") * 7919 % 3_001).cast("double").alias("v"))
+    found = ranking.exact_quantiles(frame, "g", "v", [0.5])
+    for g, rest in ((None, 0), ("g1", 1), ("g2", 2)):
+        assert found[(g, 0.5)] == np.median([i * 7919 % 3_001 for i in range(3_000) if i % 3 == rest])
+    plan = ranking._in_ranges(frame, [("g1", 0.0, 100.0)])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
