@@ -13,6 +13,10 @@ from parcelwise.functions.scalars import date_parts, to_number
 from parcelwise.operators.ranking import at_or_before, cut_points, dense_index, exact_quantiles
 
 
+#: entries of a dictionary that is broadcast; beyond, the join is left to Spark
+BROADCAST_CODES = 100_000
+
+
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -117,11 +121,14 @@ def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame, unknown: int
     """Attach the code of each category; unknown or missing becomes ``unknown``.
 
     One left join per column on its dictionary; the sides are distinct by
-    construction and are broadcast only if their measured size allows it.
+    construction and are broadcast only if their counted size allows it: Spark
+    does not know it, and would sort all rows of a category in one task.
     """
     out = df
+    short = _short_dictionaries(codes, columns)
     for c in columns:
         side = codes.where(F.col("column") == c).select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
+        side = F.broadcast(side) if c in short else side
         out = (
             out.join(side, col(c).cast("string") == F.col("_cat"), "left")
             .withColumn(c + suffix, F.coalesce("_code", F.lit(unknown)))
@@ -130,9 +137,17 @@ def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame, unknown: int
     return out
 
 
+def _short_dictionaries(codes: DataFrame, columns: Sequence[str]) -> set[str]:
+    """The columns whose dictionary may be broadcast."""
+    counted = codes.where(F.col("column").isin(list(columns))).groupBy("column").agg(F.count("*").alias("n")).collect() if columns else []
+    long = {r["column"] for r in counted if r["n"] > BROADCAST_CODES}
+    return set(columns) - long
+
+
 def decode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Label of each code; codes without a label are shown as they are."""
     side = codes.where(F.col("column") == column).select(F.col("code").alias("_code"), F.col("category").alias("_cat"))
+    side = F.broadcast(side) if _short_dictionaries(codes, [column]) else side
     return (
         df.join(side, col(column) == F.col("_code"), "left")
         .withColumn(column, F.coalesce("_cat", col(column).cast("string")))
