@@ -9,7 +9,7 @@ from parcelwise.operators import audits, evaluation, features, models
 from parcelwise.operators.money import with_prediction_money
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import over_items, ratio4
-from parcelwise.session import scratch_path, shared_dir
+from parcelwise.session import scratch_path, shared_dir, written
 from parcelwise.sources import store
 from parcelwise.sources.tables import ITEM_KEYS, RAW_NAMES, order_items, raw_orders, table
 
@@ -21,7 +21,8 @@ _SPLIT = f"""split_items AS (SELECT *, CASE WHEN rn <= n_train THEN 'train' WHEN
 
 
 def _time_split(spark, sf_dir, columns=()):
-    items = order_items(spark, sf_dir, [*ITEM_KEYS, "order_ts", *columns])
+    """Items with their side; they are written once, since the borders and what follows read them several times."""
+    items = written(order_items(spark, sf_dir, [*ITEM_KEYS, "order_ts", *columns]), "items")
     return features.time_split(items, "order_ts", TIES)
 
 
@@ -387,12 +388,15 @@ _MODEL_COLUMNS = [*ITEM_KEYS, *_NUMBERS, *_HOT, "order_region", "category_name",
 
 
 def late_table(spark, sf_dir):
-    """Feature table of the late model with its split, and what was fitted."""
-    items = features.group_split(order_items(spark, sf_dir, _MODEL_COLUMNS), "order_id")
+    """Feature table of the late model with its split, and what was fitted.
+
+    Items and features are written, since fitting, training and scoring read them many times.
+    """
+    items = features.group_split(written(order_items(spark, sf_dir, _MODEL_COLUMNS), "items"), "order_id")
     spec, codes = features.fit_features(items.where("split = 'train'"), _NUMBERS, ["order_region", "category_name"], _HOT)
     keep = ["split", "true_label", "order_id", "shipping_mode", "order_region"]
     made = features.transform_features(items, spec, codes, "order_ts", keep=keep)
-    return made.withColumnsRenamed({f"key_{k}": k for k in keep}), spec
+    return written(made.withColumnsRenamed({f"key_{k}": k for k in keep}), "features"), spec
 
 
 @query("ML-08 ML-10 SRC-03 AGG-19 SNK-10")
@@ -427,6 +431,7 @@ def profit_model_report(spark, sf_dir):
     data = features.transform_features(items, spec, codes, "order_ts", keep=["split", "profit_actual"]).withColumnsRenamed(
         {"key_split": "split", "key_profit_actual": "profit_actual"}
     )
+    data = written(data, "features")
     model = models.train_profit(data, spec.columns, "profit_actual", max_iter=10, max_depth=5, step=0.3)
     scored = models.score_profit(model, data.where("split = 'test'"), spec.columns)
     path = scratch_path(spark, "profit_model")
