@@ -15,7 +15,7 @@ from parcelwise.plans import choices, modelling, scores
 from parcelwise.plans.orders import history_of, mart_of
 from parcelwise.plans.registry import QUERIES, query
 from parcelwise.plans.sql import over_items, over_mart, over_pred
-from parcelwise.session import scratch_path, shared_dir
+from parcelwise.session import scratch_path, shared_dir, written
 from parcelwise.sources import readers, search, store, versions
 from parcelwise.sources.tables import ITEM_KEYS, RAW_NAMES, order_items, predictions, raw_orders, table
 
@@ -276,6 +276,7 @@ def profit_model_evidence(spark, sf_dir):
     spec, codes = features.fit_features(items.where("split = 'train'"), [*modelling._NUMBERS, "sales"], ["order_region"], (), 1, 0, True, "")
     keep = ["split", "profit_actual"]
     data = features.transform_features(items, spec, codes, "order_ts", keep=keep).withColumnsRenamed({f"key_{k}": k for k in keep})
+    data = written(data, "features")
     model = models.train_profit(data, spec.columns, "profit_actual", max_iter=10, max_depth=5, step=0.3)
     scored = models.score_profit(model, data.where("split = 'test'"), spec.columns)
     path = scratch_path(spark, "profit_evidence")
@@ -302,9 +303,11 @@ def retrained_on_store(spark, sf_dir):
     known = store.read_known_results(spark, path).withColumn("origin", F.lit("store"))
     rows = store.combined_training(raw.where("Type <> 'R'").withColumn("origin", F.lit("raw")), known)
     rows = features.group_split(rows.withColumn("ts", parse_order_ts(F.col("`order date (DateOrders)`"))), "Order Id")
+    rows = written(rows.select(*RAW_NUMBERS, *RAW_HOT, "Order Region", "ts", "split", "Late_delivery_risk", "origin"), "items")
     spec, codes = features.fit_features(rows.where("split = 'train'"), RAW_NUMBERS, ["Order Region"], RAW_HOT)
     keep = ["split", "Late_delivery_risk", "origin"]
     data = features.transform_features(rows, spec, codes, "ts", keep=keep).withColumnsRenamed({"key_split": "split", "key_Late_delivery_risk": "true_label", "key_origin": "origin"})
+    data = written(data, "features")
     options = {"max_iter": 4, "max_depth": 3, "step": 0.3}
     full = models.train_late(data, spec.columns, "true_label", **options)
     less, kept = models.retrain_late(data, spec.columns, "true_label", ["type"], **options)
@@ -336,9 +339,11 @@ def upload_scored_by_model(spark, sf_dir):
     """A model fitted on known orders scores uploaded files with odd headers as it scores the same rows directly."""
     root = scratch_path(spark, "model_upload")
     rows = features.group_split(raw_orders(spark, sf_dir), "Order Id").withColumn("ts", parse_order_ts(F.col(f"`{RAW_DATE}`")))
+    rows = written(rows.select(*RAW_NAMES.values(), "split", "ts"), "items")
     spec, codes = features.fit_features(rows.where("split = 'train'"), RAW_NUMBERS, ["Order Region"], RAW_HOT)
     keep = ["split", "Late_delivery_risk"]
     data = features.transform_features(rows, spec, codes, "ts", keep=keep).withColumnsRenamed({"key_split": "split", "key_Late_delivery_risk": "true_label"})
+    data = written(data, "features")
     model = models.train_late(data, spec.columns, "true_label", max_iter=5, max_depth=4, step=0.3)
     upload = rows.where("split = 'test'").select(*RAW_NAMES.values()).withColumn("Late_delivery_risk", F.format_string("%d.0", "Late_delivery_risk"))
     upload = upload.withColumnsRenamed({"Product Price": "PRODUCT PRICE", "Type": "type", "Shipping Mode": "shipping mode"})
