@@ -297,7 +297,7 @@ def choose(cands: DataFrame, key: str, budgets: Sequence) -> DataFrame:
         for c in found[1] if found else ():
             by_cost.setdefault(c.cost, []).append((b, c.over, c.take, c.n))
     table = pool.sparkSession.createDataFrame(list(by_cost.items()), "_cost long, _cuts array<struct<b:long,over:long,take:long,n:long>>")
-    marked = pool.join(table, "_cost", "left").withColumn("_cuts", F.coalesce("_cuts", F.expr("array()")))
+    marked = pool.join(F.broadcast(table), "_cost", "left").withColumn("_cuts", F.coalesce("_cuts", F.expr("array()")))
     net, d = F.col("_net"), density(F.col("_net"), F.col("_cost"))
     price = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(found[0] if found else -1.0).alias("price")) for b, found in cuts.items()])
     cut = F.filter("_cuts", lambda x: (net > x["over"]) | (net == x["over"]) & (x["take"] == x["n"]) & (x["n"] > 0))

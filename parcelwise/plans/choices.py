@@ -13,6 +13,7 @@ from parcelwise.operators.money import MONEY, complete_fields
 from parcelwise.plans.orders import item_codes, mart_of
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import avg4, cost_sql, over_items, over_mart, over_pred
+from parcelwise.session import written
 from parcelwise.sources.tables import ITEM_KEYS, order_items, predictions, table
 
 TIES = ITEM_KEYS[1:]
@@ -171,7 +172,7 @@ def orders_of_a_tight_budget(spark, sf_dir):
 )
 def selection_invariants(spark, sf_dir):
     """Exact choice stays inside each budget and never saves less than the greedy fill."""
-    cands = _candidates(spark, sf_dir)
+    cands = written(_candidates(spark, sf_dir), "candidates")  # read by both choices and the count
     exact = decisions.selection_totals(decisions.choose(cands, "order_id", BUDGETS), BUDGETS)
     greedy = decisions.selection_totals(decisions.choose_greedy(cands, "order_id", BUDGETS), BUDGETS)
     both = exact.join(greedy.select("budget", F.col("expected_total_saving").alias("greedy")), "budget")
@@ -420,7 +421,7 @@ def rescued_by_models(spark, sf_dir):
     """The same scan with trained models as the scorer."""
     cols = ["order_id", "order_ts", "order_region", "product_price", "profit_ratio", "discount_rate", "quantity", "shipping_mode",
             "scheduled_days", "true_label", "p_late", "profit_actual"]
-    items = features.group_split(order_items(spark, sf_dir, cols), "order_id")
+    items = features.group_split(written(order_items(spark, sf_dir, cols), "items"), "order_id")
     numbers = ["scheduled_days", "product_price", "profit_ratio", "discount_rate", "quantity"]
     spec, codes = features.fit_features(items.where("split = 'train'"), numbers, ["order_region"], ["shipping_mode"])
 
@@ -428,7 +429,7 @@ def rescued_by_models(spark, sf_dir):
         made = features.transform_features(df, spec, codes, "order_ts", keep=keep)
         return made.withColumnsRenamed({f"key_{k}": f"{k}" for k in keep if k not in spec.columns})
 
-    data = table_of(items, ["split", "true_label", "profit_actual"])
+    data = written(table_of(items, ["split", "true_label", "profit_actual"]), "features")  # read by both trainings
     late = models.train_late(data, spec.columns, "true_label", max_iter=5, max_depth=4, step=0.3)
     profit = models.train_profit(data, spec.columns, "profit_actual", max_iter=5, max_depth=4, step=0.3)
 
