@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.functions.scalars import search_token
+from parcelwise.session import written
 
 FOLDER = "id_folder"
 GRAM = 8
 _LEAD = 2
+_TASKS = 256  # that cut up ids, at most; each holds the different pieces of its folders
 _INDEX = f"gram string, {FOLDER} int, lead string"
 
 
@@ -34,17 +36,21 @@ def write_searchable(df: DataFrame, path: str, id_col: str, folders: int = 1024,
     if gram < _LEAD:
         raise ValueError(f"pieces need {_LEAD} characters at least")
     kept = df.withColumn(FOLDER, F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(folders)).cast("int"))
-    index = _pieces(kept.select(F.col(id_col).cast("string").alias("id"), FOLDER), gram)
+    index = written(_pieces(kept.select(F.col(id_col).cast("string").alias("id"), FOLDER), gram, min(folders, _TASKS)), "pieces")  # read for the ranges and for the sort
     index.repartitionByRange("gram", FOLDER).sortWithinPartitions("gram").write.mode(mode).partitionBy("lead").parquet(f"{path}/index")
     kept.hint("rebalance", FOLDER).write.mode(mode).partitionBy(FOLDER).parquet(f"{path}/rows")
 
 
-def _pieces(ids: DataFrame, gram: int) -> DataFrame:
-    """(gram, folder, lead), one row each. A token holds letters and digits only, so pieces end before anything else."""
-    text = F.lower("id")
-    starts = F.sequence(F.lit(1), F.length("id"))
-    grams = F.transform(starts, lambda at: F.regexp_extract(F.substr(F.col("id"), at, F.lit(gram)), "^[a-z0-9]+", 0))
-    pieces = ids.distinct().select(text.alias("id"), FOLDER).where("length(id) > 0").select(F.explode(F.array_distinct(grams)).alias("gram"), FOLDER)
+def _pieces(ids: DataFrame, gram: int, tasks: int) -> DataFrame:
+    """(gram, folder, lead), one row each. A token holds letters and digits only, so pieces end before anything else.
+
+    Different ids meet by folder before they are cut up, so that equal pieces are dropped in the task that makes
+    them: what is shuffled is ids, not pieces.
+    """
+    runs = F.split(F.lower("id"), "[^a-z0-9]+")
+    grams = F.flatten(F.transform(runs, lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda at: F.substr(run, at, F.lit(gram)))))
+    met = ids.where("length(id) > 0").distinct().repartition(tasks, FOLDER)
+    pieces = met.select(F.explode(F.array_distinct(grams)).alias("gram"), FOLDER)
     return pieces.where("gram <> ''").distinct().withColumn("lead", F.substring("gram", 1, _LEAD))
 
 
