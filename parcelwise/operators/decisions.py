@@ -308,9 +308,27 @@ def whatif(items: DataFrame, key: str, score: CellScore, cells=None, penalty=DEF
 
 
 def heat_table(orders: DataFrame, modes: Sequence[str] = MODE_GRID, cells=None) -> DataFrame:
-    """Mean net per cell scaled to 0..1, discounts down, modes across."""
-    mean = orders.select(F.explode("cells").alias("c")).select(*cell_columns(F.col("c"), cells or grid_cells())).groupBy("discount_rate", "shipping_mode").agg(
-        F.round(F.sum("expected_net") / F.count("*"), 4).cast(MONEY).alias("net")
+    """Mean net per cell scaled to 0..1, discounts down, modes across.
+
+    The cells are summed as columns of one row, in two halves of whole numbers that stay exact, so no order is
+    multiplied by the grid.
+    """
+    ordered, half = sorted(cells or grid_cells()), (1 << 32) - 1
+    nets = [F.get(F.col("cells"), F.lit(i))["net"] for i in range(len(ordered))]
+    halves = [c for i, net in enumerate(nets) for c in (F.sum(F.shiftright(net, 32)).alias(f"_high{i}"), F.sum(net.bitwiseAND(F.lit(half))).alias(f"_low{i}"))]
+    whole, unit = F.lit(Decimal(1 << 32)), F.lit(Decimal("0.0001"))
+
+    def total(i: int) -> Column:
+        both = F.col(f"_high{i}").cast("decimal(20,0)") * whole + F.col(f"_low{i}").cast("decimal(20,0)")
+        return (both.cast("decimal(24,0)") * unit).cast("decimal(28,4)")
+
+    made = [
+        F.struct(F.lit(rate).cast("decimal(5,4)").alias("discount_rate"), F.lit(mode).alias("shipping_mode"), total(i).alias("total"))
+        for i, (_, mode, rate) in enumerate(ordered)
+    ]
+    sums = orders.agg(F.count("*").alias("_n"), *halves).where("_n > 0").select("_n", F.explode(F.array(*made)).alias("c")).select("_n", "c.*")
+    mean = sums.groupBy("discount_rate", "shipping_mode").agg(
+        F.round(F.sum("total").cast("decimal(28,4)") / F.sum("_n"), 4).cast(MONEY).alias("net")
     )
     # one row per grid cell is left, a fixed number
     every = Window.partitionBy(F.lit(1))
