@@ -92,7 +92,8 @@ def update_mart(
 
     def make(stored: DataFrame | None) -> DataFrame:
         states = fresh if stored is None else mart.merged_state(stored.unionByName(fresh), key, dims)
-        return states.withColumn("part", place).repartition("part")
+        # rows meet by part, so that a part has few files; a large part is split by size, not sorted in one task
+        return states.withColumn("part", place).hint("rebalance", "part")
 
     return versions.commit(spark, path, batch, make, part="part", only=touched)
 
