@@ -369,18 +369,35 @@ def precedes(order: Sequence[str], key: Sequence, or_equal: bool = False) -> Col
     return out | equal if or_equal else out
 
 
-def around_places(df: DataFrame, order: Sequence[str], start: int, stop: int, total: int | None = None) -> tuple[DataFrame, int]:
+def around_places(
+    df: DataFrame, order: Sequence[str], start: int, stop: int, total: int | None = None, keys: DataFrame | None = None,
+) -> tuple[DataFrame, int]:
     """The rows of a key range that holds the places ``start`` to ``stop`` (from 0, exclusive) of the ordered list, and
     how many rows come before it.
 
     A sample of a few thousand keys proposes a range, a count over all rows confirms it or asks for a wider one;
-    this repeats inside the range until few rows are left. Keys may be numbers, decimals, texts and dates.
+    this repeats inside the range until few rows are left. Keys may be numbers, decimals, texts and dates. ``df`` is
+    made once for all these passes, which read its kept key columns, and once more for the rows of the range;
+    ``keys`` are those columns where the caller keeps them already.
     """
-    names, before = [c.removeprefix("-") for c in order], 0
-    n = df.count() if total is None else total
+    kept = [df.select(*_names(order)).persist(StorageLevel.MEMORY_AND_DISK)] if keys is None else []
+    try:
+        return _around(df, keys if keys is not None else kept[0], order, start, stop, total, kept)
+    finally:
+        for frame in kept:
+            frame.unpersist()
+
+
+def _names(order: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(c.removeprefix("-") for c in order))
+
+
+def _around(df: DataFrame, rows: DataFrame, order: Sequence[str], start: int, stop: int, total: int | None, kept: list[DataFrame]) -> tuple[DataFrame, int]:
+    names, before = _names(order), 0
+    n = rows.count() if total is None else total
     if start >= n:
         return df.where(F.lit(False)), start
-    rows, spread = df, 4.0
+    out, spread = df, 4.0
     while n > _FINISH_ROWS and spread < 64:
         sample = rows.select(*names).sample(min(1.0, _SAMPLE / n), seed=n).orderBy(*sort_columns(order)).collect()
         margin = spread * math.sqrt(len(sample)) + 1
@@ -393,6 +410,8 @@ def around_places(df: DataFrame, order: Sequence[str], start: int, stop: int, to
             continue
         if seen["inside"] > 0.8 * n:
             break  # rows that the keys do not tell apart
-        rows, before, n = rows.where(~low & high), before + seen["before"], seen["inside"]
+        inside = ~low & high
+        rows, out, before, n = rows.where(inside).persist(StorageLevel.MEMORY_AND_DISK), out.where(inside), before + seen["before"], seen["inside"]
+        kept.append(rows)
         start, stop = start - seen["before"], stop - seen["before"]
-    return rows, before
+    return out, before

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def filter_orders(
     return out.where(F.col("is_correct") == 0) if error_only else out
 
 
-def page(df: DataFrame, order: Sequence[str], number: int, limit: int, total: int | None = None) -> DataFrame:
+def page(df: DataFrame, order: Sequence[str], number: int, limit: int, total: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """One page of an ordered list with absolute row numbers; ``order`` are names, descending ones with a minus.
 
     Near the top, sorting stops at ``number*limit`` rows per task. A far page is looked up by its key range
@@ -74,7 +75,7 @@ def page(df: DataFrame, order: Sequence[str], number: int, limit: int, total: in
     number, limit = max(1, number), max(1, limit)
     start, before, by = (number - 1) * limit, 0, sort_columns(order)
     if start + limit > _ONE_PASS_ROWS:
-        df, before = around_places(df, order, start, start + limit, total)
+        df, before = around_places(df, order, start, start + limit, total, keys)
     rows = df.orderBy(*by).offset(start - before).limit(limit)
     return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*by)).cast("long") + start)
 
@@ -87,8 +88,12 @@ def clamped_page(df: DataFrame, order: Sequence[str], number: int, limit: int) -
     """
     number, limit = max(1, number), max(1, limit)
     if number * limit > _ONE_PASS_ROWS:
-        total = df.count()
-        return page(df, order, min(number, max(1, -(-total // limit))), limit, total)
+        keys = df.select(*dict.fromkeys(c.removeprefix("-") for c in order)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            total = keys.count()
+            return page(df, order, min(number, max(1, -(-total // limit))), limit, total, keys)
+        finally:
+            keys.unpersist()
     head = df.orderBy(*sort_columns(order)).limit(number * limit)
     numbered = head.withColumns(
         {"row_number": F.row_number().over(Window.orderBy(*sort_columns(order))).cast("long"), "_last": F.count("*").over(Window.partitionBy(F.lit(1)))}
