@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.constants import SYNONYM_GROUPS
 from parcelwise.functions.scalars import date_parts, to_number
-from parcelwise.operators.ranking import at_or_before, cut_points, dense_index, exact_quantiles
+from parcelwise.operators.ranking import at_or_before, column_quantiles, cut_points, dense_index
 
 
 #: entries of a dictionary that is broadcast; beyond, the join is left to Spark
@@ -109,8 +109,7 @@ def category_codes(df: DataFrame, columns: Sequence[str], start: int = 0) -> Dat
 
 
 def numeric_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), to_number(col(c)).alias("v")) for c in columns]))
-    return exact_quantiles(df.select(pairs.alias("x")).select("x.*"), "c", "v", probs)
+    return column_quantiles(df.select(*[to_number(col(c)).alias(c) for c in columns]), columns, probs)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

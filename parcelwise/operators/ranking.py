@@ -10,21 +10,24 @@ of all rows is one counter.
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.session import shared_dir
+from parcelwise.session import shared_dir, stored
 
 _BUCKETS = 512
 _FINISH_ROWS = 20_000
 _MAX_PASSES = 400
 _LARGEST = sys.float_info.max
 _SKETCH = 10_000
+_COLUMN_SKETCH = 1_000  # of each of several columns: the sketches of all tasks meet in one, so they are kept small
 _SAMPLE = 4_000
 
 
@@ -40,18 +43,100 @@ def exact_quantiles(
     base = long_df.select(
         F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")
     ).where("v is not null and not isnan(v)")
-    # two narrow columns, read once per pass: worth keeping instead of redoing what made them
-    base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _kept(base):
         return _quantiles(base, probs)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """The same for columns of doubles, side by side: a row is not multiplied by its columns.
+
+    One pass makes a sketch of each column, one counts the rows below and inside the brackets, and only rows inside
+    a bracket are listed by column.
+    """
+    if not columns or not probs:
+        return {}
+    values = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
+    base = df.select(*values)
+    with _kept(base):
+        return _quantiles_of_columns(base, list(columns), probs)
+
+
+@contextmanager
+def _kept(base: DataFrame) -> Iterator[None]:
+    """Narrow columns that several passes read: worth keeping instead of redoing what made them, unless they lie in files."""
+    keep = not stored(base)
+    if keep:
+        base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
     finally:
-        base.unpersist()
+        if keep:
+            base.unpersist()
+
+
+def _marks(probs: Sequence[float], reach: float) -> list[float]:
+    """The ranks that a sketch is asked for: each wanted one and its reach to both sides."""
+    return sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-reach, reach)})
+
+
+def _quantiles_of_columns(base: DataFrame, columns: list[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    reach = 4 / _COLUMN_SKETCH  # a sketch is off by a rank of n / _COLUMN_SKETCH at most
+    marks = _marks(probs, reach)
+    asked = F.array(*[F.lit(m) for m in marks])
+    made = [
+        F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.approx_percentile(v, asked, F.lit(_COLUMN_SKETCH)).alias("marks")).alias(v)
+        for v in base.columns
+    ]
+    totals = {c: row for c, row in zip(columns, base.agg(*made).first(), strict=True) if row["n"]}
+    sizes = {c: row["n"] for c, row in totals.items()}
+    found: dict[tuple[str, int], float] = {}
+    brackets: dict[tuple[str, float, float], set[int]] = {}
+    for c, row in totals.items():
+        n, at = row["n"], dict(zip(marks, row["marks"], strict=True))
+        found.update({(c, 0): row["lo"], (c, n - 1): row["hi"]})
+        for p in probs:
+            ranks = {r for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) if (c, r) not in found}
+            low, high = (at[max(0.0, p - reach)], at[min(1.0, p + reach)]) if n > _COLUMN_SKETCH else (row["lo"], row["hi"])
+            if ranks:
+                brackets.setdefault((c, low, high), set()).update(ranks)
+    if brackets:
+        _inside_of_columns(base, columns, totals, brackets, found)
+    return _interpolated(sizes, probs, found)
+
+
+def _inside_of_columns(base: DataFrame, columns: list[str], totals: dict, brackets: dict[tuple[str, float, float], set[int]], found: dict[tuple[str, int], float]) -> None:
+    """Adds the wanted ranks of every bracket to ``found``."""
+    spans, place = list(brackets), {c: F.col(f"v{i}") for i, c in enumerate(columns)}
+    counts = base.agg(*[x for c, lo, hi in spans for x in (F.count_if(place[c] < lo), F.count_if(place[c] <= hi))]).first()
+    ranges: dict[tuple[str, float, float, int], dict[int, int]] = {}
+    for k, (c, low, high) in enumerate(spans):
+        below, upto = counts[2 * k], counts[2 * k + 1]
+        for r in brackets[(c, low, high)]:
+            if not below <= r < upto:  # the sketch was off by more than it promises
+                ranges.setdefault((c, totals[c]["lo"], totals[c]["hi"], totals[c]["n"]), {})[r] = r
+            elif low == high:
+                found[(c, r)] = low
+            else:
+                ranges.setdefault((c, low, high, upto - below), {})[r] = r - below
+    if not ranges:
+        return
+    edges: dict[str, list[Column]] = {}
+    for c, low, high, _ in ranges:
+        edges.setdefault(c, []).append(place[c].between(low, high))
+    within = {c: functools.reduce(lambda a, b: a | b, each) for c, each in edges.items()}
+    listed = F.array(*[F.struct(F.lit(c).alias("g"), F.when(here, place[c]).alias("v")) for c, here in within.items()])
+    near = base.where(functools.reduce(lambda a, b: a | b, within.values())).select(F.explode(listed).alias("x")).select("x.*").where("v is not null")
+    near.persist(StorageLevel.MEMORY_AND_DISK)  # few rows, made by a pass over all
+    try:
+        _narrowed(near, ranges, found)
+    finally:
+        near.unpersist()
 
 
 def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float], float]:
     """A rank sketch brackets every quantile, one pass over the brackets finds it; what that cannot finish is narrowed."""
     reach = 4 / _SKETCH  # the sketch is off by a rank of n / _SKETCH at most
-    marks = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-reach, reach)})
+    marks = _marks(probs, reach)
     totals = base.groupBy("g").agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_percentile("v", F.array(*[F.lit(m) for m in marks]), F.lit(_SKETCH)).alias("marks"),
     ).collect()
@@ -75,7 +160,12 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
     left: dict[str, dict[int, int]] = {}
     for (g, *_), ranks in brackets.items():
         left.setdefault(g, {}).update({r: r for r in ranks if (g, r) not in found})
-    ranges = {(g, *edges[g], sizes[g]): ranks for g, ranks in left.items() if ranks}
+    _narrowed(base, {(g, *edges[g], sizes[g]): ranks for g, ranks in left.items() if ranks}, found)
+    return _interpolated(sizes, probs, found)
+
+
+def _narrowed(base: DataFrame, ranges: dict[tuple[str, float, float, int], dict[int, int]], found: dict[tuple[str, int], float]) -> None:
+    """Adds to ``found`` the ranks wanted of each range of values, given with their place inside it."""
     small: dict[tuple[str, float, float], dict[int, int]] = {}
     for _ in range(_MAX_PASSES):
         wide = {}
@@ -97,6 +187,8 @@ def _quantiles(base: DataFrame, probs: Sequence[float]) -> dict[tuple[str, float
     if small:
         found.update(_pick_values(base, small))
 
+
+def _interpolated(sizes: dict[str, int], probs: Sequence[float], found: dict[tuple[str, int], float]) -> dict[tuple[str, float], float]:
     result = {}
     for g, n in sizes.items():
         for p in probs:
@@ -210,11 +302,8 @@ def cut_points(
     """
     last = 2**62
     base = df.select(*[F.coalesce(F.col(k).cast("long"), F.lit(last)).alias(f"k{i}") for i, k in enumerate(keys)])
-    base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _kept(base):
         return _cuts(base, [f"k{i}" for i in range(len(keys))], lambda n: {r: r for r in ranks(n)})
-    finally:
-        base.unpersist()
 
 
 def _cuts(
@@ -295,9 +384,12 @@ def _finish(frame: DataFrame, names: list[str], small: dict) -> dict[int, tuple[
 def at_or_before(keys: Sequence[str], cut: tuple[int, ...]) -> Column:
     """True for rows not after ``cut`` in key order: a plain projection."""
     last = 2**62
-    here = F.struct(*[F.coalesce(F.col(k).cast("long"), F.lit(last)).alias(f"k{i}") for i, k in enumerate(keys)])
-    there = F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(cut)])
-    return here <= there
+    here = [F.coalesce(F.col(k).cast("long"), F.lit(last)) for k in keys]
+    there = [F.lit(v).cast("long") for v in cut]
+    out = here[-1] <= there[-1]
+    for mine, other in zip(here[-2::-1], there[-2::-1], strict=True):
+        out = (mine < other) | (mine == other) & out
+    return out
 
 
 def dense_index(distinct_df: DataFrame, group: str, key: str, out: str = "code", start: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelwise.constants import ID_COLUMNS, MARGIN_ALLOWED, PROFIT_LEAKAGE
+from parcelwise.functions.scalars import to_number
 from parcelwise.operators import audits, evaluation, features, models
 from parcelwise.operators.money import with_prediction_money
 from parcelwise.plans.registry import query
@@ -20,9 +21,13 @@ _SPLIT = f"""split_items AS (SELECT *, CASE WHEN rn <= n_train THEN 'train' WHEN
         round_even(COUNT(*) OVER () * 0.15::DOUBLE, 0) AS n_val FROM items))"""
 
 
-def _time_split(spark, sf_dir, columns=()):
-    """Items with their side; they are written once, since the borders and what follows read them several times."""
-    items = written(order_items(spark, sf_dir, [*ITEM_KEYS, "order_ts", *columns]), "items")
+def _time_split(spark, sf_dir, columns=(), numbers=()):
+    """Items with their side; they are written once, since the borders and what follows read them several times.
+
+    ``numbers`` are further columns that are only read as the doubles they become here.
+    """
+    items = order_items(spark, sf_dir, [*ITEM_KEYS, "order_ts", *columns, *numbers])
+    items = written(items.withColumns({c: to_number(F.col(c)) for c in numbers}), "items")
     return features.time_split(items, "order_ts", TIES)
 
 
@@ -424,7 +429,7 @@ def late_model_scores(spark, sf_dir):
 @query("ML-09 ML-11 AGG-20 SNK-10")
 def profit_model_report(spark, sf_dir):
     """Trained on the time split; error of the newest rows."""
-    items = _time_split(spark, sf_dir, [*_NUMBERS, "sales", "profit_actual", "order_region", "category_name"])
+    items = _time_split(spark, sf_dir, ["profit_actual", "order_region", "category_name"], numbers=[*_NUMBERS, "sales"])
     spec, codes = features.fit_features(
         items.where("split = 'train'"), [*_NUMBERS, "sales"], ["order_region", "category_name"], (), 1, 0, True, ""
     )
@@ -434,6 +439,7 @@ def profit_model_report(spark, sf_dir):
     data = written(data, "features")
     model = models.train_profit(data, spec.columns, "profit_actual", max_iter=10, max_depth=5, step=0.3)
     scored = models.score_profit(model, data.where("split = 'test'"), spec.columns)
+    scored = written(scored.select("profit_actual", "profit_pred"), "scored")
     path = scratch_path(spark, "profit_model")
     report = evaluation.regression_report(scored, "profit_actual", "profit_pred")
     rows = scored.select(F.col("profit_actual").alias("actual_profit"), F.col("profit_pred").alias("predicted_profit"))
