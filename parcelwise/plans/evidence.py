@@ -272,13 +272,14 @@ def late_model_evidence(spark, sf_dir):
 )
 def profit_model_evidence(spark, sf_dir):
     """The profit model on the newest rows beats their mean; metrics, manifest and predictions are stored and read back."""
-    items = modelling._time_split(spark, sf_dir, [*modelling._NUMBERS, "sales", "profit_actual", "order_region"])
+    items = modelling._time_split(spark, sf_dir, ["profit_actual", "order_region"], numbers=[*modelling._NUMBERS, "sales"])
     spec, codes = features.fit_features(items.where("split = 'train'"), [*modelling._NUMBERS, "sales"], ["order_region"], (), 1, 0, True, "")
     keep = ["split", "profit_actual"]
     data = features.transform_features(items, spec, codes, "order_ts", keep=keep).withColumnsRenamed({f"key_{k}": k for k in keep})
     data = written(data, "features")
     model = models.train_profit(data, spec.columns, "profit_actual", max_iter=10, max_depth=5, step=0.3)
     scored = models.score_profit(model, data.where("split = 'test'"), spec.columns)
+    scored = written(scored.select("profit_actual", "profit_pred"), "scored")
     path = scratch_path(spark, "profit_evidence")
     rows = scored.select(F.col("profit_actual").alias("actual_profit"), F.col("profit_pred").alias("predicted_profit"))
     store.write_model_outputs(evaluation.regression_report(scored, "profit_actual", "profit_pred"), spec.columns, rows, path)
