@@ -212,7 +212,7 @@ def raw_profit_rows(levers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 CellScore = Callable[[Column, Column], tuple[Column, Column]]
-Scorer = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[DataFrame, list[str], Sequence[tuple]], DataFrame]
 
 _UNITS = 10_000  # profits and scores are summed in whole ten-thousandths
 
@@ -239,14 +239,10 @@ def _sums_of_expressions(items: DataFrame, key: Sequence[str], cells: Sequence[t
     return items.groupBy(*key).agg(*_cell_sums(cells, scores), *extra)
 
 
-def _sums_of_rows(items: DataFrame, key: Sequence[str], cells: Sequence[tuple], scorer: Scorer) -> DataFrame:
-    """The same for a scorer that needs a row per item and cell, such as a trained model; the cells meet again before the shuffle."""
-    scored = scorer(with_grid(items, cells))
-
-    def of(seq: int, name: str) -> Column:
-        return F.when(F.col("seq") == seq, F.col(name))
-
-    return scored.groupBy(*key).agg(*_cell_sums(cells, [(of(seq, "profit_pred"), of(seq, "p_late")) for seq, *_ in cells]))
+def _sums_of_models(items: DataFrame, key: Sequence[str], cells: Sequence[tuple], scorer: Scorer) -> DataFrame:
+    """The same for a scorer that adds every cell's ``_profit{seq}`` and ``_late{seq}`` to an item, such as trained models."""
+    totals = [x for seq, *_ in cells for x in (F.sum(f"_profit{seq}").alias(f"_profit{seq}"), F.sum(f"_late{seq}").alias(f"_late{seq}"), F.count(f"_late{seq}").alias(f"_n{seq}"))]
+    return scorer(items, [*key], cells).groupBy(*key).agg(*totals)
 
 
 def with_cells(sums: DataFrame, cells: Sequence[tuple[int, str, Decimal]], penalty=DEFAULT_PENALTY) -> DataFrame:
@@ -354,8 +350,8 @@ def rescue(
     """Best mode and discount for each losing order, or for the ``limit`` worst.
 
     The losing orders are found once and travel with their items as grouping columns, so the items are joined,
-    summed and decided in one pass. ``scorer`` takes the place of ``score`` where cells need rows of their own;
-    it must keep the columns it is given.
+    summed and decided in one pass. ``scorer`` takes the place of ``score`` where no expression of mode and discount
+    tells the scores: it is given the joined items, the columns to keep and the cells, see :func:`_sums_of_models`.
     """
     lost = ["_net", "_mode", "_region", "_segment", "_multiplier"]
     losing = losing_orders(mart, key, penalty, limit).select(
@@ -367,7 +363,7 @@ def rescue(
     if scorer is None:
         sums = _sums_of_expressions(joined, [key, *lost], cells, score)
     else:
-        sums = _sums_of_rows(joined, [key, *lost], cells, scorer)
+        sums = _sums_of_models(joined, [key, *lost], cells, scorer)
     best = best_cell(with_cells(sums, cells, penalty), [key, *lost[:-1]], cells)
     return best.select(
         key,

@@ -7,8 +7,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from parcelwise.functions.scalars import hash_id
+from parcelwise.functions.scalars import hash_id, to_number
 from parcelwise.operators import decisions, explain, features, models
+from parcelwise.operators.cells import scored_cells
 from parcelwise.operators.money import MONEY, complete_fields
 from parcelwise.plans.orders import item_codes, mart_of
 from parcelwise.plans.registry import query
@@ -421,25 +422,25 @@ def rescued_by_models(spark, sf_dir):
     """The same scan with trained models as the scorer."""
     cols = ["order_id", "order_ts", "order_region", "product_price", "profit_ratio", "discount_rate", "quantity", "shipping_mode",
             "scheduled_days", "true_label", "p_late", "profit_actual"]
-    items = features.group_split(written(order_items(spark, sf_dir, cols), "items"), "order_id")
     numbers = ["scheduled_days", "product_price", "profit_ratio", "discount_rate", "quantity"]
+    items = order_items(spark, sf_dir, cols)
+    items = written(items.withColumns({c: to_number(F.col(c)) for c in numbers}), "items")  # read as doubles from here on
+    items = features.group_split(items, "order_id")
     spec, codes = features.fit_features(items.where("split = 'train'"), numbers, ["order_region"], ["shipping_mode"])
-
-    def table_of(df, keep):
-        made = features.transform_features(df, spec, codes, "order_ts", keep=keep)
-        return made.withColumnsRenamed({f"key_{k}": f"{k}" for k in keep if k not in spec.columns})
-
-    data = written(table_of(items, ["split", "true_label", "profit_actual"]), "features")  # read by both trainings
+    keep = ["split", "true_label", "profit_actual", "order_id"]
+    data = features.transform_features(items, spec, codes, "order_ts", keep=keep).withColumnsRenamed({f"key_{k}": k for k in keep})
+    data = written(data, "features")  # read by both trainings and by the scan
     late = models.train_late(data, spec.columns, "true_label", max_iter=5, max_depth=4, step=0.3)
     profit = models.train_profit(data, spec.columns, "profit_actual", max_iter=5, max_depth=4, step=0.3)
 
-    def scorer(df):
-        cell = table_of(df, ["order_id", "seq", "shipping_mode", "discount_rate", "_net", "_mode", "_region", "_segment", "_multiplier"])
-        both = models.score_profit(profit, models.score_late(late, cell, spec.columns), spec.columns)
-        return both.drop("discount_rate").withColumnRenamed("key_discount_rate", "discount_rate")
+    def scorer(rows, kept, cells):
+        """A cell sets mode and discount; what else the models read is the item's."""
+        modes = spec.one_hot["shipping_mode"]
+        given = {seq: {"discount_rate": float(rate)} | {f"shipping_mode_{m}": float(m == mode) for m in modes} for seq, mode, rate in cells}
+        return scored_cells(rows, kept, spec.columns, late, profit, given)
 
     full = mart_of(spark, sf_dir, ("customer_segment", "shipping_mode", "order_region"))
-    return decisions.rescue(full, items.drop("split"), "order_id", scorer=scorer)
+    return decisions.rescue(full, data.select("order_id", *[F.col(f"`{c}`") for c in spec.columns]), "order_id", scorer=scorer)
 
 
 # --- explanations -----------------------------------------------------------------------------
