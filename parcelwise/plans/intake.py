@@ -12,7 +12,7 @@ from parcelwise.operators import evaluation, explain, features, mart, money, pri
 from parcelwise.plans.orders import mart_of
 from parcelwise.plans.registry import query
 from parcelwise.plans.sql import bucket_sql, over_items, over_mart, over_pred
-from parcelwise.session import scratch_path
+from parcelwise.session import scratch_path, shuffles_removed
 from parcelwise.sources import readers, store
 from parcelwise.sources.tables import ITEM_KEYS, RAW_NAMES, order_items, predictions, raw_orders, table
 
@@ -264,6 +264,9 @@ def complete_numeric_rows(spark, sf_dir):
 
 # --- files -----------------------------------------------------------------------------------------
 
+#: lines that are joined and written to files at a time, and rows of a file: a packed file is read by one task
+SLICE_ROWS, CSV_ROWS = 20_000_000, 500_000
+
 
 @query(
     "SRC-01 SRC-02 PRJ-13",
@@ -271,11 +274,20 @@ def complete_numeric_rows(spark, sf_dir):
       SUM(profit_actual)::DOUBLE AS profit, MIN(strftime(order_ts, '%Y-%m-%d')) AS first_date FROM items GROUP BY 1, 2"""),
 )
 def orders_from_csv(spark, sf_dir):
-    """Raw order file written as CSV and read back with explicit types."""
+    """Raw order file written as CSV and read back with explicit types.
+
+    The files are packed, and short enough for one task each. A long table is written in slices by order, so that
+    the shuffle files of all its rows never lie on disk together.
+    """
     path = scratch_path(spark, "orders_csv")
     raw = raw_orders(spark, sf_dir)
-    raw.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    slices = max(1, -(-table(spark, sf_dir, "lineitem").count() // SLICE_ROWS))
+    for i in range(slices):
+        with shuffles_removed(spark):
+            part = raw.where(F.pmod(F.hash("Order Id"), F.lit(slices)) == i) if slices > 1 else raw.select("*")
+            part.write.mode("append" if i else "overwrite").option("header", True).option("encoding", "ISO-8859-1").option(
+                "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
+                "compression", "gzip").option("maxRecordsPerFile", CSV_ROWS).csv(path)
     back = readers.read_raw_orders(spark, path, columns=raw.columns)
     checked = readers.require_columns(back, ["Order Id", "Shipping Mode", "Order Region", LABEL])
     return checked.groupBy(F.col("Shipping Mode").alias("mode"), F.col("Order Region").alias("region")).agg(
